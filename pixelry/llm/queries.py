@@ -23,6 +23,39 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelry.llm import quality_rules
+
+    judged = quality_rules.apply_rules(_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines", "n_removed_words")
+
+
+_OP3_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+raw AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (SELECT doc_id, host, text, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM raw),
+full_lines AS (SELECT * FROM lines WHERE len(ws) > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY doc_id),
+win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c >= 2),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
+hosts AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host),
+often AS (SELECT f.host, f.ws, count(DISTINCT f.text) AS n FROM full_lines f GROUP BY f.host, f.ws),
+gone AS (SELECT o.host, o.ws FROM often o JOIN hosts h ON o.host = h.host WHERE o.n > 10 AND o.n * 100 > 5 * h.n),
+lost AS (SELECT f.doc_id, count(*) AS n_lines, sum(len(f.ws)) AS n_words FROM full_lines f JOIN gone g ON f.host = g.host AND f.ws = g.ws GROUP BY f.doc_id),
+f AS (SELECT w.doc_id, len(w.ws) AS n_words, length(array_to_string(w.ws, '')) AS word_chars,
+  length(regexp_replace(w.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+  coalesce(lost.n_lines, 0) AS n_removed_lines, coalesce(lost.n_words, 0) AS n_removed_words
+  FROM w LEFT JOIN dup ON w.doc_id = dup.doc_id LEFT JOIN rep ON w.doc_id = rep.doc_id LEFT JOIN lost ON w.doc_id = lost.doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_removed_words <= 50 * n_words AS kept,
+  CAST(n_removed_lines AS BIGINT) AS n_removed_lines, CAST(n_removed_words AS BIGINT) AS n_removed_words
+FROM f
+"""
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pixelry.llm import jaccard_join
 
@@ -46,8 +79,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
+    "op3_quality_rules": op3_quality_rules,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_byte_bpe": op6_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": _OP3_SQL,
+}

@@ -50,12 +50,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class SpanHasher:
-    """Hashes of any number of spans of one buffer; a span's hash depends on its bytes alone."""
+    """Hashes of any number of spans of one buffer of bytes or 64-bit values; a span's hash depends on its items alone."""
 
-    def __init__(self, buf: np.ndarray):
-        p, self.inverse = powers(len(buf) + 1)
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_TABLE[buf] * p[:-1], out=self.sums[1:])
+    def __init__(self, items: np.ndarray):
+        p, self.inverse = powers(len(items) + 1)
+        self.sums = np.zeros(len(items) + 1, np.uint64)
+        np.cumsum((_TABLE[items] if items.dtype == np.uint8 else items) * p[:-1], out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
