@@ -84,14 +84,55 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelry.llm import url_filter
+
+    judged = url_filter.filter_urls(_table(spark, sf_dir, "pages", "page_id", "url", "html"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "inherited")
+
+
+def op10_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelry.llm import mixing
+
+    return mixing.mix(_table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")).drop("text")
+
+
+_OP8_SQL = r"""
+WITH RECURSIVE
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\s[^>]*>')) AS tag FROM pages),
+links AS (SELECT url, replace(regexp_extract(tag, '(?i)(?:href\s*=\s*|url\s*=\s*)["'']?\s*([^"''\s>]+)', 1), '&amp;', '&') AS target FROM tags
+  WHERE regexp_matches(tag, '(?i)rel\s*=\s*["'']?canonical|http-equiv\s*=\s*["'']?refresh')),
+urls AS (SELECT DISTINCT url FROM pages UNION SELECT DISTINCT target FROM links WHERE contains(target, '://')),
+rest AS (SELECT url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM urls),
+cut AS (SELECT url, r, regexp_extract(r, '^[^/?#]*') AS h FROM rest),
+parts AS (SELECT url, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(r, length(h) + 1), '^[^?#]*') AS path,
+  translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(substr(r, length(h) + 1), '^[^#]*') AS address FROM cut),
+rules(decision, rule, rule_host, rule_path) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
+ruled AS (SELECT p.url, p.host, p.path, p.address, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.decision, length(r.rule)) AS decision
+  FROM parts p LEFT JOIN rules r ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path) GROUP BY ALL),
+edges AS (SELECT DISTINCT s.address AS a, t.address AS b FROM links l JOIN parts s ON s.url = l.url JOIN parts t ON t.url = l.target WHERE s.host <> '' AND t.host <> ''),
+reach AS (SELECT a AS x, b AS y FROM edges UNION SELECT b, a FROM edges UNION SELECT r.x, CASE WHEN e.a = r.y THEN e.b ELSE e.a END FROM reach r JOIN edges e ON e.a = r.y OR e.b = r.y),
+class AS (SELECT x, bool_or(decision = 'block') AND NOT coalesce(bool_or(decision = 'allow'), false) AS blocked FROM (SELECT x, y FROM reach UNION SELECT x, x FROM reach) q JOIN ruled ON ruled.address = q.y GROUP BY x)
+SELECT page_id, coalesce(r.host, '') AS host, coalesce(r.path, '') AS path, r.rule, coalesce(r.decision, CASE WHEN c.blocked THEN 'block' ELSE 'allow' END) AS verdict,
+  (r.rule IS NULL AND coalesce(c.blocked, false)) AS inherited
+FROM pages p LEFT JOIN ruled r ON r.url = p.url LEFT JOIN class c ON c.x = r.address
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_kneser_ney": op2_kneser_ney,
     "op3_quality_rules": op3_quality_rules,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_url_filter": op8_url_filter,
+    "op10_raked_mix": op10_raked_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": _OP3_SQL,
+    "op8_url_filter": _OP8_SQL,
 }
