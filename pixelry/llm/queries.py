@@ -84,6 +84,19 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelry.llm import fingerprints
+
+    docs = fingerprints.with_next(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    edited = F.expr("concat(left(text, cast(n_chars - n_chars div 3 as int)), left(next_text, cast(n_chars div 3 as int)))")
+    docs = fingerprints.fingerprint(docs.withColumn("edited", edited), "edited", "edited_fingerprint")
+    docs = docs.withColumn("edited_sha256", F.sha2(F.col("edited"), 256)).drop("text", "next_text", "edited")
+    docs = fingerprints.compare(docs, "fingerprint", "edited_fingerprint", "near_edited")
+    docs = fingerprints.compare(docs, "fingerprint", "next_fingerprint", "near_next")
+    return docs.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
@@ -128,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_phrase_fingerprints": op7_phrase_fingerprints,
     "op8_url_filter": op8_url_filter,
     "op10_raked_mix": op10_raked_mix,
 }
