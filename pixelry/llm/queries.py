@@ -107,6 +107,19 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "inherited")
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelry.llm import html_extract
+
+    found = html_extract.extract(_table(spark, sf_dir, "pages", "page_id", "url", "html")).drop("html")
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelry.llm import license_scan
+
+    return license_scan.scan(_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "license", "coverage", "n_matched", "start_char", "end_char")
+
+
 def op10_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pixelry.llm import mixing
 
@@ -140,9 +153,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_kneser_ney": op2_kneser_ney,
     "op3_quality_rules": op3_quality_rules,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_license_scan": op5_license_scan,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_phrase_fingerprints": op7_phrase_fingerprints,
     "op8_url_filter": op8_url_filter,
+    "op9_html_extract": op9_html_extract,
     "op10_raked_mix": op10_raked_mix,
 }
 
