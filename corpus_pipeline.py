@@ -1,24 +1,69 @@
 """Corpus pipeline: the stages turn `documents` into a deduplicated, mixed and tokenised corpus.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next stage's docs; `run` does so in the shared folder of the session.
+again as the next stage's docs; `run` does so in the shared folder of the session.  All stages but the
+last return the columns of `documents`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from pixelry.llm import byte_bpe, jaccard_join, kneser_ney, mixing, quality_rules
+from pixelry.llm.textbuf import saved
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is within their language's limit."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return kneser_ney.classify(docs, labels).where("kept").select(docs.columns)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, without their frequent lines."""
+    judged = quality_rules.apply_rules(docs).where("kept").withColumn("text", F.col("clean_text"))
+    return judged.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: that with the least id.  Rows without an id stay."""
+    found = saved(jaccard_join.near_duplicates(docs), "near-duplicates")
+    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(jaccard_join.small(copies), "doc_id", "left_anti")
+    counts = found.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("ids")).collect()[0]
+    if counts.n != counts.ids:  # rows that repeat an id
+        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    return left.select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose sources, languages and topics have the target weights."""
+    return mixing.mix(docs).where("sampled").select(docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian unsigned 32-bit) of every document."""
+    ids = byte_bpe.encode(docs, "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return ids.select("doc_id", "lang", "source", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality),
+    ("quality_rules", rules),
+    ("near_duplicates", near_duplicates),
+    ("mixing", mix),
+    ("byte_bpe", tokenize),
+]
 
 #: Several stages (language model, iterative fitting, BPE) are beyond SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pixelry.llm.textbuf import saved
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
