@@ -1,10 +1,252 @@
-"""Registered queries of the raster engine and their SQL equivalents."""
+"""Registered queries of the raster engine and their SQL equivalents.
+
+Queries run on the events raster (r1: one Rgb8 picture of width 100), on the embeddings raster (r2: 8
+by 8 float pictures) and on generated pictures.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixelry.functions import samples as S
+from pixelry.operators import compose, generate, geometry, point, resample, window
+from pixelry.plans.raster import Raster, embeddings_raster, events_raster, with_alpha
+from pixelry.sources import formats
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+R1 = """r1 AS (SELECT CAST(event_id % 100 AS INT) AS x, CAST(event_id // 100 AS INT) AS y, 100 AS w, CAST((SELECT max(event_id) + 1 FROM events) // 100 AS INT) AS h,
+  CAST(((floor(value) % 256) + 256) % 256 AS INT) AS r, CAST(user_id % 256 AS INT) AS g, CAST((event_id * 13) % 256 AS INT) AS b FROM events),
+ra AS (SELECT *, (x * 7 + y * 3) % 256 AS a FROM r1)"""
+R2 = "r2 AS (SELECT vec_id, CAST((i - 1) % 8 AS INT) AS x, CAST((i - 1) // 8 AS INT) AS y, embedding[i] AS v FROM (SELECT vec_id, embedding, unnest(generate_series(1, 64)) AS i FROM embeddings))"
+_HALF = "CAST(floor(round({0}, 6) + 0.5) AS INT)"
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql is not None:
+        ORACLE_SQL[name] = sql
+
+
+def _out(r: Raster) -> DataFrame:
+    return r.pixels.select("x", "y", *r.names)
+
+
+def _r1(name: str, f: Callable[[Raster], Raster], select: str, tail: str = "FROM r1") -> None:
+    """A query on r1; select: SQL of x, y and the channels."""
+    _add(name, lambda spark, d: _out(f(events_raster(spark, d))), f"WITH {R1} SELECT {select} {tail}")
+
+
+def _ra(name: str, f: Callable[[Raster], Raster], select: str, tail: str = "FROM ra") -> None:
+    _add(name, lambda spark, d: _out(f(with_alpha(events_raster(spark, d)))), f"WITH {R1} SELECT {select} {tail}")
+
+
+_LUMA = "CAST((2126 * r + 7152 * g + 722 * b + 5000) // 10000 AS INT)"
+_RGB = "r AS c0, g AS c1, b AS c2"
+
+
+def _each(template: str, channels: str = "rgb") -> str:
+    return ", ".join(f"{template.replace('@', c)} AS c{i}" for i, c in enumerate(channels))
+
+
+# --- point operators
+_r1("luma", point.grayscale, f"x, y, {_LUMA} AS c0")
+_ra("grayscale_alpha", point.grayscale_alpha, f"x, y, {_LUMA} AS c0, a AS c1")
+_r1("invert", point.invert, f"x, y, {_each('255 - @')}")
+_ra("invert_alpha", point.invert, f"x, y, {_each('255 - @')}, a AS c3")
+_r1("brighten", lambda r: point.brighten(r, 60), f"x, y, {_each('least(255, @ + 60)')}")
+_r1("darken", lambda r: point.brighten(r, -40), f"x, y, {_each('greatest(0, @ - 40)')}")
+_CONTRAST = "CAST(floor(round(greatest(0.0, least(255.0, (((CAST(@ AS DOUBLE) / 255 - 0.5) * 1.5625) + 0.5) * 255)), 6)) AS INT)"
+_ra("contrast", lambda r: point.contrast(r, 25.0), f"x, y, {_each(_CONTRAST, 'rgba')}")
+_HUE = S.hue_matrix(75)
+_r1("huerotate", lambda r: point.huerotate(r, 75), "x, y, " + ", ".join(f"CAST(floor(round(greatest(0.0, least(255.0, CAST(r AS DOUBLE) * CAST({m[0]!r} AS DOUBLE) + CAST(g AS DOUBLE) * CAST({m[1]!r} AS DOUBLE) + CAST(b AS DOUBLE) * CAST({m[2]!r} AS DOUBLE))), 6)) AS INT) AS c{i}" for i, m in enumerate(_HUE)))
+_r1("convert_u8_u16", lambda r: point.convert(r, kind="u16"), f"x, y, {_each('@ * 257')}")
+_r1("convert_u16_u8", lambda r: point.convert(Raster(r.select([c * 251 for c in r.channels]).pixels, "Rgb", "u16"), kind="u8"), f"x, y, {_each('CAST((@ * 251 + 128) // 257 AS INT)')}")
+_r1("convert_f32_u8", lambda r: point.convert(point.convert(r, kind="f32"), kind="u8"), f"x, y, {_RGB}")
+_r1("convert_grey_rgba", lambda r: point.convert(point.grayscale(r), layout="Rgba"), f"x, y, {_LUMA} AS c0, {_LUMA} AS c1, {_LUMA} AS c2, 255 AS c3")
+_r1("luma_u16", lambda r: point.grayscale(point.convert(r, kind="u16")), "x, y, CAST((2126 * r * 257 + 7152 * g * 257 + 722 * b * 257) // 10000 AS INT) AS c0")
+_ra("drop_alpha", lambda r: point.convert(r, layout="Rgb"), f"x, y, {_RGB}")
+_ra("alpha_mask", point.to_alpha_mask, "x, y, a AS c0")
+_ra("bgra_swizzle", point.swap_red_blue, "x, y, b AS c0, g AS c1, r AS c2, a AS c3")
+_r1("posterize_map", lambda r: point.map_channels(r, lambda c: (F.floor(c / 16) * 16).cast("int")), f"x, y, {_each('CAST(@ // 16 * 16 AS INT)')}")
+_ra("map_with_alpha", lambda r: point.map_with_alpha(r, lambda c: F.greatest(c - 10, F.lit(0)), lambda a: (a * 0 + 128)), f"x, y, {_each('greatest(@ - 10, 0)')}, 128 AS c3")
+_r1("index_bilevel", point.index_bilevel, f"x, y, CASE WHEN {_LUMA} > 127 THEN 1 ELSE 0 END AS c0")
+_r1("bilevel_lookup", lambda r: point.lookup_bilevel(point.index_bilevel(r)), f"x, y, CASE WHEN {_LUMA} > 127 THEN 255 ELSE 0 END AS c0")
+_PALETTE = [(0, 0, 0), (255, 255, 255), (200, 30, 30), (30, 200, 30), (30, 30, 200), (128, 128, 128)]
+_r1("index_colors", lambda r: point.index_colors(r, _PALETTE), "x, y, CAST(list_position(d, list_min(d)) - 1 AS INT) AS c0", "FROM (SELECT *, [" + ", ".join(f"(r - {p[0]}) * (r - {p[0]}) + (g - {p[1]}) * (g - {p[1]}) + (b - {p[2]}) * (b - {p[2]})" for p in _PALETTE) + "] AS d FROM r1)")
+_ra("premultiply", point.premultiply, f"x, y, {_each('CAST(floor(round(CAST(@ AS DOUBLE) * a / 255, 6) + 0.5) AS INT)')}, a AS c3")
+_r1("cmyk_to_rgb", lambda r: r.select(S.cmyk_to_rgb(*r.channels, F.col("x"))), "x, y, " + ", ".join(_HALF.format(f"(1 - CAST({c} AS DOUBLE) / 255) * (1 - CAST(x AS DOUBLE) / 255) * 255") + f" AS c{i}" for i, c in enumerate("rgb")))
+_YCC = [("r + 1.402::DOUBLE * (b - 128)"), "r - 0.344136::DOUBLE * (g - 128) - 0.714136::DOUBLE * (b - 128)", "r + 1.772::DOUBLE * (g - 128)"]
+_r1("ycbcr_to_rgb", lambda r: r.select(S.ycbcr_to_rgb(*r.channels)), "x, y, " + ", ".join(f"greatest(0, least(255, {_HALF.format(e)})) AS c{i}" for i, e in enumerate(_YCC)))
+_LIN = "CASE WHEN @ / 255.0::DOUBLE <= 0.04045 THEN @ / 255.0::DOUBLE / 12.92 ELSE pow((@ / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END"
+_r1("srgb_to_linear", lambda r: point.convert_color_space(r, ("srgb", "srgb"), ("srgb", "linear")), "x, y, " + _each(_HALF.format(f"({_LIN}) * 255")))
+_P3 = point.primaries_matrix("srgb", "display-p3")
+_P3_SQL = [" + ".join(f"l{c} * CAST({m[j]!r} AS DOUBLE)" for j, c in enumerate("rgb")) for m in _P3]
+_GAMMA = "CASE WHEN v{0} <= 0.0031308 THEN v{0} * 12.92 ELSE 1.055 * pow(v{0}, 1 / 2.4::DOUBLE) - 0.055 END"
+_r1("srgb_to_display_p3", lambda r: point.convert_color_space(r, ("srgb", "srgb"), ("display-p3", "srgb")), "x, y, " + ", ".join(_HALF.format(f"({_GAMMA.format(i)}) * 255") + f" AS c{i}" for i in range(3)),
+    "FROM (SELECT x, y, " + ", ".join(f"greatest(0.0, least(1.0, {e})) AS v{i}" for i, e in enumerate(_P3_SQL)) + " FROM (SELECT x, y, " + ", ".join(f"{_LIN.replace('@', c)} AS l{c}" for c in "rgb") + " FROM r1))")
+
+
+def _palette(spark: SparkSession, d: str) -> DataFrame:
+    """Parts 1 to 200 as colours."""
+    part = spark.read.parquet(f"{d}/part.parquet").where("p_partkey between 1 and 200")
+    return part.select(F.col("p_partkey").cast("int").alias("idx"), (F.col("p_size") * 5).cast("int").alias("c0"), (F.col("p_partkey") % 256).cast("int").alias("c1"), (F.floor("p_retailprice") % 256).cast("int").alias("c2"))
+
+
+_add(
+    "expand_palette",
+    lambda spark, d: _out(point.expand_palette(point.grayscale(events_raster(spark, d)), _palette(spark, d), 17)),
+    f"WITH {R1}, l AS (SELECT x, y, {_LUMA} AS i FROM r1), p AS (SELECT p_partkey AS k, CAST(p_size * 5 AS INT) AS c0, CAST(p_partkey % 256 AS INT) AS c1, CAST(floor(p_retailprice) % 256 AS INT) AS c2 FROM part WHERE p_partkey BETWEEN 1 AND 200) "
+    "SELECT x, y, coalesce(c0, 0) AS c0, coalesce(c1, 0) AS c1, coalesce(c2, 0) AS c2, CASE WHEN k IS NULL OR k = 17 THEN 0 ELSE 255 END AS c3 FROM l LEFT JOIN p ON l.i = p.k",
+)
+
+# --- geometry
+_r1("crop", lambda r: geometry.crop(r, 10, 20, 50, 500), f"x - 10 AS x, y - 20 AS y, {_RGB}", "FROM r1 WHERE x BETWEEN 10 AND 59 AND y BETWEEN 20 AND 519")
+_r1("view", lambda r: geometry.view(r, 5, 1, 40, 8), f"x - 5 AS x, y - 1 AS y, {_RGB}", "FROM r1 WHERE x BETWEEN 5 AND 44 AND y BETWEEN 1 AND 8")
+_r1("rotate90", geometry.rotate90, f"h - 1 - y AS x, x AS y, {_RGB}")
+_r1("rotate180", geometry.rotate180, f"w - 1 - x AS x, h - 1 - y AS y, {_RGB}")
+_r1("rotate270", geometry.rotate270, f"y AS x, w - 1 - x AS y, {_RGB}")
+_r1("flip_horizontal", geometry.flip_horizontal, f"w - 1 - x AS x, y, {_RGB}")
+_r1("flip_vertical", geometry.flip_vertical, f"x, h - 1 - y AS y, {_RGB}")
+for _o, _place in {1: "x, y", 2: "w - 1 - x AS x, y", 3: "w - 1 - x AS x, h - 1 - y AS y", 4: "x, h - 1 - y AS y", 5: "y AS x, x AS y", 6: "h - 1 - y AS x, x AS y", 7: "h - 1 - y AS x, w - 1 - x AS y", 8: "y AS x, w - 1 - x AS y"}.items():
+    _r1(f"orientation_{_o}", lambda r, o=_o: geometry.orient(r, F.lit(o)), f"{_place}, {_RGB}")
+_add("rotate90_corpus", lambda spark, d: (lambda r: r.pixels.select("image_id", "x", "y", "c0"))(geometry.rotate90(embeddings_raster(spark, d))), f"WITH {R2} SELECT CAST(vec_id AS VARCHAR) AS image_id, 7 - y AS x, x AS y, v AS c0 FROM r2")
+_r1("get_pixel", lambda r: geometry.get_pixel(r, 42, 3), f"x, y, {_RGB}", "FROM r1 WHERE x = 42 AND y = 3")
+_r1("put_pixel", lambda r: geometry.put_pixel(r, 1, 2, [9, 8, 7]), f"x, y, {', '.join(f'CASE WHEN x = 1 AND y = 2 THEN {v} ELSE {c} END AS c{i}' for i, (c, v) in enumerate(zip('rgb', (9, 8, 7), strict=True)))}")
+_add(
+    "resize_dimensions",
+    lambda spark, d: embeddings_raster(spark, d).pixels.select("image_id", "w", "h").distinct().select("image_id", *(c.alias(n) for n, c in zip(("fit_w", "fit_h", "fill_w", "fill_h"), (*geometry.resize_dimensions(F.col("w") * 3, F.col("h"), 100, 77), *geometry.resize_dimensions(F.col("w") * 3, F.col("h"), 100, 77, True)), strict=True))),
+    "SELECT CAST(vec_id AS VARCHAR) AS image_id, 100 AS fit_w, 33 AS fit_h, 231 AS fill_w, 77 AS fill_h FROM embeddings",
+)
+
+# --- two pictures
+_BLUE = lambda r: Raster(r.where((F.col("x") < 40) & (F.col("y") < 6)).select([(F.col("x") * 5).cast("int"), (F.col("y") * 20).cast("int"), F.lit(200), ((F.col("x") * 11 + F.col("y") * 50) % 256).cast("int")], layout="Rgba").pixels, "Rgba")
+_TOP = "t AS (SELECT x AS tx, y AS ty, x * 5 AS tr, y * 20 AS tg, 200 AS tb, (x * 11 + y * 50) % 256 AS ta FROM r1 WHERE x < 40 AND y < 6)"
+_ON = "FROM ra LEFT JOIN t ON x = tx + 30 AND y = ty + 2"
+
+
+def _mixed(u: str, o: str) -> str:
+    f = f"floor(round((CAST({o} AS DOUBLE) / 255 * (ta / 255.0::DOUBLE) + CAST({u} AS DOUBLE) / 255 * (a / 255.0::DOUBLE) * (1 - ta / 255.0::DOUBLE)) / nullif(a / 255.0::DOUBLE + ta / 255.0::DOUBLE - a / 255.0::DOUBLE * (ta / 255.0::DOUBLE), 0) * 255, 6) + 0.5)"
+    return f"CASE WHEN ta IS NULL OR ta = 0 THEN {u} WHEN ta = 255 THEN {o} ELSE coalesce(CAST(greatest(0, least(255, {f})) AS INT), {u}) END"
+
+
+_OVER_ALPHA = "CASE WHEN ta IS NULL OR ta = 0 THEN a WHEN ta = 255 THEN ta ELSE CAST(floor(round((a / 255.0::DOUBLE + ta / 255.0::DOUBLE - a / 255.0::DOUBLE * (ta / 255.0::DOUBLE)) * 255, 6) + 0.5) AS INT) END"
+_add("overlay", lambda spark, d: (lambda r: _out(compose.overlay(with_alpha(r), _BLUE(r), 30, 2)))(events_raster(spark, d)), f"WITH {R1}, {_TOP} SELECT x, y, {_mixed('r', 'tr')} AS c0, {_mixed('g', 'tg')} AS c1, {_mixed('b', 'tb')} AS c2, {_OVER_ALPHA} AS c3 {_ON}")
+_add("replace", lambda spark, d: (lambda r: _out(compose.replace(with_alpha(r), _BLUE(r), 30, 2)))(events_raster(spark, d)), f"WITH {R1}, {_TOP} SELECT x, y, coalesce(tr, r) AS c0, coalesce(tg, g) AS c1, coalesce(tb, b) AS c2, coalesce(ta, a) AS c3 {_ON}")
+_r1("tile", lambda r: compose.tile(r, geometry.crop(r, 3, 1, 7, 4), 7, 4), "p.x, p.y, t.r AS c0, t.g AS c1, t.b AS c2", "FROM r1 p JOIN r1 t ON t.x = p.x % 7 + 3 AND t.y = p.y % 4 + 1")
+_r1("copy_within", lambda r: compose.copy_within(r, 0, 0, 30, 5, 10, 3), "p.x, p.y, coalesce(s.r, p.r) AS c0, coalesce(s.g, p.g) AS c1, coalesce(s.b, p.b) AS c2", "FROM r1 p LEFT JOIN (SELECT * FROM r1 WHERE x < 30 AND y < 5) s ON p.x = s.x + 10 AND p.y = s.y + 3")
+_r1("copy_from", lambda r: compose.copy_from(r, geometry.crop(point.invert(r), 0, 0, 20, 4), 50, 5), "p.x, p.y, coalesce(255 - s.r, p.r) AS c0, coalesce(255 - s.g, p.g) AS c1, coalesce(255 - s.b, p.b) AS c2", "FROM r1 p LEFT JOIN (SELECT * FROM r1 WHERE x < 20 AND y < 4) s ON p.x = s.x + 50 AND p.y = s.y + 5")
+_add("set_alpha", lambda spark, d: (lambda r: _out(compose.set_alpha_channel(with_alpha(r), point.grayscale(r))))(events_raster(spark, d)), f"WITH {R1} SELECT x, y, {_RGB}, {_LUMA} AS c3 FROM ra")
+_r1("combine_difference", lambda r: compose.combine(r, geometry.flip_horizontal(r), lambda a, b: F.abs(a - b)), "p.x, p.y, abs(p.r - q.r) AS c0, abs(p.g - q.g) AS c1, abs(p.b - q.b) AS c2", "FROM r1 p JOIN r1 q ON q.x = p.w - 1 - p.x AND q.y = p.y")
+_add("beside", lambda spark, d: (lambda r: _out(compose.beside(r, point.invert(r))))(events_raster(spark, d)), f"WITH {R1} SELECT x, y, {_RGB} FROM r1 UNION ALL SELECT x + 100, y, 255 - r, 255 - g, 255 - b FROM r1")
+
+# --- generators
+_GRID = "grid AS (SELECT CAST(i % 64 AS INT) AS x, CAST(i // 64 AS INT) AS y FROM range(64 * 48) t(i))"
+_add("gradient_vertical", lambda spark, d: _out(generate.vertical_gradient(spark, 64, 48, [0, 200, 10], [255, 20, 10])), f"WITH {_GRID} SELECT x, y, CAST(floor(round(0 + 255 * (CAST(y AS DOUBLE) / 47), 6)) AS INT) AS c0, CAST(floor(round(200 - 180 * (CAST(y AS DOUBLE) / 47), 6)) AS INT) AS c1, 10 AS c2 FROM grid")
+_add("gradient_horizontal", lambda spark, d: _out(generate.horizontal_gradient(spark, 64, 48, [0, 200, 10], [255, 20, 10])), f"WITH {_GRID} SELECT x, y, CAST(floor(round(0 + 255 * (CAST(x AS DOUBLE) / 63), 6)) AS INT) AS c0, CAST(floor(round(200 - 180 * (CAST(x AS DOUBLE) / 63), 6)) AS INT) AS c1, 10 AS c2 FROM grid")
+_add("from_fn", lambda spark, d: _out(generate.from_fn(spark, 64, 48, lambda x, y: [(x * y) % 256, F.abs(x - y), x])), f"WITH {_GRID} SELECT x, y, x * y % 256 AS c0, abs(x - y) AS c1, x AS c2 FROM grid")
+_add("from_raw", lambda spark, d: (lambda r: r.pixels.select("image_id", "x", "y", "c0", "c1", "c2", "c3"))(generate.from_raw(spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("image_id"), F.lit(4).alias("w"), F.lit(4).alias("h"), "embedding"), "embedding", "Rgba", "f32")),
+     "SELECT CAST(vec_id AS VARCHAR) AS image_id, CAST(p % 4 AS INT) AS x, CAST(p // 4 AS INT) AS y, embedding[4 * p + 1] AS c0, embedding[4 * p + 2] AS c1, embedding[4 * p + 3] AS c2, embedding[4 * p + 4] AS c3 FROM (SELECT vec_id, embedding, unnest(generate_series(0, 15)) AS p FROM embeddings)")
+_add("into_raw", lambda spark, d: generate.into_raw(embeddings_raster(spark, d)).select("image_id", F.col("samples")[9].alias("s9"), F.col("samples")[63].alias("s63"), F.size("samples").alias("n")), "SELECT CAST(vec_id AS VARCHAR) AS image_id, embedding[10] AS s9, embedding[64] AS s63, CAST(len(embedding) AS INT) AS n FROM embeddings")
+_add("rows", lambda spark, d: generate.rows(point.grayscale(events_raster(spark, d))).select("y", F.aggregate("samples", F.lit(0), lambda a, v: a + v).cast("bigint").alias("total"), F.col("samples")[0].alias("c0")), f"WITH {R1} SELECT y, CAST(sum({_LUMA}) AS BIGINT) AS total, arg_min({_LUMA}, x) AS c0 FROM r1 GROUP BY y")
+
+# --- aggregation and resampling
+_r1("thumbnail", lambda r: resample.thumbnail_exact(r, 10, 10), "x, y, " + _each("CAST((sum(@) + count(*) // 2) // count(*) AS INT)"), "FROM (SELECT CAST(x * 10 // w AS INT) AS x, CAST(y * 10 // h AS INT) AS y, r, g, b FROM r1) GROUP BY 1, 2")
+_r1("thumbnail_odd", lambda r: resample.thumbnail_exact(r, 7, 3), "x, y, " + _each("CAST((sum(@) + count(*) // 2) // count(*) AS INT)"), "FROM (SELECT CAST(x * 7 // w AS INT) AS x, CAST(y * 3 // h AS INT) AS y, r, g, b FROM r1) GROUP BY 1, 2")
+_ra("constant_alpha", lambda r: Raster(resample.has_constant_alpha(r).select(F.lit(0).alias("x"), F.lit(0).alias("y"), *[F.col("constant").cast("int").alias(f"c{i}") for i in range(4)]), "Rgba"), "0 AS x, 0 AS y, " + ", ".join(f"CAST(min(a) = max(a) AS INT) AS c{i}" for i in range(4)))
+
+
+def _weights_sql(name: str, size: int, new_size: int, filter_name: str) -> str:
+    return f"{name}(o, i, k) AS (VALUES " + ", ".join(f"({o}, {i}, CAST({w!r} AS DOUBLE))" for o, i, w in resample.weights(size, new_size, filter_name)) + ")"
+
+
+def _resize(name: str, filter_name: str, new_w: int, new_h: int) -> None:
+    """On the first 100 by 10 pixels, which every scale has."""
+    sums = lambda axis, other, src: ", ".join(f"sum({c} * k) AS {c}" for c in "rgb")
+    sql = f"WITH {R1}, {_weights_sql('wy', 10, new_h, filter_name)}, {_weights_sql('wx', 100, new_w, filter_name)}, v AS (SELECT x, o AS y, {sums('y', 'x', 'r1')} FROM r1 JOIN wy ON y = i GROUP BY x, o), z AS (SELECT o AS x, y, {sums('x', 'y', 'v')} FROM v JOIN wx ON x = i GROUP BY o, y) SELECT x, y, " + _each(f"greatest(0, least(255, {_HALF.format('@')}))") + " FROM z"
+    _add(name, lambda spark, d: _out(resample.resize_exact(geometry.crop(events_raster(spark, d), 0, 0, 100, 10), (100, 10), (new_w, new_h), filter_name)), sql)
+
+
+for _f in ("triangle", "catmull_rom", "gaussian", "lanczos3"):
+    _resize(f"resize_{_f}", _f, 40, 6)
+_resize("enlarge_triangle", "triangle", 150, 17)
+_r1("resize_nearest", lambda r: resample.resize_exact(geometry.crop(r, 0, 0, 100, 10), (100, 10), (30, 25), "nearest"), f"o.x, p.y, {_RGB}", "FROM (SELECT CAST(i AS INT) AS x, CAST(floor((i + 0.5) * 100 / 30) AS INT) AS ix FROM range(30) t(i)) o, (SELECT CAST(i AS INT) AS y, CAST(floor((i + 0.5) * 10 / 25) AS INT) AS iy FROM range(25) t(i)) p JOIN r1 ON r1.x = ix AND r1.y = iy")
+
+
+def _probes(spark: SparkSession, d: str) -> DataFrame:
+    """A place for each of the first 500 events."""
+    e = spark.read.parquet(f"{d}/events.parquet").where("event_id < 500")
+    return e.select(F.lit("events").alias("image_id"), F.col("event_id").alias("probe"), ((F.col("event_id") * 37 % 1001) / 1000.0).alias("u"), ((F.col("event_id") * 91 % 1003) / 1000.0).alias("v"))
+
+
+_PROBES = "pr AS (SELECT event_id AS probe, (event_id * 37 % 1001) / 1000.0::DOUBLE AS u, (event_id * 91 % 1003) / 1000.0::DOUBLE AS v FROM events WHERE event_id < 500), pl AS (SELECT probe, CASE WHEN v <= 1 THEN greatest(0.0, least(99.0, u * 100 - 0.5)) END AS qx, CASE WHEN v <= 1 THEN greatest(0.0, least(9.0, v * 10 - 0.5)) END AS qy FROM pr)"
+_TEN = lambda spark, d: geometry.crop(events_raster(spark, d), 0, 0, 100, 10)
+_add("sample_nearest", lambda spark, d: resample.sample_nearest(_probes(spark, d), _TEN(spark, d), F.col("u"), F.col("v"), (100, 10)).select("probe", "c0", "c1", "c2"), f"WITH {R1}, {_PROBES} SELECT probe, r AS c0, g AS c1, b AS c2 FROM pl LEFT JOIN r1 ON x = CAST(floor(qx + 0.5) AS INT) AND y = CAST(floor(qy + 0.5) AS INT)")
+_add(
+    "sample_bilinear",
+    lambda spark, d: resample.sample_bilinear(_probes(spark, d), _TEN(spark, d), "probe", F.col("u"), F.col("v"), (100, 10)).select("probe", "c0", "c1", "c2"),
+    f"WITH {R1}, {_PROBES}, s AS (SELECT probe, sum(k * r) AS r, sum(k * g) AS g, sum(k * b) AS b FROM (SELECT probe, dx, dy, qx, qy, (CASE WHEN dx = 1 THEN qx - floor(qx) ELSE 1 - (qx - floor(qx)) END) * (CASE WHEN dy = 1 THEN qy - floor(qy) ELSE 1 - (qy - floor(qy)) END) AS k FROM pl, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(dx, dy)) q JOIN r1 ON r1.x = CAST(floor(qx) AS INT) + dx AND r1.y = CAST(floor(qy) AS INT) + dy WHERE k > 0 GROUP BY probe) "
+    f"SELECT pr.probe, {_each(_HALF.format('@'))} FROM pr LEFT JOIN s ON pr.probe = s.probe",
+)
+
+# --- neighbourhoods
+_SHARPEN = [0.0, -1.0, 0.0, -1.0, 5.0, -1.0, 0.0, -1.0, 0.0]
+_CROSS = [(1, 0), (-1, 0), (0, 1), (0, -1)]
+_r1("filter3x3", lambda r: window.filter3x3(r, _SHARPEN), "p.x, p.y, " + ", ".join(f"CASE WHEN p.x > 0 AND p.y > 0 AND p.x < p.w - 1 AND p.y < p.h - 1 THEN greatest(0, least(255, 5 * p.{c} - n0.{c} - n1.{c} - n2.{c} - n3.{c})) ELSE 0 END AS c{i}" for i, c in enumerate("rgb")),
+    "FROM r1 p " + " ".join(f"LEFT JOIN r1 n{k} ON n{k}.x = p.x + {dx} AND n{k}.y = p.y + {dy}" for k, (dx, dy) in enumerate(_CROSS)))
+
+
+def _taps_sql(source: str, axis: str, taps: list[tuple[int, int]], finish: str, size: str) -> str:
+    """One convolution pass with repeated edges: joins of each pixel with its taps."""
+    other = "y" if axis == "x" else "x"
+    values = ", ".join(f"({k}, {t})" for k, t in taps)
+    sums = ", ".join(finish.replace("@", f"sum(q.{c} * t.k)") + f" AS {c}" for c in "rgb")
+    return f"(SELECT p.x, p.y, p.w, p.h, {sums} FROM {source} p, (VALUES {values}) t(d, k) JOIN {source} q ON q.{other} = p.{other} AND q.{axis} = greatest(0, least(p.{size} - 1, p.{axis} + t.d)) GROUP BY p.x, p.y, p.w, p.h)"
+
+
+def _chain(passes: list[tuple[str, list[tuple[int, int]], str]]) -> str:
+    steps, last = [], "r1"
+    for n, (axis, taps, finish) in enumerate(passes):
+        steps.append(f"p{n} AS {_taps_sql(last, axis, taps, finish, 'w' if axis == 'x' else 'h')}")
+        last = f"p{n}"
+    return f"WITH {R1}, {', '.join(steps)} SELECT x, y, {_RGB} FROM {last}"
+
+
+def _box(axis: str, radius: int) -> tuple[str, list[tuple[int, int]], str]:
+    n = 2 * radius + 1
+    return axis, [(d, 1) for d in range(-radius, radius + 1)], f"CAST((@ + {n // 2}) // {n} AS INT)"
+
+
+def _gauss(axis: str, sigma: float) -> tuple[str, list[tuple[int, int]], str]:
+    size = window.kernel_size(sigma)
+    taps = [int(t * (1 << 15)) for t in window.gaussian_taps(size, sigma)]
+    return axis, [(i - size // 2, t) for i, t in enumerate(taps)], "CAST(least(255, (@ + 16384) // 32768) AS INT)"
+
+
+_add("box_blur", lambda spark, d: _out(window.box_pass(window.box_pass(events_raster(spark, d), "x", 2), "y", 2)), _chain([_box("x", 2), _box("y", 2)]))
+_add("fast_blur", lambda spark, d: _out(window.fast_blur(events_raster(spark, d), 1.5)), _chain([_box(a, r) for r in window.box_radii(1.5) for a in "xy"]))
+_add("gaussian_blur", lambda spark, d: _out(window.gaussian_blur(events_raster(spark, d), 1.2)), _chain([_gauss("x", 1.2), _gauss("y", 1.2)]))
+_add(
+    "unsharpen",
+    lambda spark, d: _out(window.unsharpen(events_raster(spark, d), 1.2, 5)),
+    f"WITH s AS ({_chain([_gauss('x', 1.2), _gauss('y', 1.2)])}), {R1} SELECT p.x, p.y, " + ", ".join(f"CASE WHEN abs(p.{c} - s.c{i}) > 5 THEN greatest(0, least(255, 2 * p.{c} - s.c{i})) ELSE p.{c} END AS c{i}" for i, c in enumerate("rgb")) + " FROM r1 p JOIN s ON p.x = s.x AND p.y = s.y",
+)
+_add("dither", lambda spark, d: _out(window.dither_bilevel(point.grayscale(events_raster(spark, d)))))
+
+# --- formats and limits
+_add("formats", lambda spark, d: formats.formats(spark).select("format", "mime", F.array_join("extensions", ",").alias("extensions"), "can_read", "can_write"))
+_add(
+    "format_from_path",
+    lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", formats.from_path(F.concat(F.regexp_extract("url", "([^/]*)/?$", 1), F.element_at(F.array(*map(F.lit, (".png", ".JPG", ".webp", ".txt", ""))), (F.col("page_id") % 5 + 1).cast("int")))).alias("format")),
+    "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'webp' END AS format FROM pages",
+)
+_add(
+    "limits",
+    lambda spark, d: embeddings_raster(spark, d).pixels.select("image_id", "w", "h").distinct().select("image_id", formats.within_limits(F.col("w") * F.col("image_id").cast("int"), F.col("h"), F.lit(4), max_width=2000, max_alloc=100_000).alias("ok")),
+    "SELECT CAST(vec_id AS VARCHAR) AS image_id, (8 * vec_id <= 2000 AND 8 * vec_id * 8 * 4 <= 100000) AS ok FROM embeddings",
+)

@@ -6,10 +6,11 @@ Two documents link when the Jaccard similarity of their distinct 5-word shingles
   size; any order gives right results, this one keeps lists short), and only the prefix of a set that
   every partner must meet is indexed.  Inverted lists are kept by position in blocks, and a block is
   skipped when the sizes and positions in it rule out enough overlap.
-* Answer-level skipping.  Sets of equal shingles form one node.  Nodes that share a min-hash signature
-  with many others are compared with a few leaders; a highly similar one (a member) is not indexed at
-  all.  Its answers follow from its leader's: the leader searches with a slack that covers its members'
-  differences, and only where the leader's overlap is too close to call are members looked at.
+* Answer-level skipping.  Sets of equal shingles form one node.  Nodes that share a min-hash with many
+  others are first compared with a few leaders, those made of the family's commonest shingles; the
+  links found there join highly similar sets into parts.  What one set of a part finds holds for the
+  part, so pairs inside a part are never formed: lists carry the part of each entry, blocks of one
+  part are skipped against each other, and only pairs across parts are checked.
 
 All steps are Spark shuffles of packed blocks.  Copies are never expanded into pairs, and no list, group or
 component is gathered on the driver; tables are broadcast only when counted small, else joined.
@@ -36,13 +37,10 @@ from pixelry.llm.textbuf import SpanHasher, binary_array, buffers, mix, saved, s
 SHINGLE = 5
 #: Least similarity, as NUMERATOR / DENOMINATOR: overlap * (N + D) >= N * (size + size).
 NUMERATOR, DENOMINATOR = 3, 4
-ALPHA = NUMERATOR / (NUMERATOR + DENOMINATOR)
 #: Slots of the frequency sketch (bytes to broadcast).
 SKETCH_BITS = 22
-#: Nodes that share a signature from which on leaders are sought; nodes compared in one run; leaders of a run.
-FAMILY, RUN, LEADERS = 8, 4096, 6
-#: Greatest slack of a member, as a share of its leader's size.
-SLACK = 0.06
+#: Nodes that share a min-hash from which on leaders are sought; nodes compared in one run; leaders of a run; min-hashes.
+FAMILY, RUN, LEADERS, MIN_HASHES = 8, 4096, 6, 3
 #: Rows up to which a table of node keys is broadcast (under 100 bytes a row).
 BROADCAST_ROWS = 400_000
 BLOCK = 32
@@ -92,8 +90,8 @@ def _node(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return mix(_reduce(np.add, mix(h ^ _SALTS[0]), offs) * np.uint64(0x9E3779B97F4A7C15) + _reduce(np.bitwise_xor, mix(h ^ _SALTS[1]), offs) + size)
 
 
-def _signature(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    return mix(_reduce(np.minimum, mix(h ^ _SALTS[2]), offs) + mix(_reduce(np.minimum, mix(h ^ _SALTS[1]), offs)))
+def _signatures(h: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+    return [_reduce(np.minimum, mix(h ^ salt), offs) for salt in _SALTS[:MIN_HASHES]]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -101,14 +99,14 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _info(docs: DataFrame, sketch_bits: int) -> DataFrame:
-    """Rows of kind 0: doc_id, node, n, sig of each document; of kind 1: a task's part of the sketch."""
+    """Rows of kind 0: doc_id, node, n, sigs of each document; of kind 1: a task's part of the sketch."""
     chunk = 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         counts, seen = np.zeros(1 << sketch_bits, np.uint32), set()
-        names = ["kind", "doc_id", "node", "n", "sig", "blob"]
+        names = ["kind", "doc_id", "node", "n", *(f"sig{i}" for i in range(MIN_HASHES)), "blob"]
         for batch in batches:
             for part in slices(batch, "text"):
                 h, offs = shingle_sets(*buffers(part.column(1)))
@@ -118,14 +116,14 @@ def _info(docs: DataFrame, sketch_bits: int) -> DataFrame:
                 if len(seen) > 1_000_000:
                     seen.clear()
                 counts += np.bincount((h[np.repeat(fresh, np.diff(offs))] >> np.uint64(64 - sketch_bits)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), part.column(0), _signed(node), pa.array(np.diff(offs)), _signed(_signature(h, offs)), pa.nulls(k, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), part.column(0), _signed(node), pa.array(np.diff(offs)), *map(_signed, _signatures(h, offs)), pa.nulls(k, pa.binary())], names=names)
         squeeze = zstandard.ZstdCompressor(level=1).compress
         rows = [(i, squeeze(counts[i * chunk : (i + 1) * chunk].tobytes())) for i in range(-(-len(counts) // chunk))] if counts.any() else []
         if rows:
             k = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array([i for i, _ in rows], pa.int64()), pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k, np.int64)), pa.array([b for _, b in rows], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array([i for i, _ in rows], pa.int64()), *[pa.array(np.zeros(k, np.int64))] * (1 + MIN_HASHES), pa.array([b for _, b in rows], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "kind int, doc_id long, node long, n long, sig long, blob binary")
+    return docs.mapInArrow(run, "kind int, doc_id long, node long, n long, " + "".join(f"sig{i} long, " for i in range(MIN_HASHES)) + "blob binary")
 
 
 def _sketch(info: DataFrame, sketch_bits: int) -> np.ndarray:
@@ -151,7 +149,7 @@ def _sketch(info: DataFrame, sketch_bits: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """node, n, sig and set (its sorted hashes as bytes), once for each node in a task."""
+    """node, n, sigs and set (its sorted hashes as bytes), once for each node in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -169,9 +167,9 @@ def _sets(docs: DataFrame) -> DataFrame:
                 size = np.diff(offs)
                 at = np.zeros(keep.sum() + 1, np.int64)
                 np.cumsum(8 * size[keep], out=at[1:])
-                yield pa.RecordBatch.from_arrays([_signed(node[keep]), pa.array(size[keep]), _signed(_signature(h, offs)[keep]), binary_array(h[np.repeat(keep, size)].view(np.uint8), at)], names=["node", "n", "sig", "set"])
+                yield pa.RecordBatch.from_arrays([_signed(node[keep]), pa.array(size[keep]), pa.array(np.stack([x[keep].view(np.int64) for x in _signatures(h, offs)], 1).tolist(), pa.list_(pa.int64())), binary_array(h[np.repeat(keep, size)].view(np.uint8), at)], names=["node", "n", "sigs", "set"])
 
-    return docs.select("text").mapInArrow(run, "node long, n long, sig long, set binary")
+    return docs.select("text").mapInArrow(run, "node long, n long, sigs array<long>, set binary")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -194,15 +192,29 @@ def similar(o, n, m):
     return (NUMERATOR + DENOMINATOR) * o >= NUMERATOR * (n + m)
 
 
-def _attach(docs: DataFrame, info: DataFrame) -> DataFrame:
-    """node, leader, missing (of the leader's shingles) and extra for members of large families."""
-    distinct = info.where("n > 0").select("node", "sig").distinct()
-    hot = distinct.groupBy("sig").count().where(F.col("count") >= FAMILY).select("sig", F.expr(f"cast(ceil(count / {RUN}.0) as int)").alias("runs"))
+def _attach(docs: DataFrame, info: DataFrame, sketch) -> DataFrame:
+    """node and leader: links that nodes of large families have with the leaders of their family."""
+    distinct = info.where("n > 0").select("node", *(f"sig{i}" for i in range(MIN_HASHES))).distinct()
+    sigs = distinct.select("node", F.explode(F.array(*(F.col(f"sig{i}") for i in range(MIN_HASHES)))).alias("sig"))
+    hot = saved(sigs.groupBy("sig").count().where(F.col("count") >= FAMILY).select("sig", F.expr(f"cast(ceil(count / {RUN}.0) as int)").alias("runs")), "families")
+    if not hot.take(1):
+        return docs.sparkSession.createDataFrame([], "node long, leader long")
+
+    def commonness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = sketch.value
+        bits = np.uint64(64 - (len(level).bit_length() - 1))
+        for batch in batches:
+            raw, at = buffers(batch.column(2))
+            known = level[(np.frombuffer(raw.tobytes(), np.uint64) >> bits).astype(np.int64)]
+            sums = np.zeros(len(known) + 1, np.int64)
+            np.cumsum(known, out=sums[1:])
+            rare = 1 - (sums[at[1:] // 8] - sums[at[:-1] // 8]) / (256 * np.maximum(np.diff(at) // 8, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rare)], names=["sig", "node", "set", "runs", "rare"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leaders, last = None, [], None
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
+            out: list[tuple[int, int]] = []
             for sig, salt, node, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if (sig, salt) != group:
                     group, leaders, last = (sig, salt), [], None
@@ -210,49 +222,42 @@ def _attach(docs: DataFrame, info: DataFrame) -> DataFrame:
                     continue
                 last, own = node, np.frombuffer(raw, np.uint64)
                 for leader, other in leaders:
-                    o = overlap(own, other)
-                    missing, extra = len(other) - o, len(own) - o
-                    if similar(o, len(own), len(other)) and ALPHA * missing + (1 - ALPHA) * extra <= SLACK * len(other):
-                        out.append((node, leader, missing, extra))
+                    if similar(overlap(own, other), len(own), len(other)):
+                        out.append((node, leader))
                         break
                 else:
                     if len(leaders) < LEADERS:
                         leaders.append((node, own))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["node", "leader", "missing", "extra"])
-
-    if not hot.take(1):
-        return docs.sparkSession.createDataFrame([], "node long, leader long, missing long, extra long")
-    rows = _sets(docs).join(small(saved(hot, "families")), "sig").withColumn("salt", F.expr("pmod(xxhash64(node), runs)"))
-    return rows.select("sig", "salt", "node", "set").repartition("sig", "salt").sortWithinPartitions("sig", "salt", "node").mapInArrow(run, "node long, leader long, missing long, extra long")
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["node", "leader"])
 
+    rows = _sets(docs).select(F.explode("sigs").alias("sig"), "node", "set").join(small(hot), "sig").select("sig", "node", "set", "runs")
+    rows = rows.mapInArrow(commonness, "sig long, node long, set binary, runs int, rare double").withColumn("salt", F.expr("pmod(xxhash64(node), runs)"))
+    dealt = rows.select("sig", "salt", "node", "set", "rare").repartition("sig", "salt").sortWithinPartitions("sig", "salt", "rare", "node")
+    return dealt.mapInArrow(run, "node long, leader long").distinct()
 
-def prefix_length(n: np.ndarray, slack: np.ndarray, partner: float) -> np.ndarray:
-    """Elements of a set of size n to index, so that any partner with enough overlap meets one.
 
-    partner: the partner's greatest slack as a share of its size.
-    """
-    least = (ALPHA * n - slack) / (1 - ALPHA + partner)
-    need = ALPHA * n - slack + (ALPHA - partner) * np.maximum(least, 0)
-    return np.clip(n - np.ceil(need - 1e-6).astype(np.int64) + 1, 1, n)
+def prefix_length(n: np.ndarray) -> np.ndarray:
+    """Elements of a set of size n to index, so that every partner with enough overlap meets one."""
+    return n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
 
 
-def _entries(sets: DataFrame, sketch, buckets: int, partner: float) -> DataFrame:
-    """Index entries in packed blocks: bucket; node, size and slack of the sets; hash, set number and position."""
+def _entries(sets: DataFrame, sketch, buckets: int) -> DataFrame:
+    """Index entries in packed blocks: bucket; node, part and size of the sets; hash, set number and position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = sketch.value
         bits = np.uint64(64 - (len(level).bit_length() - 1))
         for batch in batches:
-            for part in slices(batch, "set", 16 << 20):
+            for part in slices(batch, "set", 8 << 20):
                 raw, at = buffers(part.column(2))
                 h, offs = np.frombuffer(raw.tobytes(), np.uint64), at // 8
-                node, slack = part.column(0).to_numpy(), part.column(1).to_numpy()
+                node, group = part.column(0).to_numpy(), part.column(1).to_numpy()
                 n = np.diff(offs)
                 owner = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((h, level[(h >> bits).astype(np.int64)], owner))
                 position = np.arange(len(h)) - np.repeat(offs[:-1], n)
-                take = position < np.repeat(prefix_length(n, slack, partner), n)
+                take = position < np.repeat(prefix_length(n), n)
                 h, owner, position = h[order][take], owner[take], position[take]
                 bucket = (h % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((h, bucket))
@@ -260,33 +265,33 @@ def _entries(sets: DataFrame, sketch, buckets: int, partner: float) -> DataFrame
                 edges = np.flatnonzero(np.diff(bucket, prepend=-1))
                 for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True):
                     own, short = np.unique(owner[a:b], return_inverse=True)
-                    blobs = [node[own], n[own].astype(np.int32), slack[own].astype(np.float32), h[a:b], short.astype(np.int32 if len(own) > 65535 else np.uint16), position[a:b].astype(np.int32 if n.max() > 65535 else np.uint16)]
+                    blobs = [node[own], group[own], n[own].astype(np.int32), h[a:b], short.astype(np.int32 if len(own) > 65535 else np.uint16), position[a:b].astype(np.int32 if n.max() > 65535 else np.uint16)]
                     yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int64()), pa.array([len(own)], pa.int32()), pa.array([b - a], pa.int32()), pa.array([b"".join(x.tobytes() for x in blobs)], pa.binary())], names=["bucket", "sets", "entries", "blob"])
 
-    return sets.select("node", "slack", "set").mapInArrow(run, "bucket long, sets int, entries int, blob binary")
+    return sets.select("node", "part", "set").mapInArrow(run, "bucket long, sets int, entries int, blob binary")
 
 
 def _unpack(sets: int, entries: int, blob: bytes) -> tuple[np.ndarray, ...]:
-    node, n, slack = np.frombuffer(blob, np.int64, sets), np.frombuffer(blob, np.int32, sets, 8 * sets), np.frombuffer(blob, np.float32, sets, 12 * sets)
-    at = 16 * sets
+    node, group, n = np.frombuffer(blob, np.int64, sets), np.frombuffer(blob, np.int64, sets, 8 * sets), np.frombuffer(blob, np.int32, sets, 16 * sets)
+    at = 20 * sets
     h = np.frombuffer(blob, np.uint64, entries, at)
     at += 8 * entries
     kind = np.int32 if sets > 65535 else np.uint16
     own = np.frombuffer(blob, kind, entries, at).astype(np.int64)
     at += entries * kind().itemsize
     position = np.frombuffer(blob, np.int32 if (len(blob) - at) // max(entries, 1) == 4 else np.uint16, entries, at).astype(np.int64)
-    return node[own], n[own].astype(np.int64), slack[own].astype(np.float64), h, position
+    return node[own], group[own], n[own].astype(np.int64), h, position
 
 
-def list_pairs(node: np.ndarray, n: np.ndarray, slack: np.ndarray, h: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entry pairs (i, j) that share a hash and may reach the needed overlap; entries are sorted by hash and position.
+def list_pairs(node: np.ndarray, group: np.ndarray, n: np.ndarray, h: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entry pairs (i, j) of different parts that share a hash and may reach the needed overlap.
 
-    A block of a list is skipped as a whole when no entry of it can fit the entry at hand.
+    Entries are sorted by hash, part and position.  A block of a list is skipped as a whole when no
+    entry of it can fit, or when it is of the same part.
     """
 
     def fits(i, j):
-        need = ALPHA * (n[i] + n[j]) - slack[i] - slack[j] - 1e-6
-        return (np.minimum(n[i] - position[i], n[j] - position[j]) >= need) & (node[i] != node[j])
+        return ((NUMERATOR + DENOMINATOR) * np.minimum(n[i] - position[i], n[j] - position[j]) >= NUMERATOR * (n[i] + n[j])) & (group[i] != group[j])
 
     edges = np.flatnonzero(np.diff(h, prepend=h[:1] ^ np.uint64(1)) != 0)
     size = np.diff(np.append(edges, len(h)))
@@ -299,15 +304,18 @@ def list_pairs(node: np.ndarray, n: np.ndarray, slack: np.ndarray, h: np.ndarray
         ok = fits(i, i + k)
         found.append((i[ok], i[ok] + k))
     for a, m in zip(edges[size > 2 * BLOCK].tolist(), size[size > 2 * BLOCK].tolist(), strict=True):
+        if group[a] == group[a + m - 1]:
+            continue
         starts = np.arange(a, a + m, BLOCK)
+        stops = np.minimum(starts + BLOCK, a + m)
         least, most = np.minimum.reduceat(n[: a + m], starts), np.maximum.reduceat(n[: a + m], starts)
-        rest, free = np.maximum.reduceat((n - position)[: a + m], starts), np.maximum.reduceat(slack[: a + m], starts)
+        rest = np.maximum.reduceat((n - position)[: a + m], starts)
         for s, block in enumerate(starts.tolist()):
-            i = np.arange(block, min(block + BLOCK, a + m))
-            need = ALPHA * (least[s] + least[s:]) - free[s] - free[s:] - 1e-6
             reach = np.minimum(np.minimum(rest[s], rest[s:]), np.minimum(most[s], most[s:]))
-            for t in (s + np.flatnonzero(reach >= need)).tolist():
-                j = np.arange(starts[t], min(starts[t] + BLOCK, a + m))
+            can = ((NUMERATOR + DENOMINATOR) * reach >= NUMERATOR * (least[s] + least[s:])) & (group[block] != group[stops[s:] - 1])
+            i = np.arange(block, stops[s])
+            for t in (s + np.flatnonzero(can)).tolist():
+                j = np.arange(starts[t], stops[t])
                 x, y = np.repeat(i, len(j)), np.tile(j, len(i))
                 ok = (x < y) & fits(x, y)
                 found.append((x[ok], y[ok]))
@@ -320,18 +328,18 @@ def _candidates(entries: DataFrame, tasks: int) -> DataFrame:
     """a, b (a < b): distinct node pairs that share an indexed shingle and pass the filters."""
 
     def pairs(blocks: list[tuple[int, int, bytes]]) -> pa.RecordBatch | None:
-        node, n, slack, h, position = (np.concatenate(c) for c in zip(*(_unpack(*x) for x in blocks), strict=True))
+        node, group, n, h, position = (np.concatenate(c) for c in zip(*(_unpack(*x) for x in blocks), strict=True))
         order = np.argsort(h, kind="stable")
         new = np.diff(h[order], prepend=h[order][:1] ^ np.uint64(1)) != 0
         alone = new & np.append(new[1:], True)  # a shingle that only one entry has
         order = order[~alone]
-        node, n, slack, h, position = node[order], n[order], slack[order], h[order], position[order]
-        order = np.lexsort((node, position, h))
-        node, n, slack, h, position = node[order], n[order], slack[order], h[order], position[order]
+        node, group, n, h, position = node[order], group[order], n[order], h[order], position[order]
+        order = np.lexsort((node, position, group, h))
+        node, group, n, h, position = node[order], group[order], n[order], h[order], position[order]
         keep = np.ones(len(h), bool)  # a node may come from several tasks
         keep[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-        node, n, slack, h, position = node[keep], n[keep], slack[keep], h[keep], position[keep]
-        i, j = list_pairs(node, n, slack, h, position)
+        node, group, n, h, position = node[keep], group[keep], n[keep], h[keep], position[keep]
+        i, j = list_pairs(node, group, n, h, position)
         if not len(i):
             return None
         both = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
@@ -367,8 +375,7 @@ def _overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (o, n, m))], names=["a", "b", "o", "n_a", "n_b"])
 
     nodes = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
-    sets = _sets(docs).select("node", "set").join(small(nodes), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
-    sets = saved(sets, "sets")
+    sets = _sets(docs).select("node", "set").join(small(nodes), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))  # one exchange serves both joins
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, o long, n_a long, n_b long")
 
@@ -378,47 +385,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = saved(_info(docs, sketch_bits), "sets-info")
-    info = found.where("kind = 0").select("doc_id", "node", "n", "sig")
+    info = found.where("kind = 0").drop("kind", "blob")
     sketch = spark.sparkContext.broadcast(_sketch(found, sketch_bits))
-    attached = saved(_attach(docs, info), "members")
-    slack = attached.groupBy("leader").agg(F.max(F.lit(ALPHA) * F.col("missing") + F.lit(1 - ALPHA) * F.col("extra")).alias("slack"))
-    slack = saved(slack.select(F.col("leader").alias("node"), "slack"), "slack")
-    members = attached.select("node")
+    attached = saved(_attach(docs, info, sketch), "members")
+    parts = saved(connected_components(attached, "node", "leader").select("node", F.col("component").alias("part")), "parts")
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     total = info.agg(F.sum("n")).collect()[0][0] or 0
     buckets = max(tasks, math.ceil(total / 2_000_000))
-    partner = SLACK if slack.take(1) else 0.0
-    indexed = _sets(docs).join(small(members), "node", "left_anti").join(small(slack), "node", "left").fillna(0.0, ["slack"])
-    pairs = saved(_candidates(_entries(indexed, sketch, buckets, partner), tasks), "pairs")
-    checked = saved(_overlaps(pairs, docs), "overlaps")
-    enough = f"{NUMERATOR + DENOMINATOR} * o >= {NUMERATOR} * (n_a + n_b)"
-    edges = checked.where(enough).select("a", "b").unionByName(attached.select(F.col("node").alias("a"), F.col("leader").alias("b")))
-    if partner:
-        edges = edges.unionByName(_members_links(docs, checked.where(f"not ({enough})"), slack, attached))
-    components = connected_components(edges)
+    indexed = _sets(docs).join(small(parts), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    pairs = saved(_candidates(_entries(indexed, sketch, buckets), tasks), "pairs")
+    edges = _overlaps(pairs, docs).where(f"{NUMERATOR + DENOMINATOR} * o >= {NUMERATOR} * (n_a + n_b)").select("a", "b")
+    components = connected_components(edges.unionByName(parts.select(F.col("node").alias("a"), F.col("part").alias("b"))))
     classes = info.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     classes = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = classes.join(least, "component").select("node", "component_id", "n_copies")
     out = info.where("n > 0").join(classes, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies")
     return out.unionByName(info.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies")))
-
-
-def _members_links(docs: DataFrame, short: DataFrame, slack: DataFrame, attached: DataFrame) -> DataFrame:
-    """Links of members whose leaders fall short of the threshold by no more than their slack."""
-    s = lambda side: slack.select(F.col("node").alias(side), F.col("slack").alias(f"s_{side}"))
-    close = short.join(s("a"), "a", "left").join(s("b"), "b", "left").fillna(0.0, ["s_a", "s_b"])
-    close = saved(close.where(F.col("o") + F.col("s_a") + F.col("s_b") + 1e-6 >= ALPHA * (F.col("n_a") + F.col("n_b"))).select("a", "b", "o", "n_a", "n_b"), "close")
-    if not close.take(1):
-        return close.select("a", "b")
-    of = attached.select("leader", "node", "missing", "extra")
-    own = attached.select("leader").distinct().select("leader", F.col("leader").alias("node"), F.lit(0).cast("long").alias("missing"), F.lit(0).cast("long").alias("extra"))
-    known = of.unionByName(own)
-    for side in ("a", "b"):
-        k = known.select(F.col("leader").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("node", "missing", "extra")))
-        close = close.join(k, side, "left").fillna(0, [f"missing_{side}", f"extra_{side}"]).withColumn(f"node_{side}", F.coalesce(f"node_{side}", side))
-    grown = F.col("n_a") - F.col("missing_a") + F.col("extra_a") + F.col("n_b") - F.col("missing_b") + F.col("extra_b")
-    reach = F.col("o") + F.col("extra_a") + F.col("extra_b")
-    pairs = close.where((NUMERATOR + DENOMINATOR) * reach >= NUMERATOR * grown).where("node_a <> a or node_b <> b")
-    pairs = saved(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "member-pairs")
-    return _overlaps(pairs, docs).where(f"{NUMERATOR + DENOMINATOR} * o >= {NUMERATOR} * (n_a + n_b)").select("a", "b")

@@ -165,8 +165,8 @@ class Table:
 
 
 class Scorer:
-    def __init__(self, rows: dict[str, dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]]):
-        self.tables = {x: {k: Table(*v) for k, v in t.items()} for x, t in rows.items()}
+    def __init__(self, rows: dict[str, dict[tuple[int, str], tuple[bytes, bytes]]]):
+        self.tables = {x: {k: Table(np.frombuffer(keys, np.uint64), np.frombuffer(values, np.float32)) for k, (keys, values) in t.items()} for x, t in rows.items()}
 
     def log2(self, lang: str, keys: np.ndarray) -> np.ndarray:
         """log2 probability of the last byte of each ORDER-gram, backing off along known contexts."""
@@ -188,18 +188,21 @@ class Scorer:
         return out
 
 
-def _score_by_broadcast(docs: DataFrame, table: DataFrame, lang: str, text: str) -> DataFrame:
-    arrow = table.select("lang", "length", "kind", "key", "value").toArrow()
-    rows: dict[str, dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]] = {}
-    if arrow.num_rows:
-        order = arrow.sort_by([("lang", "ascending"), ("length", "ascending"), ("kind", "ascending")])
-        langs, lengths, kinds = (order.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "length", "kind"))
-        edges = np.flatnonzero(np.append(True, (langs[1:] != langs[:-1]) | (lengths[1:] != lengths[:-1]) | (kinds[1:] != kinds[:-1])))
-        keys, values = order.column("key").to_numpy().view(np.uint64), order.column("value").to_numpy()
-        for a, b in zip(edges, [*edges[1:], len(langs)], strict=True):
-            rows.setdefault(langs[a], {})[int(lengths[a]), kinds[a]] = keys[a:b], values[a:b]
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+def _packed(table: DataFrame):
+    """The model as a broadcast variable: for each language, length and kind one sorted array of keys and one of values."""
 
+    def pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.select(["key", "value"]).sort_by("key")
+        blobs = [rows.column(c).to_numpy().tobytes() for c in ("key", "value")]
+        return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int32()), pa.array([key[2].as_py()], pa.string()), *(pa.array([x], pa.binary()) for x in blobs)], names=["lang", "length", "kind", "keys", "values"])
+
+    out: dict[str, dict[tuple[int, str], tuple[bytes, bytes]]] = {}
+    for r in table.groupBy("lang", "length", "kind").applyInArrow(pack, "lang string, length int, kind string, keys binary, values binary").toLocalIterator():
+        out.setdefault(r.lang, {})[r.length, r.kind] = bytes(r["keys"]), bytes(r["values"])
+    return table.sparkSession.sparkContext.broadcast(out)
+
+
+def _score_by_broadcast(docs: DataFrame, shared, lang: str, text: str) -> DataFrame:
     def make():
         scorer = _scorer(shared)
 
@@ -271,10 +274,12 @@ def _score_by_join(docs: DataFrame, table: DataFrame, lang: str, text: str) -> D
 
 def score(docs: DataFrame, table: DataFrame, lang: str = "lang", text: str = "text", most: int = BROADCAST_NGRAMS) -> DataFrame:
     """docs with bits (negative log2 likelihood; null without a model) and n_bytes."""
+    return _score(docs, table, _packed(table) if table.limit(most + 1).count() <= most else None, lang, text)
+
+
+def _score(docs: DataFrame, table: DataFrame, packed, lang: str, text: str) -> DataFrame:
     held = docs.withColumn(text, F.col(text).cast("string"))
-    if table.limit(most + 1).count() <= most:
-        return _score_by_broadcast(held, table, lang, text)
-    return _score_by_join(held, table, lang, text)
+    return _score_by_join(held, table, lang, text) if packed is None else _score_by_broadcast(held, packed, lang, text)
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = BROADCAST_NGRAMS) -> DataFrame:
@@ -287,13 +292,14 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     trusted = docs.select(doc_id, text, lang).join(good, doc_id, "left_semi")
     held_out = F.expr(f"pmod(xxhash64({doc_id}), {HOLD_OUT}) = 0")
     table = saved(model(saved(count_ngrams(trusted.where(~held_out), lang, text), "counts")), "model")
+    packed = _packed(table) if table.limit(most + 1).count() <= most else None
     own = F.coalesce(F.col(lang).cast("string"), F.lit(""))
-    known = score(trusted.where(held_out), table, lang, text, most).select(own.alias("model_lang"), "bits", "n_bytes").where("bits is not null and n_bytes > 0")
+    known = _score(trusted.where(held_out), table, packed, lang, text).select(own.alias("model_lang"), "bits", "n_bytes").where("bits is not null and n_bytes > 0")
     known = saved(known, "held-out")
     mean = known.groupBy("model_lang").agg((F.sum("bits") / F.sum("n_bytes")).alias("mean_bits"))
     shrunk = lambda: F.pow(F.lit(2.0), (F.col("bits") + PRIOR_BYTES * F.col("mean_bits")) / (F.col("n_bytes") + PRIOR_BYTES))
     limits = known.join(mean, "model_lang").groupBy("model_lang").agg((F.percentile_approx(shrunk(), QUANTILE, 100_000) * MARGIN).alias("threshold"))
     limits = F.broadcast(saved(mean.join(limits, "model_lang"), "limits"))  # one row for each language
-    scored = score(docs, table, lang, text, most).join(limits, own == F.col("model_lang"), "left")
+    scored = _score(docs, table, packed, lang, text).join(limits, own == F.col("model_lang"), "left")
     scored = scored.withColumn("perplexity", shrunk()).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
     return scored.drop("bits", "n_bytes", "model_lang", "mean_bits")

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 _POWER = np.uint64(0x9E3779B97F4A7C13)  # odd, 3 modulo 4
 _INVERSE = np.uint64(pow(int(_POWER), -1, 1 << 64))
