@@ -137,18 +137,37 @@ def align(template: np.ndarray, words: np.ndarray, shift: int) -> tuple[int, int
     return best[1], best[2], best[3]
 
 
+def _without_echoes(runs: list[list[int]], template: np.ndarray, hit_at: np.ndarray, place: np.ndarray, sizes: list[int]) -> list[list[int]]:
+    """Runs by template and place, without those that lie where a longer run puts its template: they come from grams that it repeats."""
+    runs = sorted(runs, key=lambda r: (template[r[0]], hit_at[r[0]], -len(r)))
+    same = lambda r, q: template[r[0]] == template[q[0]]
+    inside = lambda r, q: len(r) < len(q) and hit_at[q[0]] - place[q[0]] <= hit_at[r[0]] and hit_at[r[-1]] < hit_at[q[-1]] - place[q[-1]] + sizes[template[q[0]]]
+    out: list[list[int]] = []
+    for r in runs:
+        while out and same(r, out[-1]) and inside(out[-1], r):
+            out.pop()
+        if not (out and same(r, out[-1]) and inside(r, out[-1])):
+            out.append(r)
+    return out
+
+
 def matches(index: Index, words: np.ndarray, hit_at: np.ndarray, posting: np.ndarray) -> list[tuple[int, int, int, int]]:
     """template, matched words, first and last word of the matches in one document."""
     found = []
     diagonal, template, place = hit_at - index.place[posting], index.template[posting], index.place[posting]
     order = np.lexsort((place, hit_at, template))
     runs: list[list[int]] = []  # hits of one template that go on along nearly one diagonal
+    live: list[list[int]] = []  # runs of the template at hand that may go on
     for k in order.tolist():
-        last = runs[-1][-1] if runs else -1
-        if last >= 0 and template[k] == template[last] and place[k] > place[last] and hit_at[k] > hit_at[last] and abs(diagonal[k] - diagonal[last]) <= BAND:
-            runs[-1].append(k)
+        t = template[k]
+        live = [r for r in live if template[r[-1]] == t and hit_at[k] - hit_at[r[-1]] <= len(index.words[t]) + BAND]
+        near = [r for r in live if place[k] > place[r[-1]] and hit_at[k] > hit_at[r[-1]] and abs(diagonal[k] - diagonal[r[-1]]) <= BAND]
+        if near:
+            min(near, key=lambda r: abs(diagonal[k] - diagonal[r[-1]])).append(k)
         else:
             runs.append([k])
+            live.append(runs[-1])
+    runs = _without_echoes(runs, template, hit_at, place, [len(w) for w in index.words])
     for r, run in enumerate(runs):
         t, own = int(template[run[0]]), index.words[template[run[0]]]
         low = max(0, int(diagonal[run[0]]) - BAND)
