@@ -207,7 +207,7 @@ class Page:
         return np.array(own, np.int64), out
 
     def decode(self, own: np.ndarray, odds: np.ndarray) -> np.ndarray:
-        """Whether each element is kept: the best consistent choice."""
+        """Whether each element is kept: the best consistent choice that keeps the page's root."""
         n = len(self.parent)
         keep, drop = np.zeros(n), np.zeros(n)
         score = np.zeros(n)
@@ -221,8 +221,7 @@ class Page:
                 drop[p] += drop[i]
         kept = np.zeros(n, bool)
         for i in range(n):
-            above = kept[self.parent[i]] if i else True
-            kept[i] = above and (keep[i] >= drop[i] if self.scored[i] else True)
+            kept[i] = not i or (kept[self.parent[i]] and (not self.scored[i] or keep[i] >= drop[i]))
         return kept
 
     def text(self, kept: np.ndarray) -> str:
