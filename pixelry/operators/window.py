@@ -12,14 +12,21 @@ from pyspark.sql import functions as F
 from pixelry.functions import samples as S
 from pixelry.plans.raster import KEY, Raster
 
-_LINE = {"x": Window.partitionBy("image_id", "y").orderBy("x"), "y": Window.partitionBy("image_id", "x").orderBy("y")}
-_WHOLE = {a: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing) for a, w in _LINE.items()}
+
+def _line(axis: str):
+    """The pixels of a line along an axis, in order."""
+    across = "y" if axis == "x" else "x"
+    return Window.partitionBy("image_id", across).orderBy(axis)
+
+
+def _whole(axis: str):
+    return _line(axis).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def filter3x3(r: Raster, kernel: list[float]) -> Raster:
     """3 by 3 convolution over the kernel's sum (1 if that is 0), clamped and truncated; border pixels become zero."""
     total = sum(kernel) or 1.0
-    line, column = _LINE["x"], _LINE["y"]
+    line, column = _line("x"), _line("y")
     sides = r.pixels.select(*KEY, *(e.alias(f"{n}_{k}") for n in r.names for k, e in ((0, F.lag(n).over(line)), (1, F.col(n)), (2, F.lead(n).over(line)))))
     out = []
     for n in r.names:
@@ -41,13 +48,13 @@ def box_pass(r: Raster, axis: str, radius: int) -> Raster:
     """Mean of 2 radius + 1 pixels along one axis, edge pixels repeated; integers rounded half up."""
     if radius < 1:
         return r
-    size, span = "w" if axis == "x" else "h", _LINE[axis].rowsBetween(-radius, radius)
+    size, span = "w" if axis == "x" else "h", _line(axis).rowsBetween(-radius, radius)
     before = F.greatest(F.lit(0), radius - F.col(axis))
     after = F.greatest(F.lit(0), F.col(axis) + radius - F.col(size) + 1)
     n = 2 * radius + 1
     out = []
     for c, name in zip(r.channels, r.names, strict=True):
-        total = F.sum(c).over(span) + before * F.first(c).over(_WHOLE[axis]) + after * F.last(c).over(_WHOLE[axis])
+        total = F.sum(c).over(span) + before * F.first(c).over(_whole(axis)) + after * F.last(c).over(_whole(axis))
         out.append(((total / n).cast("float") if r.kind == "f32" else F.floor((total + n // 2) / n).cast("int")).alias(name))
     return Raster(r.pixels.select(*KEY, *out), r.layout, r.kind)
 
@@ -85,7 +92,7 @@ def sigma_of(size: float) -> float:
 
 
 def _convolve(r: Raster, axis: str, taps: list) -> Raster:
-    line, whole, middle = _LINE[axis], _WHOLE[axis], len(taps) // 2
+    line, whole, middle = _line(axis), _whole(axis), len(taps) // 2
 
     def at(c: Column, k: int) -> Column:
         if k == 0:
