@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 # Format, extensions, MIME types (the first is the one to write), readable here, writable here.
 FORMATS: list[tuple[str, str, str, bool, bool]] = [
     ("avif", "avif", "image/avif", False, False),
-    ("bmp", "bmp", "image/bmp image/x-ms-bmp", True, True),
+    ("bmp", "bmp", "image/bmp image/x-ms-bmp", False, False),
     ("farbfeld", "ff", "application/octet-stream", True, True),
     ("gif", "gif", "image/gif", False, False),
-    ("hdr", "hdr", "image/vnd.radiance", True, False),
+    ("hdr", "hdr", "image/vnd.radiance", False, False),
     ("ico", "ico", "image/x-icon image/vnd.microsoft.icon", False, False),
     ("jpeg", "jpg jpeg jfif", "image/jpeg", False, False),
     ("exr", "exr", "image/x-exr", False, False),
     ("png", "png apng", "image/png image/apng", True, True),
     ("pnm", "pbm pgm ppm pam pnm", "image/x-portable-anymap image/x-portable-bitmap image/x-portable-graymap image/x-portable-pixmap", True, True),
-    ("qoi", "qoi", "image/x-qoi image/qoi", True, True),
-    ("tga", "tga", "image/x-targa image/x-tga", True, True),
+    ("qoi", "qoi", "image/x-qoi image/qoi", False, False),
+    ("tga", "tga", "image/x-targa image/x-tga", False, False),
     ("tiff", "tif tiff", "image/tiff", False, False),
     ("webp", "webp", "image/webp", False, False),
 ]
