@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without their frequent lines."""
-    judged = quality_rules.apply_rules(docs).where("kept").withColumn("text", F.col("clean_text"))
+    """Documents that pass the rules, without the lines of more than MIN_DOCS documents of their source, however large it is."""
+    judged = quality_rules.apply_rules(docs, host_percent=0).where("kept").withColumn("text", F.col("clean_text"))
     return judged.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

@@ -4,7 +4,11 @@ A line, normalised to its words in lower case (A-Z) with single spaces, is hashe
 distinct documents that hold it are counted (copies of one text count once).  A line held by more than
 `max(min_docs, host_percent % of the host's distinct documents)` documents is removed, and a document
 that loses more than `depleted_percent` % of its words is rejected, as is one that fails the base
-rules: fewer than 50 words, or more than half of its words in repeated three-word windows.
+rules: fewer than 50 words, or more than half of its words in repeated three-word windows.  With a
+host_percent of 0 the limit is the count min_docs alone, whatever the size of the host.
+
+Up to BROADCAST_LINES removable lines of BROADCAST_HOSTS hosts are broadcast; more are joined with the
+lines of the documents, so a document meets those that it holds, never the list of its host.
 
 Defined cases: a null or empty text has zero counts and fails the base rules; rows without a host
 share one host; repeated rows are judged alike and count as one document; an empty table gives an empty result.  Result columns
@@ -17,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +29,7 @@ from pixelry.llm.textbuf import SpanHasher, binary_array, buffers, code_points,
 
 MIN_DOCS, HOST_PERCENT, DEPLETED_PERCENT = 10, 5, 50
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
-#: Hosts with removable lines up to which their lists are broadcast (a list is bounded by 20 times the lines of the host's mean document).
+#: Hosts with removable lines, and such lines (8 bytes each), up to which they are broadcast.
 BROADCAST_HOSTS = 20_000
 BROADCAST_LINES = 400_000
 
@@ -101,8 +105,12 @@ def base_counts(lines: Lines) -> dict[str, np.ndarray]:
     }
 
 
-def line_counts(docs: DataFrame, host: str, text: str) -> DataFrame:
-    """host, line, docs: distinct texts of a host that hold a line; and rows with line null: texts of the host."""
+def _host(host: str) -> Column:
+    return F.coalesce(F.col(host).cast("string"), F.lit(_NO_HOST))
+
+
+def held_lines(docs: DataFrame, host: str, text: str) -> DataFrame:
+    """host, line, digest: the distinct lines of each text; and a row with line null for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,8 +131,12 @@ def line_counts(docs: DataFrame, host: str, text: str) -> DataFrame:
                     names=["host", "line", "digest"],
                 )
 
-    rows = docs.select(F.coalesce(F.col(host).cast("string"), F.lit(_NO_HOST)).alias("host"), F.col(text).cast("string").alias("text")).mapInArrow(run, "host string, line long, digest long")
-    return rows.groupBy("host", "line").agg(F.countDistinct("digest").alias("docs"))
+    return docs.select(_host(host).alias("host"), F.col(text).cast("string").alias("text")).mapInArrow(run, "host string, line long, digest long")
+
+
+def line_counts(docs: DataFrame, host: str, text: str) -> DataFrame:
+    """host, line, docs: distinct texts of a host that hold a line; and rows with line null: texts of the host."""
+    return held_lines(docs, host, text).groupBy("host", "line").agg(F.countDistinct("digest").alias("docs"))
 
 
 def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = MIN_DOCS, host_percent: float = HOST_PERCENT) -> DataFrame:
@@ -139,15 +151,7 @@ def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", min_d
     """docs with the base counts, base_failed, n_removed_lines, n_removed_words, clean_text and kept."""
     often = saved(frequent_lines(docs, host, text, min_docs, host_percent), "frequent-lines")
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [np.sort(np.array(x.as_py(), np.int64).view(np.uint64)).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["removable_host", "removable"])
-
-    by_host = saved(often.groupBy("host").agg(F.collect_list("line").alias("lines")).mapInArrow(lists, "removable_host string, removable binary"), "removable")
-    size = often.limit(BROADCAST_LINES + 1).count()
-    if size <= BROADCAST_LINES and by_host.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        by_host = F.broadcast(by_host)
+    few = often.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES and often.select("host").distinct().limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     fields = [T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     fields += [T.StructField("base_failed", T.BooleanType()), T.StructField("n_removed_lines", T.LongType()), T.StructField("n_removed_words", T.LongType()), T.StructField("clean_text", T.StringType()), T.StructField("kept", T.BooleanType())]
 
@@ -159,17 +163,19 @@ def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", min_d
             counts = base_counts(lines)
             words = counts["n_words"]
             failed = (words < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * words)
-            listed = part.column(part.schema.get_field_index("removable")).to_pylist()
+            listed = part.column(part.schema.get_field_index("removable")).to_pylist()  # the host, or the row's own lines
+            if shared is not None:
+                listed = [x if x in shared.value else None for x in listed]
             gone = np.zeros(len(lines.begin), bool)
-            if any(listed):
-                known: dict[bytes, list[int]] = {}
-                for i, x in enumerate(listed):
-                    if x:
-                        known.setdefault(x, []).append(i)
+            known: dict[str | bytes, list[int]] = {}
+            for i, x in enumerate(listed):
+                if x is not None:
+                    known.setdefault(x, []).append(i)
+            if known:
                 hashes, full = lines.normal_hashes(), lines.words > 0
                 for x, rows in known.items():
                     own = full & np.isin(lines.owner, rows)
-                    gone[own] = np.isin(hashes[own], np.frombuffer(x, np.uint64))
+                    gone[own] = np.isin(hashes[own], np.frombuffer(x if shared is None else shared.value[x], np.uint64))
             removed_lines, removed_words = np.bincount(lines.owner[gone], minlength=lines.n), per_text(lines.words[gone], lines.owner[gone], lines.n)
             kept = ~failed & (100 * removed_words <= depleted_percent * words)
             clean = column
@@ -184,7 +190,43 @@ def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", min_d
 
         return judge
 
-    names = {f.name for f in fields} | {"removable", "removable_host"}
+    names = {f.name for f in fields} | {"removable", "removable_host", "removable_digest", "text_digest"}
     held = docs.select(*(F.col(c).cast("string").alias(c) if c == text else F.col(c) for c in docs.columns if c.lower() not in names or c in (text, host)))
-    joined = held.join(by_host, F.coalesce(F.col(host).cast("string"), F.lit(_NO_HOST)) == F.col("removable_host"), "left").drop("removable_host")
-    return with_columns(joined, text, fields, make).drop("removable")
+    if few:
+        shared = docs.sparkSession.sparkContext.broadcast(_by_host(often))
+        listed = held.withColumn("removable", _host(host))
+    else:
+        shared = None
+        listed = _with_own_lines(held, often, host, text)
+    return with_columns(listed, text, fields, make).drop("removable")
+
+
+def _by_host(often: DataFrame) -> dict[str, bytes]:
+    """The removable lines of each host, sorted 64-bit values."""
+    found: dict[str, list[int]] = {}
+    for r in often.toLocalIterator():
+        found.setdefault(r.host, []).append(r.line)
+    return {x: np.sort(np.array(v, np.int64).view(np.uint64)).tobytes() for x, v in found.items()}
+
+
+def _with_own_lines(docs: DataFrame, often: DataFrame, host: str, text: str) -> DataFrame:
+    """docs and removable: those lines of the row's text that its host removes, packed; null without any."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [np.array(x.as_py(), np.int64).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["removable_host", "removable_digest", "removable"])
+
+    def make():
+        def digest(part: pa.RecordBatch) -> list[pa.Array]:
+            buf, offs = buffers(part.column(part.schema.get_field_index(text)))
+            return [pa.array(SpanHasher(buf)(offs[:-1], offs[1:]).view(np.int64))]
+
+        return digest
+
+    # copies of a text share its digest and lines
+    lines = held_lines(docs, host, text).where("line is not null").join(often, ["host", "line"])
+    own = lines.groupBy("host", "digest").agg(F.collect_set("line").alias("lines")).mapInArrow(pack, "removable_host string, removable_digest long, removable binary")
+    keyed = with_columns(docs, text, [T.StructField("text_digest", T.LongType())], make)
+    same = (_host(host) == F.col("removable_host")) & (F.col("text_digest") == F.col("removable_digest"))
+    return keyed.join(own, same, "left").drop("removable_host", "removable_digest", "text_digest")

@@ -81,3 +81,37 @@ def test_empty_table(spark):
     out = Q.apply_rules(spark.createDataFrame([], SCHEMA))
     assert out.collect() == []
     assert {"doc_id", "text", "kept", "clean_text"} <= set(out.columns)
+
+
+def boilerplate(n: int) -> list[tuple]:
+    """A hot host of n documents: 12 share one line, and 12 more consist mostly of a line of theirs."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    rows = [[" ".join(rng.choice(words) for _ in range(60))] for _ in range(n)]
+    for i in range(12):
+        rows[i].append("All rights of this page are reserved")
+        rows[20 + i].append(" ".join(f"menu{k}" for k in range(80)))
+    return [(i, "\n".join(x), "en", "hot", 0) for i, x in enumerate(rows)]
+
+
+@pytest.mark.parametrize("hosts", [Q.BROADCAST_HOSTS, -1])
+def test_pipeline_limit_does_not_grow_with_the_host(spark, monkeypatch, hosts):
+    import corpus_pipeline
+
+    monkeypatch.setattr(Q, "BROADCAST_HOSTS", hosts)
+    rows = boilerplate(600)
+    left = {r.doc_id: r.text for r in corpus_pipeline.rules(spark, frame(spark, rows), "").collect()}
+    assert left.keys() == set(range(600)) - set(range(20, 32))
+    assert not any("reserved" in x for x in left.values())
+    assert found(Q.apply_rules(frame(spark, rows), host_percent=0)) == brute(rows, 10, 0, 50)
+
+
+def test_long_lists_never_ride_on_the_documents(spark, monkeypatch):
+    """Beyond BROADCAST_LINES a document meets its own removable lines only."""
+    monkeypatch.setattr(Q, "BROADCAST_LINES", 0)
+    rows = hosted(4) + boilerplate(300)
+    docs = frame(spark, rows)
+    assert found(Q.apply_rules(docs, host_percent=0)) == brute(rows, 10, 0, 50)
+    sizes = {r.doc_id: len(r.removable or b"") // 8 for r in Q._with_own_lines(docs, Q.frequent_lines(docs, host_percent=0), "source", "text").collect()}
+    assert max(sizes.values()) <= max(len(set(r[1].split("\n"))) for r in rows)
+    assert 0 in sizes.values()
