@@ -194,6 +194,31 @@ _add(
     f"SELECT pr.probe, {_each(_HALF.format('@'))} FROM pr LEFT JOIN s ON pr.probe = s.probe",
 )
 
+# --- the same on the whole events raster, with a probe for every event; tests hold them against brute force
+
+
+def _whole(query: Callable[[SparkSession, str, Raster, int], DataFrame]) -> Query:
+    """A query that is given the events raster and its height."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        r = events_raster(spark, d)
+        return query(spark, d, r, r.pixels.select("h").first().h)
+
+    return run
+
+
+def _all_probes(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select(F.lit("events").alias("image_id"), F.col("event_id").alias("probe"), ((F.col("event_id") * 37 % 1001) / 1000.0).alias("u"), ((F.col("event_id") * 91 % 1003) / 1000.0).alias("v"))
+
+
+for _f in ("triangle", "catmull_rom", "gaussian", "lanczos3"):
+    _add(f"resize_{_f}_whole", _whole(lambda spark, d, r, h, f=_f: _out(resample.resize_exact(r, (100, h), (40, max(1, h * 6 // 10)), f))))
+_add("enlarge_triangle_whole", _whole(lambda spark, d, r, h: _out(resample.resize_exact(r, (100, h), (150, h * 17 // 10), "triangle"))))
+_add("resize_nearest_whole", _whole(lambda spark, d, r, h: _out(resample.resize_exact(r, (100, h), (30, h * 25 // 10), "nearest"))))
+_add("sample_nearest_whole", _whole(lambda spark, d, r, h: resample.sample_nearest(_all_probes(spark, d), r, F.col("u"), F.col("v"), (100, h)).select("probe", *r.names)))
+_add("sample_bilinear_whole", _whole(lambda spark, d, r, h: resample.sample_bilinear(_all_probes(spark, d), r, "probe", F.col("u"), F.col("v"), (100, h)).select("probe", *r.names)))
+
 # --- neighbourhoods
 _SHARPEN = [0.0, -1.0, 0.0, -1.0, 5.0, -1.0, 0.0, -1.0, 0.0]
 _CROSS = [(1, 0), (-1, 0), (0, 1), (0, -1)]

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, exp, floor, pi, sin
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelry.functions import samples as S
 from pixelry.operators import geometry, point
 from pixelry.plans.raster import Raster
 
+_TAP = "o int, i int, weight double"
 FILTERS = ("nearest", "triangle", "catmull_rom", "gaussian", "lanczos3")
 
 
@@ -40,27 +43,47 @@ KERNELS = {
 }
 
 
-def weights(size: int, new_size: int, filter_name: str) -> list[tuple[int, int, float]]:
-    """(output place, input place, weight) triples of one axis; weights of an output place sum to 1."""
+#: Places of an axis (input and output) up to which its weights are made on the driver and broadcast.
+DRIVER_PLACES = 20_000
+
+
+def taps(o: int, size: int, new_size: int, filter_name: str) -> list[tuple[int, int, float]]:
+    """(output place, input place, weight) of one output place; the weights sum to 1."""
     kernel, support = KERNELS[filter_name]
     ratio = size / new_size
     spread = max(ratio, 1.0)
-    out = []
-    for o in range(new_size):
-        centre = (o + 0.5) * ratio
-        low = min(max(floor(centre - support * spread), 0), size - 1)
-        high = min(max(ceil(centre + support * spread), low + 1), size)
-        taps = [(i, kernel((i + 0.5 - centre) / spread)) for i in range(low, high)]
-        total = sum(w for _, w in taps)
-        out += [(o, i, w / total) for i, w in taps if w]
-    return out
+    centre = (o + 0.5) * ratio
+    low = min(max(floor(centre - support * spread), 0), size - 1)
+    high = min(max(ceil(centre + support * spread), low + 1), size)
+    found = [(i, kernel((i + 0.5 - centre) / spread)) for i in range(low, high)]
+    total = sum(w for _, w in found)
+    return [(o, i, w / total) for i, w in found if w]
+
+
+def weights(size: int, new_size: int, filter_name: str) -> list[tuple[int, int, float]]:
+    """The taps of one axis."""
+    return [t for o in range(new_size) for t in taps(o, size, new_size, filter_name)]
+
+
+def weight_table(spark: SparkSession, size: int, new_size: int, filter_name: str) -> DataFrame:
+    """o, i, weight of one axis: broadcast while the axis is short, made by tasks beyond."""
+    if size + new_size <= DRIVER_PLACES:
+        return F.broadcast(spark.createDataFrame(weights(size, new_size, filter_name), _TAP))  # a few rows for each output place of one axis
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for o in batch.column(0).to_pylist():
+                cols = zip(*taps(o, size, new_size, filter_name), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["o", "i", "weight"])
+
+    return spark.range(new_size).mapInArrow(run, _TAP)
 
 
 def _axis(pixels: DataFrame, names: list[str], axis: str, size: int, new_size: int, filter_name: str) -> DataFrame:
     """One pass: pixels meet the weights of their line, products are summed (map-side first)."""
-    table = pixels.sparkSession.createDataFrame(weights(size, new_size, filter_name), "o int, i int, weight double")
+    table = weight_table(pixels.sparkSession, size, new_size, filter_name)
     other = "y" if axis == "x" else "x"
-    joined = pixels.join(F.broadcast(table), F.col(axis) == F.col("i"))  # a few rows for each output place of one axis
+    joined = pixels.join(table, F.col(axis) == F.col("i"))
     sums = [F.sum(F.col(n) * F.col("weight")).alias(n) for n in names]
     return joined.groupBy("image_id", "w", "h", other, F.col("o").alias("to")).agg(*sums).withColumnRenamed("to", axis)
 
@@ -82,8 +105,9 @@ def _nearest(r: Raster, size: tuple[int, int], new_size: tuple[int, int]) -> Ras
     """Each output pixel is one input pixel: the inverse map as a generated list, without aggregation."""
     out = r
     for axis, n, m in (("y", size[1], new_size[1]), ("x", size[0], new_size[0])):
-        table = r.pixels.sparkSession.createDataFrame([(min(floor((o + 0.5) * n / m), n - 1), o) for o in range(m)], "i int, o int")
-        joined = out.pixels.join(F.broadcast(table), F.col(axis) == F.col("i"))
+        place = F.least(F.floor((F.col("id") + 0.5) * n / m), F.lit(n - 1)).cast("int")
+        table = r.pixels.sparkSession.range(m).select(place.alias("i"), F.col("id").cast("int").alias("o"))
+        joined = out.pixels.join(F.broadcast(table) if n + m <= DRIVER_PLACES else table, F.col(axis) == F.col("i"))
         out = Raster(joined, r.layout, r.kind).select(**{axis: F.col("o"), "w" if axis == "x" else "h": F.lit(m)})
     return out
 
