@@ -143,11 +143,15 @@ def has_constant_alpha(r: Raster) -> DataFrame:
 
 def thumbnail_exact(r: Raster, new_w: int, new_h: int) -> Raster:
     """Box means: integers rounded half up.  Where a window holds no whole pixel, its two neighbours are mixed."""
+    w, h = F.col("w"), F.col("h")
+    return Raster(_shrunk(r.where((w >= new_w) & (h >= new_h)), new_w, new_h).pixels.unionByName(_mixed(r.where((w < new_w) | (h < new_h)), new_w, new_h).pixels), r.layout, r.kind)
+
+
+def _shrunk(r: Raster, new_w: int, new_h: int) -> Raster:
     x, y, w, h = (F.col(c) for c in ("x", "y", "w", "h"))
-    shrinking = Raster(r.pixels.where((w >= new_w) & (h >= new_h)), r.layout, r.kind)
     # window o of an axis covers ceil(o * s / n) up to ceil((o + 1) * s / n)
     to_x, to_y = F.floor(x * new_w / w), F.floor(y * new_h / h)
-    grouped = shrinking.pixels.groupBy("image_id", "w", "h", to_x.cast("int").alias("x"), to_y.cast("int").alias("y"))
+    grouped = r.pixels.groupBy("image_id", "w", "h", to_x.cast("int").alias("x"), to_y.cast("int").alias("y"))
     if r.kind == "f32":
         means = [F.avg(c).cast("float").alias(n) for c, n in zip(r.channels, r.names, strict=True)]
     else:
@@ -157,6 +161,26 @@ def thumbnail_exact(r: Raster, new_w: int, new_h: int) -> Raster:
     return small.select(w=F.lit(new_w), h=F.lit(new_h))
 
 
+def _window_shares(at: str, s: str, n: int) -> Column:
+    """(o, share) of the windows of one axis that use the pixel: those with whole pixels share alike, others mix the two around their middle."""
+    low, high = f"(o * {s} + {n - 1}) div {n}", f"((o + 1) * {s} + {n - 1}) div {n}"
+    first = f"least({low}, {s} - 1L)"
+    last = f"greatest({first}, least({high}, {s}))"
+    middle = f"((o * {s}) % {n} + ((o + 1) * {s}) % {n}) / {2 * n}.0D"
+    share = f"case when {first} < {last} then if({at} >= {first} and {at} < {last}, 1.0D / ({last} - {first}), 0.0D) when {at} = {last} - 1 then 1 - {middle} when {at} = {last} then {middle} else 0.0D end"
+    near = f"sequence(greatest(0L, ({at} - 1) * {n} div {s} - 1), least({n - 1}L, ({at} + 1) * {n} div {s} + 1))"
+    return F.expr(f"filter(transform({near}, o -> struct(cast(o as int) as o, {share} as share)), t -> t.share > 0)")
+
+
+def _mixed(r: Raster, new_w: int, new_h: int) -> Raster:
+    """The same where an axis grows: a pixel goes to each window that it is part of."""
+    wide = r.pixels.withColumns({f"_{c}": F.col(c).cast("bigint") for c in "whxy"})
+    spread = wide.withColumn("to_x", F.explode(_window_shares("_x", "_w", new_w))).withColumn("to_y", F.explode(_window_shares("_y", "_h", new_h)))
+    sums = [F.sum(c * F.col("to_x.share") * F.col("to_y.share")).alias(n) for c, n in zip(r.channels, r.names, strict=True)]
+    done = Raster(spread.groupBy("image_id", "w", "h", F.col("to_x.o").alias("x"), F.col("to_y.o").alias("y")).agg(*sums), r.layout, r.kind)
+    return done.select([S.as_float(c) if r.kind == "f32" else S.round_to(c, r.kind) for c in done.channels], w=F.lit(new_w), h=F.lit(new_h))
+
+
 def thumbnail(r: Raster, size: tuple[int, int], box: tuple[int, int]) -> Raster:
     return thumbnail_exact(r, *_fitted(size, box, False))
 

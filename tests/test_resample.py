@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import ceil, floor
+
 import duckdb
 import numpy as np
 import pytest
 
 from pixelry import catalog
 from pixelry.operators import resample
+from pixelry.plans.raster import Raster
 
 DATA = "/root/testdata/sf0.01"
 SIZES = {"resize_triangle": (40, 60), "resize_catmull_rom": (40, 60), "resize_gaussian": (40, 60), "resize_lanczos3": (40, 60), "enlarge_triangle": (150, 170)}
@@ -80,3 +84,32 @@ def test_probes_of_all_events(spark, picture, name):
             at = lambda b, a: picture[min(b, 99), min(a, 99)]
             want = rounded((1 - q) * ((1 - p) * at(j, i) + p * at(j, i + 1)) + q * ((1 - p) * at(j + 1, i) + p * at(j + 1, i + 1)))
         assert tuple(want) == found
+
+
+def window_of(o: int, size: int, n: int) -> dict[int, Fraction]:
+    """Shares of the pixels of one axis in window o, case by case."""
+    a, b = Fraction(o * size, n), Fraction((o + 1) * size, n)
+    left = min(ceil(a), size - 1)
+    right = max(left, min(ceil(b), size))
+    if left < right:
+        return {i: Fraction(1, right - left) for i in range(left, right)}
+    f = (a % 1 + b % 1) / 2
+    return {right - 1: 1 - f, right: f}
+
+
+@pytest.mark.parametrize("kind", ["u8", "f32"])
+@pytest.mark.parametrize("target", [(7, 5), (7, 2), (2, 9), (3, 3), (1, 1)])
+def test_thumbnails_of_mixed_sizes(spark, target, kind):
+    rng, rows, want = np.random.default_rng(3), [], {}
+    for k, (w, h) in enumerate([(1, 1), (2, 3), (3, 2), (5, 8), (9, 4), (7, 5), (20, 11), (1, 30)]):
+        image = rng.integers(0, 256, (h, w))
+        rows += [(f"i{k}", w, h, x, y, (int if kind == "u8" else float)(image[y, x])) for y in range(h) for x in range(w)]
+        for oy in range(target[1]):
+            for ox in range(target[0]):
+                v = sum(p * q * int(image[y, x]) for y, p in window_of(oy, h, target[1]).items() for x, q in window_of(ox, w, target[0]).items())
+                want[f"i{k}", ox, oy] = floor(v + Fraction(1, 2)) if kind == "u8" else float(v)
+    pixels = spark.createDataFrame(rows, f"image_id string, w int, h int, x int, y int, c0 {'int' if kind == 'u8' else 'float'}")
+    got = resample.thumbnail_exact(Raster(pixels, "L", kind), *target).pixels.collect()
+    assert len(got) == len(want)
+    assert {(r.w, r.h) for r in got} == {target}
+    assert {(r.image_id, r.x, r.y): r.c0 for r in got} == pytest.approx(want, rel=1e-6)
