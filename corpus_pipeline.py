@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose sources, languages and topics have the target weights."""
+    """A sample weighted towards the target shares of sources, languages and topics; probabilities cut at 1 keep it from meeting them."""
     return mixing.mix(docs).where("sampled").select(docs.columns)
 
 
