@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pixelry.llm.textbuf import SPACES, SpanCache, SpanHasher, binary_array, buffers, distinct, with_columns
+from pixelry.llm.textbuf import SPACES, SpanCache, binary_array, buffers, with_columns
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -159,14 +159,7 @@ def _encoding(ranks_of, pattern: str, dtype) -> Callable:
             buf, offs = buffers(part.column(part.schema.get_field_index(make.text)))
             starts = cut_places(buf, offs)
             ends = np.append(starts[1:], len(buf))
-            keys, first, back = distinct(SpanHasher(buf)(starts, ends))
-            new = cache.missing(keys)
-            if len(new):
-                raw = buf.tobytes()
-                ids = [encoder.piece(raw[a:b].decode()) for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-                lens = np.fromiter(map(len, ids), np.int32, len(ids))
-                cache.add(keys[new], np.fromiter((x for y in ids for x in y), dtype, int(lens.sum())), lens)
-            flat, lens = cache.expand(keys, back)
+            flat, lens = cache.ids(buf, starts, ends, lambda texts: [encoder.piece(x) for x in texts])
             sums = np.zeros(len(starts) + 1, np.int64)
             np.cumsum(lens, out=sums[1:])
             return [binary_array(flat.astype("<u4").view(np.uint8), 4 * sums[np.searchsorted(starts, offs)])]

@@ -11,8 +11,8 @@ similarity of their bags of names.
 
 Defined cases: a null text counts as empty; the empty text has the empty fingerprint; two empty
 fingerprints have likeness 1, an empty and another one 0; texts too short for higher levels use the
-highest level they have; in a table's order rows without an id come last and equal ids go by their
-text; the only row of a table is its own next document.  Result columns replace columns of that name.
+highest level they have; in a table's order rows without an id come last and equal ids go by a hash of
+their text, over several ranges if they are many; the only row of a table is its own next document.  Result columns replace columns of that name.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pixelry.llm.textbuf import SpanHasher, buffers, mix, slices, with_columns
+from pixelry.llm.token_shards import range_bounds, range_of
 
 #: Names kept in a fingerprint; hexadecimal digits of each.
 WIDTH, DIGITS = 64, 8
@@ -152,39 +153,41 @@ def compare(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", docs_per_range: int = 2048) -> DataFrame:
     """doc_id, text, fingerprint, next_text, next_fingerprint: each document and the next in descending doc_id (after the last: the first).
 
-    Documents are dealt out by ranges of doc_id; the first document of a range is also sent to the range
-    before it, so that no range needs another one's rows.
+    Documents are dealt out by a bounded number of ranges of doc_id; the first document of a range is also
+    sent to the range before it, so that no range needs another one's rows.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("d"))
-    ranges = max(1, -(-ids.count() // docs_per_range))
-    inner = sorted({int(x) for x in ids.approxQuantile("d", [i / ranges for i in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else []
-    bounds = np.array(inner, np.int64)
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("d"), F.xxhash64(body).alias("h"), body.alias("text"))
+    inner = range_bounds(source.select("d"), docs_per_range)
+    bounds, ranges = np.array(inner, np.int64), len(inner) + 1
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.searchsorted(bounds, batch.column(0).to_numpy(), "right")
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), batch.column(0)], names=["range", "d"])
+            at = range_of(bounds, batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), batch.column(0), batch.column(1)], names=["range", "d", "h"])
 
-    heads = {r.range: r.head for r in ids.mapInArrow(dealt, "range long, d long").groupBy("range").agg(F.max("d").alias("head")).collect()}
+    keys = source.select("d", "h") if len(set(inner)) < len(inner) else source.select("d", F.lit(0).cast("long").alias("h"))  # the hash only where it decides
+    exact = len(set(inner)) < len(inner)
+    heads = {r.range: (r["head"].d, r["head"].h) for r in keys.mapInArrow(dealt, "range long, d long, h long").groupBy("range").agg(F.max(F.struct("d", "h")).alias("head")).collect()}
     order = sorted(heads, reverse=True)  # ranges in the order of the documents
     before = {heads[r]: order[i - 1] for i, r in enumerate(order)}  # the first range's head follows the last range
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.array(sorted(before), np.int64)
-        to = np.array([before[x] for x in known.tolist()], np.int64)
+        names = ["range", "guest", "d", "h", "text", "fingerprint"]
+        known = np.array(sorted({d for d, _ in before}), np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                place = part.column(0).to_numpy()
-                text_of = part.column(1).fill_null("")
-                made = [pa.array(np.searchsorted(bounds, place, "right").astype(np.int64)), pa.array(np.zeros(len(place), bool)), part.column(0), text_of, pa.array(fingerprints(*buffers(text_of)), pa.string())]
-                out = pa.RecordBatch.from_arrays(made, names=["range", "guest", "d", "text", "fingerprint"])
+                place, h, text_of = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2)
+                made = [pa.array(range_of(bounds, place, h).astype(np.int64)), pa.array(np.zeros(len(place), bool)), part.column(0), part.column(1), text_of, pa.array(fingerprints(*buffers(text_of)), pa.string())]
+                out = pa.RecordBatch.from_arrays(made, names=names)
                 yield out
                 at = np.minimum(np.searchsorted(known, place), max(len(known) - 1, 0))
-                head = np.flatnonzero(known[at] == place) if len(known) else np.zeros(0, np.int64)
-                if len(head):
-                    took = out.take(pa.array(head))
-                    yield pa.RecordBatch.from_arrays([pa.array(to[at[head]]), pa.array(np.ones(len(head), bool)), *(took.column(i) for i in (2, 3, 4))], names=["range", "guest", "d", "text", "fingerprint"])
+                head = [i for i in (np.flatnonzero(known[at] == place) if len(known) else []) if (int(place[i]), int(h[i]) if exact else 0) in before]
+                if head:
+                    took = out.take(pa.array(head, pa.int64()))
+                    to = [before[int(place[i]), int(h[i]) if exact else 0] for i in head]
+                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(np.ones(len(head), bool)), *(took.column(i) for i in (2, 3, 4, 5))], names=names)
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "text", "fingerprint", "next_text", "next_fingerprint"]
@@ -193,12 +196,11 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", docs_
             for part in slices(batch, "text"):
                 got = list(zip(*(c.to_pylist() for c in part.columns), strict=True))
                 chain = ([last] if last else []) + got
-                pairs = [(a[2] if a[2] != _NULL_ID else None, a[3], a[4], b[3], b[4]) for a, b in zip(chain, chain[1:], strict=False) if a[0] == b[0] and not a[1]]
+                pairs = [(a[2] if a[2] != _NULL_ID else None, a[4], a[5], b[4], b[5]) for a, b in zip(chain, chain[1:], strict=False) if a[0] == b[0] and not a[1]]
                 last = chain[-1]
                 if pairs:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*pairs, strict=True), (pa.int64(), *[pa.string()] * 4), strict=True)], names=names)
 
-    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("d"), F.col(text).cast("string").alias("text"))
     tasks = min(ranges, 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ordered = source.mapInArrow(rows, "range long, guest boolean, d long, text string, fingerprint string").repartition(tasks, "range").sortWithinPartitions("range", "guest", F.desc("d"), "text")
+    ordered = source.mapInArrow(rows, "range long, guest boolean, d long, h long, text string, fingerprint string").repartition(tasks, "range").sortWithinPartitions("range", "guest", F.desc("d"), F.desc("h"), "text")
     return ordered.mapInArrow(paired, "doc_id long, text string, fingerprint string, next_text string, next_fingerprint string")

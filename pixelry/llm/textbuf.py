@@ -8,35 +8,49 @@ of its own).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
 
-_POWER = np.uint64(0x9E3779B97F4A7C13)  # odd, 3 modulo 4
-_INVERSE = np.uint64(pow(int(_POWER), -1, 1 << 64))
-_TABLE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Modulus of the two span hashes, a Mersenne prime, and their bases (powers of the primitive root 7 with exponents prime to the group's order).
+_PRIME = (1 << 31) - 1
+_BASES = (pow(7, 1_000_003, _PRIME), pow(7, 2_000_003, _PRIME))
+_VALUES = np.random.default_rng(20240607).integers(1, _PRIME, (2, 256)).astype(np.uint64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint32) for _ in range(4)]
 
 #: Space and \t \n \v \f \r: the white space that ends a word `[^\x20\x09-\x0D]+`.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, modulo 2^64."""
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime but for a multiple of it, in few bits."""
+    return (x & np.uint64(_PRIME)) + (x >> np.uint64(31))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = _fold(_fold(x))
+    return np.where(x >= np.uint64(_PRIME), x - np.uint64(_PRIME), x)
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the two bases and of their inverses."""
     if len(_powers[0]) < n:
         size = max(n, SLICE_BYTES + 1024)
-        for i, base in enumerate((_POWER, _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+        for i, base in enumerate((*_BASES, *(pow(b, -1, _PRIME) for b in _BASES))):
+            p = np.ones(1, np.uint64)
+            while len(p) < size:
+                p = np.concatenate([p, _reduced(p * np.uint64(pow(base, len(p), _PRIME)))])[:size]
+            _powers[i] = p.astype(np.uint32)
+    return [p[:n] for p in _powers]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,15 +64,40 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class SpanHasher:
-    """Hashes of any number of spans of one buffer of bytes or 64-bit values; a span's hash depends on its items alone."""
+    """Hashes of any number of spans of one buffer of bytes or 64-bit values; a span's hash depends on its items alone.
+
+    Two polynomial hashes modulo 2^31 - 1 with different bases and random item values, which no fixed pair
+    of texts is known to defeat; the difference of two prefix sums gives a span's.
+    """
 
     def __init__(self, items: np.ndarray):
-        p, self.inverse = powers(len(items) + 1)
-        self.sums = np.zeros(len(items) + 1, np.uint64)
-        np.cumsum((_TABLE[items] if items.dtype == np.uint8 else items) * p[:-1], out=self.sums[1:])
+        *p, self.inverse_1, self.inverse_2 = powers(len(items) + 1)
+        if items.dtype == np.uint8:
+            values = [v[items] for v in _VALUES]
+        else:
+            mixed = mix(items.astype(np.uint64))
+            values = [mixed & np.uint64(_PRIME), mixed >> np.uint64(33)]
+        self.sums = [np.zeros(len(items) + 1, np.uint64) for _ in range(2)]
+        for out, v, q in zip(self.sums, values, p, strict=True):
+            np.cumsum(_fold(v * q[:-1]), out=out[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+        one, two = (_reduced(_fold(_fold(s[ends] - s[starts])) * q[starts]) for s, q in zip(self.sums, (self.inverse_1, self.inverse_2), strict=True))
+        return mix(mix((one << np.uint64(31)) | two) + (ends - starts).astype(np.uint64))
+
+
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Whether the spans of two byte buffers are equal, span by span (of equal lengths)."""
+    if not len(lens):
+        return np.zeros(0, bool)
+    ends = np.cumsum(lens)
+    inside = np.arange(ends[-1]) - np.repeat(ends - lens, lens)
+    differs = a[np.repeat(a_starts, lens) + inside] != b[np.repeat(b_starts, lens) + inside]
+    if not differs.any():
+        return np.ones(len(lens), bool)
+    count = np.zeros(len(differs) + 1, np.int64)
+    np.cumsum(differs, out=count[1:])
+    return count[ends] == count[ends - lens]
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,43 +163,66 @@ def per_text(values: np.ndarray, text_no: np.ndarray, n: int) -> np.ndarray:
 
 
 class SpanCache:
-    """Id sequences of distinct spans, by their 64-bit hash, in flat arrays.
+    """Id sequences of distinct spans, found by a 64-bit hash and held with their bytes, in flat arrays.
 
-    It holds at most `most` spans and starts afresh beyond that, which bounds a worker's memory.
+    A span takes ids from the cache only if its bytes are those of the entry; spans that share a hash with
+    another text are encoded by themselves.  The cache holds at most `most` spans and starts afresh beyond
+    that, which bounds a worker's memory.
     """
 
-    def __init__(self, most: int = 1_500_000, dtype=np.uint16):
+    def __init__(self, most: int = 1_000_000, dtype=np.uint16):
         self.most, self.dtype = most, dtype
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.starts, self.lens, self.pool, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1 << 16, self.dtype), 0
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros((0, 4), np.int64)  # start and number of ids, start and number of bytes
+        self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.text, self.text_used = np.zeros(1 << 16, np.uint8), 0
+
+    @staticmethod
+    def _room(pool: np.ndarray, used: int, more: int) -> np.ndarray:
+        if used + more <= len(pool):
+            return pool
+        return np.concatenate([pool[:used], np.zeros(max(used + more, used + (used >> 1)) - used, pool.dtype)])
+
+    def _add(self, keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> None:
+        """keys: sorted and not held."""
+        size = ends - starts
+        self.pool, self.text = self._room(self.pool, self.used, len(flat)), self._room(self.text, self.text_used, int(size.sum()))
+        self.pool[self.used : self.used + len(flat)] = flat
+        text_starts = self.text_used + np.cumsum(size) - size
+        self.text[self.text_used : self.text_used + size.sum()] = buf[np.repeat(starts - text_starts, size) + np.arange(self.text_used, self.text_used + size.sum())]
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.places = np.insert(self.keys, at, keys), np.insert(self.places, at, np.stack([self.used + np.cumsum(lens) - lens, lens, text_starts, size], 1), 0)
+        self.used, self.text_used = self.used + len(flat), self.text_used + int(size.sum())
 
-    def missing(self, keys: np.ndarray) -> np.ndarray:
-        """Positions in `keys` (sorted, distinct) that are not held."""
+    def ids(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode: Callable[[list[str]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all spans, one after the other, and the number of ids of each; encode is given the texts of spans that are not held."""
+
+        def fresh(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            found = encode([raw[a:b].decode() for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)])
+            lens = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter((x for y in found for x in y), self.dtype, int(lens.sum())), lens
+
+        raw = memoryview(np.ascontiguousarray(buf)).tobytes() if len(starts) else b""
+        keys, first, back = distinct(SpanHasher(buf)(starts, ends))
         if len(self.keys) + len(keys) > self.most:
             self.clear()
-        if not len(self.keys):
-            return np.arange(len(keys))
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.flatnonzero(self.keys[at] != keys)
-
-    def add(self, keys: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> None:
-        """keys: sorted and not held; flat: their ids, one after the other."""
-        need = self.used + len(flat)
-        if need > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(need, 2 * self.used) - self.used, self.dtype)])
-        self.pool[self.used : need] = flat
-        at = np.searchsorted(self.keys, keys)
-        starts = self.used + np.cumsum(lens) - lens
-        self.keys, self.starts, self.lens, self.used = np.insert(self.keys, at, keys), np.insert(self.starts, at, starts), np.insert(self.lens, at, lens), need
-
-    def expand(self, keys: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of keys[back], one after the other, and the number of ids of each."""
-        at = np.searchsorted(self.keys, keys)
-        starts, lens = self.starts[at][back], self.lens[at][back].astype(np.int64)
-        ends = np.cumsum(lens)
-        return self.pool[np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)], lens
+        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            which = first[new]
+            self._add(keys[new], buf, starts[which], ends[which], *fresh(which))
+        place = self.places[np.searchsorted(self.keys, keys)][back]
+        begin, lens, pool = place[:, 0], place[:, 1], self.pool
+        alike = place[:, 3] == ends - starts
+        alike[alike] = same_bytes(buf, starts[alike], self.text, place[alike, 2], place[alike, 3])
+        odd = np.flatnonzero(~alike)
+        if len(odd):
+            flat, n = fresh(odd)
+            begin[odd], lens[odd], pool = self.used + np.cumsum(n) - n, n, np.concatenate([self.pool[: self.used], flat])
+        stop = np.cumsum(lens)
+        return pool[np.repeat(begin - stop + lens, lens) + np.arange(stop[-1] if len(stop) else 0)], lens
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,8 +256,26 @@ def with_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Ca
     return df.mapInArrow(run, schema)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """A column name like `name` that none of `columns` has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows up to which `small` broadcasts a table (under 100 bytes a row).
+BROADCAST_ROWS = 400_000
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it is counted to have at most `most` rows (BROADCAST_ROWS where none is given), else as it is."""
+    most = BROADCAST_ROWS if most is None else most
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def checkpoint_dir(spark) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, a temporary folder."""
+    """spark.checkpoint.dir of the session; where it is unset, a temporary folder in local mode and an error on a cluster."""
     from pyspark.errors import PySparkException
 
     try:
@@ -203,6 +283,8 @@ def checkpoint_dir(spark) -> str:
     except PySparkException:
         found = None
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="checkpoints-")
@@ -224,4 +306,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables made by `saved` that no result depends on any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -37,3 +37,15 @@ def frame(spark, rows: list[tuple], clash: dict[str, str] | None = None):
     for name, sql in (clash or {}).items():
         df = df.selectExpr("*", f"{sql} AS {name}")
     return df
+
+
+def many_of_one_id(seed: int = 4) -> list[tuple]:
+    """Rows of which a third has no id and a third has the same one."""
+    rng = random.Random(seed)
+    return [(rng.choice([None, 21, i]), prose(rng, rng.randint(0, 30)), "en", "web", 0) for i in range(150)]
+
+
+def hashes(spark, rows: list[tuple]) -> dict:
+    """The 64-bit hash of each text that Spark gives."""
+    texts = sorted({r[1] for r in rows}, key=lambda t: (t is not None, t or ""))
+    return {r.t: r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(t) as h").collect()}

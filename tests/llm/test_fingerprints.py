@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,7 +13,8 @@ from hypothesis import strategies as st
 
 from pixelry.llm import fingerprints as P
 from pixelry.llm.queries import QUERIES
-from tests.llm.samples import SCHEMA, awkward, frame, prose
+from pixelry.llm.textbuf import SpanHasher, mix
+from tests.llm.samples import SCHEMA, awkward, frame, hashes, many_of_one_id, prose
 
 
 def prints(*texts: str) -> list[str]:
@@ -58,11 +60,62 @@ def test_likeness_follows_the_share_of_equal_text():
     assert (P.likeness("", ""), P.likeness("", fa)) == (1, 0)
 
 
+def bag(text: str) -> Counter:
+    """Names of all phrases, with their numbers, by a plain walk over the text's symbols."""
+    symbols: list = list(text.encode())
+    levels: list[list] = []
+    for level in range(1, P.LAST_LEVEL + 1):
+        runs: list[tuple] = []
+        for x in symbols:
+            if runs and runs[-1][0] == x:
+                runs[-1] = (x, runs[-1][1] + 1)
+            else:
+                runs.append((x, 1))
+        if not runs:
+            break
+        mask = (1 << 64) - 1
+        mixed = lambda v: int(mix(np.array([v & mask], np.uint64))[0])
+        names_ = [x + (n << 8) if level == 1 else x if n == 1 else mixed(x + n * 0x9E3779B97F4A7C15) for x, n in runs]
+        labels = [x for x, _ in runs] if level == 1 else list(names_)
+        for _ in range(P.ROUNDS):
+            tossed = []
+            for i, x in enumerate(labels):
+                low = 1 if i == 0 else (x ^ labels[i - 1]) & -(x ^ labels[i - 1])
+                tossed.append(2 * (low.bit_length() - 1) + bool(x & low))
+            labels = tossed
+        begins = [i for i in range(len(labels)) if i == 0 or (i < len(labels) - 1 and labels[i - 1] > labels[i] < labels[i + 1])]
+        phrases = [tuple(names_[a:b]) for a, b in zip(begins, [*begins[1:], len(names_)], strict=True)]
+        symbols = [int(SpanHasher(np.array(p, np.uint64))(np.array([0]), np.array([len(p)]))[0]) for p in phrases]
+        levels.append([(level, p) for p in symbols])
+    used = [x for level in levels[P.FIRST_LEVEL - 1 :] for x in level]
+    if len(levels) < P.FIRST_LEVEL or len(levels[P.FIRST_LEVEL - 1]) < 4:
+        used += levels[P.FIRST_LEVEL - 2] if len(levels) >= P.FIRST_LEVEL - 1 else []
+    return Counter(used)
+
+
+def test_phrases_and_likeness_against_a_plain_parse():
+    """The same bags of phrases, and likenesses near the exact Jaccard similarity of the bags."""
+    rng = random.Random(5)
+    errors = []
+    for n in (0, 1, 3, 8, 20, 60, 300, 900, 2000):
+        a = prose(rng, n) + "aaaa" * rng.randint(0, 3)
+        words = a.split(" ")
+        for k in range(0, len(words), rng.choice((3, 10, 40))):
+            words[k] = rng.choice(words)
+        x, y = bag(a), bag(" ".join(words))
+        assert len(P.phrase_names(np.frombuffer(a.encode(), np.uint8), np.array([0, len(a.encode())]))[0]) == sum(x.values())
+        exact = sum((x & y).values()) / max(sum((x | y).values()), 1) if x or y else 1.0
+        errors.append(abs(P.likeness(*prints(a, " ".join(words))) - exact))
+    assert max(errors) < 0.2
+    assert sum(errors) / len(errors) < 0.07
+
+
 @pytest.mark.parametrize("per_range", [5, 2048])
 def test_each_document_meets_the_next(spark, per_range):
-    rows = awkward()
+    rows = awkward() + many_of_one_id()
     out = P.with_next(frame(spark, rows, {"range": "1", "fingerprint": "'x'", "next_text": "2"}), docs_per_range=per_range).collect()
-    order = sorted(((r[0] is not None, r[0] or 0, r[1] or "") for r in rows), key=lambda r: (not r[0], -r[1], r[2].encode()))
+    h = hashes(spark, [(0, r[1] or "") for r in rows])
+    order = sorted(((r[0] is not None, r[0] or 0, r[1] or "") for r in rows), key=lambda r: (not r[0], -r[1], -h[r[2]]))
     want = sorted((r[1] if r[0] else -1, r[2], order[(i + 1) % len(order)][2]) for i, r in enumerate(order))
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.text, r.next_text) for r in out) == want
     assert all(r.fingerprint == prints(r.text)[0] and r.next_fingerprint == prints(r.next_text)[0] for r in out)

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from pixelry.llm import token_shards as W
-from tests.llm.samples import SCHEMA, awkward, frame
+from tests.llm.samples import SCHEMA, awkward, frame, hashes, many_of_one_id
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -43,15 +43,24 @@ def test_rank_and_select_across_blocks():
 
 @pytest.fixture(scope="module")
 def written(spark, tmp_path_factory):
-    rows = awkward() + [(2000 + i, t, None, None, None) for i, t in enumerate(["[CLS] and [MASK] in a text", "<s> </s> <pad> <unk> <|endoftext|>", "Café́ É É", "Quiet,loud;a.b:c!d?e", "İstanbul ſharp", "a b​c"])]
+    rows = awkward() + many_of_one_id() + [(2000 + i, t, None, None, None) for i, t in enumerate(["[CLS] and [MASK] in a text", "<s> </s> <pad> <unk> <|endoftext|>", "Café́ É É", "Quiet,loud;a.b:c!d?e", "İstanbul ſharp", "a b​c"])]
     path = str(tmp_path_factory.mktemp("shards") / "out")
     W.write(frame(spark, rows, {"shard": "5", "ids": "'x'"}), path, PATH, end_id=1, docs_per_range=16)
     library = Tokenizer.from_file(PATH)
     want = [(r[0], [*library.encode(r[1] or "", add_special_tokens=False).ids, 1]) for r in rows]
-    return rows, path, sorted(want, key=lambda w: (w[0] is not None, w[0] or 0))
+    h = hashes(spark, rows)
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, h[rows[i][1]]))
+    return rows, path, [want[i] for i in order]
 
 
-def test_documents_read_back(spark, written):
+def test_many_rows_of_one_id_are_spread(spark, written):
+    _, path, _ = written
+    assert max(r.n_docs for r in W.shards(spark, path).collect()) < 60
+
+
+@pytest.mark.parametrize("most", [W.BROADCAST_SHARDS, 0])
+def test_documents_read_back(spark, written, monkeypatch, most):
+    monkeypatch.setattr(W, "BROADCAST_SHARDS", most)
     _, path, want = written
     got = sorted(W.read_documents(spark, path).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [w[0] for w in want]
