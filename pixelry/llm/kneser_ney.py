@@ -3,17 +3,18 @@
 Units are the bytes of the text, n-grams of up to ORDER bytes packed exactly into 64-bit keys, one
 model for each language.  Tasks count the n-grams of trusted documents in arrays and emit sorted
 counts; Spark sums them by key, and each order's probabilities come from joins of its counts with its
-context totals and with the order below.  A document's cross-entropy is the mean of its bytes'
-negative log-probabilities, shrunk towards its language's mean as if it had PRIOR_BYTES more bytes;
-perplexity is 2 to that power.  A document is rejected when its perplexity exceeds the QUANTILE of
-held-out trusted documents of its language, times MARGIN.
+context totals and with the order below, each order being written before the next one starts.  A
+document's cross-entropy is the mean of its bytes' negative log-probabilities, shrunk towards its
+language's mean as if it had PRIOR_BYTES more bytes; perplexity is 2 to that power.  A document is
+rejected when its perplexity exceeds the QUANTILE of held-out trusted documents of its language.
 
-The model table grows only with the variety of short byte strings; it is broadcast while it has at
+The model table grows with the variety of the text; it is broadcast while it is counted to have at
 most BROADCAST_NGRAMS rows, and joined with the documents' n-grams by a shuffle beyond.
 
 Defined cases: a null or empty text has the perplexity of its language's mean and is kept; a language
-without trusted text (a null language counts as one) has no model: perplexity is null and the document is kept; repeated
-rows count as often as they occur; result columns replace columns of that name.
+without trusted text, or with none among the held-out documents (a null language counts as one), has
+no threshold: its perplexity and threshold are null and the document is kept; repeated rows count as
+often as they occur; perplexity, threshold and kept replace columns of that name, all others are kept.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelry.llm.textbuf import buffers, mix, saved, slices, with_columns
+from pixelry.llm.textbuf import buffers, dropped, free_name, mix, saved, slices, small, with_columns
 
-ORDER = 5
+ORDER = 6
 PRIOR_BYTES = 150
-QUANTILE, MARGIN = 0.99, 1.2
+QUANTILE = 0.99
 #: One trusted document in so many sets the thresholds and is not trained on.
 HOLD_OUT = 5
 BROADCAST_NGRAMS = 6_000_000
@@ -104,72 +105,63 @@ def model(counts: DataFrame) -> DataFrame:
     """lang, length, kind, key, value: kind "p" has log2 of an n-gram's interpolated probability, kind "b" log2 of a context's backoff weight."""
     tables = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):  # lower orders count the distinct bytes to the left
-        tables[k] = tables[k + 1].groupBy("lang", F.expr(f"key & {(1 << (8 * k)) - 1}L").alias("key")).agg(F.count("*").alias("c"))
-        if k >= ORDER - 2:
-            tables[k] = saved(tables[k], "continuations")
+        tables[k] = saved(tables[k + 1].groupBy("lang", F.expr(f"key & {(1 << (8 * k)) - 1}L").alias("key")).agg(F.count("*").alias("c")), "continuations")
     out, below = None, None
     for k in range(1, ORDER + 1):
         t = tables[k]
         sums = t.groupBy("lang").agg(*(F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)))
         y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
         d = [F.greatest(F.lit(0.1), F.least(F.lit(i - 0.05), F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1)))) for i in (1, 2, 3)]
-        discounts = F.broadcast(sums.select("lang", *(x.alias(f"d{i}") for i, x in enumerate(d, 1))))  # one row for each language
-        t = t.join(discounts, "lang").withColumn("d", F.expr("case when c = 1 then d1 when c = 2 then d2 else d3 end")).withColumn("ctx", F.expr("shiftright(key, 8)"))
-        ctx = t.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"))
+        discounts = saved(sums.select("lang", *(x.alias(f"d{i}") for i, x in enumerate(d, 1))), "discounts")  # a row for each language
+        t = t.join(small(discounts), "lang").withColumn("d", F.expr("case when c = 1 then d1 when c = 2 then d2 else d3 end")).withColumn("ctx", F.expr("shiftright(key, 8)"))
+        ctx = saved(t.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma")), "contexts")
         p = t.join(ctx, ["lang", "ctx"]).withColumn("suffix", F.expr(f"key & {(1 << (8 * (k - 1))) - 1}L"))
         if below is None:
             p = p.withColumn("lower", F.lit(1 / 256))
         else:
             p = p.join(below.select("lang", F.col("key").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"])
-        below = p.select("lang", "key", ((F.col("c") - F.col("d")) / F.col("total") + F.col("gamma") * F.col("lower")).alias("p"))
-        if k >= ORDER - 2:
-            below = saved(below, "probabilities")
+        below = saved(p.select("lang", "key", ((F.col("c") - F.col("d")) / F.col("total") + F.col("gamma") * F.col("lower")).alias("p")), "probabilities")
         rows = below.select("lang", F.lit(k).alias("length"), F.lit("p").alias("kind"), "key", F.log2("p").cast("float").alias("value"))
         rows = rows.unionByName(ctx.select("lang", F.lit(k - 1).alias("length"), F.lit("b").alias("kind"), F.col("ctx").alias("key"), F.log2("gamma").cast("float").alias("value")))
         out = rows if out is None else out.unionByName(rows)
+        dropped(discounts, *([tables[k]] if k < ORDER else []))
     return out
 
 
 class Table:
-    """Open-addressing map from 64-bit keys to floats, with vector lookups."""
+    """Map from 64-bit keys to floats, over arrays that are sorted by the mixed key; a directory finds the few entries that begin alike."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        size = 1 << max(4, int(2 * len(keys)).bit_length())
-        self.mask = np.uint64(size - 1)
-        self.keys, self.values, self.used = np.zeros(size, np.uint64), np.zeros(size, np.float32), np.zeros(size, bool)
-        at, left = mix(keys) & self.mask, np.arange(len(keys))
-        while len(left):
-            slot = at[left].astype(np.int64)
-            _, first = np.unique(slot, return_index=True)
-            first = first[~self.used[slot[first]]]
-            place, who = slot[first], left[first]
-            self.keys[place], self.values[place], self.used[place] = keys[who], values[who], True
-            done = np.zeros(len(left), bool)
-            done[first] = True
-            left = left[~done]
-            at[left] = (at[left] + np.uint64(1)) & self.mask
+        self.keys, self.values = keys, values
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits), out=self.first[1:])
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values (0 where absent) and whether each key is there."""
-        slot = (mix(keys) & self.mask).astype(np.int64)
-        found = self.used[slot] & (self.keys[slot] == keys)
-        out = np.where(found, self.values[slot], np.float32(0))
-        left = np.flatnonzero(self.used[slot] & ~found)
+        wanted = mix(keys)
+        slot = (wanted >> self.shift).astype(np.int64)
+        at, stop = self.first[slot], self.first[slot + 1]
+        out, found = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        left = np.flatnonzero(at < stop)
         while len(left):
-            slot[left] = (slot[left] + 1) & int(self.mask)
-            s = slot[left]
-            hit = self.used[s] & (self.keys[s] == keys[left])
-            out[left[hit]], found[left[hit]] = self.values[s[hit]], True
-            left = left[self.used[s] & ~hit]
+            place = at[left]
+            hit = self.keys[place] == wanted[left]
+            out[left[hit]], found[left[hit]] = self.values[place[hit]], True
+            left = left[~hit & (place + 1 < stop[left])]
+            at[left] += 1
         return out, found
 
 
 class Scorer:
     def __init__(self, rows: dict[str, dict[tuple[int, str], tuple[bytes, bytes]]]):
-        self.tables = {x: {k: Table(np.frombuffer(keys, np.uint64), np.frombuffer(values, np.float32)) for k, (keys, values) in t.items()} for x, t in rows.items()}
+        self.rows, self.tables = rows, {}
 
     def log2(self, lang: str, keys: np.ndarray) -> np.ndarray:
         """log2 probability of the last byte of each ORDER-gram, backing off along known contexts."""
+        if lang not in self.tables:
+            self.tables[lang] = {k: Table(np.frombuffer(keys, np.uint64), np.frombuffer(values, np.float32)) for k, (keys, values) in self.rows[lang].items()}
         tables = self.tables[lang]
         out, found = tables[ORDER, "p"].find(keys)
         out, left = out.astype(np.float64), np.flatnonzero(~found)
@@ -189,11 +181,12 @@ class Scorer:
 
 
 def _packed(table: DataFrame):
-    """The model as a broadcast variable: for each language, length and kind one sorted array of keys and one of values."""
+    """The model, counted to have at most BROADCAST_NGRAMS rows (12 bytes each), as a broadcast variable: for each language, length and kind the mixed keys, sorted, and their values."""
 
     def pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.select(["key", "value"]).sort_by("key")
-        blobs = [rows.column(c).to_numpy().tobytes() for c in ("key", "value")]
+        mixed = mix(rows.column("key").to_numpy().view(np.uint64))
+        order = np.argsort(mixed)
+        blobs = [mixed[order].tobytes(), rows.column("value").to_numpy()[order].tobytes()]
         return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int32()), pa.array([key[2].as_py()], pa.string()), *(pa.array([x], pa.binary()) for x in blobs)], names=["lang", "length", "kind", "keys", "values"])
 
     out: dict[str, dict[tuple[int, str], tuple[bytes, bytes]]] = {}
@@ -202,9 +195,9 @@ def _packed(table: DataFrame):
     return table.sparkSession.sparkContext.broadcast(out)
 
 
-def _score_by_broadcast(docs: DataFrame, shared, lang: str, text: str) -> DataFrame:
+def _score_by_broadcast(docs: DataFrame, shared, lang: str, text: str, made: tuple[str, str]) -> DataFrame:
     def make():
-        scorer = _scorer(shared)
+        scorer = Scorer(shared.value)
 
         def score(part: pa.RecordBatch) -> list[pa.Array]:
             column, langs = part.column(part.schema.get_field_index(text)), np.array(_languages(part, lang), object)
@@ -213,7 +206,7 @@ def _score_by_broadcast(docs: DataFrame, shared, lang: str, text: str) -> DataFr
                 chosen = np.flatnonzero(langs == x)
                 buf, offs = buffers(column.take(pa.array(chosen)))
                 size[chosen] = np.diff(offs)
-                if x in scorer.tables:
+                if x in scorer.rows:
                     sums = np.zeros(len(buf) + 1)
                     np.cumsum(scorer.log2(x, ngram_keys(buf, offs)), out=sums[1:])
                     bits[chosen] = sums[offs[:-1]] - sums[offs[1:]]
@@ -221,21 +214,10 @@ def _score_by_broadcast(docs: DataFrame, shared, lang: str, text: str) -> DataFr
 
         return score
 
-    return with_columns(docs, text, [T.StructField("bits", T.DoubleType()), T.StructField("n_bytes", T.LongType())], make)
-
-
-_scorers: dict[int, Scorer] = {}
-
+    return with_columns(docs, text, [T.StructField(made[0], T.DoubleType()), T.StructField(made[1], T.LongType())], make)
 
-def _scorer(shared) -> Scorer:
-    key = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else id(shared.value)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(shared.value)
-    return _scorers[key]
 
-
-def _score_by_join(docs: DataFrame, table: DataFrame, lang: str, text: str) -> DataFrame:
+def _score_by_join(docs: DataFrame, table: DataFrame, lang: str, text: str, made: tuple[str, str]) -> DataFrame:
     """The same sums by shuffles: documents' distinct n-grams meet the model order by order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,8 +232,9 @@ def _score_by_join(docs: DataFrame, table: DataFrame, lang: str, text: str) -> D
                 who = pa.array(owner[first])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(1).take(who), pa.array(keys[first].view(np.int64)), pa.array(np.diff(np.append(first, len(keys))))], names=["row", "lang", "key", "c"])
 
-    numbered = saved(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    left = numbered.select("row", F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).cast("string").alias("text")).mapInArrow(run, "row long, lang string, key long, c long").withColumn("bits", F.lit(0.0))
+    row, model_lang, total = (free_name([*docs.columns, *made], x) for x in ("row", "model_lang", "sum_bits"))
+    numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    left = numbered.select(F.col(row).alias("row"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).cast("string").alias("text")).mapInArrow(run, "row long, lang string, key long, c long").withColumn("bits", F.lit(0.0))
     left = left.join(table.select("lang").distinct(), "lang", "left_semi")
     done = None
     for k in range(ORDER, -1, -1):
@@ -265,41 +248,44 @@ def _score_by_join(docs: DataFrame, table: DataFrame, lang: str, text: str) -> D
             ended, left = left.where("p is not null"), left.where("p is null").drop("p")
         ended = ended.select("row", (-F.col("c") * (F.col("bits") + F.col("p"))).alias("bits"))
         done = ended if done is None else done.unionByName(ended)
-    sums = done.groupBy("row").agg(F.sum("bits").alias("bits"))
-    known = table.select(F.col("lang").alias("model_lang")).distinct()
-    scored = numbered.drop("bits", "n_bytes").join(sums, "row", "left").join(known, F.coalesce(F.col(lang).cast("string"), F.lit("")) == F.col("model_lang"), "left")
-    scored = scored.withColumn("bits", F.when(F.col("model_lang").isNotNull(), F.coalesce("bits", F.lit(0.0))))
-    return scored.withColumn("n_bytes", F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long")).drop("row", "model_lang")
+    sums = done.groupBy(F.col("row").alias(row)).agg(F.sum("bits").alias(total))
+    known = table.select(F.col("lang").alias(model_lang)).distinct()
+    scored = numbered.drop(*made).join(sums, row, "left").join(known, F.coalesce(F.col(lang).cast("string"), F.lit("")) == F.col(model_lang), "left")
+    scored = scored.withColumn(made[0], F.when(F.col(model_lang).isNotNull(), F.coalesce(total, F.lit(0.0))))
+    return scored.withColumn(made[1], F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long")).drop(row, model_lang, total)
+
+
+def _pack_if_few(table: DataFrame, most: int):
+    return _packed(table) if table.limit(most + 1).count() <= most else None
 
 
 def score(docs: DataFrame, table: DataFrame, lang: str = "lang", text: str = "text", most: int = BROADCAST_NGRAMS) -> DataFrame:
-    """docs with bits (negative log2 likelihood; null without a model) and n_bytes."""
-    return _score(docs, table, _packed(table) if table.limit(most + 1).count() <= most else None, lang, text)
+    """docs with bits (negative log2 likelihood; null without a model) and n_bytes, which replace columns of that name."""
+    return _score(docs, table, _pack_if_few(table, most), lang, text)
 
 
-def _score(docs: DataFrame, table: DataFrame, packed, lang: str, text: str) -> DataFrame:
+def _score(docs: DataFrame, table: DataFrame, packed, lang: str, text: str, made: tuple[str, str] = ("bits", "n_bytes")) -> DataFrame:
     held = docs.withColumn(text, F.col(text).cast("string"))
-    return _score_by_join(held, table, lang, text) if packed is None else _score_by_broadcast(held, packed, lang, text)
+    return _score_by_join(held, table, lang, text, made) if packed is None else _score_by_broadcast(held, packed, lang, text, made)
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = BROADCAST_NGRAMS) -> DataFrame:
     """docs with perplexity, threshold and kept.  labels: doc_id and quality (1: trusted, if toxic is not 1)."""
-    clash = {"perplexity", "threshold", "kept", "bits", "n_bytes", "model_lang"}
-    docs = docs.select(*(c for c in docs.columns if c.lower() not in clash or c in (doc_id, text, lang)))
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in ("perplexity", "threshold", "kept") or c in (doc_id, text, lang)))
     good = labels.where("quality = 1 and coalesce(toxic, 0) <> 1 and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
-    if good.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
-        good = F.broadcast(good)
-    trusted = docs.select(doc_id, text, lang).join(good, doc_id, "left_semi")
-    held_out = F.expr(f"pmod(xxhash64({doc_id}), {HOLD_OUT}) = 0")
-    table = saved(model(saved(count_ngrams(trusted.where(~held_out), lang, text), "counts")), "model")
-    packed = _packed(table) if table.limit(most + 1).count() <= most else None
+    trusted = docs.select(doc_id, text, lang).join(small(good, BROADCAST_LABELS), doc_id, "left_semi")
+    held_out = F.expr(f"pmod(xxhash64(`{doc_id}`), {HOLD_OUT}) = 0")
+    counts = saved(count_ngrams(trusted.where(~held_out), lang, text), "counts")
+    table = saved(model(counts), "model")
+    packed = _pack_if_few(table, most)
     own = F.coalesce(F.col(lang).cast("string"), F.lit(""))
-    known = _score(trusted.where(held_out), table, packed, lang, text).select(own.alias("model_lang"), "bits", "n_bytes").where("bits is not null and n_bytes > 0")
-    known = saved(known, "held-out")
+    known = saved(_score(trusted.where(held_out), table, packed, lang, text).select(own.alias("model_lang"), "bits", "n_bytes").where("bits is not null and n_bytes > 0"), "held-out")
+    shrunk = lambda bits, n_bytes, mean: F.pow(F.lit(2.0), (F.col(bits) + PRIOR_BYTES * F.col(mean)) / (F.col(n_bytes) + PRIOR_BYTES))
     mean = known.groupBy("model_lang").agg((F.sum("bits") / F.sum("n_bytes")).alias("mean_bits"))
-    shrunk = lambda: F.pow(F.lit(2.0), (F.col("bits") + PRIOR_BYTES * F.col("mean_bits")) / (F.col("n_bytes") + PRIOR_BYTES))
-    limits = known.join(mean, "model_lang").groupBy("model_lang").agg((F.percentile_approx(shrunk(), QUANTILE, 100_000) * MARGIN).alias("threshold"))
-    limits = F.broadcast(saved(mean.join(limits, "model_lang"), "limits"))  # one row for each language
-    scored = _score(docs, table, packed, lang, text).join(limits, own == F.col("model_lang"), "left")
-    scored = scored.withColumn("perplexity", shrunk()).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
-    return scored.drop("bits", "n_bytes", "model_lang", "mean_bits")
+    limits = known.join(mean, "model_lang").groupBy("model_lang").agg(F.first("mean_bits").alias("mean_bits"), F.percentile_approx(shrunk("bits", "n_bytes", "mean_bits"), QUANTILE, 100_000).alias("threshold"))
+    bits, n_bytes, model_lang, mean_bits = made = [free_name(docs.columns, x) for x in ("bits", "n_bytes", "model_lang", "mean_bits")]
+    limits = saved(limits.select(F.col("model_lang").alias(model_lang), F.col("mean_bits").alias(mean_bits), "threshold"), "limits")
+    dropped(counts, known)
+    scored = _score(docs, table, packed, lang, text, (bits, n_bytes)).join(small(limits), own == F.col(model_lang), "left")
+    scored = scored.withColumn("perplexity", shrunk(bits, n_bytes, mean_bits)).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
+    return scored.drop(*made)

@@ -80,24 +80,46 @@ def test_scores_by_broadcast_and_by_join(spark, trained, most):
     assert got[51].bits is None
 
 
+def sentences(rng: random.Random, n: int) -> str:
+    """Words in an order that the language fixes: each has two that may follow it."""
+    words, at = "ab cd ef gh ik lm no pr st uv".split(), rng.randrange(10)
+    out = []
+    for _ in range(n):
+        out.append(words[at])
+        at = (3 * at + rng.choice((1, 4))) % 10
+    return " ".join(out)
+
+
 def test_classifier_on_labelled_documents(spark):
-    """Trusted text stays; shuffled letters, which the model never saw, go; languages without trusted text stay."""
+    """Trusted text stays but for about the share above the quantile; noise and the same words in another order go; languages without a threshold stay."""
     rng = random.Random(7)
-    words = ["".join(rng.choice("aeiou" if k % 2 else "bdklmnrst") for k in range(rng.randint(3, 8))) for _ in range(80)]
-    rows = [(i, " ".join(rng.choice(words) for _ in range(120)), "en", "s", 0) for i in range(200)]
+    rows = [(i, sentences(rng, 120), "en", "s", 0) for i in range(900)]
     junk = [(1000 + i, "".join(rng.choice("qxzjkvwy#%&0123456789 ") for _ in range(700)), "en", "s", 0) for i in range(20)]
-    odd = [(2000, None, "en", "s", 0), (2001, "", "en", "s", 0), (2002, "irgendetwas", "de", "s", 0), (2003, "x", None, "s", 0), (None, rows[0][1], "en", "s", 0), rows[3]]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)] + [(0, 1, 0), (1000, 0, 0), (1001, 1, 1), (None, 1, 0), (2000, None, None)], "doc_id long, quality int, toxic int")
-    df = frame(spark, rows + junk + odd, {"kept": "'x'", "perplexity": "1", "threshold": "2", "mean": "3"})
-    got = K.classify(df, labels).collect()
-    assert len(got) == len(rows + junk + odd)
-    kept = defaultdict(set)
-    for r in got:
-        kept[r.doc_id].add(r.kept)
-    assert all(kept[1000 + i] == {False} for i in range(20))
-    assert sum(kept[i] == {True} for i in range(200)) >= 197
-    assert all(kept[d] == {True} for d in (2000, 2001, 2002, 2003, None))
-    assert [r.perplexity for r in got if r.doc_id == 2002] == [None]
+    for i in range(20):
+        words = sentences(rng, 120).split()
+        rng.shuffle(words)
+        junk.append((1100 + i, " ".join(words), "en", "s", 0))
+    odd = [(2000, None, "en", "s", 0), (2001, "", "en", "s", 0), (2002, "irgendetwas", "de", "s", 0), (2003, "x", None, "s", 0), (None, rows[0][1], "en", "s", 0), rows[3], (2010, "seul", "fr", "s", 0)]
+    trusted = [(i, 1, 0) for i in range(600)]
+    alone = next(i for i in range(3000, 3100) if spark.sql(f"select pmod(xxhash64({i}L), {K.HOLD_OUT}) as x").first().x)  # trained on, so that French has no held-out text
+    odd.append((alone, "un seul texte", "fr", "s", 0))
+    labels = spark.createDataFrame([*trusted, (alone, 1, 0), (0, 1, 0), (1000, 0, 0), (1001, 1, 1), (None, 1, 0), (2000, None, None)], "doc_id long, quality int, toxic int")
+    clash = {"kept": "'x'", "perplexity": "1", "threshold": "2", "mean_bits": "3", "bits": "4", "n_bytes": "5", "model_lang": "'m'", "row": "6", "sum_bits": "7"}
+    kept = {}
+    for most in (K.BROADCAST_NGRAMS, 0):
+        out = K.classify(frame(spark, rows + junk + odd, clash), labels, most=most)
+        assert set(clash) | {"doc_id", "text", "lang", "source", "n_chars"} == set(out.columns)
+        got = out.collect()
+        assert len(got) == len(rows + junk + odd)
+        assert {(r.mean_bits, r.bits, r.n_bytes, r.model_lang, r["row"], r.sum_bits) for r in got} == {(3, 4, 5, "m", 6, 7)}
+        kept[most] = defaultdict(set)
+        for r in got:
+            kept[most][r.doc_id].add(r.kept)
+        assert not any(kept[most][r[0]] == {True} for r in junk)
+        assert sum(kept[most][i] == {True} for i in range(900)) >= 0.97 * 900
+        assert all(kept[most][d] == {True} for d in (2000, 2001, 2002, 2003, 2010))
+        assert [(r.perplexity, r.threshold) for r in got if r.doc_id in (2002, 2010)] == [(None, None)] * 2
+    assert kept[0] == kept[K.BROADCAST_NGRAMS]
 
 
 def test_without_trusted_text_or_rows(spark):
