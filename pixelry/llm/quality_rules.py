@@ -11,8 +11,9 @@ Up to BROADCAST_LINES removable lines of BROADCAST_HOSTS hosts are broadcast; mo
 lines of the documents, so a document meets those that it holds, never the list of its host.
 
 Defined cases: a null or empty text has zero counts and fails the base rules; rows without a host
-share one host; repeated rows are judged alike and count as one document; an empty table gives an empty result.  Result columns
-replace columns of the input that have their names.
+share one host; repeated rows, and documents with the same text, are judged alike and count as one
+document; an empty table gives an empty result.  Result columns replace columns of the input that have
+their names; all others are kept.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelry.llm.textbuf import SpanHasher, binary_array, buffers, code_points, mix, per_text, saved, slices, with_columns, word_spans
+from pixelry.llm.textbuf import SpanHasher, buffers, code_points, dropped, free_name, mix, per_text, same_bytes, saved, slices, with_columns, word_spans
 
 MIN_DOCS, HOST_PERCENT, DEPLETED_PERCENT = 10, 5, 50
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
@@ -71,12 +72,17 @@ def base_counts(lines: Lines) -> dict[str, np.ndarray]:
     symbols = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(_SYMBOLS[buf], out=symbols[1:])
 
-    # lines equal to an earlier line of their text, byte by byte
-    full = lines.words > 0
-    exact = mix(hashes(lines.begin, lines.end) ^ mix(lines.owner.astype(np.uint64)))[full]
-    owner = lines.owner[full]
-    _, first = np.unique(exact, return_index=True)
-    repeated = np.bincount(owner, minlength=n) - np.bincount(owner[first], minlength=n)
+    # lines equal to an earlier line of their text: found by a hash, then compared byte by byte
+    full = np.flatnonzero(lines.words > 0)
+    owner, size = lines.owner[full], (lines.end - lines.begin)[full]
+    _, first, back = np.unique(mix(hashes(lines.begin, lines.end) ^ mix(lines.owner.astype(np.uint64)))[full], return_index=True, return_inverse=True)
+    later = np.flatnonzero(first[back] != np.arange(len(full)))
+    equal = (size[later] == size[first[back[later]]]) & (owner[later] == owner[first[back[later]]])
+    equal[equal] = same_bytes(buf, lines.begin[full[later[equal]]], buf, lines.begin[full[first[back[later[equal]]]]], size[later[equal]])
+    repeated = np.bincount(owner[later], minlength=n)
+    for t in np.unique(owner[later[~equal]]).tolist():  # two lines of one hash
+        own = [buf[lines.begin[i] : lines.end[i]].tobytes() for i in full[owner == t].tolist()]
+        repeated[t] = len(own) - len(set(own))
 
     # windows of three words that the text holds twice or more
     covered = np.zeros(n, np.int64)
@@ -144,13 +150,14 @@ def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", mi
     counts = saved(line_counts(docs, host, text), "line-counts")
     hosts = counts.where("line is null").select("host", F.col("docs").alias("host_docs"))
     often = counts.where(f"line is not null and docs > {min_docs}").join(hosts, "host")
-    return often.where(F.col("docs") * 100 > F.lit(host_percent) * F.col("host_docs")).select("host", "line")
+    found = saved(often.where(F.col("docs") * 100 > F.lit(host_percent) * F.col("host_docs")).select("host", "line"), "frequent-lines")
+    dropped(counts)
+    return found
 
 
 def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = MIN_DOCS, host_percent: float = HOST_PERCENT, depleted_percent: float = DEPLETED_PERCENT) -> DataFrame:
     """docs with the base counts, base_failed, n_removed_lines, n_removed_words, clean_text and kept."""
-    often = saved(frequent_lines(docs, host, text, min_docs, host_percent), "frequent-lines")
-
+    often = frequent_lines(docs, host, text, min_docs, host_percent)
     few = often.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES and often.select("host").distinct().limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     fields = [T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     fields += [T.StructField("base_failed", T.BooleanType()), T.StructField("n_removed_lines", T.LongType()), T.StructField("n_removed_words", T.LongType()), T.StructField("clean_text", T.StringType()), T.StructField("kept", T.BooleanType())]
@@ -163,7 +170,7 @@ def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", min_d
             counts = base_counts(lines)
             words = counts["n_words"]
             failed = (words < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * words)
-            listed = part.column(part.schema.get_field_index("removable")).to_pylist()  # the host, or the row's own lines
+            listed = part.column(part.schema.get_field_index(removable)).to_pylist()  # the host, or the row's own lines
             if shared is not None:
                 listed = [x if x in shared.value else None for x in listed]
             gone = np.zeros(len(lines.begin), bool)
@@ -190,15 +197,17 @@ def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", min_d
 
         return judge
 
-    names = {f.name for f in fields} | {"removable", "removable_host", "removable_digest", "text_digest"}
+    names = {f.name for f in fields}
     held = docs.select(*(F.col(c).cast("string").alias(c) if c == text else F.col(c) for c in docs.columns if c.lower() not in names or c in (text, host)))
+    removable = free_name(held.columns, "removable")
     if few:
         shared = docs.sparkSession.sparkContext.broadcast(_by_host(often))
-        listed = held.withColumn("removable", _host(host))
+        listed = held.withColumn(removable, _host(host))
+        dropped(often)
     else:
         shared = None
-        listed = _with_own_lines(held, often, host, text)
-    return with_columns(listed, text, fields, make).drop("removable")
+        listed = _with_own_lines(held, often, host, text, removable)
+    return with_columns(listed, text, fields, make).drop(removable)
 
 
 def _by_host(often: DataFrame) -> dict[str, bytes]:
@@ -209,24 +218,25 @@ def _by_host(often: DataFrame) -> dict[str, bytes]:
     return {x: np.sort(np.array(v, np.int64).view(np.uint64)).tobytes() for x, v in found.items()}
 
 
-def _with_own_lines(docs: DataFrame, often: DataFrame, host: str, text: str) -> DataFrame:
-    """docs and removable: those lines of the row's text that its host removes, packed; null without any."""
+def _with_own_lines(docs: DataFrame, often: DataFrame, host: str, text: str, out: str = "removable") -> DataFrame:
+    """docs and `out`: those lines of the row's text that its host removes, packed; null without any."""
+    of_host, of_text, digest = (free_name([*docs.columns, out], x) for x in ("removable_host", "removable_digest", "text_digest"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [np.array(x.as_py(), np.int64).tobytes() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["removable_host", "removable_digest", "removable"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=[of_host, of_text, out])
 
     def make():
-        def digest(part: pa.RecordBatch) -> list[pa.Array]:
+        def f(part: pa.RecordBatch) -> list[pa.Array]:
             buf, offs = buffers(part.column(part.schema.get_field_index(text)))
             return [pa.array(SpanHasher(buf)(offs[:-1], offs[1:]).view(np.int64))]
 
-        return digest
+        return f
 
     # copies of a text share its digest and lines
     lines = held_lines(docs, host, text).where("line is not null").join(often, ["host", "line"])
-    own = lines.groupBy("host", "digest").agg(F.collect_set("line").alias("lines")).mapInArrow(pack, "removable_host string, removable_digest long, removable binary")
-    keyed = with_columns(docs, text, [T.StructField("text_digest", T.LongType())], make)
-    same = (_host(host) == F.col("removable_host")) & (F.col("text_digest") == F.col("removable_digest"))
-    return keyed.join(own, same, "left").drop("removable_host", "removable_digest", "text_digest")
+    own = lines.groupBy("host", "digest").agg(F.collect_set("line").alias("lines")).mapInArrow(pack, f"{of_host} string, {of_text} long, {out} binary")
+    keyed = with_columns(docs, text, [T.StructField(digest, T.LongType())], make)
+    same = (_host(host) == F.col(of_host)) & (F.col(digest) == F.col(of_text))
+    return keyed.join(own, same, "left").drop(of_host, of_text, digest)

@@ -68,7 +68,9 @@ def hosted(seed: int) -> list[tuple]:
 def test_against_brute_force(spark, limits):
     rows = awkward() + hosted(9)
     df = frame(spark, rows, {"kept": "1", "n_words": "'x'", "removable": "2", "line": "3", "docs": "4"})
-    assert found(Q.apply_rules(df, min_docs=limits[0], host_percent=limits[1], depleted_percent=limits[2])) == brute(rows, *limits)
+    out = Q.apply_rules(df, min_docs=limits[0], host_percent=limits[1], depleted_percent=limits[2])
+    assert found(out) == brute(rows, *limits)
+    assert {(r.removable, r.line, r.docs) for r in out.collect()} == {(2, 3, 4)}
 
 
 def test_same_without_broadcast(spark, monkeypatch):
