@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelry.llm.textbuf import saved
+from pixelry.llm.textbuf import dropped, saved
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(down, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
-        now = saved(small, "edges")
+        before, now = now, saved(small, "edges")
+        dropped(before)
         state = now.groupBy("u").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).collect()[0].n
         if state is None or (state == 1 and not now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").take(1)):
             break

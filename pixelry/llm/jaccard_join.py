@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelry.llm.components import connected_components
-from pixelry.llm.textbuf import SpanHasher, binary_array, buffers, mix, saved, slices, word_spans
+from pixelry.llm.textbuf import SpanHasher, binary_array, buffers, dropped, mix, saved, slices, small, word_spans
 
 SHINGLE = 5
 #: Least similarity, as NUMERATOR / DENOMINATOR: overlap * (N + D) >= N * (size + size).
@@ -40,9 +40,9 @@ NUMERATOR, DENOMINATOR = 3, 4
 #: Slots of the frequency sketch (bytes to broadcast).
 SKETCH_BITS = 22
 #: Nodes that share a min-hash from which on leaders are sought; nodes compared in one run; leaders of a run; min-hashes.
-FAMILY, RUN, LEADERS, MIN_HASHES = 8, 4096, 6, 3
-#: Rows up to which a table of node keys is broadcast (under 100 bytes a row).
-BROADCAST_ROWS = 400_000
+FAMILY, RUN, LEADERS, MIN_HASHES = 8, 512, 6, 3
+#: Index entries that one partition is to hold; occurrences of a shingle from which on its list is dealt out in pairs of groups.
+ENTRIES, LONG_LIST = 500_000, 50_000
 BLOCK = 32
 
 _SALTS = [np.uint64(x) for x in (0x8A5CD789635D2DFF, 0x121FD2155C472F96, 0x51ED270B7F1E2C33)]
@@ -172,11 +172,6 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, n long, sigs array<long>, set binary")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has few rows, else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Common elements of two sorted arrays without repeats."""
     if len(a) > len(b):
@@ -193,10 +188,16 @@ def similar(o, n, m):
 
 
 def _attach(docs: DataFrame, info: DataFrame, sketch) -> DataFrame:
-    """node and leader: links that nodes of large families have with the leaders of their family."""
+    """node and leader: links that nodes of large families have with leaders of their family.
+
+    A family (the nodes of one min-hash) is dealt into runs of about RUN nodes with leaders of their own;
+    the leaders of a family's runs then form a family in the same way, until each has one run.
+    """
     distinct = info.where("n > 0").select("node", *(f"sig{i}" for i in range(MIN_HASHES))).distinct()
     sigs = distinct.select("node", F.explode(F.array(*(F.col(f"sig{i}") for i in range(MIN_HASHES)))).alias("sig"))
-    hot = saved(sigs.groupBy("sig").count().where(F.col("count") >= FAMILY).select("sig", F.expr(f"cast(ceil(count / {RUN}.0) as int)").alias("runs")), "families")
+    count_runs = lambda members: members.groupBy("sig").count().select("sig", "count", F.expr(f"cast(ceil(count / {RUN}.0) as int)").alias("runs"))
+    hot = saved(count_runs(sigs).where(F.col("count") >= FAMILY), "families")
+    links = None
     if not hot.take(1):
         return docs.sparkSession.createDataFrame([], "node long, leader long")
 
@@ -212,10 +213,12 @@ def _attach(docs: DataFrame, info: DataFrame, sketch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rare)], names=["sig", "node", "set", "runs", "rare"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links to a leader; and the leaders of families of several runs, with their sets."""
         group, leaders, last = None, [], None
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for sig, salt, node, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            links: list[tuple[int, int]] = []
+            tops: list[tuple[int, int, bytes]] = []
+            for sig, salt, runs, node, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if (sig, salt) != group:
                     group, leaders, last = (sig, salt), [], None
                 if node == last:
@@ -223,18 +226,36 @@ def _attach(docs: DataFrame, info: DataFrame, sketch) -> DataFrame:
                 last, own = node, np.frombuffer(raw, np.uint64)
                 for leader, other in leaders:
                     if similar(overlap(own, other), len(own), len(other)):
-                        out.append((node, leader))
+                        links.append((node, leader))
                         break
                 else:
                     if len(leaders) < LEADERS:
                         leaders.append((node, own))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["node", "leader"])
-
-    rows = _sets(docs).select(F.explode("sigs").alias("sig"), "node", "set").join(small(hot), "sig").select("sig", "node", "set", "runs")
-    rows = rows.mapInArrow(commonness, "sig long, node long, set binary, runs int, rare double").withColumn("salt", F.expr("pmod(xxhash64(node), runs)"))
-    dealt = rows.select("sig", "salt", "node", "set", "rare").repartition("sig", "salt").sortWithinPartitions("sig", "salt", "rare", "node")
-    return dealt.mapInArrow(run, "node long, leader long").distinct()
+                        if runs > 1:
+                            tops.append((sig, node, raw))
+            if links:
+                node, leader = (pa.array(c, pa.int64()) for c in zip(*links, strict=True))
+                yield pa.RecordBatch.from_arrays([node, leader, pa.nulls(len(links), pa.int64()), pa.nulls(len(links), pa.binary())], names=["node", "leader", "sig", "set"])
+            if tops:
+                sig, node, raw = zip(*tops, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.nulls(len(tops), pa.int64()), pa.array(sig, pa.int64()), pa.array(raw, pa.binary())], names=["node", "leader", "sig", "set"])
+
+    members, used = _sets(docs).select(F.explode("sigs").alias("sig"), "node", "set"), []
+    while True:
+        rows = members.join(small(hot), "sig").select("sig", "node", "set", "runs")
+        rows = rows.mapInArrow(commonness, "sig long, node long, set binary, runs int, rare double").withColumn("salt", F.expr("pmod(xxhash64(node), runs)"))
+        dealt = rows.select("sig", "salt", "runs", "node", "set", "rare").repartition("sig", "salt").sortWithinPartitions("sig", "salt", "rare", "node")
+        level = saved(dealt.mapInArrow(run, "node long, leader long, sig long, set binary"), "leaders")
+        found = level.where("leader is not null").select("node", "leader")
+        links = found if links is None else links.unionByName(found)
+        members = level.where("leader is null").select("sig", "node", "set")
+        used += [hot, level]
+        hot = saved(count_runs(members), "families")  # LEADERS of each run: a few hundredths of the level before
+        if not hot.take(1):
+            break
+    out = saved(links.distinct(), "members")
+    dropped(*used, hot)
+    return out
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -243,7 +264,13 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 
 
 def _entries(sets: DataFrame, sketch, buckets: int) -> DataFrame:
-    """Index entries in packed blocks: bucket; node, part and size of the sets; hash, set number and position."""
+    """Index entries in packed blocks: bucket; node, part and size of the sets; hash, set number and position.
+
+    The list of a shingle that the sketch holds for longer than LONG_LIST is dealt out: its entries fall
+    into groups by node, and each pair of groups is a list of its own, with a derived hash.
+    """
+
+    groups = np.ceil(np.exp2((np.arange(256) + 1) / 4) / LONG_LIST).astype(np.int64)  # by level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = sketch.value
@@ -259,6 +286,14 @@ def _entries(sets: DataFrame, sketch, buckets: int) -> DataFrame:
                 position = np.arange(len(h)) - np.repeat(offs[:-1], n)
                 take = position < np.repeat(prefix_length(n), n)
                 h, owner, position = h[order][take], owner[take], position[take]
+                spread = groups[level[(h >> bits).astype(np.int64)]]
+                if (spread > 1).any():
+                    place = np.repeat(np.arange(len(h)), spread)
+                    other = np.arange(len(place)) - np.repeat(np.cumsum(spread) - spread, spread)
+                    h, owner, position, spread = h[place], owner[place], position[place], spread[place]
+                    mine = (mix(node[owner].view(np.uint64)) % spread.astype(np.uint64)).astype(np.int64)
+                    code = np.minimum(mine, other) * spread + np.maximum(mine, other)
+                    h = np.where(spread > 1, mix(h + code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), h)
                 bucket = (h % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((h, bucket))
                 h, owner, position, bucket = h[order], owner[order], position[order], bucket[order]
@@ -387,15 +422,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = saved(_info(docs, sketch_bits), "sets-info")
     info = found.where("kind = 0").drop("kind", "blob")
     sketch = spark.sparkContext.broadcast(_sketch(found, sketch_bits))
-    attached = saved(_attach(docs, info, sketch), "members")
+    attached = _attach(docs, info, sketch)
     parts = saved(connected_components(attached, "node", "leader").select("node", F.col("component").alias("part")), "parts")
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     total = info.agg(F.sum("n")).collect()[0][0] or 0
-    buckets = max(tasks, math.ceil(total / 2_000_000))
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (DENOMINATOR - NUMERATOR) / DENOMINATOR / ENTRIES))  # grows with the index
     indexed = _sets(docs).join(small(parts), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    pairs = saved(_candidates(_entries(indexed, sketch, buckets), tasks), "pairs")
+    pairs = saved(_candidates(_entries(indexed, sketch, tasks), tasks), "pairs")
     edges = _overlaps(pairs, docs).where(f"{NUMERATOR + DENOMINATOR} * o >= {NUMERATOR} * (n_a + n_b)").select("a", "b")
-    components = connected_components(edges.unionByName(parts.select(F.col("node").alias("a"), F.col("part").alias("b"))))
+    components = saved(connected_components(edges.unionByName(parts.select(F.col("node").alias("a"), F.col("part").alias("b")))), "components")
+    dropped(pairs, parts)
     classes = info.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     classes = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))

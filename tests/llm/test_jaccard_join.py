@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from pixelry.llm import jaccard_join as J
+from pixelry.llm import textbuf
 from pixelry.llm.components import connected_components
 from tests.llm.samples import SCHEMA, awkward, frame, prose
 
@@ -69,7 +70,13 @@ def test_threshold_is_exact(spark):
     assert (7, 1, 6) in got
 
 
-def test_large_families_of_near_copies(spark):
+@pytest.mark.parametrize("cut", [False, True])
+def test_large_families_of_near_copies(spark, monkeypatch, cut):
+    """cut: in several levels of runs, with lists dealt out by groups, and without broadcasts."""
+    if cut:
+        monkeypatch.setattr(J, "RUN", 16)
+        monkeypatch.setattr(J, "LONG_LIST", 12)
+        monkeypatch.setattr(textbuf, "BROADCAST_ROWS", 0)
     rng = random.Random(3)
     rows = []
     for family in range(3):
