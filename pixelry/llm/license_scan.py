@@ -1,21 +1,26 @@
 """License scan: winnowed template fingerprints pick candidates, banded alignment confirms them.
 
-Templates are short license statements and notices, as words (letters and digits, A-Z in lower case).  A template's
-K-word hashes are winnowed (the least of each WINDOW neighbours stays) and put in an inverted index
-from hash to template and place; the index is broadcast, its size is that of the templates.  Every
-K-word hash of a whole document is looked up.  Hits of a template that go on near one diagonal form
-a candidate, and the document's words around it are aligned with the template's in a band of BAND
-diagonals: matching words count, other words cost.  A match is reported with its coverage (matched
-words over template words), and its span in the document, when the coverage is at least MIN_COVERAGE.
+Templates are license statements, notices and whole license texts, as words (letters and digits, A-Z in
+lower case).  The word hashes of a template's runs of words are put in an inverted index from hash to
+template and place; the index is broadcast, its size is that of the templates.  Templates of up to SHORT
+words are indexed by all their runs of two or three words: where MIN_COVERAGE of a template's words stand
+in order and no words came between, such a run is left, so none is missed.  Longer ones have their
+K-word hashes winnowed (the least of each WINDOW neighbours stays), which finds every one that has
+K + WINDOW - 1 words in a row.  Every run of words of a whole document is looked up.  Hits of a template
+that go on near one diagonal form a candidate, and the document's words around it are aligned with the
+template's in a band of BAND diagonals: matching words count, other words cost.  A match is reported with
+its coverage (matched words over template words), and its span in the document, when the coverage is at
+least MIN_COVERAGE.
 
 Defined cases: a null or empty text has no matches; a template found several times in a document gives
 a row for each place; where matches of several templates overlap, the one with more matched words
 stays (equal ones by coverage, then name); repeated rows give repeated matches; further columns are
-kept, those with the name of a result column are replaced.
+kept, those with the name of a result column are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +31,31 @@ from pyspark.sql import types as T
 from pixelry.llm.textbuf import SpanHasher, buffers, code_points, mix, slices
 
 K, WINDOW, BAND, MIN_COVERAGE = 3, 2, 6, 0.75
-
-# License statements and notices, by identifier.
+#: Words up to which all runs of a template are indexed; words from which on a run of K words must be left by MIN_COVERAGE.
+SHORT, LONG_RUNS = 40, 12
+
+# License statements, notices and whole texts, by identifier.
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'
+_MIT_END = ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 TEMPLATES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "MIT": "Released under the MIT License",
     "MIT-short": "Licensed under the MIT License",
-    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "MIT-text": _MIT,
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-statement": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-2-Clause": _BSD_HEAD + _BSD_END,
+    "BSD-3-Clause": _BSD_HEAD + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_END,
+    "MIT-whole": _MIT + _MIT_END,
+    "BSL-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "ISC-whole": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "Unlicense-whole": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "WTFPL": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-4.0": "Licensed under CC BY 4.0",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
@@ -65,13 +84,19 @@ def license_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return SpanHasher(lower)(starts, ends), starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def gram_hashes(words: np.ndarray) -> np.ndarray:
-    h = np.zeros(max(len(words) - K + 1, 0), np.uint64)
-    for k in range(K):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - K + 1 + k])
+def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` words."""
+    h = np.full(max(len(words) - size + 1, 0), size, np.uint64)
+    for k in range(size if len(h) else 0):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - size + 1 + k])
     return h
 
 
+def run_size(n: int) -> int:
+    """Words of the runs by which a template of n words is indexed."""
+    return min(n, K if n == K or n >= LONG_RUNS else 2)
+
+
 def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Places of the kept hashes: the least of every `window` neighbours, the rightmost of equals."""
     if len(h) <= window:
@@ -91,8 +116,9 @@ class Index:
             raw = np.frombuffer(templates[name].encode(), np.uint8)
             words = license_words(raw, np.array([0, len(raw)]))[0]
             self.words.append(words)
-            h = gram_hashes(words)
-            rows += [(int(h[p]), t, int(p)) for p in winnow(h)]
+            h = gram_hashes(words, run_size(len(words)))
+            rows += [(int(h[p]), t, int(p)) for p in (range(len(h)) if len(words) <= SHORT else winnow(h))]
+        self.sizes = sorted({run_size(len(w)) for w in self.words})
         rows.sort()
         self.hashes = np.array([r[0] for r in rows], np.uint64)
         self.template, self.place = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
@@ -173,18 +199,21 @@ def matches(index: Index, words: np.ndarray, hit_at: np.ndarray, posting: np.nda
         low = max(0, int(diagonal[run[0]]) - BAND)
         high = min(len(words), int(diagonal[run[-1]]) + len(own) + BAND)
         if r and template[runs[r - 1][0]] == t:
-            low = max(low, min(int(hit_at[runs[r - 1][-1]]) + K, int(hit_at[run[0]])))
+            low = max(low, min(int(hit_at[runs[r - 1][-1]]) + run_size(len(own)), int(hit_at[run[0]])))
         if r + 1 < len(runs) and template[runs[r + 1][0]] == t:
-            high = min(high, max(int(hit_at[runs[r + 1][0]]), int(hit_at[run[-1]]) + K))
+            high = min(high, max(int(hit_at[runs[r + 1][0]]), int(hit_at[run[-1]]) + run_size(len(own))))
+        if np.isin(own, words[low:high]).sum() < MIN_COVERAGE * len(own):
+            continue
         got, first, last = align(own, words[low:high], (int(diagonal[run[0]]) + int(diagonal[run[-1]])) // 2 - low)
         if got >= MIN_COVERAGE * len(own):
             found.append((t, got, first + low, last + low))
     found.sort(key=lambda f: (-f[1], -f[1] / len(index.words[f[0]]), index.names[f[0]], f[2]))
-    kept: list[tuple[int, int, int, int]] = []
+    kept: list[tuple[int, int, int, int]] = []  # in the order of their places, which do not overlap
     for f in found:
-        if all(f[3] <= g[2] or f[2] >= g[3] for g in kept):
-            kept.append(f)
-    return sorted(kept, key=lambda f: f[2])
+        at = bisect_left(kept, f[2], key=lambda g: g[2])
+        if (at == 0 or kept[at - 1][3] <= f[2]) and (at == len(kept) or f[3] <= kept[at][2]):
+            kept.insert(at, f)
+    return kept
 
 
 RESULT = [("license", T.StringType()), ("coverage", T.DoubleType()), ("n_matched", T.LongType()), ("n_template", T.LongType()), ("start_char", T.LongType()), ("end_char", T.LongType())]
@@ -203,9 +232,13 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
             for part in slices(batch, text):
                 buf, offs = buffers(part.column(part.schema.get_field_index(text)))
                 words, starts, ends, owner = license_words(buf, offs)
-                at, posting = index.hits(gram_hashes(words))
-                inside = owner[at] == owner[at + K - 1] if len(at) else np.zeros(0, bool)
-                at, posting = at[inside], posting[inside]
+                found = []
+                for size in index.sizes:
+                    at, posting = index.hits(gram_hashes(words, size))
+                    found.append(np.stack([at, posting])[:, owner[at] == owner[at + size - 1]])
+                at, posting = np.concatenate(found, 1)
+                order = np.argsort(at, kind="stable")
+                at, posting = at[order], posting[order]
                 if not len(at):
                     continue
                 points = code_points(buf)
@@ -213,7 +246,7 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
                 who = owner[at]
                 for d in np.unique(who).tolist():
                     a, b = np.searchsorted(owner, [d, d + 1])
-                    own = who == d
+                    own = slice(*np.searchsorted(who, [d, d + 1]))
                     for t, got, first, last in matches(index, words[a:b], at[own] - a, posting[own]):
                         size = len(index.words[t])
                         rows.append((d, index.names[t], got / size, got, size, int(points[starts[a + first]] - points[offs[d]]), int(points[ends[a + last - 1]] - points[offs[d]])))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 
@@ -40,6 +41,56 @@ def test_changed_and_cut_notices(spark):
     assert got[2][4] <= got[3][3]
 
 
+def plain_alignment(template: list, words: list) -> tuple[int, int, int]:
+    """Matched words and span of the best local alignment, over all diagonals."""
+    best, row = (0, 0, 0, 0), [(0, 0, -1)] * (len(words) + 1)
+    for t in template:
+        now = [(0, 0, -1)]
+        for j, w in enumerate(words):
+            score, matches, first = row[j]
+            cell = (score + 2, matches + 1, j if first < 0 else first) if t == w else (score - 2, matches, first)
+            if t == w and cell[:2] > best[:2]:
+                best = (*cell, j + 1)
+            for other in (row[j + 1], now[j]):
+                if other[0] - 1 > cell[0]:
+                    cell = (other[0] - 1, *other[1:])
+            now.append(cell if cell[0] > 0 else (0, 0, -1))
+        row = now
+    return best[1], best[2], best[3]
+
+
+def test_edited_statements_against_plain_alignment(spark):
+    """Every short template with words changed or left out, as far as the least coverage allows, is found as by aligning all templates in full."""
+    rng = random.Random(9)
+    words_of = lambda text: L.license_words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0].tolist()
+    templates = {n: words_of(t) for n, t in L.TEMPLATES.items()}
+    rows, want = [], []
+    for name, text in L.TEMPLATES.items():
+        if len(templates[name]) > L.SHORT:
+            continue
+        for _ in range(4):
+            words = text.replace(",", " ").replace("-", " ").replace(".", " ").replace("/", " ").split()
+            for i in rng.sample(range(len(words)), int(len(words) * (1 - L.MIN_COVERAGE))):
+                words[i] = rng.choice(["", "zzz"])
+            shown = f"{prose(rng, 6)} qq {' '.join(words)} qq {prose(rng, 6)}"
+            rows.append((len(rows), shown, "en", None, None))
+            own = words_of(shown)
+            found = [(got, got / len(t), n) for n, t in templates.items() for got, _, _ in [plain_alignment(t, own)] if got >= L.MIN_COVERAGE * len(t)]
+            want.append(max(found, key=lambda f: (f[0], f[1]))[:2] if found else None)
+    got = {r.doc_id: (r.n_matched, r.coverage) for r in L.scan(frame(spark, rows)).collect()}
+    assert [got.get(i) for i in range(len(rows))] == want
+    assert sum(w is not None for w in want) > 0.9 * len(want)
+
+
+def test_many_repeats_take_linear_time():
+    index = L.Index(L.TEMPLATES)
+    words = np.tile(index.words[index.names.index("MIT-short")], 20_000)
+    at, posting = index.hits(L.gram_hashes(words, 2))
+    began = time.perf_counter()
+    assert len(L.matches(index, words, at, posting)) == 20_000
+    assert time.perf_counter() - began < 60
+
+
 def test_rows_without_notices(spark):
     out = L.scan(frame(spark, awkward()))
     assert out.collect() == []
