@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import html as html_lib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,7 @@ class Page:
         self.parent, self.tag, self.hints, self.scored, self.attributes = [-1], ["body"], [frozenset()], [True], [""]
         self.chunks: list[tuple[int, int, str, bool]] = []
         stack: list[tuple[str, int]] = [("body", 0)]  # open elements; inline ones stand for their block
+        open_: Counter[str] = Counter()  # names on the stack
         block, at, links, hidden = 0, 0, 0, 0
 
         def text(part: str) -> None:
@@ -84,6 +86,7 @@ class Page:
             nonlocal block, links, hidden
             while len(stack) > down_to:
                 name, _ = stack.pop()
+                open_[name] -= 1
                 links -= name == "a"
                 hidden -= name in HIDDEN
                 block += name in BLOCK
@@ -97,7 +100,7 @@ class Page:
                 continue
             name, end, attributes = name.lower(), m[2] or m[5], m[4] or m[7] or ""
             if end:
-                if name not in ("body", "html"):
+                if name not in ("body", "html") and open_[name]:  # each search ends at a tag that it closes
                     for i in range(len(stack) - 1, 0, -1):
                         if stack[i][0] == name:
                             close(i)
@@ -111,7 +114,7 @@ class Page:
                 continue
             if name in ("html", "body"):
                 continue
-            if name in ENDS_P:
+            if name in ENDS_P and open_["p"]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == "p":
                         close(i)
@@ -144,6 +147,7 @@ class Page:
             links += name == "a"
             hidden += name in HIDDEN
             stack.append((name, element))
+            open_[name] += 1
         if at < len(source):
             text(source[at:])
 

@@ -10,16 +10,21 @@ in DataFrame operations, to the same weights.
 
 Defined cases: nulls in source, language or topic are values of their own; a document without tokens
 (null or empty text) has weight and probability 0 and is not sampled; equal ids share their fate; an
-empty table gives an empty result; cells that a target gives no share have weight 0.
+empty table gives an empty result; cells that a target gives no share have weight 0.  Where no weights can
+meet all targets (a value whose cells other targets rule out), fitting stops after ROUNDS and a warning
+states the largest difference that is left.  topic, n_tokens, weight, probability and sampled replace
+columns of that name (but a topic column is used as it is, if no other is given); all others are kept.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelry.llm.textbuf import saved
+from pixelry.llm.textbuf import dropped, free_name, saved
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Target shares are tokens ^ EXPONENT, made to sum to 1, unless they are given.
@@ -73,9 +78,16 @@ def rake(counts: np.ndarray, codes: list[np.ndarray], shares: list[np.ndarray],
             w = w * factor[code]
         if worst < tolerance:
             break
+    else:
+        _warn(worst)
     return w
 
 
+def _warn(left: float) -> None:
+    if left > 1e-6:
+        warnings.warn(f"the targets were not met after {ROUNDS} rounds: a share is off by {left:.2g}", RuntimeWarning, stacklevel=3)
+
+
 def scale(ratio: np.ndarray, counts: np.ndarray, budget: float) -> float:
     """Factor f with sum(counts * min(1, f * ratio)) = budget, or the least that takes all that can be taken."""
     full = np.sort(1 / ratio[ratio > 0])
@@ -121,9 +133,13 @@ def _weights_distributed(cells: DataFrame, targets: dict[str, DataFrame], budget
             factors = saved(sums.join(t, sums[dim].eqNullSafe(t[dim])).select(sums[dim].alias("value"), F.expr("coalesce(share / nullif(now, 0), 0)").alias("factor"), F.expr("case when now > 0 then abs(now - share) end").alias("error")), "factors")
             worst = max(worst, factors.agg(F.max("error")).collect()[0][0] or 0.0)
             now = now.join(factors.select("value", "factor"), now[dim].eqNullSafe(F.col("value"))).withColumn("w", F.col("w") * F.col("factor")).drop("value", "factor")
-        now = saved(now, "raked")
+        before, now = now, saved(now, "raked")
+        if hasattr(before, "saved_path"):
+            dropped(before)
         if worst < TOLERANCE:
             break
+    else:
+        _warn(worst)
     now = now.withColumn("weight", F.expr(f"case when tokens > 0 then w * {max(total, 1)} / tokens else 0 end"))
     now = saved(now, "weights")
     certain, f = 0.0, 0.0
@@ -151,10 +167,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", topic: Colu
     weights = (_weights_on_driver if few else _weights_distributed)(cells, shares, budget)
     if few and cells_on_driver <= BROADCAST_CELLS:
         weights = F.broadcast(weights)
-    keyed = weights.select(*(F.col(d).alias(f"cell_{d}") for d in DIMENSIONS), F.col("weight").alias("cell_weight"), F.col("probability").alias("cell_probability"))
-    same = docs["source"].eqNullSafe(F.col("cell_source")) & docs["lang"].eqNullSafe(F.col("cell_lang")) & docs["topic"].eqNullSafe(F.col("cell_topic"))
+    names = {c: free_name(docs.columns, f"cell_{c}") for c in (*DIMENSIONS, "weight", "probability")}
+    keyed = weights.select(*(F.col(c).alias(n) for c, n in names.items()))
+    same = docs["source"].eqNullSafe(keyed[names["source"]]) & docs["lang"].eqNullSafe(keyed[names["lang"]]) & docs["topic"].eqNullSafe(keyed[names["topic"]])
     out = docs.join(keyed, same, "left")
     some = F.col("n_tokens") > 0
-    out = out.withColumn("weight", F.when(some, F.col("cell_weight")).otherwise(0.0)).withColumn("probability", F.when(some, F.col("cell_probability")).otherwise(0.0))
+    out = out.withColumn("weight", F.when(some, F.col(names["weight"])).otherwise(0.0)).withColumn("probability", F.when(some, F.col(names["probability"])).otherwise(0.0))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id)), 11) / float(1 << 53)
-    return out.withColumn("sampled", draw < F.col("probability")).drop(*(f"cell_{d}" for d in (*DIMENSIONS, "weight", "probability")))
+    return out.withColumn("sampled", draw < F.col("probability")).drop(*names.values())

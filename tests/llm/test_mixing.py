@@ -29,6 +29,50 @@ def test_raked_shares_meet_all_targets():
         assert np.bincount(code, raked) == pytest.approx(share, abs=1e-6)
 
 
+def test_targets_that_cannot_be_met_are_warned_of():
+    """The second source has cells of the first language only, and both are to have a share that rules this out."""
+    codes, counts = [np.array([0, 0, 1]), np.array([0, 1, 0])], np.array([5.0, 5.0, 5.0])
+    with pytest.warns(RuntimeWarning, match="not met"):
+        M.rake(counts, codes, [np.array([0.2, 0.8]), np.array([0.3, 0.7])])
+
+
+def plain_fit(rows: list[tuple], topics: list, budget: float) -> dict:
+    """Probability of each cell (source, lang, topic): marginals fitted by plain loops, and the factor by bisection."""
+    cells: dict[tuple, int] = {}
+    for (_, text, lang, source, _), topic in zip(rows, topics, strict=True):
+        cells[source, lang, topic] = cells.get((source, lang, topic), 0) + len(WORD.findall(text or ""))
+    total = sum(cells.values())
+    w = {c: n / total for c, n in cells.items()}
+    for _ in range(300):
+        for k, dim in enumerate(M.DIMENSIONS):
+            tokens: dict = {}
+            now: dict = {}
+            for c, n in cells.items():
+                tokens[c[k]] = tokens.get(c[k], 0) + n
+                now[c[k]] = now.get(c[k], 0.0) + w[c]
+            raw = {v: n ** M.EXPONENTS[dim] for v, n in tokens.items()}
+            for c in w:
+                w[c] *= raw[c[k]] / sum(raw.values()) / now[c[k]] if now[c[k]] else 0
+    ratio = {c: w[c] * total / n if n else 0.0 for c, n in cells.items()}
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        f = (low + high) / 2
+        low, high = (f, high) if sum(n * min(1, f * ratio[c]) for c, n in cells.items()) < budget * total else (low, f)
+    return {c: min(1, low * r) for c, r in ratio.items()}
+
+
+@pytest.mark.parametrize("cells", [M.CELLS_ON_DRIVER, 0])
+def test_probabilities_against_a_plain_fit(spark, cells):
+    rows = corpus(200)
+    out = M.mix(frame(spark, rows), cells_on_driver=cells).collect()
+    topics = {r.doc_id: r.topic for r in out}
+    want = plain_fit(rows, [topics[r[0]] for r in rows], M.BUDGET)
+    for r in out:
+        assert r.probability == pytest.approx(want[r.source, r.lang, r.topic] if r.n_tokens else 0, abs=1e-6)
+    taken = sum(r.n_tokens for r in out if r.sampled)
+    assert taken == pytest.approx(M.BUDGET * sum(r.n_tokens for r in out), rel=0.1)
+
+
 def test_scale_reaches_the_budget():
     rng = np.random.default_rng(2)
     ratio, counts = rng.random(30) * 5, rng.integers(1, 100, 30).astype(float)
@@ -39,8 +83,10 @@ def test_scale_reaches_the_budget():
 
 def test_mixture(spark):
     rows = corpus() + awkward()
-    out = M.mix(frame(spark, rows, {"weight": "'x'", "cell_source": "1", "sampled": "2"}).drop("cell_source")).collect()
+    clash = {f"cell_{c}": "7" for c in (*M.DIMENSIONS, "weight", "probability")}
+    out = M.mix(frame(spark, rows, {"weight": "'x'", "sampled": "2", **clash})).collect()
     assert len(out) == len(rows)
+    assert {tuple(r[c] for c in clash) for r in out} == {(7,) * 5}
     words = {}
     for r in rows:
         words.setdefault(r[0], set()).add(len(WORD.findall(r[1] or "")))
