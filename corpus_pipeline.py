@@ -14,39 +14,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelry.llm import byte_bpe, jaccard_join, kneser_ney, mixing, quality_rules
-from pixelry.llm.textbuf import saved
+from pixelry.llm.textbuf import free_name, saved, small
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within their language's limit."""
+    """Documents whose perplexity is within their language's limit.
+
+    Null and empty texts, languages without a limit and an empty table stay as they are; repeated rows share
+    their fate; an empty `labels` gives no model and keeps all.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return kneser_ney.classify(docs, labels).where("kept").select(docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without the lines of more than MIN_DOCS documents of their source, however large it is."""
+    """Documents that pass the rules, without the lines of more than MIN_DOCS documents of their source, however large it is.
+
+    Null, empty and short texts fail the rules; rows without a source share one; n_chars is counted anew only
+    where lines went.
+    """
     judged = quality_rules.apply_rules(docs, host_percent=0).where("kept").withColumn("text", F.col("clean_text"))
     return judged.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the least id.  Rows without an id stay."""
-    found = saved(jaccard_join.near_duplicates(docs), "near-duplicates")
-    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(jaccard_join.small(copies), "doc_id", "left_anti")
-    counts = found.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("ids")).collect()[0]
-    if counts.n != counts.ids:  # rows that repeat an id
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
-    return left.select(docs.columns)
+    """One row of each group of near copies: that with the least id (rows without an id come last).
+
+    Rows are told apart by a number, so different texts that share an id are judged each for itself, and of
+    repeated rows one stays.  Rows without words are alone in their groups and all stay; an empty table
+    stays empty.
+    """
+    row = free_name(docs.columns, "row")
+    numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = jaccard_join.near_duplicates(numbered, doc_id=row).select(F.col("doc_id").alias("row"), "component_id")
+    found = saved(found.join(numbered.select(F.col(row).alias("row"), F.col("doc_id").alias("id")), "row"), "near-duplicates")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    groups = found.groupBy("component_id").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = found.join(groups, "component_id").where("row <> first.row").select(F.col("row").alias(row))
+    copies = saved(copies, "copies")
+    return numbered.join(small(copies), row, "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample weighted towards the target shares of sources, languages and topics; probabilities cut at 1 keep it from meeting them."""
+    """A sample weighted towards the target shares of sources, languages and topics; probabilities cut at 1 keep it from meeting them.
+
+    Null values are values of their own; texts without words are not sampled; rows of one id share their fate.
+    """
     return mixing.mix(docs).where("sampled").select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit) of every document."""
+    """Token ids (little-endian unsigned 32-bit) of every document; a null or empty text has none; each row gives a row."""
     ids = byte_bpe.encode(docs, "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return ids.select("doc_id", "lang", "source", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids")
 
