@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelry.functions import samples as S
 from pixelry.operators import compose, generate, geometry, point, resample, window
-from pixelry.plans.raster import Raster, embeddings_raster, events_raster, with_alpha
+from pixelry.plans.raster import Raster, embeddings_raster, events_raster, from_table, with_alpha
 from pixelry.sources import formats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,8 +63,10 @@ _r1("brighten", lambda r: point.brighten(r, 60), f"x, y, {_each('least(255, @ +
 _r1("darken", lambda r: point.brighten(r, -40), f"x, y, {_each('greatest(0, @ - 40)')}")
 _CONTRAST = "CAST(floor(round(greatest(0.0, least(255.0, (((CAST(@ AS DOUBLE) / 255 - 0.5) * 1.5625) + 0.5) * 255)), 6)) AS INT)"
 _ra("contrast", lambda r: point.contrast(r, 25.0), f"x, y, {_each(_CONTRAST, 'rgba')}")
-_HUE = S.hue_matrix(75)
-_r1("huerotate", lambda r: point.huerotate(r, 75), "x, y, " + ", ".join(f"CAST(floor(round(greatest(0.0, least(255.0, CAST(r AS DOUBLE) * CAST({m[0]!r} AS DOUBLE) + CAST(g AS DOUBLE) * CAST({m[1]!r} AS DOUBLE) + CAST(b AS DOUBLE) * CAST({m[2]!r} AS DOUBLE))), 6)) AS INT) AS c{i}" for i, m in enumerate(_HUE)))
+# hue rotation by 75 degrees: base, cosine and sine parts, summed in SQL
+_HUE = [[(0.213, 0.787, -0.213), (0.715, -0.715, -0.715), (0.072, -0.072, 0.928)], [(0.213, -0.213, 0.143), (0.715, 0.285, 0.140), (0.072, -0.072, -0.283)], [(0.213, -0.213, -0.787), (0.715, -0.715, 0.715), (0.072, 0.928, 0.072)]]
+_TURN = lambda v: f"({v[0]}::DOUBLE + cos(radians(75)) * {v[1]} + sin(radians(75)) * {v[2]})"
+_r1("huerotate", lambda r: point.huerotate(r, 75), "x, y, " + ", ".join(f"CAST(floor(round(greatest(0.0, least(255.0, {' + '.join(f'{c}::DOUBLE * {_TURN(v)}' for c, v in zip('rgb', row, strict=True))})), 6)) AS INT) AS c{i}" for i, row in enumerate(_HUE)))
 _r1("convert_u8_u16", lambda r: point.convert(r, kind="u16"), f"x, y, {_each('@ * 257')}")
 _r1("convert_u16_u8", lambda r: point.convert(Raster(r.select([c * 251 for c in r.channels]).pixels, "Rgb", "u16"), kind="u8"), f"x, y, {_each('CAST((@ * 251 + 128) // 257 AS INT)')}")
 _r1("convert_f32_u8", lambda r: point.convert(point.convert(r, kind="f32"), kind="u8"), f"x, y, {_RGB}")
@@ -85,7 +87,8 @@ _YCC = [("r + 1.402::DOUBLE * (b - 128)"), "r - 0.344136::DOUBLE * (g - 128) - 0
 _r1("ycbcr_to_rgb", lambda r: r.select(S.ycbcr_to_rgb(*r.channels)), "x, y, " + ", ".join(f"greatest(0, least(255, {_HALF.format(e)})) AS c{i}" for i, e in enumerate(_YCC)))
 _LIN = "CASE WHEN @ / 255.0::DOUBLE <= 0.04045 THEN @ / 255.0::DOUBLE / 12.92 ELSE pow((@ / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END"
 _r1("srgb_to_linear", lambda r: point.convert_color_space(r, ("srgb", "srgb"), ("srgb", "linear")), "x, y, " + _each(_HALF.format(f"({_LIN}) * 255")))
-_P3 = point.primaries_matrix("srgb", "display-p3")
+# linear sRGB to Display P3, from the chromaticities in exact fractions
+_P3 = [[0.82246196871436228, 0.17753803128563775, 0.0], [0.033194198850961622, 0.96680580114903836, 0.0], [0.017082630721120033, 0.072397440663963475, 0.91051992861491649]]
 _P3_SQL = [" + ".join(f"l{c} * CAST({m[j]!r} AS DOUBLE)" for j, c in enumerate("rgb")) for m in _P3]
 _GAMMA = "CASE WHEN v{0} <= 0.0031308 THEN v{0} * 12.92 ELSE 1.055 * pow(v{0}, 1 / 2.4::DOUBLE) - 0.055 END"
 _r1("srgb_to_display_p3", lambda r: point.convert_color_space(r, ("srgb", "srgb"), ("display-p3", "srgb")), "x, y, " + ", ".join(_HALF.format(f"({_GAMMA.format(i)}) * 255") + f" AS c{i}" for i in range(3)),
@@ -115,13 +118,13 @@ _r1("flip_horizontal", geometry.flip_horizontal, f"w - 1 - x AS x, y, {_RGB}")
 _r1("flip_vertical", geometry.flip_vertical, f"x, h - 1 - y AS y, {_RGB}")
 for _o, _place in {1: "x, y", 2: "w - 1 - x AS x, y", 3: "w - 1 - x AS x, h - 1 - y AS y", 4: "x, h - 1 - y AS y", 5: "y AS x, x AS y", 6: "h - 1 - y AS x, x AS y", 7: "h - 1 - y AS x, w - 1 - x AS y", 8: "y AS x, w - 1 - x AS y"}.items():
     _r1(f"orientation_{_o}", lambda r, o=_o: geometry.orient(r, F.lit(o)), f"{_place}, {_RGB}")
-_add("rotate90_corpus", lambda spark, d: (lambda r: r.pixels.select("image_id", "x", "y", "c0"))(geometry.rotate90(embeddings_raster(spark, d))), f"WITH {R2} SELECT CAST(vec_id AS VARCHAR) AS image_id, 7 - y AS x, x AS y, v AS c0 FROM r2")
+_add("rotate90_corpus", lambda spark, d: (lambda r: r.pixels.select("picture_id", "x", "y", "c0"))(geometry.rotate90(embeddings_raster(spark, d))), f"WITH {R2} SELECT CAST(vec_id AS VARCHAR) AS picture_id, 7 - y AS x, x AS y, v AS c0 FROM r2")
 _r1("get_pixel", lambda r: geometry.get_pixel(r, 42, 3), f"x, y, {_RGB}", "FROM r1 WHERE x = 42 AND y = 3")
 _r1("put_pixel", lambda r: geometry.put_pixel(r, 1, 2, [9, 8, 7]), f"x, y, {', '.join(f'CASE WHEN x = 1 AND y = 2 THEN {v} ELSE {c} END AS c{i}' for i, (c, v) in enumerate(zip('rgb', (9, 8, 7), strict=True)))}")
 _add(
     "resize_dimensions",
-    lambda spark, d: embeddings_raster(spark, d).pixels.select("image_id", "w", "h").distinct().select("image_id", *(c.alias(n) for n, c in zip(("fit_w", "fit_h", "fill_w", "fill_h"), (*geometry.resize_dimensions(F.col("w") * 3, F.col("h"), 100, 77), *geometry.resize_dimensions(F.col("w") * 3, F.col("h"), 100, 77, True)), strict=True))),
-    "SELECT CAST(vec_id AS VARCHAR) AS image_id, 100 AS fit_w, 33 AS fit_h, 231 AS fill_w, 77 AS fill_h FROM embeddings",
+    lambda spark, d: embeddings_raster(spark, d).pixels.select("picture_id", "w", "h").distinct().select("picture_id", *(c.alias(n) for n, c in zip(("fit_w", "fit_h", "fill_w", "fill_h"), (*geometry.resize_dimensions(F.col("w") * 3, F.col("h"), 100, 77), *geometry.resize_dimensions(F.col("w") * 3, F.col("h"), 100, 77, True)), strict=True))),
+    "SELECT CAST(vec_id AS VARCHAR) AS picture_id, 100 AS fit_w, 33 AS fit_h, 231 AS fill_w, 77 AS fill_h FROM embeddings",
 )
 
 # --- two pictures
@@ -150,9 +153,9 @@ _GRID = "grid AS (SELECT CAST(i % 64 AS INT) AS x, CAST(i // 64 AS INT) AS y FRO
 _add("gradient_vertical", lambda spark, d: _out(generate.vertical_gradient(spark, 64, 48, [0, 200, 10], [255, 20, 10])), f"WITH {_GRID} SELECT x, y, CAST(floor(round(0 + 255 * (CAST(y AS DOUBLE) / 47), 6)) AS INT) AS c0, CAST(floor(round(200 - 180 * (CAST(y AS DOUBLE) / 47), 6)) AS INT) AS c1, 10 AS c2 FROM grid")
 _add("gradient_horizontal", lambda spark, d: _out(generate.horizontal_gradient(spark, 64, 48, [0, 200, 10], [255, 20, 10])), f"WITH {_GRID} SELECT x, y, CAST(floor(round(0 + 255 * (CAST(x AS DOUBLE) / 63), 6)) AS INT) AS c0, CAST(floor(round(200 - 180 * (CAST(x AS DOUBLE) / 63), 6)) AS INT) AS c1, 10 AS c2 FROM grid")
 _add("from_fn", lambda spark, d: _out(generate.from_fn(spark, 64, 48, lambda x, y: [(x * y) % 256, F.abs(x - y), x])), f"WITH {_GRID} SELECT x, y, x * y % 256 AS c0, abs(x - y) AS c1, x AS c2 FROM grid")
-_add("from_raw", lambda spark, d: (lambda r: r.pixels.select("image_id", "x", "y", "c0", "c1", "c2", "c3"))(generate.from_raw(spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("image_id"), F.lit(4).alias("w"), F.lit(4).alias("h"), "embedding"), "embedding", "Rgba", "f32")),
-     "SELECT CAST(vec_id AS VARCHAR) AS image_id, CAST(p % 4 AS INT) AS x, CAST(p // 4 AS INT) AS y, embedding[4 * p + 1] AS c0, embedding[4 * p + 2] AS c1, embedding[4 * p + 3] AS c2, embedding[4 * p + 4] AS c3 FROM (SELECT vec_id, embedding, unnest(generate_series(0, 15)) AS p FROM embeddings)")
-_add("into_raw", lambda spark, d: generate.into_raw(embeddings_raster(spark, d)).select("image_id", F.col("samples")[9].alias("s9"), F.col("samples")[63].alias("s63"), F.size("samples").alias("n")), "SELECT CAST(vec_id AS VARCHAR) AS image_id, embedding[10] AS s9, embedding[64] AS s63, CAST(len(embedding) AS INT) AS n FROM embeddings")
+_add("from_raw", lambda spark, d: (lambda r: r.pixels.select("picture_id", "x", "y", "c0", "c1", "c2", "c3"))(generate.from_raw(spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("picture_id"), F.lit(4).alias("w"), F.lit(4).alias("h"), "embedding"), "embedding", "Rgba", "f32")),
+     "SELECT CAST(vec_id AS VARCHAR) AS picture_id, CAST(p % 4 AS INT) AS x, CAST(p // 4 AS INT) AS y, embedding[4 * p + 1] AS c0, embedding[4 * p + 2] AS c1, embedding[4 * p + 3] AS c2, embedding[4 * p + 4] AS c3 FROM (SELECT vec_id, embedding, unnest(generate_series(0, 15)) AS p FROM embeddings)")
+_add("into_raw", lambda spark, d: generate.into_raw(embeddings_raster(spark, d)).select("picture_id", F.col("samples")[9].alias("s9"), F.col("samples")[63].alias("s63"), F.size("samples").alias("n")), "SELECT CAST(vec_id AS VARCHAR) AS picture_id, embedding[10] AS s9, embedding[64] AS s63, CAST(len(embedding) AS INT) AS n FROM embeddings")
 _add("rows", lambda spark, d: generate.rows(point.grayscale(events_raster(spark, d))).select("y", F.aggregate("samples", F.lit(0), lambda a, v: a + v).cast("bigint").alias("total"), F.col("samples")[0].alias("c0")), f"WITH {R1} SELECT y, CAST(sum({_LUMA}) AS BIGINT) AS total, arg_min({_LUMA}, x) AS c0 FROM r1 GROUP BY y")
 
 # --- aggregation and resampling
@@ -161,63 +164,94 @@ _r1("thumbnail_odd", lambda r: resample.thumbnail_exact(r, 7, 3), "x, y, " + _ea
 _ra("constant_alpha", lambda r: Raster(resample.has_constant_alpha(r).select(F.lit(0).alias("x"), F.lit(0).alias("y"), *[F.col("constant").cast("int").alias(f"c{i}") for i in range(4)]), "Rgba"), "0 AS x, 0 AS y, " + ", ".join(f"CAST(min(a) = max(a) AS INT) AS c{i}" for i in range(4)))
 
 
-def _weights_sql(name: str, size: int, new_size: int, filter_name: str) -> str:
-    return f"{name}(o, i, k) AS (VALUES " + ", ".join(f"({o}, {i}, CAST({w!r} AS DOUBLE))" for o, i, w in resample.weights(size, new_size, filter_name)) + ")"
+_PI = "3.141592653589793::DOUBLE"
+#: Kernels in SQL of the distance t, and their supports.
+_KERNELS = {
+    "triangle": ("greatest(0.0, 1 - abs(t))", 1),
+    "catmull_rom": ("CASE WHEN abs(t) < 1 THEN 1.5 * pow(abs(t), 3) - 2.5 * t * t + 1 WHEN abs(t) < 2 THEN -0.5 * pow(abs(t), 3) + 2.5 * t * t - 4 * abs(t) + 2 ELSE 0 END", 2),
+    "gaussian": ("exp(-2 * t * t)", 3),
+    "lanczos3": (f"CASE WHEN t = 0 THEN 1 WHEN abs(t) < 3 THEN 3 * sin({_PI} * t) * sin({_PI} * t / 3) / ({_PI} * {_PI} * t * t) ELSE 0 END", 3),
+}
 
 
-def _resize(name: str, filter_name: str, new_w: int, new_h: int) -> None:
-    """On the first 100 by 10 pixels, which every scale has."""
-    sums = lambda axis, other, src: ", ".join(f"sum({c} * k) AS {c}" for c in "rgb")
-    sql = f"WITH {R1}, {_weights_sql('wy', 10, new_h, filter_name)}, {_weights_sql('wx', 100, new_w, filter_name)}, v AS (SELECT x, o AS y, {sums('y', 'x', 'r1')} FROM r1 JOIN wy ON y = i GROUP BY x, o), z AS (SELECT o AS x, y, {sums('x', 'y', 'v')} FROM v JOIN wx ON x = i GROUP BY o, y) SELECT x, y, " + _each(f"greatest(0, least(255, {_HALF.format('@')}))") + " FROM z"
-    _add(name, lambda spark, d: _out(resample.resize_exact(geometry.crop(events_raster(spark, d), 0, 0, 100, 10), (100, 10), (new_w, new_h), filter_name)), sql)
+def _weights_sql(name: str, size: str, new_size: str, filter_name: str) -> str:
+    """A table of (o, i, k): normal weights of all taps of an axis."""
+    kernel, support = _KERNELS[filter_name]
+    low, high = f"greatest(0, least(n - 1, floor(centre - {support} * greatest(ratio, 1))))", f"least(n, ceil(centre + {support} * greatest(ratio, 1)))"
+    places = f"SELECT o, (o + 0.5::DOUBLE) * n / m AS centre, n / m::DOUBLE AS ratio, n FROM (SELECT unnest(range(m)) AS o, n, m FROM (SELECT {size} AS n, {new_size} AS m FROM (SELECT max(w) AS w, max(h) AS h FROM r1)))"
+    taps = f"SELECT o, i, (i + 0.5::DOUBLE - centre) / greatest(ratio, 1) AS t FROM (SELECT *, unnest(range(CAST({low} AS BIGINT), CAST(greatest({low} + 1, {high}) AS BIGINT))) AS i FROM ({places}))"
+    return f"{name} AS (SELECT o, i, k / sum(k) OVER (PARTITION BY o) AS k FROM (SELECT o, i, {kernel} AS k FROM ({taps})))"
+
+
+def _resize(name: str, filter_name: str, new_w: int, new_h: tuple[int, int]) -> None:
+    """The whole events raster to a width and a share of its height; under both of its names."""
+    sums = ", ".join(f"sum({c} * k) AS {c}" for c in "rgb")
+    height = f"greatest(1, h * {new_h[0]} // {new_h[1]})"
+    sql = f"WITH {R1}, {_weights_sql('wy', 'h', height, filter_name)}, {_weights_sql('wx', 'w', str(new_w), filter_name)}, v AS (SELECT x, o AS y, {sums} FROM r1 JOIN wy ON y = i GROUP BY x, o), z AS (SELECT o AS x, y, {sums} FROM v JOIN wx ON x = i GROUP BY o, y) SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, " + _each(f"greatest(0, least(255, {_HALF.format('@')}))") + " FROM z"
+    tall = lambda: F.greatest(F.lit(1), F.expr(f"cast(h * {new_h[0]} div {new_h[1]} as int)"))
+    for each in (name, f"{name}_whole"):
+        _add(each, lambda spark, d: _out(resample.resize_exact(events_raster(spark, d), new_w, tall(), filter_name)), sql)
 
 
 for _f in ("triangle", "catmull_rom", "gaussian", "lanczos3"):
-    _resize(f"resize_{_f}", _f, 40, 6)
-_resize("enlarge_triangle", "triangle", 150, 17)
-_r1("resize_nearest", lambda r: resample.resize_exact(geometry.crop(r, 0, 0, 100, 10), (100, 10), (30, 25), "nearest"), f"o.x, p.y, {_RGB}", "FROM (SELECT CAST(i AS INT) AS x, CAST(floor((i + 0.5) * 100 / 30) AS INT) AS ix FROM range(30) t(i)) o, (SELECT CAST(i AS INT) AS y, CAST(floor((i + 0.5) * 10 / 25) AS INT) AS iy FROM range(25) t(i)) p JOIN r1 ON r1.x = ix AND r1.y = iy")
+    _resize(f"resize_{_f}", _f, 40, (6, 10))
+_resize("enlarge_triangle", "triangle", 150, (17, 10))
+_NEAREST = f"WITH {R1} SELECT CAST(ox AS INT) AS x, CAST(oy AS INT) AS y, {_RGB} FROM (SELECT unnest(range(30)) AS ox), (SELECT unnest(range(h * 25 // 10)) AS oy, h AS tall FROM (SELECT max(h) AS h FROM r1)) JOIN r1 ON r1.x = CAST(floor((ox + 0.5) * 100 / 30) AS INT) AND r1.y = CAST(floor((oy + 0.5) * tall / (tall * 25 // 10)) AS INT)"
+for _f in ("resize_nearest", "resize_nearest_whole"):
+    _add(_f, lambda spark, d: _out(resample.resize_exact(events_raster(spark, d), 30, F.expr("cast(h * 25 div 10 as int)"), "nearest")), _NEAREST)
 
 
 def _probes(spark: SparkSession, d: str) -> DataFrame:
-    """A place for each of the first 500 events."""
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id < 500")
-    return e.select(F.lit("events").alias("image_id"), F.col("event_id").alias("probe"), ((F.col("event_id") * 37 % 1001) / 1000.0).alias("u"), ((F.col("event_id") * 91 % 1003) / 1000.0).alias("v"))
+    """A place for every event."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select(F.lit("events").alias("picture_id"), F.col("event_id").alias("probe"), ((F.col("event_id") * 37 % 1001) / 1000.0).alias("u"), ((F.col("event_id") * 91 % 1003) / 1000.0).alias("v"))
 
 
-_PROBES = "pr AS (SELECT event_id AS probe, (event_id * 37 % 1001) / 1000.0::DOUBLE AS u, (event_id * 91 % 1003) / 1000.0::DOUBLE AS v FROM events WHERE event_id < 500), pl AS (SELECT probe, CASE WHEN v <= 1 THEN greatest(0.0, least(99.0, u * 100 - 0.5)) END AS qx, CASE WHEN v <= 1 THEN greatest(0.0, least(9.0, v * 10 - 0.5)) END AS qy FROM pr)"
-_TEN = lambda spark, d: geometry.crop(events_raster(spark, d), 0, 0, 100, 10)
-_add("sample_nearest", lambda spark, d: resample.sample_nearest(_probes(spark, d), _TEN(spark, d), F.col("u"), F.col("v"), (100, 10)).select("probe", "c0", "c1", "c2"), f"WITH {R1}, {_PROBES} SELECT probe, r AS c0, g AS c1, b AS c2 FROM pl LEFT JOIN r1 ON x = CAST(floor(qx + 0.5) AS INT) AND y = CAST(floor(qy + 0.5) AS INT)")
-_add(
-    "sample_bilinear",
-    lambda spark, d: resample.sample_bilinear(_probes(spark, d), _TEN(spark, d), "probe", F.col("u"), F.col("v"), (100, 10)).select("probe", "c0", "c1", "c2"),
+_PROBES = "pr AS (SELECT event_id AS probe, (event_id * 37 % 1001) / 1000.0::DOUBLE AS u, (event_id * 91 % 1003) / 1000.0::DOUBLE AS v FROM events), pl AS (SELECT probe, CASE WHEN v <= 1 THEN greatest(0.0, least(w - 1.0, u * w - 0.5)) END AS qx, CASE WHEN v <= 1 THEN greatest(0.0, least(h - 1.0, v * h - 0.5)) END AS qy FROM pr, (SELECT max(w) AS w, max(h) AS h FROM r1))"
+_NEAREST = f"WITH {R1}, {_PROBES} SELECT probe, r AS c0, g AS c1, b AS c2 FROM pl LEFT JOIN r1 ON x = CAST(floor(qx + 0.5) AS INT) AND y = CAST(floor(qy + 0.5) AS INT)"
+_BILINEAR = (
     f"WITH {R1}, {_PROBES}, s AS (SELECT probe, sum(k * r) AS r, sum(k * g) AS g, sum(k * b) AS b FROM (SELECT probe, dx, dy, qx, qy, (CASE WHEN dx = 1 THEN qx - floor(qx) ELSE 1 - (qx - floor(qx)) END) * (CASE WHEN dy = 1 THEN qy - floor(qy) ELSE 1 - (qy - floor(qy)) END) AS k FROM pl, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(dx, dy)) q JOIN r1 ON r1.x = CAST(floor(qx) AS INT) + dx AND r1.y = CAST(floor(qy) AS INT) + dy WHERE k > 0 GROUP BY probe) "
-    f"SELECT pr.probe, {_each(_HALF.format('@'))} FROM pr LEFT JOIN s ON pr.probe = s.probe",
+    f"SELECT pr.probe, {_each(_HALF.format('@'))} FROM pr LEFT JOIN s ON pr.probe = s.probe"
 )
+for _f in ("", "_whole"):
+    _add(f"sample_nearest{_f}", lambda spark, d: resample.sample_nearest(_probes(spark, d), events_raster(spark, d), F.col("u"), F.col("v")).select("probe", "c0", "c1", "c2"), _NEAREST)
+    _add(f"sample_bilinear{_f}", lambda spark, d: resample.sample_bilinear(_probes(spark, d), events_raster(spark, d), F.col("u"), F.col("v")).select("probe", "c0", "c1", "c2"), _BILINEAR)
 
-# --- the same on the whole events raster, with a probe for every event; tests hold them against brute force
+# pictures of mixed sizes
+_MIXED = "mx AS (SELECT picture_id, wd AS w, CAST(c // wd AS INT) AS h, n % wd AS x, n // wd AS y, v FROM (SELECT user_id AS picture_id, CAST(user_id % 8 + 2 AS INT) AS wd, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS n, count(*) OVER (PARTITION BY user_id) AS c, CAST((event_id * 13) % 256 AS INT) AS v FROM events) WHERE n < c // wd * wd)"
 
 
-def _whole(query: Callable[[SparkSession, str, Raster, int], DataFrame]) -> Query:
-    """A query that is given the events raster and its height."""
+def _mixed_sizes(spark: SparkSession, d: str) -> Raster:
+    """A grey picture of each user's events in their order, of width user_id % 8 + 2 and as many full lines as they make."""
+    events = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id")
+    own = Window.partitionBy("user_id")
+    rows = events.select("user_id", "event_id", (F.col("user_id") % 8 + 2).alias("wd"), (F.row_number().over(own.orderBy("event_id")) - 1).alias("n"), F.count("*").over(own).alias("c"))
+    rows = rows.withColumn("h", F.expr("c div wd")).where("n < h * wd")
+    return from_table(rows, F.col("user_id"), F.col("wd"), F.col("h"), F.col("n") % F.col("wd"), F.floor(F.col("n") / F.col("wd")), [(F.col("event_id") * 13) % 256], "L")
 
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        r = events_raster(spark, d)
-        return query(spark, d, r, r.pixels.select("h").first().h)
 
-    return run
+_FIT = "greatest(1, CAST(floor({0} * {1}(5 / w::DOUBLE, 4 / h::DOUBLE) + 0.5) AS INT))"
+_FIT_W, _FIT_H = _FIT.format("w", "least"), _FIT.format("h", "least")
 
 
-def _all_probes(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/events.parquet")
-    return e.select(F.lit("events").alias("image_id"), F.col("event_id").alias("probe"), ((F.col("event_id") * 37 % 1001) / 1000.0).alias("u"), ((F.col("event_id") * 91 % 1003) / 1000.0).alias("v"))
+def _mixed_out(r: Raster) -> DataFrame:
+    return r.pixels.select("picture_id", "w", "h", "x", "y", "c0")
 
 
-for _f in ("triangle", "catmull_rom", "gaussian", "lanczos3"):
-    _add(f"resize_{_f}_whole", _whole(lambda spark, d, r, h, f=_f: _out(resample.resize_exact(r, (100, h), (40, max(1, h * 6 // 10)), f))))
-_add("enlarge_triangle_whole", _whole(lambda spark, d, r, h: _out(resample.resize_exact(r, (100, h), (150, h * 17 // 10), "triangle"))))
-_add("resize_nearest_whole", _whole(lambda spark, d, r, h: _out(resample.resize_exact(r, (100, h), (30, h * 25 // 10), "nearest"))))
-_add("sample_nearest_whole", _whole(lambda spark, d, r, h: resample.sample_nearest(_all_probes(spark, d), r, F.col("u"), F.col("v"), (100, h)).select("probe", *r.names)))
-_add("sample_bilinear_whole", _whole(lambda spark, d, r, h: resample.sample_bilinear(_all_probes(spark, d), r, "probe", F.col("u"), F.col("v"), (100, h)).select("probe", *r.names)))
+def _mixed_triangle(fit: str, cut: str) -> str:
+    """Both passes for each picture, from taps of all its places; fit: least or greatest."""
+    wide, tall = _FIT.format("w", fit), _FIT.format("h", fit)
+    axis = lambda n, m, at: f"SELECT picture_id, o, i, k / sum(k) OVER (PARTITION BY picture_id, o) AS k FROM (SELECT picture_id, o, i, CASE WHEN n = m THEN CAST(i = o AS INT) ELSE greatest(0.0, 1 - abs((i + 0.5::DOUBLE - c) / greatest(n / m::DOUBLE, 1))) END AS k FROM (SELECT *, unnest(range(CAST(greatest(0, least(n - 1, floor(c - greatest(n / m::DOUBLE, 1)))) AS BIGINT), CAST(least(n, greatest(greatest(0, least(n - 1, floor(c - greatest(n / m::DOUBLE, 1)))) + 1, ceil(c + greatest(n / m::DOUBLE, 1)))) AS BIGINT))) AS i FROM (SELECT *, (o + 0.5::DOUBLE) * n / m AS c FROM (SELECT picture_id, {n} AS n, {m} AS m, unnest(range({m})) AS o FROM sz))))"
+    return f"""WITH {_MIXED}, sz AS (SELECT DISTINCT picture_id, w, h FROM mx), wy AS ({axis('h', tall, 'y')}), wx AS ({axis('w', wide, 'x')}),
+v AS (SELECT p.picture_id, p.x, o AS y, sum(v * k) / sum(k) AS v FROM mx p JOIN wy ON wy.picture_id = p.picture_id AND p.y = i GROUP BY ALL),
+z AS (SELECT p.picture_id, o AS x, p.y, sum(v * k) / sum(k) AS v FROM v p JOIN wx ON wx.picture_id = p.picture_id AND p.x = i GROUP BY ALL), q AS (SELECT z.*, {wide} AS nw, {tall} AS nh FROM z JOIN sz ON sz.picture_id = z.picture_id)
+{cut}"""
+
+
+_V = f"greatest(0, least(255, {_HALF.format('v')}))"
+_add("resize_mixed", lambda spark, d: _mixed_out(resample.resize(_mixed_sizes(spark, d), 5, 4)), _mixed_triangle("least", f"SELECT CAST(picture_id AS VARCHAR) AS picture_id, nw AS w, nh AS h, CAST(x AS INT) AS x, CAST(y AS INT) AS y, {_V} AS c0 FROM q"))
+_add("resize_to_fill_mixed", lambda spark, d: _mixed_out(resample.resize_to_fill(_mixed_sizes(spark, d), 5, 4)), _mixed_triangle("greatest", f"SELECT CAST(picture_id AS VARCHAR) AS picture_id, least(nw, 5) AS w, least(nh, 4) AS h, CAST(x - (nw - 5) // 2 AS INT) AS x, CAST(y - (nh - 4) // 2 AS INT) AS y, {_V} AS c0 FROM q WHERE x - (nw - 5) // 2 BETWEEN 0 AND 4 AND y - (nh - 4) // 2 BETWEEN 0 AND 3"))
+_add("thumbnail_mixed", lambda spark, d: _mixed_out(resample.thumbnail_exact(_mixed_sizes(spark, d), 2, 1)), f"WITH {_MIXED} SELECT CAST(picture_id AS VARCHAR) AS picture_id, 2 AS w, 1 AS h, CAST(x * 2 // w AS INT) AS x, 0 AS y, CAST((sum(v) + count(*) // 2) // count(*) AS INT) AS c0 FROM mx GROUP BY picture_id, w, h, x * 2 // w")
 
 # --- neighbourhoods
 _SHARPEN = [0.0, -1.0, 0.0, -1.0, 5.0, -1.0, 0.0, -1.0, 0.0]
@@ -226,7 +260,7 @@ _r1("filter3x3", lambda r: window.filter3x3(r, _SHARPEN), "p.x, p.y, " + ", ".jo
     "FROM r1 p " + " ".join(f"LEFT JOIN r1 n{k} ON n{k}.x = p.x + {dx} AND n{k}.y = p.y + {dy}" for k, (dx, dy) in enumerate(_CROSS)))
 
 
-def _taps_sql(source: str, axis: str, taps: list[tuple[int, int]], finish: str, size: str) -> str:
+def _taps_sql(source: str, axis: str, taps: list[tuple[int, int | str]], finish: str, size: str) -> str:
     """One convolution pass with repeated edges: joins of each pixel with its taps."""
     other = "y" if axis == "x" else "x"
     values = ", ".join(f"({k}, {t})" for k, t in taps)
@@ -247,19 +281,20 @@ def _box(axis: str, radius: int) -> tuple[str, list[tuple[int, int]], str]:
     return axis, [(d, 1) for d in range(-radius, radius + 1)], f"CAST((@ + {n // 2}) // {n} AS INT)"
 
 
-def _gauss(axis: str, sigma: float) -> tuple[str, list[tuple[int, int]], str]:
-    size = window.kernel_size(sigma)
-    taps = [int(t * (1 << 15)) for t in window.gaussian_taps(size, sigma)]
-    return axis, [(i - size // 2, t) for i, t in enumerate(taps)], "CAST(least(255, (@ + 16384) // 32768) AS INT)"
+def _gauss(axis: str) -> tuple[str, list[tuple[int, str]], str]:
+    """Sigma 1.2: five taps in 15-bit fixed point, made in SQL."""
+    raw = lambda d: f"exp(-0.5 * {d * d} / (1.2::DOUBLE * 1.2))"
+    total = "(" + " + ".join(raw(d) for d in range(-2, 3)) + ")"
+    return axis, [(d, f"CAST(floor({raw(d)} / {total} * 32768) AS INT)") for d in range(-2, 3)], "CAST(least(255, (@ + 16384) // 32768) AS INT)"
 
 
 _add("box_blur", lambda spark, d: _out(window.box_pass(window.box_pass(events_raster(spark, d), "x", 2), "y", 2)), _chain([_box("x", 2), _box("y", 2)]))
-_add("fast_blur", lambda spark, d: _out(window.fast_blur(events_raster(spark, d), 1.5)), _chain([_box(a, r) for r in window.box_radii(1.5) for a in "xy"]))
-_add("gaussian_blur", lambda spark, d: _out(window.gaussian_blur(events_raster(spark, d), 1.2)), _chain([_gauss("x", 1.2), _gauss("y", 1.2)]))
+_add("fast_blur", lambda spark, d: _out(window.fast_blur(events_raster(spark, d), 1.5)), _chain([_box(a, 1) for _ in range(3) for a in "xy"]))
+_add("gaussian_blur", lambda spark, d: _out(window.gaussian_blur(events_raster(spark, d), 1.2)), _chain([_gauss("x"), _gauss("y")]))
 _add(
     "unsharpen",
     lambda spark, d: _out(window.unsharpen(events_raster(spark, d), 1.2, 5)),
-    f"WITH s AS ({_chain([_gauss('x', 1.2), _gauss('y', 1.2)])}), {R1} SELECT p.x, p.y, " + ", ".join(f"CASE WHEN abs(p.{c} - s.c{i}) > 5 THEN greatest(0, least(255, 2 * p.{c} - s.c{i})) ELSE p.{c} END AS c{i}" for i, c in enumerate("rgb")) + " FROM r1 p JOIN s ON p.x = s.x AND p.y = s.y",
+    f"WITH s AS ({_chain([_gauss('x'), _gauss('y')])}), {R1} SELECT p.x, p.y, " + ", ".join(f"CASE WHEN abs(p.{c} - s.c{i}) > 5 THEN greatest(0, least(255, 2 * p.{c} - s.c{i})) ELSE p.{c} END AS c{i}" for i, c in enumerate("rgb")) + " FROM r1 p JOIN s ON p.x = s.x AND p.y = s.y",
 )
 _add("dither", lambda spark, d: _out(window.dither_bilevel(point.grayscale(events_raster(spark, d)))))
 
@@ -272,6 +307,6 @@ _add(
 )
 _add(
     "limits",
-    lambda spark, d: embeddings_raster(spark, d).pixels.select("image_id", "w", "h").distinct().select("image_id", formats.within_limits(F.col("w") * F.col("image_id").cast("int"), F.col("h"), F.lit(4), max_width=2000, max_alloc=100_000).alias("ok")),
-    "SELECT CAST(vec_id AS VARCHAR) AS image_id, (8 * vec_id <= 2000 AND 8 * vec_id * 8 * 4 <= 100000) AS ok FROM embeddings",
+    lambda spark, d: embeddings_raster(spark, d).pixels.select("picture_id", "w", "h").distinct().select("picture_id", formats.within_limits(F.col("w") * F.col("picture_id").cast("int"), F.col("h"), F.lit(4), max_width=2000, max_alloc=100_000).alias("ok")),
+    "SELECT CAST(vec_id AS VARCHAR) AS picture_id, (8 * vec_id <= 2000 AND 8 * vec_id * 8 * 4 <= 100000) AS ok FROM embeddings",
 )

@@ -6,16 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pixelry.functions import samples as S
-from pixelry.plans.raster import KEY, Raster
+from pixelry.plans.raster import KEY, Raster, sizes, small
 
 
-def _paired(bottom: Raster, top: Raster, x: Column, y: Column, same_image: bool = True) -> Raster:
-    """bottom left-joined with top's channels t0.. and `hit` at places x, y of the top relation."""
-    moved = top.pixels.select("image_id", x.cast("int").alias("x"), y.cast("int").alias("y"), *(c.alias(f"t{i}") for i, c in enumerate(top.channels)), F.lit(True).alias("hit"))
-    on = ["image_id", "x", "y"] if same_image else ["x", "y"]
-    if not same_image:
-        moved = moved.drop("image_id")
-    return Raster(bottom.pixels.join(moved, on, "left"), bottom.layout, bottom.kind)
+def _paired(bottom: Raster, top: Raster, x: Column, y: Column, same_picture: bool = True, counted: bool = True) -> Raster:
+    """bottom left-joined with top's channels t0.. and `hit` at places x, y of the top relation.
+
+    counted: top may be much smaller than bottom, so its pixels are counted first, and broadcast if they are few.
+    """
+    moved = top.pixels.select("picture_id", x.cast("int").alias("x"), y.cast("int").alias("y"), *(c.alias(f"t{i}") for i, c in enumerate(top.channels)), F.lit(True).alias("hit"))
+    on = ["picture_id", "x", "y"] if same_picture else ["x", "y"]
+    if not same_picture:
+        moved = moved.drop("picture_id")
+    return Raster(bottom.pixels.join(small(moved) if counted else moved, on, "left"), bottom.layout, bottom.kind)
 
 
 def _top(bottom: Raster) -> list[Column]:
@@ -26,26 +29,24 @@ def _chosen(joined: Raster, values: list[Column]) -> Raster:
     return joined.select([F.when(F.col("hit"), v).otherwise(c) for v, c in zip(values, joined.channels, strict=True)])
 
 
-def overlay(bottom: Raster, top: Raster, x: int = 0, y: int = 0, same_image: bool = True) -> Raster:
-    """top blended over bottom at an offset, clipped.  same_image: pair pictures by id, else top (one picture) goes on all."""
-    joined = _paired(bottom, top, F.col("x") + x, F.col("y") + y, same_image)
+def overlay(bottom: Raster, top: Raster, x: int = 0, y: int = 0, same_picture: bool = True) -> Raster:
+    """top blended over bottom at an offset, clipped.  same_picture: pair pictures by id, else top (one picture) goes on all."""
+    joined = _paired(bottom, top, F.col("x") + x, F.col("y") + y, same_picture)
     return _chosen(joined, S.blend(joined.channels, _top(bottom), bottom.kind))
 
 
-def replace(bottom: Raster, top: Raster, x: int = 0, y: int = 0, same_image: bool = True) -> Raster:
+def replace(bottom: Raster, top: Raster, x: int = 0, y: int = 0, same_picture: bool = True) -> Raster:
     """top's pixels instead of bottom's at an offset, clipped."""
-    return _chosen(_paired(bottom, top, F.col("x") + x, F.col("y") + y, same_image), _top(bottom))
+    return _chosen(_paired(bottom, top, F.col("x") + x, F.col("y") + y, same_picture), _top(bottom))
 
 
 def tile(bottom: Raster, top: Raster, tile_w: int, tile_h: int) -> Raster:
-    """Repetitions of one small picture blended over bottom; the tile is broadcast if it has at most 65,536 pixels."""
+    """Repetitions of one small picture blended over bottom; the tile is broadcast if it is counted to be small."""
     if tile_w < 1 or tile_h < 1:
         raise ValueError("empty tile")
-    small = top.pixels.select(F.col("x").alias("tx"), F.col("y").alias("ty"), *(c.alias(f"t{i}") for i, c in enumerate(top.channels)), F.lit(True).alias("hit"))
-    if tile_w * tile_h <= 65536:
-        small = F.broadcast(small)
+    held = top.pixels.select(F.col("x").alias("tx"), F.col("y").alias("ty"), *(c.alias(f"t{i}") for i, c in enumerate(top.channels)), F.lit(True).alias("hit"))
     on = (F.col("x") % tile_w == F.col("tx")) & (F.col("y") % tile_h == F.col("ty"))
-    joined = Raster(bottom.pixels.join(small, on, "left"), bottom.layout, bottom.kind)
+    joined = Raster(bottom.pixels.join(small(held), on, "left"), bottom.layout, bottom.kind)
     return _chosen(joined, S.blend(joined.channels, _top(bottom), bottom.kind))
 
 
@@ -57,8 +58,7 @@ def overlay_bounds(bottom: tuple[Column, Column], top: tuple[Column, Column], x:
 def copy_from(target: Raster, source: Raster, x: int, y: int) -> Raster:
     """replace, where a source that does not fit is an error."""
     fits = (F.col("sw") + x <= F.col("w")) & (F.col("sh") + y <= F.col("h")) & F.lit(x >= 0 and y >= 0)
-    sizes = source.pixels.select("image_id", F.col("w").alias("sw"), F.col("h").alias("sh")).distinct()
-    checked = target.pixels.join(sizes, "image_id", "left").withColumn("w", F.when(F.col("sw").isNull() | fits, F.col("w")).otherwise(F.raise_error(F.lit("source exceeds the target")).cast("int")))
+    checked = target.pixels.join(sizes(source, "sw", "sh"), "picture_id", "left").withColumn("w", F.when(F.col("sw").isNull() | fits, F.col("w")).otherwise(F.raise_error(F.lit("source exceeds the target")).cast("int")))
     return replace(Raster(checked.select(*KEY, *target.names), target.layout, target.kind), source, x, y)
 
 
@@ -72,20 +72,19 @@ def set_alpha_channel(r: Raster, mask: Raster) -> Raster:
     """Alpha := the mask's grey value; pixels the mask lacks keep theirs."""
     if not r.has_alpha:
         raise ValueError("no alpha channel")
-    joined = _paired(r, mask, F.col("x"), F.col("y"))
+    joined = _paired(r, mask, F.col("x"), F.col("y"), counted=False)
     return joined.select([*joined.colour, F.coalesce(S.convert(F.col("t0"), mask.kind, r.kind), joined.channels[-1])])
 
 
 def combine(a: Raster, b: Raster, f) -> Raster:
     """f(sample of a, sample of b) for each channel where both have a pixel."""
-    joined = _paired(a, b, F.col("x"), F.col("y")).where("hit")
+    joined = _paired(a, b, F.col("x"), F.col("y"), counted=False).where("hit")
     return joined.select([f(c, t) for c, t in zip(joined.channels, _top(a), strict=True)])
 
 
 def beside(left: Raster, right: Raster) -> Raster:
     """Two pictures of one id side by side; free places are not filled."""
-    size = lambda r, p: r.pixels.select("image_id", F.col("w").alias(f"{p}w"), F.col("h").alias(f"{p}h")).distinct()
-    both = size(left, "l").join(size(right, "r"), "image_id")
+    both = sizes(left, "lw", "lh").join(sizes(right, "rw", "rh"), "picture_id")
     total, tall = F.col("lw") + F.col("rw"), F.greatest("lh", "rh")
-    l, r = (Raster(p.pixels.join(both, "image_id"), p.layout, p.kind) for p in (left, right))  # noqa: E741
+    l, r = (Raster(p.pixels.join(both, "picture_id"), p.layout, p.kind) for p in (left, right))  # noqa: E741
     return Raster(l.select(w=total, h=tall).pixels.unionByName(r.select(w=total, h=tall, x=F.col("x") + F.col("lw")).pixels), left.layout, left.kind)

@@ -11,11 +11,11 @@ from pixelry.functions import samples as S
 from pixelry.plans.raster import LAYOUTS, Raster, from_table
 
 
-def from_fn(spark: SparkSession, width: int, height: int, f: Callable[[Column, Column], list], layout: str = "Rgb", kind: str = "u8", image_id: str = "image") -> Raster:
+def from_fn(spark: SparkSession, width: int, height: int, f: Callable[[Column, Column], list], layout: str = "Rgb", kind: str = "u8", picture_id: str = "picture") -> Raster:
     """Pixel = f(x, y), as column expressions over a distributed range."""
     grid = spark.range(width * height)
     x, y = (F.col("id") % max(width, 1)).cast("int"), F.floor(F.col("id") / max(width, 1)).cast("int")
-    return from_table(grid, image_id, width, height, x, y, list(f(x, y)), layout, kind)
+    return from_table(grid, picture_id, width, height, x, y, list(f(x, y)), layout, kind)
 
 
 def from_pixel(spark: SparkSession, width: int, height: int, pixel: list, layout: str = "Rgb", kind: str = "u8") -> Raster:
@@ -46,24 +46,24 @@ def horizontal_gradient(spark: SparkSession, width: int, height: int, start: lis
     return _gradient(spark, width, height, start, stop, layout, kind, False)
 
 
-def from_raw(images: DataFrame, samples: str, layout: str, kind: str = "u8") -> Raster:
-    """Pictures from arrays of interleaved samples; rows of `images` whose array is too short are left out.
+def from_raw(pictures: DataFrame, samples: str, layout: str, kind: str = "u8") -> Raster:
+    """Pictures from arrays of interleaved samples; rows of `pictures` whose array is too short are left out.
 
-    images: image_id, w, h and the array column.
+    pictures: picture_id, w, h and the array column.
     """
     n = LAYOUTS[layout]
-    enough = images.where(F.size(samples) >= F.col("w").cast("bigint") * F.col("h") * n)
-    pixels = enough.select("image_id", "w", "h", F.explode(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1)).alias("p"), F.col(samples).alias("s")).where("w > 0 and h > 0")
-    return from_table(pixels, F.col("image_id"), F.col("w"), F.col("h"), F.expr("p % w"), F.expr("p div w"), [F.element_at("s", (F.col("p") * n + i + 1).cast("int")) for i in range(n)], layout, kind)
+    enough = pictures.where(F.size(samples) >= F.col("w").cast("bigint") * F.col("h") * n)
+    pixels = enough.select("picture_id", "w", "h", F.explode(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1)).alias("p"), F.col(samples).alias("s")).where("w > 0 and h > 0")
+    return from_table(pixels, F.col("picture_id"), F.col("w"), F.col("h"), F.expr("p % w"), F.expr("p div w"), [F.element_at("s", (F.col("p") * n + i + 1).cast("int")) for i in range(n)], layout, kind)
 
 
 def into_raw(r: Raster) -> DataFrame:
-    """image_id, w, h and samples: the interleaved samples of each picture, row by row."""
+    """picture_id, w, h and samples: the interleaved samples of each picture, row by row."""
     pixel = F.struct("y", "x", F.array(*r.channels).alias("v"))
-    return r.pixels.groupBy("image_id", "w", "h").agg(F.flatten(F.transform(F.array_sort(F.collect_list(pixel)), lambda p: p["v"])).alias("samples"))
+    return r.pixels.groupBy("picture_id", "w", "h").agg(F.flatten(F.transform(F.array_sort(F.collect_list(pixel)), lambda p: p["v"])).alias("samples"))
 
 
 def rows(r: Raster) -> DataFrame:
-    """image_id, y and samples of each line."""
+    """picture_id, y and samples of each line."""
     pixel = F.struct("x", F.array(*r.channels).alias("v"))
-    return r.pixels.groupBy("image_id", "y").agg(F.flatten(F.transform(F.array_sort(F.collect_list(pixel)), lambda p: p["v"])).alias("samples"))
+    return r.pixels.groupBy("picture_id", "y").agg(F.flatten(F.transform(F.array_sort(F.collect_list(pixel)), lambda p: p["v"])).alias("samples"))

@@ -1,220 +1,194 @@
-"""Thumbnails, separable resizing and point sampling."""
+"""Thumbnails, separable resizing and point sampling.
 
-from __future__ import annotations
+Sizes come from the pixels' rows, and targets may be columns, so one plan serves pictures of mixed sizes.
+"""
 
-from collections.abc import Iterator
-from math import ceil, exp, floor, pi, sin
+from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelry.functions import samples as S
 from pixelry.operators import geometry, point
-from pixelry.plans.raster import Raster
+from pixelry.plans.raster import Raster, sizes
 
-_TAP = "o int, i int, weight double"
 FILTERS = ("nearest", "triangle", "catmull_rom", "gaussian", "lanczos3")
 
 
-def _lanczos(x: float) -> float:
-    if abs(x) >= 3:
-        return 0.0
-    return 1.0 if x == 0 else 3 * sin(pi * x) * sin(pi * x / 3) / (pi * x) ** 2
+def _lanczos(x: Column) -> Column:
+    turn = x * F.pi()
+    return F.when(F.abs(x) >= 3, 0.0).when(x == 0, 1.0).otherwise(3 * F.sin(turn) * F.sin(turn / 3) / (turn * turn))
 
 
-def _cubic(x: float, b: float = 0.0, c: float = 0.5) -> float:
+def _cubic(x: Column, b: float = 0.0, c: float = 0.5) -> Column:
     """The two-parameter family of cubic filters by Mitchell and Netravali."""
-    a = abs(x)
-    if a < 1:
-        return ((12 - 9 * b - 6 * c) * a**3 + (-18 + 12 * b + 6 * c) * a**2 + (6 - 2 * b)) / 6
-    if a < 2:
-        return ((-b - 6 * c) * a**3 + (6 * b + 30 * c) * a**2 + (-12 * b - 48 * c) * a + (8 * b + 24 * c)) / 6
-    return 0.0
+    a = F.abs(x)
+    near = ((12 - 9 * b - 6 * c) * a * a * a + (-18 + 12 * b + 6 * c) * a * a + (6 - 2 * b)) / 6
+    far = ((-b - 6 * c) * a * a * a + (6 * b + 30 * c) * a * a + (-12 * b - 48 * c) * a + (8 * b + 24 * c)) / 6
+    return F.when(a < 1, near).when(a < 2, far).otherwise(0.0)
 
 
 #: Kernel and support of each filter.
 KERNELS = {
-    "nearest": (lambda x: 1.0, 0.0),
-    "triangle": (lambda x: max(0.0, 1 - abs(x)), 1.0),
+    "triangle": (lambda x: F.greatest(F.lit(0.0), 1 - F.abs(x)), 1.0),
     "catmull_rom": (_cubic, 2.0),
-    "gaussian": (lambda x: exp(-x * x / 0.5) / (0.5 * (2 * pi) ** 0.5), 3.0),
+    "gaussian": (lambda x: F.exp(-x * x / 0.5), 3.0),
     "lanczos3": (_lanczos, 3.0),
 }
+Size = int | Column
 
 
-#: Places of an axis (input and output) up to which its weights are made on the driver and broadcast.
-DRIVER_PLACES = 20_000
+def _column(v: Size) -> Column:
+    return v if isinstance(v, Column) else F.lit(v)
 
 
-def taps(o: int, size: int, new_size: int, filter_name: str) -> list[tuple[int, int, float]]:
-    """(output place, input place, weight) of one output place; the weights sum to 1."""
+def taps(at: Column, size: Column, new_size: Column, filter_name: str) -> Column:
+    """Array of (o, weight): the output places of an axis that the pixel at a place counts for; weights are not yet normal."""
+    ratio = size.cast("double") / new_size
+    if filter_name == "nearest":
+        near = F.sequence(F.greatest(F.lit(0), F.floor(at / ratio).cast("int") - 1), F.least(new_size - 1, F.ceil((at + 1) / ratio).cast("int")))
+        return F.transform(F.filter(near, lambda o: F.least(F.floor((o + 0.5) * ratio), size - 1) == at), lambda o: F.struct(o.alias("o"), F.lit(1.0).alias("weight")))
     kernel, support = KERNELS[filter_name]
-    ratio = size / new_size
-    spread = max(ratio, 1.0)
-    centre = (o + 0.5) * ratio
-    low = min(max(floor(centre - support * spread), 0), size - 1)
-    high = min(max(ceil(centre + support * spread), low + 1), size)
-    found = [(i, kernel((i + 0.5 - centre) / spread)) for i in range(low, high)]
-    total = sum(w for _, w in found)
-    return [(o, i, w / total) for i, w in found if w]
-
-
-def weights(size: int, new_size: int, filter_name: str) -> list[tuple[int, int, float]]:
-    """The taps of one axis."""
-    return [t for o in range(new_size) for t in taps(o, size, new_size, filter_name)]
-
-
-def weight_table(spark: SparkSession, size: int, new_size: int, filter_name: str) -> DataFrame:
-    """o, i, weight of one axis: broadcast while the axis is short, made by tasks beyond."""
-    if size + new_size <= DRIVER_PLACES:
-        return F.broadcast(spark.createDataFrame(weights(size, new_size, filter_name), _TAP))  # a few rows for each output place of one axis
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for o in batch.column(0).to_pylist():
-                cols = zip(*taps(o, size, new_size, filter_name), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["o", "i", "weight"])
-
-    return spark.range(new_size).mapInArrow(run, _TAP)
-
-
-def _axis(pixels: DataFrame, names: list[str], axis: str, size: int, new_size: int, filter_name: str) -> DataFrame:
-    """One pass: pixels meet the weights of their line, products are summed (map-side first)."""
-    table = weight_table(pixels.sparkSession, size, new_size, filter_name)
-    other = "y" if axis == "x" else "x"
-    joined = pixels.join(table, F.col(axis) == F.col("i"))
-    sums = [F.sum(F.col(n) * F.col("weight")).alias(n) for n in names]
-    return joined.groupBy("image_id", "w", "h", other, F.col("o").alias("to")).agg(*sums).withColumnRenamed("to", axis)
-
-
-def resize_exact(r: Raster, size: tuple[int, int], new_size: tuple[int, int], filter_name: str = "triangle") -> Raster:
-    """Pictures of one size to another: the vertical, then the horizontal pass, in doubles, rounded once."""
-    if size == new_size:
-        return r
-    (w, h), (new_w, new_h) = size, new_size
+    spread = F.greatest(ratio, F.lit(1.0))
+    reach = spread * support + 1
+    near = F.sequence(F.greatest(F.lit(0), F.floor((at - reach) / ratio - 0.5).cast("int")), F.least(new_size - 1, F.ceil((at + reach) / ratio - 0.5).cast("int")))
+    centre = lambda o: (o + 0.5) * ratio
+    low = lambda o: F.greatest(F.lit(0), F.least(size - 1, F.floor(centre(o) - spread * support)))
+    high = lambda o: F.greatest(low(o) + 1, F.least(size, F.ceil(centre(o) + spread * support)))
+    inside = F.filter(near, lambda o: (at >= low(o)) & (at < high(o)))
+    found = F.transform(inside, lambda o: F.struct(o.alias("o"), kernel((at + 0.5 - centre(o)) / spread).alias("weight")))
+    return F.when(size == new_size, F.array(F.struct(at.alias("o"), F.lit(1.0).alias("weight")))).otherwise(found)
+
+
+def _axis(r: Raster, axis: str, new_size: Column, filter_name: str) -> Raster:
+    """One pass: each pixel's products are summed by output place, map-side first, and divided by the sum of the weights."""
+    size, other = ("w", "y") if axis == "x" else ("h", "x")
+    spread = r.pixels.withColumn("_new", new_size.cast("int"))
+    spread = spread.withColumn("_tap", F.explode(taps(F.col(axis), F.col(size), F.col("_new"), filter_name)))
+    kept = ["picture_id", "w", "h", other, *(c for c in r.pixels.columns if c.startswith("_to_"))]
+    sums = [(F.sum(c * F.col("_tap.weight")) / F.sum("_tap.weight")).alias(n) for c, n in zip(r.channels, r.names, strict=True)]
+    done = spread.groupBy(*kept, F.col("_tap.o").alias(axis), "_new").agg(*sums)
+    return Raster(done.withColumn(size, F.col("_new")).drop("_new"), r.layout, r.kind)
+
+
+def resize_exact(r: Raster, new_w: Size, new_h: Size, filter_name: str = "triangle") -> Raster:
+    """Pictures of any sizes to a size (numbers, or columns of w and h): the vertical, then the horizontal pass, in doubles, rounded once.
+
+    A pass that leaves the length of an axis as it is copies it.
+    """
+    held = r.pixels.withColumn("_to_w", _column(new_w).cast("int")).withColumn("_to_h", _column(new_h).cast("int"))
     if filter_name == "nearest":
-        return _nearest(r, size, new_size)
-    pixels = _axis(r.pixels.where((F.col("w") == w) & (F.col("h") == h)), r.names, "y", h, new_h, filter_name)
-    pixels = _axis(pixels, r.names, "x", w, new_w, filter_name)
-    done = Raster(pixels, r.layout, r.kind)
-    return done.select([S.round_to(c, r.kind) for c in done.channels], w=F.lit(new_w), h=F.lit(new_h))
-
-
-def _nearest(r: Raster, size: tuple[int, int], new_size: tuple[int, int]) -> Raster:
-    """Each output pixel is one input pixel: the inverse map as a generated list, without aggregation."""
-    out = r
-    for axis, n, m in (("y", size[1], new_size[1]), ("x", size[0], new_size[0])):
-        place = F.least(F.floor((F.col("id") + 0.5) * n / m), F.lit(n - 1)).cast("int")
-        table = r.pixels.sparkSession.range(m).select(place.alias("i"), F.col("id").cast("int").alias("o"))
-        joined = out.pixels.join(F.broadcast(table) if n + m <= DRIVER_PLACES else table, F.col(axis) == F.col("i"))
-        out = Raster(joined, r.layout, r.kind).select(**{axis: F.col("o"), "w" if axis == "x" else "h": F.lit(m)})
-    return out
+        placed = held.withColumn("_x", F.explode(taps(F.col("x"), F.col("w"), F.col("_to_w"), filter_name))).withColumn("_y", F.explode(taps(F.col("y"), F.col("h"), F.col("_to_h"), filter_name)))
+        return Raster(placed, r.layout, r.kind).select(x=F.col("_x.o"), y=F.col("_y.o"), w=F.col("_to_w"), h=F.col("_to_h"))
+    done = _axis(_axis(Raster(held, r.layout, r.kind), "y", F.col("_to_h"), filter_name), "x", F.col("_to_w"), filter_name)
+    return done.select([S.round_to(c, r.kind) for c in done.channels])
 
 
-def _fitted(size: tuple[int, int], box: tuple[int, int], fill: bool) -> tuple[int, int]:
-    ratios = [b / s for b, s in zip(box, size, strict=True)]
-    ratio = max(ratios) if fill else min(ratios)
-    return tuple(max(1, floor(s * ratio + 0.5)) for s in size)
+def resize(r: Raster, new_w: int, new_h: int, filter_name: str = "triangle") -> Raster:
+    """Each picture to the largest size within the box that keeps its aspect."""
+    return _premultiplied(r, *geometry.resize_dimensions(F.col("w"), F.col("h"), new_w, new_h), filter_name)
 
 
-def resize(r: Raster, size: tuple[int, int], box: tuple[int, int], filter_name: str = "triangle") -> Raster:
-    """The largest size within the box that keeps the aspect."""
-    return _premultiplied(r, size, _fitted(size, box, False), filter_name)
+def resize_to_fill(r: Raster, new_w: int, new_h: int, filter_name: str = "triangle") -> Raster:
+    """Each picture to the least size that covers the box, then its centre."""
+    covered = _premultiplied(r, *geometry.resize_dimensions(F.col("w"), F.col("h"), new_w, new_h, True), filter_name)
+    left, top = (F.floor((F.col(c) - n) / 2).cast("int") for c, n in (("w", new_w), ("h", new_h)))
+    inside = (F.col("x") >= left) & (F.col("x") < left + new_w) & (F.col("y") >= top) & (F.col("y") < top + new_h)
+    return covered.where(inside).select(x=F.col("x") - left, y=F.col("y") - top, w=F.least(F.col("w"), F.lit(new_w)), h=F.least(F.col("h"), F.lit(new_h)))
 
 
-def resize_to_fill(r: Raster, size: tuple[int, int], box: tuple[int, int], filter_name: str = "triangle") -> Raster:
-    """Cover the box, then cut out its centre."""
-    covered = _fitted(size, box, True)
-    return geometry.crop(_premultiplied(r, size, covered, filter_name), (covered[0] - box[0]) // 2, (covered[1] - box[1]) // 2, *box)
-
-
-def _premultiplied(r: Raster, size: tuple[int, int], new_size: tuple[int, int], filter_name: str) -> Raster:
+def _premultiplied(r: Raster, new_w: Size, new_h: Size, filter_name: str) -> Raster:
     if not r.has_alpha or filter_name == "nearest":
-        return resize_exact(r, size, new_size, filter_name)
-    return point.unpremultiply(resize_exact(point.premultiply(r), size, new_size, filter_name))
+        return resize_exact(r, new_w, new_h, filter_name)
+    return point.unpremultiply(resize_exact(point.premultiply(r), new_w, new_h, filter_name))
 
 
 def has_constant_alpha(r: Raster) -> DataFrame:
-    """image_id and whether all alphas of the picture are equal."""
+    """picture_id and whether all alphas of the picture are equal."""
     alpha = r.channels[-1] if r.has_alpha else F.lit(S.MAX[r.kind])
-    return r.pixels.groupBy("image_id").agg((F.min(alpha) == F.max(alpha)).alias("constant"))
+    return r.pixels.groupBy("picture_id").agg((F.min(alpha) == F.max(alpha)).alias("constant"))
 
 
-def thumbnail_exact(r: Raster, new_w: int, new_h: int) -> Raster:
+def thumbnail_exact(r: Raster, new_w: Size, new_h: Size) -> Raster:
     """Box means: integers rounded half up.  Where a window holds no whole pixel, its two neighbours are mixed."""
-    w, h = F.col("w"), F.col("h")
-    return Raster(_shrunk(r.where((w >= new_w) & (h >= new_h)), new_w, new_h).pixels.unionByName(_mixed(r.where((w < new_w) | (h < new_h)), new_w, new_h).pixels), r.layout, r.kind)
+    held = Raster(r.pixels.withColumns({"_n": _column(new_w).cast("bigint"), "_m": _column(new_h).cast("bigint")}), r.layout, r.kind)
+    grows = (F.col("w") < F.col("_n")) | (F.col("h") < F.col("_m"))
+    return Raster(_shrunk(held.where(~grows)).pixels.unionByName(_mixed(held.where(grows)).pixels), r.layout, r.kind)
 
 
-def _shrunk(r: Raster, new_w: int, new_h: int) -> Raster:
-    x, y, w, h = (F.col(c) for c in ("x", "y", "w", "h"))
+def _shrunk(r: Raster) -> Raster:
     # window o of an axis covers ceil(o * s / n) up to ceil((o + 1) * s / n)
-    to_x, to_y = F.floor(x * new_w / w), F.floor(y * new_h / h)
-    grouped = r.pixels.groupBy("image_id", "w", "h", to_x.cast("int").alias("x"), to_y.cast("int").alias("y"))
+    grouped = r.pixels.groupBy("picture_id", "w", "h", "_n", "_m", F.expr("cast(x * _n div w as int)").alias("x"), F.expr("cast(y * _m div h as int)").alias("y"))
     if r.kind == "f32":
         means = [F.avg(c).cast("float").alias(n) for c, n in zip(r.channels, r.names, strict=True)]
     else:
         n = F.count(F.lit(1))
         means = [F.floor((F.sum(c) + F.floor(n / 2)) / n).cast("int").alias(name) for c, name in zip(r.channels, r.names, strict=True)]
-    small = Raster(grouped.agg(*means), r.layout, r.kind)
-    return small.select(w=F.lit(new_w), h=F.lit(new_h))
+    return Raster(grouped.agg(*means), r.layout, r.kind).select(w=F.col("_n"), h=F.col("_m"))
 
 
-def _window_shares(at: str, s: str, n: int) -> Column:
+def _window_shares(at: str, s: str, n: str) -> Column:
     """(o, share) of the windows of one axis that use the pixel: those with whole pixels share alike, others mix the two around their middle."""
-    low, high = f"(o * {s} + {n - 1}) div {n}", f"((o + 1) * {s} + {n - 1}) div {n}"
+    low, high = f"(o * {s} + {n} - 1) div {n}", f"((o + 1) * {s} + {n} - 1) div {n}"
     first = f"least({low}, {s} - 1L)"
     last = f"greatest({first}, least({high}, {s}))"
-    middle = f"((o * {s}) % {n} + ((o + 1) * {s}) % {n}) / {2 * n}.0D"
+    middle = f"((o * {s}) % {n} + ((o + 1) * {s}) % {n}) / (2.0D * {n})"
     share = f"case when {first} < {last} then if({at} >= {first} and {at} < {last}, 1.0D / ({last} - {first}), 0.0D) when {at} = {last} - 1 then 1 - {middle} when {at} = {last} then {middle} else 0.0D end"
-    near = f"sequence(greatest(0L, ({at} - 1) * {n} div {s} - 1), least({n - 1}L, ({at} + 1) * {n} div {s} + 1))"
+    near = f"sequence(greatest(0L, ({at} - 1) * {n} div {s} - 1), least({n} - 1, ({at} + 1) * {n} div {s} + 1))"
     return F.expr(f"filter(transform({near}, o -> struct(cast(o as int) as o, {share} as share)), t -> t.share > 0)")
 
 
-def _mixed(r: Raster, new_w: int, new_h: int) -> Raster:
+def _mixed(r: Raster) -> Raster:
     """The same where an axis grows: a pixel goes to each window that it is part of."""
     wide = r.pixels.withColumns({f"_{c}": F.col(c).cast("bigint") for c in "whxy"})
-    spread = wide.withColumn("to_x", F.explode(_window_shares("_x", "_w", new_w))).withColumn("to_y", F.explode(_window_shares("_y", "_h", new_h)))
+    spread = wide.withColumn("to_x", F.explode(_window_shares("_x", "_w", "_n"))).withColumn("to_y", F.explode(_window_shares("_y", "_h", "_m")))
     sums = [F.sum(c * F.col("to_x.share") * F.col("to_y.share")).alias(n) for c, n in zip(r.channels, r.names, strict=True)]
-    done = Raster(spread.groupBy("image_id", "w", "h", F.col("to_x.o").alias("x"), F.col("to_y.o").alias("y")).agg(*sums), r.layout, r.kind)
-    return done.select([S.as_float(c) if r.kind == "f32" else S.round_to(c, r.kind) for c in done.channels], w=F.lit(new_w), h=F.lit(new_h))
+    done = Raster(spread.groupBy("picture_id", "w", "h", "_n", "_m", F.col("to_x.o").alias("x"), F.col("to_y.o").alias("y")).agg(*sums), r.layout, r.kind)
+    return done.select([S.as_float(c) if r.kind == "f32" else S.round_to(c, r.kind) for c in done.channels], w=F.col("_n"), h=F.col("_m"))
 
 
-def thumbnail(r: Raster, size: tuple[int, int], box: tuple[int, int]) -> Raster:
-    return thumbnail_exact(r, *_fitted(size, box, False))
+def thumbnail(r: Raster, new_w: int, new_h: int) -> Raster:
+    """Each picture's largest thumbnail within the box that keeps its aspect."""
+    return thumbnail_exact(r, *geometry.resize_dimensions(F.col("w"), F.col("h"), new_w, new_h))
 
 
 def interpolate_nearest(points: DataFrame, r: Raster, x: Column, y: Column) -> DataFrame:
-    """points (with image_id) and the channels of the nearest pixel; null outside 0..w-1, 0..h-1."""
+    """points (with picture_id) and the channels of the nearest pixel; null outside 0..w-1, 0..h-1."""
     at = points.select("*", F.floor(x + 0.5).cast("int").alias("px"), F.floor(y + 0.5).cast("int").alias("py"), ((x >= 0) & (y >= 0)).alias("ok"), x.alias("qx"), y.alias("qy"))
-    pixels = r.pixels.select("image_id", F.col("x").alias("px"), F.col("y").alias("py"), "w", "h", *r.names)
-    joined = at.join(pixels, ["image_id", "px", "py"], "left")
+    pixels = r.pixels.select("picture_id", F.col("x").alias("px"), F.col("y").alias("py"), "w", "h", *r.names)
+    joined = at.join(pixels, ["picture_id", "px", "py"], "left")
     inside = F.col("ok") & (F.col("qx") <= F.col("w") - 1) & (F.col("qy") <= F.col("h") - 1)
     return joined.select(*points.columns, *(F.when(inside, F.col(n)).alias(n) for n in r.names))
 
 
-def interpolate_bilinear(points: DataFrame, r: Raster, key: str, x: Column, y: Column) -> DataFrame:
-    """points and channels mixed from the four pixels around; key tells the points apart; null outside."""
-    at = points.select(*points.columns, x.alias("qx"), y.alias("qy")).where("qx >= 0 and qy >= 0")
+def interpolate_bilinear(points: DataFrame, r: Raster, x: Column, y: Column) -> DataFrame:
+    """points (with picture_id; repeated rows stay apart) and channels mixed from the four pixels around; null outside."""
+    row = F.struct(*(F.col(c) for c in points.columns)).alias("_point")
+    at = points.select(F.monotonically_increasing_id().alias("_row"), row, x.alias("qx"), y.alias("qy"), "picture_id")
     taps = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (0, 1) for dy in (0, 1)))).alias("tap")
     at = at.select("*", taps).withColumn("px", (F.floor("qx") + F.col("tap.dx")).cast("int")).withColumn("py", (F.floor("qy") + F.col("tap.dy")).cast("int"))
-    share = lambda q, d: F.when(F.col(f"tap.{d}") == 1, F.col(q) - F.floor(q)).otherwise(1 - (F.col(q) - F.floor(q)))
-    at = at.withColumn("share", share("qx", "dx") * share("qy", "dy")).where("share > 0")
-    pixels = r.pixels.select("image_id", F.col("x").alias("px"), F.col("y").alias("py"), *r.names)
-    sums = at.join(pixels, ["image_id", "px", "py"]).groupBy(key).agg(F.sum("share").alias("all"), *(F.sum(F.col("share") * F.col(n)).alias(n) for n in r.names))
-    done = sums.where("all > 0.999").select(key, *(S.round_to(F.col(n), r.kind).alias(n) for n in r.names))
-    return points.join(done, key, "left")
+    part = lambda q, d: F.when(F.col(f"tap.{d}") == 1, F.col(q) - F.floor(q)).otherwise(1 - (F.col(q) - F.floor(q)))
+    at = at.withColumn("share", part("qx", "dx") * part("qy", "dy"))
+    pixels = r.pixels.select("picture_id", F.col("x").alias("px"), F.col("y").alias("py"), F.lit(True).alias("hit"), *(c.alias(f"_{n}") for c, n in zip(r.channels, r.names, strict=True)))
+    joined = at.join(pixels, ["picture_id", "px", "py"], "left")
+    share = F.when(F.col("hit") & (F.col("qx") >= 0) & (F.col("qy") >= 0), F.col("share"))
+    sums = joined.groupBy("_row").agg(F.first("_point").alias("_point"), F.sum(share).alias("_all"), *(F.sum(share * F.col(f"_{n}")).alias(f"_{n}") for n in r.names))
+    return sums.select("_point.*", *(F.when(F.col("_all") > 0.999, S.round_to(F.col(f"_{n}"), r.kind)).alias(n) for n in r.names))
+
+
+def _placed(points: DataFrame, r: Raster, u: Column, v: Column) -> tuple[DataFrame, Column, Column]:
+    """points and their places among the pixels of their picture, from places in 0..1; null outside."""
+    at = points.join(sizes(r, "_w", "_h"), "picture_id", "left")
+    inside = (u >= 0) & (u <= 1) & (v >= 0) & (v <= 1)
+    place = lambda q, n: F.when(inside, F.greatest(F.lit(0.0), F.least(F.col(n) - 1.0, q * F.col(n) - 0.5)))
+    return at, place(u, "_w"), place(v, "_h")
 
 
-def sample_bilinear(points: DataFrame, r: Raster, key: str, u: Column, v: Column, size: tuple[int, int]) -> DataFrame:
+def sample_bilinear(points: DataFrame, r: Raster, u: Column, v: Column) -> DataFrame:
     """Bilinear at normalised places in 0..1; null outside."""
-    inside = (u >= 0) & (u <= 1) & (v >= 0) & (v <= 1)
-    place = lambda q, n: F.when(inside, F.greatest(F.lit(0.0), F.least(F.lit(float(n - 1)), q * n - 0.5)))
-    return interpolate_bilinear(points, r, key, place(u, size[0]), place(v, size[1]))
+    return interpolate_bilinear(*(lambda at, x, y: (at, r, x, y))(*_placed(points, r, u, v))).drop("_w", "_h")
 
 
-def sample_nearest(points: DataFrame, r: Raster, u: Column, v: Column, size: tuple[int, int]) -> DataFrame:
-    inside = (u >= 0) & (u <= 1) & (v >= 0) & (v <= 1)
-    place = lambda q, n: F.when(inside, F.greatest(F.lit(0.0), F.least(F.lit(float(n - 1)), q * n - 0.5)))
-    return interpolate_nearest(points, r, place(u, size[0]), place(v, size[1]))
+def sample_nearest(points: DataFrame, r: Raster, u: Column, v: Column) -> DataFrame:
+    """The nearest pixel at normalised places in 0..1; null outside."""
+    return interpolate_nearest(*(lambda at, x, y: (at, r, x, y))(*_placed(points, r, u, v))).drop("_w", "_h")

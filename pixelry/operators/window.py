@@ -16,7 +16,7 @@ from pixelry.plans.raster import KEY, Raster
 def _line(axis: str):
     """The pixels of a line along an axis, in order."""
     across = "y" if axis == "x" else "x"
-    return Window.partitionBy("image_id", across).orderBy(axis)
+    return Window.partitionBy("picture_id", across).orderBy(axis)
 
 
 def _whole(axis: str):
@@ -127,8 +127,8 @@ def blur(r: Raster, radius: float) -> Raster:
 
 def unsharpen(r: Raster, sigma: float, threshold: int) -> Raster:
     """Add the difference from the blurred picture where it exceeds the threshold (integer samples; alpha too)."""
-    soft = gaussian_blur(r, sigma).pixels.select("image_id", "x", "y", *(F.col(n).alias(f"b{i}") for i, n in enumerate(r.names)))
-    joined = Raster(r.pixels.join(soft, ["image_id", "x", "y"]), r.layout, r.kind)
+    soft = gaussian_blur(r, sigma).pixels.select("picture_id", "x", "y", *(F.col(n).alias(f"b{i}") for i, n in enumerate(r.names)))
+    joined = Raster(r.pixels.join(soft, ["picture_id", "x", "y"]), r.layout, r.kind)
     out = []
     for i, c in enumerate(joined.channels):
         d = c - F.col(f"b{i}")
@@ -143,7 +143,7 @@ def dither_bilevel(r: Raster) -> Raster:
     pictures are spread over tasks, and inside a picture the anti-diagonals 2 y + x go one after the
     other, all pixels of one at once.
     """
-    schema = ", ".join(["image_id string", "w int", "h int", "x int", "y int", "c0 int"])
+    schema = ", ".join(["picture_id string", "w int", "h int", "x int", "y int", "c0 int"])
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         w, h = int(rows.w.iloc[0]), int(rows.h.iloc[0])
@@ -160,6 +160,6 @@ def dither_bilevel(r: Raster) -> Raster:
             for dx, dy, part in ((1, 1, 1), (0, 1, 5), (-1, 1, 3), (1, 0, 7)):  # as a pixel receives them in raster order
                 to = (y + dy, x + 1 + dx)
                 v[to] = np.clip(v[to] + np.trunc(error * part / 16).astype(np.int64), 0, 255)
-        return rows.assign(c0=out[rows.y, rows.x].astype(np.int32))[["image_id", "w", "h", "x", "y", "c0"]]
+        return rows.assign(c0=out[rows.y, rows.x].astype(np.int32))[["picture_id", "w", "h", "x", "y", "c0"]]
 
-    return Raster(r.pixels.select(*KEY, "c0").groupBy("image_id").applyInPandas(one, schema), "L", "u8")
+    return Raster(r.pixels.select(*KEY, "c0").groupBy("picture_id").applyInPandas(one, schema), "L", "u8")

@@ -1,6 +1,6 @@
 """The pixel relation.
 
-One row per pixel: image_id, w, h (size of its image), x, y (from the top left) and the channels c0..c3.
+One row per pixel: picture_id, w, h (size of its picture), x, y (from the top left) and the channels c0..c3.
 Sizes travel with the pixels, so geometric operators are projections without a join.  `Raster` adds
 what holds for all rows: sample type and channel layout.
 """
@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = ("image_id", "w", "h", "x", "y")
+KEY = ("picture_id", "w", "h", "x", "y")
 LAYOUTS = {"L": 1, "La": 2, "Rgb": 3, "Rgba": 4}
 
 
@@ -43,7 +43,7 @@ class Raster:
         """A projection: new channels, and new values of key columns by name."""
         layout, kind = layout or self.layout, kind or self.kind
         channels = self.channels if channels is None else channels
-        key = [place[k].cast("string" if k == "image_id" else "int").alias(k) if k in place else F.col(k) for k in KEY]
+        key = [place[k].cast("string" if k == "picture_id" else "int").alias(k) if k in place else F.col(k) for k in KEY]
         pixels = self.pixels.select(*key, *(c.alias(f"c{i}") for i, c in enumerate(channels)))
         return Raster(pixels, layout, kind)
 
@@ -51,17 +51,17 @@ class Raster:
         return replace(self, pixels=self.pixels.where(condition))
 
 
-def from_table(df: DataFrame, image_id, w, h, x, y, channels: list, layout: str, kind: str = "u8") -> Raster:
+def from_table(df: DataFrame, picture_id, w, h, x, y, channels: list, layout: str, kind: str = "u8") -> Raster:
     """A raster from columns (or literals) of any table."""
     col = lambda v: v if isinstance(v, Column) else F.lit(v)
     sample = "float" if kind == "f32" else "int"
-    return Raster(df.select(col(image_id).cast("string").alias("image_id"), *(col(v).cast("int").alias(k) for k, v in zip(KEY[1:], (w, h, x, y), strict=True)), *(col(c).cast(sample).alias(f"c{i}") for i, c in enumerate(channels))), layout, kind)
+    return Raster(df.select(col(picture_id).cast("string").alias("picture_id"), *(col(v).cast("int").alias(k) for k, v in zip(KEY[1:], (w, h, x, y), strict=True)), *(col(c).cast(sample).alias(f"c{i}") for i, c in enumerate(channels))), layout, kind)
 
 
 def events_raster(spark: SparkSession, sf_dir: str, width: int = 100) -> Raster:
     """The events table as one Rgb8 picture: event ids in raster order."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value")
-    height = events.agg((F.max("event_id") + 1).alias("n")).collect()[0].n // width
+    height = F.floor(events.agg((F.max("event_id") + 1).alias("n")).scalar() / width)  # a subquery of the same job
     r = F.pmod(F.floor("value"), F.lit(256))
     return from_table(events, "events", width, height, F.col("event_id") % width, F.floor(F.col("event_id") / width), [r, F.col("user_id") % 256, (F.col("event_id") * 13) % 256], "Rgb")
 
@@ -72,6 +72,21 @@ def embeddings_raster(spark: SparkSession, sf_dir: str) -> Raster:
     return from_table(rows, F.col("vec_id"), 8, 8, F.col("pos") % 8, F.floor(F.col("pos") / 8), [F.col("v")], "L", "f32")
 
 
+def sizes(raster: Raster, w: str = "w", h: str = "h") -> DataFrame:
+    """picture_id and size of each picture: its first pixel's row."""
+    return raster.pixels.where("x = 0 and y = 0").select("picture_id", F.col("w").alias(w), F.col("h").alias(h))
+
+
+#: Pixels (about 40 bytes each) up to which `small` broadcasts a relation.
+BROADCAST_PIXELS = 400_000
+
+
+def small(pixels: DataFrame, most: int | None = None) -> DataFrame:
+    """pixels with a broadcast hint if they are counted to be at most `most`, else as they are."""
+    most = BROADCAST_PIXELS if most is None else most
+    return F.broadcast(pixels) if pixels.limit(most + 1).count() <= most else pixels
+
+
 def with_alpha(raster: Raster) -> Raster:
     """An alpha channel that varies over the picture, for tests of compositing."""
     return raster.select([*raster.colour, ((F.col("x") * 7 + F.col("y") * 3) % 256).cast("int")], layout="La" if len(raster.colour) == 1 else "Rgba")

@@ -16,24 +16,24 @@ from pixelry.operators import generate
 from pixelry.plans.raster import Raster
 from pixelry.sources import codecs, formats
 
-IMAGES = "image_id string, format string, w int, h int, layout string, kind string, samples array<int>, error string"
+PICTURES = "picture_id string, format string, w int, h int, layout string, kind string, samples array<int>, error string"
 
 
 def decode(files: DataFrame, max_alloc: int = 512 << 20) -> DataFrame:
     """Pictures of `files` (path, content and format)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("image_id", pa.string()), ("format", pa.string()), ("w", pa.int32()), ("h", pa.int32()), ("layout", pa.string()), ("kind", pa.string()), ("samples", pa.list_(pa.int32())), ("error", pa.string())])
+        schema = pa.schema([("picture_id", pa.string()), ("format", pa.string()), ("w", pa.int32()), ("h", pa.int32()), ("layout", pa.string()), ("kind", pa.string()), ("samples", pa.list_(pa.int32())), ("error", pa.string())])
         for batch in batches:
             for path, raw, name in zip(*(batch.column(i) for i in range(3)), strict=True):
-                row = {"image_id": path.as_py(), "format": name.as_py()}
+                row = {"picture_id": path.as_py(), "format": name.as_py()}
                 try:
                     row |= dict(zip(("w", "h", "layout", "kind", "samples"), codecs.decode(row["format"], raw.as_py() or b"", max_alloc), strict=True))
                 except ValueError as e:
                     row["error"] = str(e)
                 yield pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], f.type) for f in schema], schema=schema)
 
-    return files.select("path", "content", "format").mapInArrow(run, IMAGES)
+    return files.select("path", "content", "format").mapInArrow(run, PICTURES)
 
 
 def read(spark: SparkSession, path: str, guess: bool = False, max_alloc: int = 512 << 20) -> DataFrame:
@@ -43,23 +43,23 @@ def read(spark: SparkSession, path: str, guess: bool = False, max_alloc: int = 5
     return decode(files.withColumn("format", F.coalesce(formats.guess_format(F.col("content")), name) if guess else name), max_alloc)
 
 
-def rasters(images: DataFrame, layout: str, kind: str = "u8") -> Raster:
+def rasters(pictures: DataFrame, layout: str, kind: str = "u8") -> Raster:
     """The pixel relation of the pictures of one layout and sample type."""
-    return generate.from_raw(images.where((F.col("layout") == layout) & (F.col("kind") == kind)), "samples", layout, kind)
+    return generate.from_raw(pictures.where((F.col("layout") == layout) & (F.col("kind") == kind)), "samples", layout, kind)
 
 
 def encode(r: Raster, name: str) -> DataFrame:
-    """image_id, content and error of each picture in a format."""
+    """picture_id, content and error of each picture in a format."""
     layout, kind = r.layout, r.kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for image_id, w, h, samples in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for picture_id, w, h, samples in zip(*(batch.column(i) for i in range(4)), strict=True):
                 content = error = None
                 try:
                     content = codecs.encode(name, w.as_py(), h.as_py(), layout, kind, samples.values.to_numpy().astype(np.int64))
                 except ValueError as e:
                     error = str(e)
-                yield pa.RecordBatch.from_arrays([pa.array([image_id.as_py()]), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["image_id", "content", "error"])
+                yield pa.RecordBatch.from_arrays([pa.array([picture_id.as_py()]), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["picture_id", "content", "error"])
 
-    return generate.into_raw(r).mapInArrow(run, "image_id string, content binary, error string")
+    return generate.into_raw(r).mapInArrow(run, "picture_id string, content binary, error string")

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from pixelry.sources import codecs, formats, images
+from pixelry.sources import codecs, formats, pictures
 
 SIZES = [(1, 1), (2, 2), (3, 2), (7, 1), (9, 3), (100, 10)]
 HOLDS = [("farbfeld", "Rgba", "u16")] + [("pnm", x, k) for x in ("L", "Rgb") for k in ("u8", "u16")] + [("png", x, k) for x in codecs.CHANNELS for k in ("u8", "u16")]
@@ -78,16 +78,16 @@ def test_files_as_tables(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(codecs.encode("png", 3, 2, "Rgb", "u8", v))
     (tmp_path / "d.png").write_bytes(b"?")
     (tmp_path / "e.webp").write_bytes(b"RIFF1234WEBP")
-    got = {r.image_id[-5:]: r for r in images.read(spark, str(tmp_path)).collect()}
+    got = {r.picture_id[-5:]: r for r in pictures.read(spark, str(tmp_path)).collect()}
     assert got["a.png"].samples == got["b.ppm"].samples == v.tolist()
     assert all(got[n].error for n in ("c.txt", "d.png", ".webp"))
-    found = images.read(spark, str(tmp_path), guess=True)
+    found = pictures.read(spark, str(tmp_path), guess=True)
     assert found.where("error is null").count() == 3
-    pixels = images.rasters(found, "Rgb")
+    pixels = pictures.rasters(found, "Rgb")
     assert pixels.pixels.count() == 18
-    for r in images.encode(pixels, "png").collect():
+    for r in pictures.encode(pixels, "png").collect():
         assert codecs.decode("png", bytes(r.content))[4].tolist() == v.tolist()
-    assert all(r.error for r in images.encode(pixels, "farbfeld").collect())
+    assert all(r.error for r in pictures.encode(pixels, "farbfeld").collect())
 
 
 def test_stated_formats_have_codecs():
