@@ -35,6 +35,8 @@ QUANTILE = 0.99
 #: One trusted document in so many sets the thresholds and is not trained on.
 HOLD_OUT = 5
 BROADCAST_NGRAMS = 6_000_000
+#: Counts (16 bytes each) of a language that a task gathers before it sums them; counts of all languages before it emits them.
+MERGE, EMIT = 750_000, 4_000_000
 #: Rows of labels up to which they are broadcast (16 bytes each).
 BROADCAST_LABELS = 1_000_000
 _MASK = [np.uint64((1 << (8 * k)) - 1) for k in range(9)]
@@ -88,9 +90,9 @@ def count_ngrams(docs: DataFrame, lang: str, text: str) -> DataFrame:
                     if len(b):
                         keys, counts = np.unique(ngram_keys(b, o), return_counts=True)
                         held.setdefault(x, []).append((keys, counts))
-                        if sum(len(k) for k, _ in held[x]) > 3_000_000:
+                        if sum(len(k) for k, _ in held[x]) > MERGE:
                             merged(x)
-            if sum(len(k) for parts in held.values() for k, _ in parts) > 8_000_000:
+            if sum(len(k) for parts in held.values() for k, _ in parts) > EMIT:
                 for x in list(held):
                     yield from out(x)
                     del held[x]

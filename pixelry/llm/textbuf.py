@@ -8,6 +8,7 @@ of its own).
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -18,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Slices after which a worker gives unused memory back.
+TIDY_SLICES = 16
 
 #: Modulus of the two span hashes, a Mersenne prime, and their bases (powers of the primitive root 7 with exponents prime to the group's order).
 _PRIME = (1 << 31) - 1
@@ -115,18 +118,28 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
+def tidy() -> None:
+    """Give memory that the allocators keep back to the system, for the other processes of the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts sum to at most `most` bytes, or single rows beyond that."""
     if batch.num_rows == 0:
         return
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     ends = np.cumsum(sizes)
-    at = 0
+    at, n = 0, 0
     while at < len(sizes):
         base = ends[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
         yield batch.slice(at, stop - at)
-        at = stop
+        at, n = stop, n + 1
+        if n % TIDY_SLICES == 0 or at == len(sizes):
+            tidy()
 
 
 def binary_array(buf: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -170,7 +183,7 @@ class SpanCache:
     that, which bounds a worker's memory.
     """
 
-    def __init__(self, most: int = 1_000_000, dtype=np.uint16):
+    def __init__(self, most: int = 500_000, dtype=np.uint16):
         self.most, self.dtype = most, dtype
         self.clear()
 
