@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pixelry.functions import colour
 from pixelry.functions import samples as S
-from pixelry.operators import compose, generate, geometry, point, resample, window
+from pixelry.operators import compose, frames, generate, geometry, point, resample, window
 from pixelry.plans.raster import Raster, embeddings_raster, events_raster, from_table, with_alpha
-from pixelry.sources import formats
+from pixelry.sources import formats, metadata, pictures
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,7 +83,7 @@ _r1("bilevel_lookup", lambda r: point.lookup_bilevel(point.index_bilevel(r)), f"
 _PALETTE = [(0, 0, 0), (255, 255, 255), (200, 30, 30), (30, 200, 30), (30, 30, 200), (128, 128, 128)]
 _r1("index_colors", lambda r: point.index_colors(r, _PALETTE), "x, y, CAST(list_position(d, list_min(d)) - 1 AS INT) AS c0", "FROM (SELECT *, [" + ", ".join(f"(r - {p[0]}) * (r - {p[0]}) + (g - {p[1]}) * (g - {p[1]}) + (b - {p[2]}) * (b - {p[2]})" for p in _PALETTE) + "] AS d FROM r1)")
 _ra("premultiply", point.premultiply, f"x, y, {_each('CAST(floor(round(CAST(@ AS DOUBLE) * a / 255, 6) + 0.5) AS INT)')}, a AS c3")
-_r1("cmyk_to_rgb", lambda r: r.select(S.cmyk_to_rgb(*r.channels, F.col("x"))), "x, y, " + ", ".join(_HALF.format(f"(1 - CAST({c} AS DOUBLE) / 255) * (1 - CAST(x AS DOUBLE) / 255) * 255") + f" AS c{i}" for i, c in enumerate("rgb")))
+_r1("cmyk_to_rgb", lambda r: r.select(S.cmyk_to_rgb(*r.channels, F.col("x"))), f"x, y, {_each('CAST((255 - @) * (255 - x) // 255 AS INT)')}")
 _YCC = [("r + 1.402::DOUBLE * (b - 128)"), "r - 0.344136::DOUBLE * (g - 128) - 0.714136::DOUBLE * (b - 128)", "r + 1.772::DOUBLE * (g - 128)"]
 _r1("ycbcr_to_rgb", lambda r: r.select(S.ycbcr_to_rgb(*r.channels)), "x, y, " + ", ".join(f"greatest(0, least(255, {_HALF.format(e)})) AS c{i}" for i, e in enumerate(_YCC)))
 _LIN = "CASE WHEN @ / 255.0::DOUBLE <= 0.04045 THEN @ / 255.0::DOUBLE / 12.92 ELSE pow((@ / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END"
@@ -95,6 +96,42 @@ _r1("srgb_to_display_p3", lambda r: point.convert_color_space(r, ("srgb", "srgb"
     "FROM (SELECT x, y, " + ", ".join(f"greatest(0.0, least(1.0, {e})) AS v{i}" for i, e in enumerate(_P3_SQL)) + " FROM (SELECT x, y, " + ", ".join(f"{_LIN.replace('@', c)} AS l{c}" for c in "rgb") + " FROM r1))")
 
 
+# --- colour spaces: every transfer function there and back, and primaries by matrices in exact fractions
+_TRANSFERS = {  # to linear light, and back, of a value v
+    "bt709": ("CASE WHEN v < 0.081 THEN v / 4.5 ELSE pow((v + 0.099) / 1.099, 1 / 0.45::DOUBLE) END", "CASE WHEN v < 0.018 THEN v * 4.5 ELSE 1.099 * pow(v, 0.45) - 0.099 END"),
+    "gamma22": ("pow(v, 2.2)", "pow(v, 1 / 2.2::DOUBLE)"),
+    "gamma28": ("pow(v, 2.8)", "pow(v, 1 / 2.8::DOUBLE)"),
+    "smpte240m": ("CASE WHEN v < 0.0912 THEN v / 4 ELSE pow((v + 0.1115) / 1.1115, 1 / 0.45::DOUBLE) END", "CASE WHEN v < 0.0228 THEN v * 4 ELSE 1.1115 * pow(v, 0.45) - 0.1115 END"),
+    "linear": ("v", "v"),
+    "log100": ("CASE WHEN v <= 0 THEN 0.005 ELSE pow(10, 2 * (v - 1)) END", "CASE WHEN v < 0.01 THEN 0 ELSE 1 + log10(v) / 2 END"),
+    "log316": ("CASE WHEN v <= 0 THEN pow(10, -2.5) / 2 ELSE pow(10, 2.5 * (v - 1)) END", "CASE WHEN v < pow(10, -2.5) THEN 0 ELSE 1 + log10(v) / 2.5 END"),
+    "smpte428": ("pow(v, 2.6) * 52.37 / 48", "pow(v * 48 / 52.37, 1 / 2.6::DOUBLE)"),
+    "hlg": ("CASE WHEN v <= 0.5 THEN v * v / 3 ELSE (exp((v - 0.55991073) / 0.17883277) + 0.28466892) / 12 END", "CASE WHEN v <= 1 / 12::DOUBLE THEN sqrt(3 * v) ELSE 0.17883277 * ln(12 * v - 0.28466892) + 0.55991073 END"),
+}
+for _t, (_there, _back) in _TRANSFERS.items():
+    _r1(f"transfer_{_t}", lambda r, t=_t: r.select([S.round_to(colour.to_linear(r.channels[0].cast("double") / 255, t) * 65535, "u16"), S.round_to(colour.from_linear(r.channels[1].cast("double") / 255, t) * 65535, "u16"), r.channels[2]]),
+        f"x, y, CAST(greatest(0, least(65535, floor(round(({_there.replace('v', '(r / 255::DOUBLE)').replace('pow(10, -2.5) / 2', '0.0015811388300841897::DOUBLE')}) * 65535, 6) + 0.5))) AS INT) AS c0, CAST(greatest(0, least(65535, floor(round(({_back.replace('v', '(g / 255::DOUBLE)')}) * 65535, 6) + 0.5))) AS INT) AS c1, b AS c2")
+# matrices between linear primaries, row by row
+_MATRICES = {
+    "rec2020": [[0.627403895934699, 0.3292830383778837, 0.043313065687417225], [0.06909728935823208, 0.9195403950754587, 0.011362315566309178], [0.01639143887515028, 0.08801330787722575, 0.895595253247624]],
+    "bt470bg": [[0.9578147643764428, 0.04218523562355722, 0.0], [0.0, 1.0, 0.0], [0.0, -0.01193412189803612, 1.0119341218980362]],
+    "bt601": [[1.065379033769955, -0.05540087282452723, -0.009978160945427632], [-0.0196325498731453, 1.0363630945786033, -0.016730544705458057], [0.0016320510640102004, 0.0044123731575076075, 0.9939555757784821]],
+    "ebu3213": [[0.9748495052755005, 0.027295350214464904, -0.0021448554899654486], [-0.020000287401169076, 1.0542090446840986, -0.03420875728292956], [0.0016907496530498647, 0.0015637868386342844, 0.9967454635083158]],
+    "bt470m": [[0.6783564046655348, 0.2884793690460443, 0.03316422628842088], [0.016513159521436147, 1.0520089101921741, -0.06852206971361036], [0.01791784093535546, 0.0506311652730081, 0.9314509937916364]],
+    "film": [[0.7514173604314807, 0.23960166258705654, 0.008980976981462767], [0.03367298543734918, 0.9497106666910587, 0.016616347871592083], [0.016938513534489365, 0.05856136314390116, 0.9245001233216095]],
+    "dci-p3": [[0.8685797397161324, 0.12891913846084704, 0.0025011218230205435], [0.03454041025431944, 0.96181138636192, 0.0036482033837605824], [0.01677142904145027, 0.07103999778688584, 0.9121885731716639]],
+    "xyz": [[0.4384487842192455, 0.39217592919722744, 0.16937528658352713], [0.2228276920549055, 0.7086912980969594, 0.0684810098481351], [0.017313736192152755, 0.11044502648170916, 0.8722412373261381]],
+}
+for _p, _rows in _MATRICES.items():
+    _r1(f"primaries_{_p.replace('-', '_')}", lambda r, p=_p: point.convert_color_space(r, ("srgb", "linear"), (p, "linear")), "x, y, " + ", ".join(f"CAST(greatest(0, least(255, floor(round(greatest(0.0, least(1.0, ({' + '.join(f'{c} / 255::DOUBLE * {v!r}::DOUBLE' for c, v in zip('rgb', row, strict=True))}))) * 255, 6) + 0.5))) AS INT) AS c{i}" for i, row in enumerate(_rows)))
+_r1("luma_rec2020", lambda r: point.to_luma(r, "rec2020"), "x, y, CAST(floor(round(r * 0.26270021201126703::DOUBLE + g * 0.677998071518871::DOUBLE + b * 0.05930171646986194::DOUBLE, 6) + 0.5) AS INT) AS c0")
+_r1("yuv_limited_bt709", lambda r: r.select(colour.yuv_to_rgb(*r.channels, "bt709", False)), "x, y, " + ", ".join(f"CAST(greatest(0, least(255, floor(round({e}, 6) + 0.5))) AS INT) AS c{i}" for i, e in enumerate(("yy + 1.5748 * vv", "(yy - 0.2126 * (yy + 1.5748 * vv) - 0.0722 * (yy + 1.8556 * uu)) / 0.7152", "yy + 1.8556 * uu"))), "FROM (SELECT x, y, (r - 16) * 255 / 219::DOUBLE AS yy, (g - 128) * 255 / 224::DOUBLE AS uu, (b - 128) * 255 / 224::DOUBLE AS vv FROM r1)")
+_r1("ycgco", lambda r: r.select(colour.ycgco_to_rgb(*r.channels)), f"x, y, {', '.join(f'CAST(greatest(0, least(255, {e})) AS INT) AS c{i}' for i, e in enumerate(('r - (g - 128) + (b - 128)', 'r + (g - 128)', 'r - (g - 128) - (b - 128)')))}")
+_r1("expand_bits", lambda r: r.select([colour.expand_bits(c % 2**n, n) for c, n in zip(r.channels, (1, 2, 4), strict=True)]), "x, y, r % 2 * 255 AS c0, g % 4 * 85 AS c1, b % 16 * 17 AS c2")
+_add("nearest_color", lambda spark, d: _out(point.nearest_color(events_raster(spark, d), spark.range(300).selectExpr("cast(id as int) as idx", "cast(id * 7 % 256 as int) as c0", "cast(id * 13 % 256 as int) as c1", "cast(id * 29 % 256 as int) as c2"))),
+     f"WITH {R1}, p AS (SELECT CAST(i AS INT) AS idx, i * 7 % 256 AS pr, i * 13 % 256 AS pg, i * 29 % 256 AS pb FROM range(300) t(i)) SELECT x, y, arg_min(idx, ((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb)) * 1000 + idx) AS c0 FROM r1, p GROUP BY x, y")
+
+
 def _palette(spark: SparkSession, d: str) -> DataFrame:
     """Parts 1 to 200 as colours."""
     part = spark.read.parquet(f"{d}/part.parquet").where("p_partkey between 1 and 200")
@@ -298,8 +335,97 @@ _add(
 )
 _add("dither", lambda spark, d: _out(window.dither_bilevel(point.grayscale(events_raster(spark, d)))))
 
+# --- animations: five frames of each picture, on a canvas of 8 by 8
+_SHAPES = "fr AS (SELECT vec_id // 5 AS p, vec_id % 5 AS f, vec_id % 5 AS l, ['keep', 'background', 'previous'][CAST(vec_id % 3 + 1 AS INT)] AS dispose, ['source', 'over'][CAST(vec_id // 2 % 2 + 1 AS INT)] AS blend, embedding, vec_id FROM embeddings)"
+_DRAWN = """fp AS (SELECT p, f, dispose, blend, CAST(i % 4 + l AS INT) AS x, CAST(i // 4 + 1 AS INT) AS y, {'c0': CAST(floor(abs(embedding[i + 1]) * 1000) % 256 AS INT), 'c1': CAST((vec_id * 7 + i) % 256 AS INT), 'c2': CAST(i * 10 AS INT), 'c3': CAST([0, 128, 255][CAST((vec_id + i) % 3 + 1 AS INT)] AS INT)} AS c
+  FROM (SELECT *, unnest(range(24)) AS i FROM fr))"""
+_NONE = "{'c0': 0, 'c1': 0, 'c2': 0, 'c3': 0}"
+_START = f"SELECT p, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(-1 AS BIGINT) AS f, {_NONE} AS now, {_NONE} AS before, {_NONE} AS shown, false AS region, 'background' AS dispose FROM (SELECT DISTINCT p FROM fr), (SELECT unnest(range(8)) AS x), (SELECT unnest(range(8)) AS y)"
+_STEP = "FROM st JOIN fr g ON g.p = st.p AND g.f = st.f + 1 LEFT JOIN fp ON fp.p = st.p AND fp.f = st.f + 1 AND fp.x = st.x AND fp.y = st.y"
+_FRAMES_OUT = "SELECT CAST(p AS VARCHAR) AS picture_id, CAST(f AS INT) AS frame_no, x, y, shown.c0 AS c0, shown.c1 AS c1, shown.c2 AS c2, shown.c3 AS c3 FROM st WHERE f >= 0"
+
+
+def _frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding", F.expr("cast(vec_id div 5 as string)").alias("picture_id"), F.expr("cast(vec_id % 5 as int)").alias("frame_no"))
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), F.expr(f"cast({by} + 1 as int)"))
+    shapes = rows.select("picture_id", "frame_no", F.lit(8).alias("w"), F.lit(8).alias("h"), F.col("frame_no").alias("left"), F.lit(1).alias("top"), F.lit(4).alias("width"), F.lit(6).alias("height"), pick(("keep", "background", "previous"), "vec_id % 3").alias("dispose"), pick(("source", "over"), "vec_id div 2 % 2").alias("blend"))
+    drawn = rows.select("*", F.posexplode(F.slice("embedding", 1, 24)).alias("i", "v"))
+    colours = [F.expr("cast(floor(abs(v) * 1000) % 256 as int)"), F.expr("cast((vec_id * 7 + i) % 256 as int)"), F.expr("i * 10"), pick((0, 128, 255), "(vec_id + i) % 3")]
+    return shapes, drawn.select("picture_id", "frame_no", F.expr("i % 4").alias("x"), F.expr("cast(i div 4 as int)").alias("y"), *(c.alias(f"c{k}") for k, c in enumerate(colours)))
+
+
+def _composed(name: str, f: Callable[[DataFrame, DataFrame], DataFrame], step: str) -> None:
+    _add(name, lambda spark, d: f(*_frames(spark, d)).select("picture_id", "frame_no", "x", "y", "c0", "c1", "c2", "c3"), f"WITH RECURSIVE {_SHAPES}, {_DRAWN}, st AS ({_START} UNION ALL {step}) {_FRAMES_OUT}")
+
+
+_SEEN = "CASE WHEN fp.p IS NOT NULL AND fp.c.c3 > 0 THEN fp.c ELSE st.now END"
+_composed("frames_transparent", frames.compose_transparent, f"SELECT st.p, st.x, st.y, g.f, CASE WHEN fp.p IS NULL OR g.dispose = 'previous' THEN st.now WHEN g.dispose = 'background' THEN {_NONE} ELSE {_SEEN} END, st.now, {_SEEN}, false, g.dispose {_STEP}")
+_BACK = f"CASE WHEN st.region AND st.dispose = 'previous' THEN st.before WHEN st.region AND st.dispose = 'background' THEN {_NONE} ELSE st.now END"
+_OVER = lambda c: f"CAST(coalesce(greatest(0, least(255, floor(round((cc.{c} / 255::DOUBLE * (cc.c3 / 255::DOUBLE) + u.{c} / 255::DOUBLE * (u.c3 / 255::DOUBLE) * (1 - cc.c3 / 255::DOUBLE)) / nullif(cc.c3 / 255::DOUBLE + u.c3 / 255::DOUBLE - cc.c3 / 255::DOUBLE * (u.c3 / 255::DOUBLE), 0) * 255, 6) + 0.5))), u.{c}) AS INT)"
+_ALPHA = "CAST(floor(round((cc.c3 / 255::DOUBLE + u.c3 / 255::DOUBLE - cc.c3 / 255::DOUBLE * (u.c3 / 255::DOUBLE)) * 255, 6) + 0.5) AS INT)"
+_BLENDED = f"CASE WHEN NOT inside THEN u WHEN blend = 'source' OR cc.c3 = 255 THEN cc WHEN cc.c3 = 0 THEN u ELSE {{'c0': {_OVER('c0')}, 'c1': {_OVER('c1')}, 'c2': {_OVER('c2')}, 'c3': {_ALPHA}}} END"
+_composed("frames_blended", frames.compose_blended, f"SELECT p, x, y, f, {_BLENDED}, before, {_BLENDED}, inside, dispose FROM (SELECT st.p, st.x, st.y, g.f, {_BACK} AS u, CASE WHEN st.dispose = 'previous' THEN st.before ELSE st.now END AS before, fp.p IS NOT NULL AS inside, fp.c AS cc, g.blend, g.dispose {_STEP})")
+_add("frame_delays", lambda spark, d: _frames(spark, d)[0].where("frame_no > 0").select("picture_id", "frame_no", frames.hundredths(frames.delay(F.col("frame_no") * 12345, F.lit(7))).alias("hundredths"), frames.apng_delay(F.col("frame_no"), F.col("frame_no") % 2)["denom"].alias("denom"), frames.saturating_delay(F.col("frame_no").cast("long") * 1_234_567)["numer"].alias("numer")),
+     "SELECT CAST(vec_id // 5 AS VARCHAR) AS picture_id, CAST(vec_id % 5 AS INT) AS frame_no, CAST(least(65535, vec_id % 5 * 12345 // 7 // 10) AS INT) AS hundredths, CASE WHEN vec_id % 5 % 2 = 0 THEN 100 ELSE 1 END AS denom, [1234567, 1234567, 3703701, 1234567][CAST(vec_id % 5 AS INT)] AS numer FROM embeddings WHERE vec_id % 5 > 0")
+_add("frames_collected", lambda spark, d: frames.collect(frames.skip(_frames(spark, d)[0], 2)).select("picture_id", F.size("frames").alias("n"), F.element_at("frames", 1)["left"].alias("left")), "SELECT CAST(vec_id // 5 AS VARCHAR) AS picture_id, CAST(count(*) AS INT) AS n, CAST(min(vec_id % 5) AS INT) AS \"left\" FROM embeddings WHERE vec_id % 5 >= 2 GROUP BY 1")
+
+# --- codecs: every embedding as a picture of 8 by 8, encoded, its header read, and decoded
+_CODED = "SELECT CAST(vec_id AS VARCHAR) AS picture_id, CAST(i % 8 AS INT) AS x, CAST(i // 8 AS INT) AS y, {0} FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings)"
+_SAMPLES = {"c0": "CAST(floor(abs(embedding[i + 1]) * 1000) % 256 AS INT)", "c1": "CAST((vec_id * 7 + i // 3) % 256 AS INT)", "c2": "CAST(i // 8 * 30 AS INT)", "c3": "CAST((vec_id + i) % 256 AS INT)"}
+
+
+def _coded(spark: SparkSession, d: str, layout: str, kind: str) -> Raster:
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    channels = [F.expr(e) for e in ("floor(abs(v) * 1000) % 256", "(vec_id * 7 + i div 3) % 256", "i div 8 * 30", "(vec_id + i) % 256")][: {"L": 1, "Rgb": 3, "Rgba": 4}[layout]]
+    return from_table(rows, F.col("vec_id"), 8, 8, F.expr("i % 8"), F.expr("i div 8"), [c * 257 for c in channels] if kind == "u16" else channels, layout, kind)
+
+
+def _codec(fmt: str, layout: str, kind: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        files = pictures.encode(_coded(spark, d, layout, kind), fmt).select(F.col("picture_id").alias("path"), "content", F.lit(fmt).alias("format"))
+        return pictures.rasters(pictures.decode(files), layout, kind).pixels.select("picture_id", "x", "y", *(f"c{i}" for i in range(len(channels))))
+
+    channels = list(_SAMPLES)[: {"L": 1, "Rgb": 3, "Rgba": 4}[layout]]
+    _add(f"codec_{fmt}_{layout.lower()}_{kind}", run, _CODED.format(", ".join(f"{_SAMPLES[c]}{' * 257' if kind == 'u16' else ''} AS {c}" for c in channels)))
+
+
+for _f, _layout, _kind in (("bmp", "Rgb", "u8"), ("bmp", "Rgba", "u8"), ("farbfeld", "Rgba", "u16"), ("png", "L", "u16"), ("png", "Rgba", "u8"), ("pnm", "Rgb", "u8"), ("pnm", "Rgba", "u16"), ("qoi", "Rgb", "u8"), ("qoi", "Rgba", "u8"), ("tga", "L", "u8"), ("tga", "Rgba", "u8")):
+    _codec(_f, _layout, _kind)
+
+
+def _headers(spark: SparkSession, d: str) -> DataFrame:
+    """What the headers of the pictures tell in each format, and the format that their first bytes tell."""
+    out = None
+    for fmt, layout, kind in (("bmp", "Rgb", "u8"), ("farbfeld", "Rgba", "u16"), ("png", "Rgb", "u8"), ("pnm", "Rgb", "u8"), ("qoi", "Rgb", "u8")):
+        r = resample.resize_exact(_coded(spark, d, layout, kind), F.col("picture_id").cast("int") % 3 + 1, 2, "nearest")
+        files, size = pictures.encode(r, fmt), metadata.dimensions(F.col("content"))
+        rows = files.select("picture_id", F.lit(fmt).alias("format"), formats.guess_format(F.col("content")).alias("guessed"), formats.to_mime_type(F.lit(fmt)).alias("mime"), size["w"].alias("w"), size["h"].alias("h"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_add("headers", _headers, "SELECT CAST(vec_id AS VARCHAR) AS picture_id, format, format AS guessed, mime, vec_id % 3 + 1 AS w, CAST(2 AS BIGINT) AS h FROM embeddings, (VALUES ('bmp', 'image/bmp'), ('farbfeld', 'application/octet-stream'), ('png', 'image/png'), ('pnm', 'image/x-portable-anymap'), ('qoi', 'image/x-qoi')) t(format, mime)")
+_add("mime_types", lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", formats.from_mime_type(F.element_at(F.array(*map(F.lit, ("image/x-ms-bmp", "image/vnd.radiance", "image/apng", "text/html"))), F.expr("cast(page_id % 4 + 1 as int)"))).alias("format")), "SELECT page_id, ['bmp', 'hdr', 'png', NULL][CAST(page_id % 4 + 1 AS INT)] AS format FROM pages")
+# an EXIF block of two entries, its second one the orientation, in either order of bytes
+
+
+def _exif(spark: SparkSession, d: str) -> DataFrame:
+    v = F.lpad(F.hex(F.expr("vec_id % 10")), 2, "0")
+    little = F.concat(F.lit("49492A00" "08000000" "0200" "0001" "0300" "01000000" "05000000" "1201" "0300" "01000000"), v, F.lit("000000"))
+    big = F.concat(F.lit("4D4D002A" "00000008" "0002" "0100" "0003" "00000001" "00050000" "0112" "0003" "00000001" "00"), v, F.lit("0000"))
+    block = F.unhex(F.when(F.col("vec_id") % 2 == 0, little).otherwise(big))
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", block.alias("exif"))
+    return rows.select("vec_id", metadata.orientation(F.col("exif")).alias("orientation"), metadata.orientation(metadata.without_orientation(F.col("exif"))).alias("cleared"), metadata.to_exif(metadata.orientation(F.col("exif"))).alias("code"))
+
+
+_add("exif_orientation", _exif, "SELECT vec_id, CAST(nullif(CASE WHEN vec_id % 10 < 9 THEN vec_id % 10 ELSE 0 END, 0) AS INT) AS orientation, CASE WHEN vec_id % 10 BETWEEN 1 AND 8 THEN 1 END AS cleared, CAST(nullif(CASE WHEN vec_id % 10 < 9 THEN vec_id % 10 ELSE 0 END, 0) AS INT) AS code FROM embeddings")
+
 # --- formats and limits
-_add("formats", lambda spark, d: formats.formats(spark).select("format", "mime", F.array_join("extensions", ",").alias("extensions"), "can_read", "can_write"))
+_add(
+    "formats",
+    lambda spark, d: formats.formats(spark).select("format", "mime", F.array_join("extensions", ",").alias("extensions"), "can_read", "can_write"),
+    "SELECT * FROM (VALUES ('avif', 'image/avif', 'avif', false, false), ('bmp', 'image/bmp', 'bmp', true, true), ('farbfeld', 'application/octet-stream', 'ff', true, true), ('gif', 'image/gif', 'gif', true, false), ('hdr', 'image/vnd.radiance', 'hdr', true, true), ('ico', 'image/x-icon', 'ico', false, false), ('jpeg', 'image/jpeg', 'jpg,jpeg,jfif', false, false), ('exr', 'image/x-exr', 'exr', false, false), ('png', 'image/png', 'png,apng', true, true), ('pnm', 'image/x-portable-anymap', 'pbm,pgm,ppm,pam,pnm', true, true), ('qoi', 'image/x-qoi', 'qoi', true, true), ('tga', 'image/x-targa', 'tga', true, true), ('tiff', 'image/tiff', 'tif,tiff', false, false), ('webp', 'image/webp', 'webp', false, false)) t(format, mime, extensions, can_read, can_write)",
+)
 _add(
     "format_from_path",
     lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", formats.from_path(F.concat(F.regexp_extract("url", "([^/]*)/?$", 1), F.element_at(F.array(*map(F.lit, (".png", ".JPG", ".webp", ".txt", ""))), (F.col("page_id") % 5 + 1).cast("int")))).alias("format")),

@@ -111,8 +111,9 @@ def lerp(a: Column, b: Column, t: Column, kind: str = "u8") -> Column:
 
 
 def cmyk_to_rgb(c: Column, m: Column, y: Column, k: Column, kind: str = "u8") -> list[Column]:
+    """Each ink with black, in whole numbers, truncated."""
     top = MAX[kind]
-    return [round_to((1 - x.cast("double") / top) * (1 - k.cast("double") / top) * top, kind) for x in (c, m, y)]
+    return [F.floor((top - x.cast("bigint")) * (top - k.cast("bigint")) / top).cast("int") for x in (c, m, y)]
 
 
 def ycbcr_to_rgb(y: Column, cb: Column, cr: Column) -> list[Column]:

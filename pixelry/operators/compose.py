@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pixelry.functions import samples as S
+from pixelry.operators import point
 from pixelry.plans.raster import KEY, Raster, sizes, small
 
 
@@ -62,6 +63,11 @@ def copy_from(target: Raster, source: Raster, x: int, y: int) -> Raster:
     return replace(Raster(checked.select(*KEY, *target.names), target.layout, target.kind), source, x, y)
 
 
+def copy_from_color_space(target: Raster, source: Raster, x: int = 0, y: int = 0) -> Raster:
+    """copy_from of a source that is brought into the target's colour space, layout and sample type first."""
+    return copy_from(target, point.convert(point.apply_color_space(source, target.space), target.layout, target.kind), x, y)
+
+
 def copy_within(r: Raster, sx: int, sy: int, width: int, height: int, x: int, y: int) -> Raster:
     """Copy a rectangle to another place of the same picture; overlaps read the old pixels."""
     part = r.where((F.col("x") >= sx) & (F.col("x") < sx + width) & (F.col("y") >= sy) & (F.col("y") < sy + height))

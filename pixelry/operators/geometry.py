@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelry.plans.raster import Raster
+from pixelry.plans.raster import Raster, sizes
 
 
 def _cols() -> tuple[Column, Column, Column, Column]:
@@ -28,6 +28,32 @@ def view(r: Raster, x: int, y: int, width: int, height: int) -> Raster:
     return crop(checked, x, y, width, height)
 
 
+def rect(x: range, y: range) -> tuple[int, int, int, int]:
+    """x, y, width and height of a rectangle given by ranges."""
+    return x.start, y.start, max(0, x.stop - x.start), max(0, y.stop - y.start)
+
+
+def try_view(r: Raster, x: int, y: int, width: int, height: int) -> tuple[Raster, DataFrame]:
+    """The crop of the pictures that hold the whole rectangle; and picture_id and error of those that do not."""
+    _, _, w, h = _cols()
+    fits = (F.lit(x).cast("bigint") + width <= w) & (F.lit(y).cast("bigint") + height <= h) & F.lit(x >= 0 and y >= 0)
+    failed = sizes(r.where(~fits)).select("picture_id", F.lit("rectangle exceeds the picture").alias("error"))
+    return crop(r.where(fits), x, y, width, height), failed
+
+
+class View:
+    """A rectangle of a raster that can be moved; `raster()` is the crop at hand."""
+
+    def __init__(self, r: Raster, x: int, y: int, width: int, height: int):
+        self.source, self.bounds = r, (x, y, width, height)
+
+    def change_bounds(self, x: int, y: int, width: int, height: int) -> View:
+        return View(self.source, x, y, width, height)
+
+    def raster(self) -> Raster:
+        return view(self.source, *self.bounds)
+
+
 def rotate90(r: Raster) -> Raster:
     """Clockwise."""
     x, y, w, h = _cols()

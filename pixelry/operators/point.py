@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelry.functions import colour
 from pixelry.functions import samples as S
 from pixelry.plans.raster import Raster
 
@@ -106,7 +110,7 @@ def expand_palette(r: Raster, palette: DataFrame, transparent: int | None = None
 
 def index_colors(r: Raster, palette: list[tuple[int, ...]]) -> Raster:
     """Index of the nearest palette colour by squared distance, the first of equals."""
-    far = [sum(((c - v) * (c - v) for c, v in zip(r.colour[1:], colour[1:], strict=True)), (r.colour[0] - colour[0]) * (r.colour[0] - colour[0])) for colour in palette]
+    far = [sum(((c - v) * (c - v) for c, v in zip(r.colour[1:], p[1:], strict=True)), (r.colour[0] - p[0]) * (r.colour[0] - p[0])) for p in palette]
     best = F.array_min(F.array(*(F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(far))))
     return r.select([best["i"]], layout="L")
 
@@ -121,42 +125,70 @@ def unpremultiply(r: Raster) -> Raster:
     return map_without_alpha(r, lambda c: F.coalesce(S.round_to(c.cast("double") * top / F.nullif(r.channels[-1], F.lit(0)), r.kind), F.lit(0))) if r.has_alpha else r
 
 
-# Chromaticities (x, y) of red, green, blue and white of the supported primaries.
-PRIMARIES = {
-    "srgb": ((0.640, 0.330), (0.300, 0.600), (0.150, 0.060), (0.3127, 0.3290)),
-    "display-p3": ((0.680, 0.320), (0.265, 0.690), (0.150, 0.060), (0.3127, 0.3290)),
-    "rec2020": ((0.708, 0.292), (0.170, 0.797), (0.131, 0.046), (0.3127, 0.3290)),
-}
-TRANSFERS = ("srgb", "linear")
+def convert_color_space(r: Raster, source: colour.Space, target: colour.Space) -> Raster:
+    """Pixels of one (primaries, transfer) space in another; alpha is kept, and so are grey pictures between equal transfers."""
+    for space in (source, target):
+        if not colour.supported(space):
+            raise ValueError(f"unsupported colour space: {space[0]}, {space[1]}")
+    if source == target or (len(r.colour) < 3 and source[1] == target[1]):
+        return replace(r, space=target)
+    top = S.MAX[r.kind]
+    linear = [colour.to_linear(c.cast("double") / top, source[1]) for c in r.colour]
+    if source[0] != target[0] and len(linear) == 3:
+        linear = [S.mix_channels(linear, row) for row in colour.matrix(source[0], target[0])]
+    coded = [colour.from_linear(S.clamp(c, 0.0, 1.0), target[1]) for c in linear]
+    return replace(r.select([S.round_to(c * top, r.kind) for c in coded] + ([r.channels[-1]] if r.has_alpha else [])), space=target)
 
 
-def primaries_matrix(source: str, target: str) -> list[list[float]]:
-    """Linear RGB of one set of primaries to another, through CIE XYZ."""
-    import numpy as np
+def apply_color_space(r: Raster, target: colour.Space) -> Raster:
+    """Pixels from the raster's own space to another."""
+    return convert_color_space(r, r.space, target)
 
-    def to_xyz(name: str):
-        points = PRIMARIES[name]
-        cols = np.array([[x / y, 1.0, (1 - x - y) / y] for x, y in points[:3]]).T
-        x, y = points[3]
-        return cols * np.linalg.solve(cols, np.array([x / y, 1.0, (1 - x - y) / y]))
 
-    return (np.linalg.inv(to_xyz(target)) @ to_xyz(source)).tolist()
+def set_color_space(r: Raster, space: colour.Space) -> Raster:
+    """Another label, the same pixels."""
+    return replace(r, space=space)
 
 
-def convert_color_space(r: Raster, source: tuple[str, str], target: tuple[str, str]) -> Raster:
-    """Pixels of one (primaries, transfer) space in another; alpha is kept."""
-    for primaries, transfer in (source, target):
-        if primaries not in PRIMARIES or transfer not in TRANSFERS:
-            raise ValueError(f"unsupported colour space: {primaries}, {transfer}")
-    if source == target or len(r.colour) < 3:
-        return r
-    top = S.MAX[r.kind]
-    linear = [c.cast("double") / top for c in r.colour]
-    if source[1] == "srgb":
-        linear = [S.srgb_to_linear(c) for c in linear]
-    if source[0] != target[0]:
-        linear = [S.mix_channels(linear, row) for row in primaries_matrix(source[0], target[0])]
-    linear = [S.clamp(c, 0.0, 1.0) for c in linear]
-    if target[1] == "srgb":
-        linear = [S.linear_to_srgb(c) for c in linear]
-    return r.select([S.round_to(c * top, r.kind) for c in linear] + ([r.channels[-1]] if r.has_alpha else []))
+def set_rgb_primaries(r: Raster, primaries: str) -> Raster:
+    return replace(r, space=(primaries, r.space[1]))
+
+
+def set_transfer_function(r: Raster, transfer: str) -> Raster:
+    return replace(r, space=(r.space[0], transfer))
+
+
+def to_luma(r: Raster, primaries: str | None = None, kind: str | None = None) -> Raster:
+    """Luminance with the weights of the raster's (or the given) primaries; alpha is dropped."""
+    if len(r.colour) == 1:
+        return convert(r, "L", kind)
+    y = S.mix_channels(r.colour, colour.luminance_weights(primaries or r.space[0]))
+    return convert(r.select([S.round_to(y, r.kind)], layout="L"), kind=kind)
+
+
+def grayscale_with_type_alpha(r: Raster, kind: str) -> Raster:
+    return convert(grayscale_alpha(r), kind=kind)
+
+
+def nearest_color(r: Raster, palette: DataFrame) -> Raster:
+    """Index of the nearest colour of a palette that is a table (idx, c0.., of at most 65,536 rows), the least of equals."""
+    n = len(r.colour)
+    rows = palette.select("idx", *(f"c{i}" for i in range(n))).limit((1 << 16) + 1).collect()
+    if len(rows) > 1 << 16:
+        raise ValueError("a palette has at most 65536 colours")
+    return Raster(index_colors(r, [tuple(x[1:]) for x in rows]).pixels, "L", r.kind) if len(rows) <= 256 else _nearest_in_tasks(r, np.array([tuple(x) for x in rows], np.float64))
+
+
+def _nearest_in_tasks(r: Raster, colours: np.ndarray) -> Raster:
+    """The same for long palettes, as vector work in tasks."""
+    colours = colours[np.argsort(colours[:, 0], kind="stable")]
+
+    @F.pandas_udf("int")
+    def nearest(*channels: pd.Series) -> pd.Series:
+        v, out = np.stack([np.asarray(c, np.float64) for c in channels], 1), []
+        for a in range(0, len(v), 256):
+            far = ((v[a : a + 256, None, :] - colours[None, :, 1:]) ** 2).sum(2)
+            out.append(colours[far.argmin(1), 0])
+        return pd.Series(np.concatenate(out) if out else np.zeros(0)).astype("int32")
+
+    return r.select([nearest(*r.colour)], layout="L")

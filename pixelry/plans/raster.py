@@ -21,6 +21,7 @@ class Raster:
     pixels: DataFrame
     layout: str = "Rgb"
     kind: str = "u8"
+    space: tuple[str, str] = ("srgb", "srgb")  # primaries and transfer function, a label
 
     @property
     def names(self) -> list[str]:
@@ -45,7 +46,7 @@ class Raster:
         channels = self.channels if channels is None else channels
         key = [place[k].cast("string" if k == "picture_id" else "int").alias(k) if k in place else F.col(k) for k in KEY]
         pixels = self.pixels.select(*key, *(c.alias(f"c{i}") for i, c in enumerate(channels)))
-        return Raster(pixels, layout, kind)
+        return Raster(pixels, layout, kind, self.space)
 
     def where(self, condition) -> Raster:
         return replace(self, pixels=self.pixels.where(condition))

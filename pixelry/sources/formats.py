@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 # Format, extensions, MIME types (the first is the one to write), readable here, writable here.
 FORMATS: list[tuple[str, str, str, bool, bool]] = [
     ("avif", "avif", "image/avif", False, False),
-    ("bmp", "bmp", "image/bmp image/x-ms-bmp", False, False),
+    ("bmp", "bmp", "image/bmp image/x-ms-bmp", True, True),
     ("farbfeld", "ff", "application/octet-stream", True, True),
-    ("gif", "gif", "image/gif", False, False),
-    ("hdr", "hdr", "image/vnd.radiance", False, False),
+    ("gif", "gif", "image/gif", True, False),
+    ("hdr", "hdr", "image/vnd.radiance", True, True),
     ("ico", "ico", "image/x-icon image/vnd.microsoft.icon", False, False),
     ("jpeg", "jpg jpeg jfif", "image/jpeg", False, False),
     ("exr", "exr", "image/x-exr", False, False),
     ("png", "png apng", "image/png image/apng", True, True),
     ("pnm", "pbm pgm ppm pam pnm", "image/x-portable-anymap image/x-portable-bitmap image/x-portable-graymap image/x-portable-pixmap", True, True),
-    ("qoi", "qoi", "image/x-qoi image/qoi", False, False),
-    ("tga", "tga", "image/x-targa image/x-tga", False, False),
+    ("qoi", "qoi", "image/x-qoi image/qoi", True, True),
+    ("tga", "tga", "image/x-targa image/x-tga", True, True),
     ("tiff", "tif tiff", "image/tiff", False, False),
     ("webp", "webp", "image/webp", False, False),
 ]
@@ -77,18 +77,3 @@ def within_limits(width: Column, height: Column, bytes_per_pixel: Column, max_wi
     if max_alloc is not None:
         ok = ok & (width.cast("bigint") * height.cast("bigint") * bytes_per_pixel <= max_alloc)
     return ok
-
-
-def exif_orientation(chunk: bytes | None) -> int | None:
-    """Orientation 1..8 of an EXIF block (TIFF structure, tag 0x0112, one SHORT), else None."""
-    if not chunk or len(chunk) < 8 or chunk[:4] not in (b"II*\0", b"MM\0*"):
-        return None
-    order = "little" if chunk[:2] == b"II" else "big"
-    num = lambda a, n: int.from_bytes(chunk[a : a + n], order)
-    at = num(4, 4)
-    for entry in range(at + 2, at + 2 + 12 * num(at, 2), 12):
-        if entry + 12 > len(chunk):
-            return None
-        if num(entry, 2) == 0x112 and num(entry + 2, 2) == 3 and num(entry + 4, 4) == 1:
-            return num(entry + 8, 2) if 1 <= num(entry + 8, 2) <= 8 else None
-    return None

@@ -1,46 +1,107 @@
 """Picture files as rows, and rows as encoded pictures.
 
 A file that cannot be decoded, or exceeds a limit, gives a row with an error instead of failing the job.
+Sizes that a header states are read by column functions, so limits hold before a file is decoded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelry.operators import generate
+from pixelry.operators import frames, generate
 from pixelry.plans.raster import Raster
-from pixelry.sources import codecs, formats
+from pixelry.sources import codecs, formats, metadata
+
+Decoder = Callable[[bytes, int], codecs.Picture]
 
 PICTURES = "picture_id string, format string, w int, h int, layout string, kind string, samples array<int>, error string"
 
 
-def decode(files: DataFrame, max_alloc: int = 512 << 20) -> DataFrame:
-    """Pictures of `files` (path, content and format)."""
+def decode(files: DataFrame, max_alloc: int | None = 512 << 20, max_width: int | None = None, max_height: int | None = None, hooks: dict[str, Decoder] | None = None, floats: bool = False) -> DataFrame:
+    """Pictures of `files` (path, content and format).
+
+    hooks: further decoders by format, which come first.  floats: samples are floats, and formats of whole
+    numbers give errors; else it is the other way round.
+    """
+    most, known, size = max_alloc if max_alloc is not None else 1 << 62, dict(hooks or {}), metadata.dimensions(F.col("content"))
+    fits = F.coalesce(formats.within_limits(size["w"], size["h"], F.lit(1), max_width, max_height, max_alloc), F.lit(True))
+    types = {"picture_id": pa.string(), "format": pa.string(), "w": pa.int32(), "h": pa.int32(), "layout": pa.string(), "kind": pa.string(), "samples": pa.list_(pa.float32() if floats else pa.int32()), "error": pa.string()}
+
+    def found(raw: bytes, name: str | None, fit: bool) -> dict:
+        if not fit:
+            raise ValueError("limits")
+        row = dict(zip(("w", "h", "layout", "kind", "samples"), known[name](raw, most) if name in known else codecs.decode(name, raw, most), strict=True))
+        if (row["kind"] == "f32") != floats:
+            raise ValueError("samples of another type")
+        if (max_width is not None and row["w"] > max_width) or (max_height is not None and row["h"] > max_height):
+            raise ValueError("limits")
+        return row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("picture_id", pa.string()), ("format", pa.string()), ("w", pa.int32()), ("h", pa.int32()), ("layout", pa.string()), ("kind", pa.string()), ("samples", pa.list_(pa.int32())), ("error", pa.string())])
         for batch in batches:
-            for path, raw, name in zip(*(batch.column(i) for i in range(3)), strict=True):
+            for path, raw, name, fit in zip(*(batch.column(i) for i in range(4)), strict=True):
                 row = {"picture_id": path.as_py(), "format": name.as_py()}
                 try:
-                    row |= dict(zip(("w", "h", "layout", "kind", "samples"), codecs.decode(row["format"], raw.as_py() or b"", max_alloc), strict=True))
+                    row |= found(raw.as_py() or b"", row["format"], fit.as_py())
                 except ValueError as e:
                     row["error"] = str(e)
-                yield pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], f.type) for f in schema], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([row.get(n)], t) for n, t in types.items()], names=list(types))
+
+    return files.select("path", "content", "format", fits.alias("fits")).mapInArrow(run, PICTURES.replace("array<int>", "array<float>") if floats else PICTURES)
+
 
-    return files.select("path", "content", "format").mapInArrow(run, PICTURES)
+FRAME = "picture_id string, frame_no int, w int, h int, loops int, left int, top int, width int, height int, dispose string, blend string, numer long, denom long, samples array<int>, error string"
 
 
-def read(spark: SparkSession, path: str, guess: bool = False, max_alloc: int = 512 << 20) -> DataFrame:
-    """Pictures of the files at `path`; formats by extension, with guess first by content."""
-    files = spark.read.format("binaryFile").load(path)
+def decode_frames(files: DataFrame, max_alloc: int = 512 << 20) -> DataFrame:
+    """A row for each frame of the animations among `files` (path, content and format), with its own region's Rgba samples; or one with an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in FRAME.split(", ")]
+        types = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<int>": pa.list_(pa.int32())}[x.split()[1]] for x in FRAME.split(", ")]
+        for batch in batches:
+            for path, raw, name in zip(*(batch.column(i) for i in range(3)), strict=True):
+                try:
+                    w, h, loops, frames = codecs.decode_frames(name.as_py(), raw.as_py() or b"", max_alloc)
+                    rows = [{"picture_id": path.as_py(), "frame_no": i, "w": w, "h": h, "loops": loops, **f} for i, f in enumerate(frames)]
+                except ValueError as e:
+                    rows = [{"picture_id": path.as_py(), "error": str(e)}]
+                for row in rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([row.get(n)], t) for n, t in zip(names, types, strict=True)], names=names)
+
+    return files.select("path", "content", "format").mapInArrow(run, FRAME)
+
+
+def compose(decoded: DataFrame, blended: bool) -> DataFrame:
+    """Canvas pixels of all frames of `decode_frames`; blended: by the rule of APNG, else by that of GIF."""
+    good = decoded.where("error is null")
+    own = good.select("picture_id", "frame_no", "width", "samples", F.explode(F.sequence(F.lit(0), F.expr("width * height - 1"))).alias("p"))
+    pixels = own.select("picture_id", "frame_no", F.expr("p % width").alias("x"), F.expr("p div width").cast("int").alias("y"), *(F.element_at("samples", F.col("p") * 4 + i + 1).alias(f"c{i}") for i in range(4)))
+    return (frames.compose_blended if blended else frames.compose_transparent)(good.drop("samples", "error", "numer", "denom", "loops"), pixels)
+
+
+def files(spark: SparkSession, path: str, guess: bool = False, stream: bool = False) -> DataFrame:
+    """The files at `path` with their format: by extension, with guess first by content.  stream: files as they arrive."""
+    reader = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary") if stream else spark.read
+    found = reader.format("binaryFile").load(path)
     name = formats.from_path(F.col("path"))
-    return decode(files.withColumn("format", F.coalesce(formats.guess_format(F.col("content")), name) if guess else name), max_alloc)
+    return found.withColumn("format", F.coalesce(formats.guess_format(F.col("content")), name) if guess else name)
+
+
+def read(spark: SparkSession, path: str, guess: bool = False, max_alloc: int | None = 512 << 20, max_width: int | None = None, max_height: int | None = None, stream: bool = False) -> DataFrame:
+    """Pictures of the files at `path`."""
+    return decode(files(spark, path, guess, stream), max_alloc, max_width, max_height)
+
+
+def sizes(spark: SparkSession, path: str) -> DataFrame:
+    """path, w, h of the files at `path`, from their headers alone; null where a header does not tell."""
+    size = metadata.dimensions(F.col("content"))
+    return files(spark, path).select("path", size["w"].alias("w"), size["h"].alias("h"))
 
 
 def rasters(pictures: DataFrame, layout: str, kind: str = "u8") -> Raster:
