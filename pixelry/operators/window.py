@@ -1,66 +1,120 @@
-"""Neighbourhood operators: convolutions, blurs, sharpening and error diffusion."""
+"""Neighbourhood operators: convolutions, blurs, sharpening and error diffusion.
+
+Pixels are dealt once by tiles of TILE by TILE places; a pixel near a tile's border goes to its
+neighbours too, as far as the passes of the operator reach, so all passes run on arrays inside the tile
+and one exchange serves them.  A tile and its border bound a task's memory, whatever the picture's size.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import exp, floor, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, Window
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pixelry.functions import samples as S
 from pixelry.plans.raster import KEY, Raster
 
-
-def _line(axis: str):
-    """The pixels of a line along an axis, in order."""
-    across = "y" if axis == "x" else "x"
-    return Window.partitionBy("picture_id", across).orderBy(axis)
-
-
-def _whole(axis: str):
-    return _line(axis).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+TILE = 256
+
+
+class Patch:
+    """Samples (line, column, channel) of a tile with its surroundings, and how far these reach on each side; None: the picture ends there."""
+
+    def __init__(self, v: np.ndarray, left: int | None, right: int | None, top: int | None, bottom: int | None):
+        self.v, self.reach = v, {"x": [left, right], "y": [top, bottom]}
+
+    def neighbours(self, axis: str, radius: int) -> list[np.ndarray]:
+        """The samples shifted by -radius up to radius along an axis, the picture's edge repeated; surroundings shrink by the radius."""
+        k = 1 if axis == "x" else 0
+        pad = [(0, 0)] * 3
+        pad[k] = tuple(radius if r is None else 0 for r in self.reach[axis])
+        wide = np.pad(self.v, pad, mode="edge")
+        self.reach[axis] = [r if r is None else r - radius for r in self.reach[axis]]
+        n = wide.shape[k] - 2 * radius
+        return [wide[:, i : i + n] if k else wide[i : i + n] for i in range(2 * radius + 1)]
+
+    def inside(self, w: int, h: int) -> np.ndarray:
+        """The samples of the tile itself, of w by h places."""
+        left, top = self.reach["x"][0] or 0, self.reach["y"][0] or 0
+        return self.v[top : top + h, left : left + w]
+
+
+def stencil(r: Raster, halo: int, f: Callable[[Patch, tuple[int, int, int, int]], None]) -> Raster:
+    """Apply f to every tile with surroundings of `halo` places; f is given (x, y, w, h): the tile's place and its picture's size."""
+    tiles = lambda at, size: F.sequence(F.greatest(F.lit(0), F.expr(f"({at} - {halo}) div {TILE}")).cast("int"), F.least(F.expr(f"({size} - 1) div {TILE}"), F.expr(f"({at} + {halo}) div {TILE}")).cast("int"))
+    dealt = r.pixels.select(*KEY, *r.names, F.explode(tiles("x", "w")).alias("tx")).withColumn("ty", F.explode(tiles("y", "h")))
+    names, real = list(r.names), r.kind == "f32"
+    sample = pa.float32() if real else pa.int32()
+
+    def one(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        picture, w, h, tx, ty = (k.as_py() for k in key)
+        x0, y0 = tx * TILE, ty * TILE
+        x1, y1 = min(w, x0 + TILE), min(h, y0 + TILE)
+        left, top, right, bottom = min(halo, x0), min(halo, y0), min(halo, w - x1), min(halo, h - y1)
+        v = np.zeros((y1 - y0 + top + bottom, x1 - x0 + left + right, len(names)), np.float64 if real else np.int64)
+        x, y = rows.column("x").to_numpy(), rows.column("y").to_numpy()
+        v[y - (y0 - top), x - (x0 - left)] = np.stack([rows.column(n).to_numpy() for n in names], 1)
+        ends = x0 - left == 0, x1 + right == w, y0 - top == 0, y1 + bottom == h
+        patch = Patch(v, *(None if end else reach for end, reach in zip(ends, (left, right, top, bottom), strict=True)))
+        f(patch, (x0 - left, y0 - top, w, h))
+        # where the surroundings end at the picture's edge they are part of the patch, and are cut off here
+        cut_x, cut_y = (left if ends[0] else 0), (top if ends[2] else 0)
+        out = patch.inside(patch.v.shape[1], patch.v.shape[0])[cut_y : cut_y + y1 - y0, cut_x : cut_x + x1 - x0]
+        inner = (x >= x0) & (x < x1) & (y >= y0) & (y < y1)
+        x, y = x[inner], y[inner]
+        got = out[y - y0, x - x0]
+        n = len(x)
+        return pa.table([pa.array([picture] * n, pa.string()), pa.array(np.full(n, w), pa.int32()), pa.array(np.full(n, h), pa.int32()), pa.array(x, pa.int32()), pa.array(y, pa.int32()), *(pa.array(got[:, i].astype(np.float32 if real else np.int32), sample) for i in range(len(names)))], names=[*KEY, *names])
+
+    schema = "picture_id string, w int, h int, x int, y int, " + ", ".join(f"{n} {'float' if real else 'int'}" for n in names)
+    return Raster(dealt.groupBy("picture_id", "w", "h", "tx", "ty").applyInArrow(one, schema), r.layout, r.kind, r.space)
 
 
 def filter3x3(r: Raster, kernel: list[float]) -> Raster:
     """3 by 3 convolution over the kernel's sum (1 if that is 0), clamped and truncated; border pixels become zero."""
-    total = sum(kernel) or 1.0
-    line, column = _line("x"), _line("y")
-    sides = r.pixels.select(*KEY, *(e.alias(f"{n}_{k}") for n in r.names for k, e in ((0, F.lag(n).over(line)), (1, F.col(n)), (2, F.lead(n).over(line)))))
-    out = []
-    for n in r.names:
-        taps = []
-        for dy in range(3):
-            for dx in range(3):
+    total, real, top = sum(kernel) or 1.0, r.kind == "f32", float(S.MAX[r.kind])
+
+    def f(patch: Patch, place: tuple[int, int, int, int]) -> None:
+        x, y, w, h = place
+        shape = patch.v.shape
+        lines, out = [p.copy() for p in patch.neighbours("y", 1)], 0.0
+        columns = dict(patch.reach)
+        for dy, line in enumerate(lines):
+            side = Patch(line, *columns["x"], None, None)
+            for dx, v in enumerate(side.neighbours("x", 1)):
                 if kernel[3 * dy + dx]:
-                    c = F.col(f"{n}_{dx}")
-                    taps.append((F.lag(c).over(column) if dy == 0 else F.lead(c).over(column) if dy == 2 else c).cast("double") * (kernel[3 * dy + dx] / total))
-        v = sum(taps[1:], taps[0]) if taps else F.lit(0.0)
-        inner = (F.col("x") > 0) & (F.col("y") > 0) & (F.col("x") < F.col("w") - 1) & (F.col("y") < F.col("h") - 1)
-        v = S.clamp(F.round(v, 6), 0.0, float(S.MAX[r.kind]))
-        v = v.cast("float") if r.kind == "f32" else F.floor(v).cast("int")
-        out.append(F.when(inner, v).otherwise(F.lit(0).cast("float" if r.kind == "f32" else "int")).alias(n))
-    return Raster(sides.select(*KEY, *out), r.layout, r.kind)
+                    out = out + v * (kernel[3 * dy + dx] / total)
+        patch.reach["x"] = side.reach["x"]
+        first_x, first_y = x + (columns["x"][0] is not None), y + (patch.reach["y"][0] is not None)
+        height, width = shape[0] - sum(v is not None for v in patch.reach["y"]), shape[1] - sum(v is not None for v in columns["x"])
+        out = np.zeros((height, width, shape[2])) + out
+        out = np.clip(np.round(out, 6), 0.0, top)
+        out = out if real else np.floor(out).astype(np.int64)
+        ys, xs = np.arange(first_y, first_y + height), np.arange(first_x, first_x + width)
+        border = ((ys == 0) | (ys == h - 1))[:, None] | ((xs == 0) | (xs == w - 1))[None, :]
+        patch.v = np.where(border[:, :, None], 0, out)
+
+    return stencil(r, 1, f)
+
+
+def _mean(patch: Patch, axis: str, radius: int, real: bool) -> None:
+    parts, n = patch.neighbours(axis, radius), 2 * radius + 1
+    total = sum(parts[1:], parts[0])
+    patch.v = (total / n).astype(np.float32).astype(np.float64) if real else (total + n // 2) // n
 
 
 def box_pass(r: Raster, axis: str, radius: int) -> Raster:
     """Mean of 2 radius + 1 pixels along one axis, edge pixels repeated; integers rounded half up."""
-    if radius < 1:
-        return r
-    size, span = "w" if axis == "x" else "h", _line(axis).rowsBetween(-radius, radius)
-    before = F.greatest(F.lit(0), radius - F.col(axis))
-    after = F.greatest(F.lit(0), F.col(axis) + radius - F.col(size) + 1)
-    n = 2 * radius + 1
-    out = []
-    for c, name in zip(r.channels, r.names, strict=True):
-        total = F.sum(c).over(span) + before * F.first(c).over(_whole(axis)) + after * F.last(c).over(_whole(axis))
-        out.append(((total / n).cast("float") if r.kind == "f32" else F.floor((total + n // 2) / n).cast("int")).alias(name))
-    return Raster(r.pixels.select(*KEY, *out), r.layout, r.kind)
+    real = r.kind == "f32"
+    return stencil(r, radius, lambda patch, place: _mean(patch, axis, radius, real)) if radius > 0 else r
 
 
 def box_radii(sigma: float, passes: int = 3) -> list[int]:
-    """Radii of box filters that together come near a Gaussian."""
+    """Radii of box filters that together come near a Gaussian; the formula and its rounding are fixed values."""
     ideal = sqrt(12 * sigma * sigma / passes + 1)
     low = floor(ideal)
     low -= low % 2 == 0
@@ -70,10 +124,15 @@ def box_radii(sigma: float, passes: int = 3) -> list[int]:
 
 
 def fast_blur(r: Raster, sigma: float) -> Raster:
-    """Three box blurs in place of a Gaussian; the cost of a pixel does not depend on sigma."""
-    for radius in box_radii(sigma):
-        r = box_pass(box_pass(r, "x", radius), "y", radius)
-    return r
+    """Three box blurs in place of a Gaussian, all in one exchange."""
+    radii, real = [radius for radius in box_radii(sigma) if radius > 0], r.kind == "f32"
+
+    def f(patch: Patch, place: tuple[int, int, int, int]) -> None:
+        for radius in radii:
+            _mean(patch, "x", radius, real)
+            _mean(patch, "y", radius, real)
+
+    return stencil(r, sum(radii), f) if radii else r
 
 
 def gaussian_taps(size: int, sigma: float) -> list[float]:
@@ -91,32 +150,34 @@ def sigma_of(size: float) -> float:
     return 0.3 * ((size - 1) * 0.5 - 1) + 0.8
 
 
-def _convolve(r: Raster, axis: str, taps: list) -> Raster:
-    line, whole, middle = _line(axis), _whole(axis), len(taps) // 2
+def _convolve(patch: Patch, axis: str, taps: list, kind: str) -> None:
+    parts = patch.neighbours(axis, len(taps) // 2)
+    total = sum(p * t for p, t in zip(parts, taps, strict=True) if t)
+    if kind == "u8":
+        patch.v = np.minimum(255, (total + (1 << 14)) >> 15)
+    else:
+        patch.v = np.clip(np.floor(np.round(total, 6) + 0.5), 0, 65535).astype(np.int64) if kind == "u16" else total.astype(np.float32).astype(np.float64)
 
-    def at(c: Column, k: int) -> Column:
-        if k == 0:
-            return c
-        return F.coalesce(F.lag(c, -k).over(line), F.first(c).over(whole)) if k < 0 else F.coalesce(F.lead(c, k).over(line), F.last(c).over(whole))
 
+def _gaussian_passes(kind: str, sigma_x: float, sigma_y: float | None, size_x: int | None, size_y: int | None) -> list[tuple[str, list]]:
     out = []
-    for c, name in zip(r.channels, r.names, strict=True):
-        exact = r.kind == "u8"
-        terms = [at(c, i - middle).cast("bigint" if exact else "double") * t for i, t in enumerate(taps) if t]
-        total = sum(terms[1:], terms[0])
-        v = F.least(F.lit(255), F.floor((total + (1 << 14)) / (1 << 15))).cast("int") if exact else S.round_to(total, r.kind) if r.kind == "u16" else total.cast("float")
-        out.append(v.alias(name))
-    return Raster(r.pixels.select(*KEY, *out), r.layout, r.kind)
-
-
-def gaussian_blur(r: Raster, sigma_x: float, sigma_y: float | None = None, size_x: int | None = None, size_y: int | None = None) -> Raster:
-    """Separable Gaussian with repeated edges; 8-bit samples in 15-bit fixed point."""
     for axis, sigma, size in (("x", sigma_x, size_x), ("y", sigma_y or sigma_x, size_y or size_x)):
         size = size or kernel_size(sigma)
         if size > 1:
             taps = gaussian_taps(size, sigma)
-            r = _convolve(r, axis, [int(max(0.0, min(t * (1 << 15), (1 << 15) - 1))) for t in taps] if r.kind == "u8" else taps)
-    return r
+            out.append((axis, [int(max(0.0, min(t * (1 << 15), (1 << 15) - 1))) for t in taps] if kind == "u8" else taps))
+    return out
+
+
+def gaussian_blur(r: Raster, sigma_x: float, sigma_y: float | None = None, size_x: int | None = None, size_y: int | None = None) -> Raster:
+    """Separable Gaussian with repeated edges; 8-bit samples in 15-bit fixed point."""
+    kind, passes = r.kind, _gaussian_passes(r.kind, sigma_x, sigma_y, size_x, size_y)
+
+    def f(patch: Patch, place: tuple[int, int, int, int]) -> None:
+        for axis, taps in passes:
+            _convolve(patch, axis, taps, kind)
+
+    return stencil(r, max(len(t) // 2 for _, t in passes), f) if passes else r
 
 
 def blur(r: Raster, radius: float) -> Raster:
@@ -127,13 +188,17 @@ def blur(r: Raster, radius: float) -> Raster:
 
 def unsharpen(r: Raster, sigma: float, threshold: int) -> Raster:
     """Add the difference from the blurred picture where it exceeds the threshold (integer samples; alpha too)."""
-    soft = gaussian_blur(r, sigma).pixels.select("picture_id", "x", "y", *(F.col(n).alias(f"b{i}") for i, n in enumerate(r.names)))
-    joined = Raster(r.pixels.join(soft, ["picture_id", "x", "y"]), r.layout, r.kind)
-    out = []
-    for i, c in enumerate(joined.channels):
-        d = c - F.col(f"b{i}")
-        out.append(F.when(F.abs(d) > threshold, S.clamp(c + d, 0, S.MAX[r.kind])).otherwise(c).cast("int"))
-    return joined.select(out)
+    kind, passes, top = r.kind, _gaussian_passes(r.kind, sigma, None, None, None), int(S.MAX[r.kind])
+
+    def f(patch: Patch, place: tuple[int, int, int, int]) -> None:
+        sharp = Patch(patch.v, *patch.reach["x"], *patch.reach["y"])
+        for axis, taps in passes:
+            _convolve(patch, axis, taps, kind)
+            sharp.v = sharp.neighbours(axis, len(taps) // 2)[len(taps) // 2]
+        d = sharp.v - patch.v
+        patch.v = np.where(np.abs(d) > threshold, np.clip(sharp.v + d, 0, top), sharp.v)
+
+    return stencil(r, max(len(t) // 2 for _, t in passes), f) if passes else r
 
 
 def dither_bilevel(r: Raster) -> Raster:
