@@ -339,8 +339,8 @@ _add("dither", lambda spark, d: _out(window.dither_bilevel(point.grayscale(event
 _PART = "CAST(trunc((v[i + 1] - CASE WHEN v[i + 1] > 127 THEN 255 ELSE 0 END) * {0} / 16.0) AS INT)"
 _MOVED = "CASE " + " ".join(f"WHEN j = i + {at} AND {ok} THEN greatest(0, least(255, v[j + 1] + {_PART.format(part)}))" for at, ok, part in ((1, "i % 8 < 7", 7), (7, "i % 8 > 0", 3), (8, "true", 5), (9, "i % 8 < 7", 1))) + " ELSE v[j + 1] END"
 _add("dither_corpus", lambda spark, d: window.dither_bilevel(_coded(spark, d, "L", "u8")).pixels.select("picture_id", "x", "y", "c0"),
-     f"""WITH RECURSIVE p AS (SELECT vec_id, list_transform(embedding, e -> CAST(floor(abs(e) * 1000) % 256 AS INT)) AS v FROM embeddings),
-st AS (SELECT vec_id, 0 AS i, v, 0 AS c0 FROM p UNION ALL SELECT vec_id, i + 1, list_transform(range(64), j -> {_MOVED}), CASE WHEN v[i + 1] > 127 THEN 255 ELSE 0 END FROM st WHERE i < 64)
+     f"""WITH RECURSIVE p AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(abs(e) * 1000) % 256 AS INT)) AS v FROM embeddings),
+st AS (SELECT vec_id, 0 AS i, v, 0 AS c0 FROM p UNION ALL SELECT vec_id, i + 1, list_transform(range(64), lambda j: {_MOVED}), CASE WHEN v[i + 1] > 127 THEN 255 ELSE 0 END FROM st WHERE i < 64)
 SELECT CAST(vec_id AS VARCHAR) AS picture_id, CAST((i - 1) % 8 AS INT) AS x, CAST((i - 1) // 8 AS INT) AS y, c0 FROM st WHERE i > 0""")
 _BLUR = [f"exp(-0.5 * {d * d} / (0.8::DOUBLE * 0.8))" for d in (-1, 0, 1)]
 _add("blur", lambda spark, d: _out(window.blur(events_raster(spark, d), 1.0)), _chain([(a, [(k - 1, f"CAST(floor({t} / ({' + '.join(_BLUR)}) * 32768) AS INT)") for k, t in enumerate(_BLUR)], "CAST(least(255, (@ + 16384) // 32768) AS INT)") for a in "xy"]))
