@@ -9,8 +9,10 @@ Two documents link when the Jaccard similarity of their distinct 5-word shingles
 * Answer-level skipping.  Sets of equal shingles form one node.  Nodes that share a min-hash with many
   others are first compared with a few leaders, those made of the family's commonest shingles; the
   links found there join highly similar sets into parts.  What one set of a part finds holds for the
-  part, so pairs inside a part are never formed: lists carry the part of each entry, blocks of one
-  part are skipped against each other, and only pairs across parts are checked.
+  part: lists carry the part of each entry, blocks of one part are skipped against each other, and only
+  pairs across parts are checked.  Inside a part the answers of all its sets are derived from one set, its
+  root: a set is held as what it adds to the root and what it lacks, and the overlap of two sets is that of
+  the root less what either lacks, plus what both lack or both add.
 
 All steps are Spark shuffles of packed blocks.  Copies are never expanded into pairs, and no list, group or
 component is gathered on the driver; tables are broadcast only when counted small, else joined.
@@ -44,6 +46,8 @@ FAMILY, RUN, LEADERS, MIN_HASHES = 8, 512, 6, 3
 #: Index entries that one partition is to hold; occurrences of a shingle from which on its list is dealt out in pairs of groups.
 ENTRIES, LONG_LIST = 500_000, 50_000
 BLOCK = 32
+#: Sets of a part whose links are counted together.
+PART_BLOCK = 1024
 
 _SALTS = [np.uint64(x) for x in (0x8A5CD789635D2DFF, 0x121FD2155C472F96, 0x51ED270B7F1E2C33)]
 
@@ -415,8 +419,92 @@ def _overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, o long, n_a long, n_b long")
 
 
+def _part_links(docs: DataFrame, parts: DataFrame, copies: DataFrame) -> DataFrame:
+    """node and links: the documents that a set of a part links with in the part, its own copies left out.
+
+    The sets of a part are dealt into blocks, each with the root; the blocks hold differences to it, and
+    each pair of blocks meets in one task.  Only sums leave a task.
+    """
+    blocks = parts.groupBy("part").count().select("part", F.expr(f"cast(ceil(count / {PART_BLOCK}.0) as int)").alias("blocks"))
+    own = parts.join(small(copies), "node").join(small(blocks), "part").withColumn("block", F.expr("array(cast(pmod(xxhash64(node), blocks) as int))"))
+    roots = blocks.select("part", F.col("part").alias("node"), F.lit(0).cast("long").alias("n_copies"), "blocks", F.expr("sequence(0, blocks - 1)").alias("block"))
+    dealt = saved(own.select("part", "node", "n_copies", "blocks", "block").unionByName(roots), "part-members")
+    sets = _sets(docs).join(small(dealt), "node").select("part", "node", "n_copies", "blocks", F.explode("block").alias("block"), "set")
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, root, last, rows = None, None, None, []
+
+        def packed() -> pa.RecordBatch:
+            part, block, blocks = group
+            node, n_copies, lacks, adds = zip(*rows, strict=True)
+            arrays = [np.array([len(root), len(node)], np.int64), np.array(node, np.int64), np.array(n_copies, np.int64), np.array([len(x) for x in lacks], np.int64), np.array([len(x) for x in adds], np.int64), np.concatenate(lacks), np.concatenate(adds)]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([block], pa.int32()), pa.array([blocks], pa.int32()), pa.array([b"".join(x.tobytes() for x in arrays)], pa.binary())], names=["part", "block", "blocks", "blob"])
+
+        for batch in batches:
+            for part, block, blocks, is_member, node, n_copies, raw in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if (part, block, blocks) != group:
+                    if rows:
+                        yield packed()
+                    group, root, last, rows = (part, block, blocks), None, None, []
+                v = np.frombuffer(raw, np.uint64)
+                if not is_member:
+                    root = v
+                elif node != last:  # a set may come from several tasks
+                    rows.append((node, n_copies, root[~np.isin(root, v, assume_unique=True)], v[~np.isin(v, root, assume_unique=True)]))
+                    last = node
+        if rows:
+            yield packed()
+
+    def unpacked(blob: bytes) -> tuple:
+        v = np.frombuffer(blob, np.int64)
+        size, m = int(v[0]), int(v[1])
+        node, n_copies, lacks, adds = (v[2 + k * m : 2 + (k + 1) * m] for k in range(4))
+        rest, at = v[2 + 4 * m :].view(np.uint64), int(lacks.sum())
+        return size, node, n_copies, lacks, adds, rest[:at], rest[at:]
+
+    def shared(both: np.ndarray, a: tuple, b: tuple, k: int) -> None:
+        """Add to the matrix `both` the common elements of the k-th lists of all sets of two blocks."""
+        x, y = a[k + 2], b[k + 2]
+        of_x, of_y = np.repeat(np.arange(len(a[1])), a[k]), np.repeat(np.arange(len(b[1])), b[k])
+        order_x, order_y = np.argsort(x, kind="stable"), np.argsort(y, kind="stable")
+        x, of_x, y, of_y = x[order_x], of_x[order_x], y[order_y], of_y[order_y]
+        low, high = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
+        count = high - low
+        for begin in range(0, len(x), 4096):  # a bounded number of pairs at once
+            c = count[begin : begin + 4096]
+            i = np.repeat(of_x[begin : begin + 4096], c)
+            j = of_y[np.repeat(low[begin : begin + 4096] - np.cumsum(c) + c, c) + np.arange(c.sum())]
+            both += np.bincount(i * both.shape[1] + j, minlength=both.size).reshape(both.shape)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple] = {}
+        for batch in batches:
+            for part, i, j, block, blob in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                found = unpacked(blob)
+                if i != j and (part, i, j) not in held:
+                    held = {(part, i, j): (block, found)}
+                    continue
+                a = found if i == j else held.pop((part, i, j))[1]
+                both = np.zeros((len(a[1]), len(found[1])), np.int64)
+                shared(both, a, found, 3)
+                shared(both, a, found, 4)
+                n, m = a[0] - a[3] + a[4], found[0] - found[3] + found[4]
+                linked = similar(a[0] - a[3][:, None] - found[3][None, :] + both, n[:, None], m[None, :])
+                if i == j:
+                    np.fill_diagonal(linked, False)
+                rows = [(a[1], linked @ found[2])] + ([(found[1], linked.T @ a[2])] if i != j else [])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[k] for r in rows])) for k in (0, 1)], names=["node", "links"])
+
+    keyed = sets.select("part", "block", "blocks", (F.col("n_copies") > 0).alias("member"), "node", "n_copies", "set")
+    packed = saved(keyed.repartition("part", "block").sortWithinPartitions("part", "block", "blocks", "member", "node").mapInArrow(differences, "part long, block int, blocks int, blob binary"), "part-blocks")
+    pairs = packed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "blob")
+    out = saved(pairs.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "block").mapInArrow(links, "node long, links long").groupBy("node").agg(F.sum("links").alias("links")), "part-links")
+    dropped(dealt, packed)
+    return out
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links) and n_copies (rows with an equal set) of every row."""
+    """doc_id, n_shingles, component_id (least id reachable by links), n_copies (rows with an equal set) and n_links (other rows that it links with) of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = saved(_info(docs, sketch_bits), "sets-info")
@@ -428,12 +516,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (DENOMINATOR - NUMERATOR) / DENOMINATOR / ENTRIES))  # grows with the index
     indexed = _sets(docs).join(small(parts), "node", "left").withColumn("part", F.coalesce("part", "node"))
     pairs = saved(_candidates(_entries(indexed, sketch, tasks), tasks), "pairs")
-    edges = _overlaps(pairs, docs).where(f"{NUMERATOR + DENOMINATOR} * o >= {NUMERATOR} * (n_a + n_b)").select("a", "b")
+    edges = saved(_overlaps(pairs, docs).where(f"{NUMERATOR + DENOMINATOR} * o >= {NUMERATOR} * (n_a + n_b)").select("a", "b"), "links")
+    dropped(pairs)
     components = saved(connected_components(edges.unionByName(parts.select(F.col("node").alias("a"), F.col("part").alias("b")))), "components")
-    dropped(pairs, parts)
-    classes = info.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
-    classes = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = saved(info.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), "classes")
+    copies = classes.select("node", "n_copies")
+    across = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(small(copies.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n_copies").alias("links"))
+    links = saved(across.unionByName(_part_links(docs, parts, copies)).groupBy("node").agg(F.sum("links").alias("links")), "link-counts")
+    dropped(edges, parts)
+    classes = classes.join(small(components), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = classes.join(least, "component").select("node", "component_id", "n_copies")
-    out = info.where("n > 0").join(classes, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies")
-    return out.unionByName(info.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies")))
+    classes = classes.join(least, "component").join(small(links), "node", "left").select("node", "component_id", "n_copies", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+    out = info.where("n > 0").join(classes, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies", "n_links")
+    return out.unionByName(info.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links")))

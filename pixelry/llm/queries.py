@@ -79,8 +79,8 @@ o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.
 links AS (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 100 * o.c >= 75 * (x.n + y.n - o.c)),
 ends AS (SELECT a AS x, b AS y FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT x, y FROM ends UNION SELECT r.x, e.y FROM reach r JOIN ends e ON e.x = r.y)
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.y, w.doc_id)) AS component_id, coalesce(copies.c, 1) AS n_copies
-FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN copies ON copies.digest = n.digest LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) m ON m.x = w.doc_id
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.y, w.doc_id)) AS component_id, coalesce(copies.c, 1) AS n_copies, coalesce(k.c, 0) AS n_links
+FROM w LEFT JOIN (SELECT x, count(*) AS c FROM ends GROUP BY x) k ON k.x = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN copies ON copies.digest = n.digest LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) m ON m.x = w.doc_id
 """
 
 

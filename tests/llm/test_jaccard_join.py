@@ -23,7 +23,7 @@ def shingles(text: str | None) -> frozenset:
 
 
 def brute(rows: list[tuple]) -> Counter:
-    """doc_id, n_shingles and component of every row, from all pairs of distinct sets."""
+    """doc_id, n_shingles, component and number of links of every row, from all pairs of sets."""
     sets = {i: shingles(r[1]) for i, r in enumerate(rows)}
     up = {i: i for i in sets}
 
@@ -46,11 +46,13 @@ def brute(rows: list[tuple]) -> Counter:
     for i, r in enumerate(rows):
         if r[0] is not None:
             least[top(i)] = min(least.get(top(i), r[0]), r[0])
-    return Counter((r[0], len(sets[i]), least.get(top(i)) if sets[i] else r[0]) for i, r in enumerate(rows))
+    classes = Counter(s for s in sets.values() if s)
+    links = {s: sum(n for t, n in classes.items() if 100 * len(s & t) >= 75 * len(s | t)) - 1 for s in classes}
+    return Counter((r[0], len(sets[i]), least.get(top(i)) if sets[i] else r[0], links.get(sets[i], 0)) for i, r in enumerate(rows))
 
 
 def found(df) -> Counter:
-    return Counter((r.doc_id, r.n_shingles, r.component_id) for r in df.collect())
+    return Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in df.collect())
 
 
 def test_awkward_rows(spark):
@@ -65,9 +67,9 @@ def test_threshold_is_exact(spark):
     rows = [(i, t, None, None, None) for i, t in rows]
     got = found(J.near_duplicates(frame(spark, rows), sketch_bits=16))
     assert got == brute(rows)
-    assert (2, 7, 1) in got
-    assert (5, 1, 4) in got
-    assert (7, 1, 6) in got
+    assert (2, 7, 1, 1) in got
+    assert (5, 1, 4, 1) in got
+    assert (7, 1, 6, 1) in got
 
 
 @pytest.mark.parametrize("cut", [False, True])
@@ -76,6 +78,7 @@ def test_large_families_of_near_copies(spark, monkeypatch, cut):
     if cut:
         monkeypatch.setattr(J, "RUN", 16)
         monkeypatch.setattr(J, "LONG_LIST", 12)
+        monkeypatch.setattr(J, "PART_BLOCK", 20)
         monkeypatch.setattr(textbuf, "BROADCAST_ROWS", 0)
     rng = random.Random(3)
     rows = []

@@ -90,7 +90,7 @@ def sentences(rng: random.Random, n: int) -> str:
     return " ".join(out)
 
 
-def test_classifier_on_labelled_documents(spark):
+def test_classifier_on_labelled_documents(spark, monkeypatch):
     """Trusted text stays but for about the share above the quantile; noise and the same words in another order go; languages without a threshold stay."""
     rng = random.Random(7)
     rows = [(i, sentences(rng, 120), "en", "s", 0) for i in range(900)]
@@ -107,6 +107,7 @@ def test_classifier_on_labelled_documents(spark):
     clash = {"kept": "'x'", "perplexity": "1", "threshold": "2", "mean_bits": "3", "bits": "4", "n_bytes": "5", "model_lang": "'m'", "row": "6", "sum_bits": "7"}
     kept = {}
     for most in (K.BROADCAST_NGRAMS, 0):
+        monkeypatch.setattr(K, "BROADCAST_LABELS", 1_000_000 if most else 0)
         out = K.classify(frame(spark, rows + junk + odd, clash), labels, most=most)
         assert set(clash) | {"doc_id", "text", "lang", "source", "n_chars"} == set(out.columns)
         got = out.collect()

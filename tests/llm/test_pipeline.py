@@ -20,7 +20,7 @@ def kept(rows: list[tuple]) -> Counter:
     """Ids of the rows that stay: one of each group of rows, by rows and not by ids."""
     numbered = [(i, *r[1:]) for i, r in enumerate(rows)]
     groups: dict[int, list] = {}
-    for i, _, group in brute(numbered).elements():
+    for i, _, group, _ in brute(numbered).elements():
         groups.setdefault(group, []).append(rows[i][0])
     return Counter(min(ids, key=lambda x: (x is None, x or 0)) for ids in groups.values())
 

@@ -82,7 +82,10 @@ def test_against_brute_force(spark, seed):
     assert found(U.filter_urls(df, URL_RULES)) == brute(pages, edges, URL_RULES)
 
 
-def test_rules_as_a_table(spark):
+@pytest.mark.parametrize("most", [U.BROADCAST_ROWS, -1])
+def test_rules_as_a_table(spark, monkeypatch, most):
+    """With and without broadcasts of the rules and of the blocked addresses."""
+    monkeypatch.setattr(U, "BROADCAST_ROWS", most)
     pages, edges = pages_and_edges(3)
     df = spark.createDataFrame(pages, SCHEMA)
     rules = spark.createDataFrame(URL_RULES, "decision string, rule string")
