@@ -399,7 +399,7 @@ def _codec(fmt: str, layout: str, kind: str) -> None:
     _add(f"codec_{fmt}_{layout.lower()}_{kind}", run, _CODED.format(", ".join(f"{_SAMPLES[c]}{' * 257' if kind == 'u16' else ''} AS {c}" for c in channels)))
 
 
-for _f, _layout, _kind in (("bmp", "Rgb", "u8"), ("bmp", "Rgba", "u8"), ("farbfeld", "Rgba", "u16"), ("png", "L", "u16"), ("png", "Rgba", "u8"), ("pnm", "Rgb", "u8"), ("pnm", "Rgba", "u16"), ("qoi", "Rgb", "u8"), ("qoi", "Rgba", "u8"), ("tga", "L", "u8"), ("tga", "Rgba", "u8")):
+for _f, _layout, _kind in (("bmp", "Rgb", "u8"), ("bmp", "Rgba", "u8"), ("farbfeld", "Rgba", "u16"), ("ico", "Rgba", "u8"), ("png", "L", "u16"), ("png", "Rgba", "u8"), ("pnm", "Rgb", "u8"), ("pnm", "Rgba", "u16"), ("qoi", "Rgb", "u8"), ("qoi", "Rgba", "u8"), ("tga", "L", "u8"), ("tga", "Rgba", "u8")):
     _codec(_f, _layout, _kind)
 
 
@@ -434,7 +434,7 @@ _add("exif_orientation", _exif, "SELECT vec_id, CAST(nullif(CASE WHEN vec_id % 1
 _add(
     "formats",
     lambda spark, d: formats.formats(spark).select("format", "mime", F.array_join("extensions", ",").alias("extensions"), "can_read", "can_write"),
-    "SELECT * FROM (VALUES ('avif', 'image/avif', 'avif', false, false), ('bmp', 'image/bmp', 'bmp', true, true), ('farbfeld', 'application/octet-stream', 'ff', true, true), ('gif', 'image/gif', 'gif', true, false), ('hdr', 'image/vnd.radiance', 'hdr', true, true), ('ico', 'image/x-icon', 'ico', false, false), ('jpeg', 'image/jpeg', 'jpg,jpeg,jfif', false, false), ('exr', 'image/x-exr', 'exr', false, false), ('png', 'image/png', 'png,apng', true, true), ('pnm', 'image/x-portable-anymap', 'pbm,pgm,ppm,pam,pnm', true, true), ('qoi', 'image/x-qoi', 'qoi', true, true), ('tga', 'image/x-targa', 'tga', true, true), ('tiff', 'image/tiff', 'tif,tiff', false, false), ('webp', 'image/webp', 'webp', false, false)) t(format, mime, extensions, can_read, can_write)",
+    "SELECT * FROM (VALUES ('avif', 'image/avif', 'avif', false, false), ('bmp', 'image/bmp', 'bmp', true, true), ('farbfeld', 'application/octet-stream', 'ff', true, true), ('gif', 'image/gif', 'gif', true, false), ('hdr', 'image/vnd.radiance', 'hdr', true, true), ('ico', 'image/x-icon', 'ico', true, true), ('jpeg', 'image/jpeg', 'jpg,jpeg,jfif', false, false), ('exr', 'image/x-exr', 'exr', false, false), ('png', 'image/png', 'png,apng', true, true), ('pnm', 'image/x-portable-anymap', 'pbm,pgm,ppm,pam,pnm', true, true), ('qoi', 'image/x-qoi', 'qoi', true, true), ('tga', 'image/x-targa', 'tga', true, true), ('tiff', 'image/tiff', 'tif,tiff', false, false), ('webp', 'image/webp', 'webp', false, false)) t(format, mime, extensions, can_read, can_write)",
 )
 _add(
     "format_from_path",

@@ -191,13 +191,73 @@ def read_png(raw: bytes, most: int) -> Picture:
     return w, h, LAYOUT[v.shape[1]], "u16" if depth == 16 else "u8", v.ravel().astype(np.int32)
 
 
-def write_png(w: int, h: int, layout: str, kind: str, samples: np.ndarray) -> bytes:
-    _need(kind in ("u8", "u16") and w > 0 and h > 0, "PNG holds u8 and u16")
-    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+def _png_rows(w: int, h: int, kind: str, samples: np.ndarray, level: int, filtered: bool) -> bytes:
     lines = np.frombuffer(samples.astype(np.uint8 if kind == "u8" else ">u2").tobytes(), np.uint8).reshape(h, -1)
-    body = np.concatenate([np.full((h, 1), 2, np.uint8), np.diff(lines, axis=0, prepend=np.zeros((1, lines.shape[1]), np.uint8))], 1)
+    body = np.diff(lines, axis=0, prepend=np.zeros((1, lines.shape[1]), np.uint8)) if filtered else lines
+    return zlib.compress(np.concatenate([np.full((h, 1), 2 if filtered else 0, np.uint8), body], 1).tobytes(), level)
+
+
+def _chunk(name: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+
+def write_png(w: int, h: int, layout: str, kind: str, samples: np.ndarray, level: int = -1, filtered: bool = True, icc: bytes | None = None, exif: bytes | None = None) -> bytes:
+    """level: of compression, 0 to 9; filtered: lines as differences from the one above; icc and exif: blocks to hold."""
+    _need(kind in ("u8", "u16") and w > 0 and h > 0, "PNG holds u8 and u16")
     head = struct.pack(">IIBBBBB", w, h, 8 if kind == "u8" else 16, {"L": 0, "La": 4, "Rgb": 2, "Rgba": 6}[layout], 0, 0, 0)
-    return _PNG + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(body.tobytes())) + chunk(b"IEND", b"")
+    blocks = (_chunk(b"iCCP", b"icc\0\0" + zlib.compress(icc)) if icc else b"") + (_chunk(b"eXIf", exif) if exif else b"")
+    return _PNG + _chunk(b"IHDR", head) + blocks + _chunk(b"IDAT", _png_rows(w, h, kind, samples, level, filtered)) + _chunk(b"IEND", b"")
+
+
+def write_animation(w: int, h: int, frames: list[dict], loops: int = 0, level: int = -1) -> bytes:
+    """An animated PNG of Rgba frames: dicts of left, top, width, height, dispose, blend, numer, denom (of a millisecond) and samples.  The first fills the canvas."""
+    _need(bool(frames) and (frames[0]["width"], frames[0]["height"]) == (w, h), "the first frame must fill the canvas")
+    out, number = [_chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)), _chunk(b"acTL", struct.pack(">II", len(frames), loops))], 0
+    for f in frames:
+        _need(f["left"] + f["width"] <= w and f["top"] + f["height"] <= h, "a frame exceeds the canvas")
+        wait = f["numer"] / max(1, f["denom"])
+        parts = (int(wait), 1000) if wait < 65536 else (min(65535, int(wait / 10)), 100)
+        out.append(_chunk(b"fcTL", struct.pack(">IIIIIHHBB", number, f["width"], f["height"], f["left"], f["top"], *parts, ("keep", "background", "previous").index(f["dispose"]), f["blend"] == "over")))
+        body = _png_rows(f["width"], f["height"], "u8", np.asarray(f["samples"]), level, True)
+        out.append(_chunk(b"IDAT", body) if number == 0 else _chunk(b"fdAT", struct.pack(">I", number + 1) + body))
+        number += 1 if number == 0 else 2
+    return _PNG + b"".join(out) + _chunk(b"IEND", b"")
+
+
+def read_ico(raw: bytes, most: int) -> Picture:
+    """The largest picture of an icon, that of most bits among equals: a PNG, or a bitmap whose second half is a mask of clear places."""
+    _need(raw[:4] == b"\0\0\1\0" and len(raw) >= 22, "no ICO header")
+    entries = [struct.unpack_from("<BBBBHHII", raw, 6 + 16 * i) for i in range(min(int.from_bytes(raw[4:6], "little"), (len(raw) - 6) // 16))]
+    _need(bool(entries), "truncated")
+    *_, size, at = max(entries, key=lambda e: ((e[0] or 256) * (e[1] or 256), e[5]))
+    body = raw[at : at + size]
+    _need(len(body) == size and size >= 40, "truncated")
+    if body[:8] == _PNG:
+        return read_png(body, most)
+    head, w, h2, _, depth = struct.unpack_from("<IiiHH", body)
+    h = h2 // 2
+    _need(head == 40 and w > 0 and h > 0 and depth in (1, 4, 8, 16, 24, 32), "bad ICO header")
+    colours = (int.from_bytes(body[32:36], "little") or 1 << depth) if depth <= 8 else 0
+    single = body[:8] + struct.pack("<i", h) + body[12:]
+    whole = b"BM" + struct.pack("<IHHI", 14 + size, 0, 0, 14 + head + 4 * colours) + single
+    start, row = head + 4 * colours, -(-w * depth // 32) * 4
+    _, _, layout, _, v = read_bmp(whole, most)
+    v = v.reshape(h, w, -1)
+    if depth == 32:
+        _need(len(body) >= start + row * h, "truncated")
+        alpha = np.frombuffer(body, np.uint8, row * h, start).reshape(h, w, 4)[::-1, :, 3].astype(np.int32)
+        return w, h, "Rgba", "u8", np.concatenate([v[:, :, :3], alpha[:, :, None]], 2).ravel()
+    mask_row = -(-w // 32) * 4
+    _need(len(body) >= start + row * h + mask_row * h, "truncated")
+    mask = np.unpackbits(np.frombuffer(body, np.uint8, mask_row * h, start + row * h).reshape(h, mask_row), axis=1)[::-1, :w]
+    return w, h, "Rgba", "u8", np.concatenate([v[:, :, :3], np.where(mask, 0, 255)[:, :, None].astype(np.int32)], 2).ravel()
+
+
+def write_ico(w: int, h: int, layout: str, kind: str, samples: np.ndarray) -> bytes:
+    """An icon that holds one PNG."""
+    _need(kind == "u8" and 0 < w <= 256 and 0 < h <= 256, "ICO holds u8 of at most 256 by 256")
+    body = write_png(w, h, layout, kind, samples)
+    return struct.pack("<HHHBBBBHHII", 0, 1, 1, w % 256, h % 256, 0, 0, 1, 8 * CHANNELS[layout], len(body), 22) + body
 
 
 def read_bmp(raw: bytes, most: int) -> Picture:
@@ -582,8 +642,7 @@ def png_frames(raw: bytes, most: int) -> tuple[int, int, int | None, list[dict]]
     for control, data in frames:
         _, fw, fh, left, top, numer, denom, dispose, blend = struct.unpack(">IIIIIHHBB", control)
         _need(left + fw <= w and top + fh <= h, "bad PNG frame")
-        chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
-        own = _PNG + chunk(b"IHDR", struct.pack(">II", fw, fh) + head[8:]) + b"".join(chunk(*c) for c in shared) + chunk(b"IDAT", b"".join(data)) + chunk(b"IEND", b"")
+        own = _PNG + _chunk(b"IHDR", struct.pack(">II", fw, fh) + head[8:]) + b"".join(_chunk(*c) for c in shared) + _chunk(b"IDAT", b"".join(data)) + _chunk(b"IEND", b"")
         _, _, layout, kind, v = read_png(own, most)
         v = v.reshape(fw * fh, -1)
         v = v if kind == "u8" else (v + 128) // 257
@@ -597,8 +656,8 @@ def png_frames(raw: bytes, most: int) -> tuple[int, int, int | None, list[dict]]
 
 
 FRAMES = {"gif": gif_frames, "png": png_frames}
-READERS = {"bmp": read_bmp, "farbfeld": read_farbfeld, "gif": read_gif, "hdr": read_hdr, "pnm": read_pnm, "png": read_png, "qoi": read_qoi, "tga": read_tga}
-WRITERS = {"bmp": write_bmp, "farbfeld": write_farbfeld, "hdr": write_hdr, "pnm": write_pnm, "png": write_png, "qoi": write_qoi, "tga": write_tga}
+READERS = {"bmp": read_bmp, "farbfeld": read_farbfeld, "gif": read_gif, "hdr": read_hdr, "ico": read_ico, "pnm": read_pnm, "png": read_png, "qoi": read_qoi, "tga": read_tga}
+WRITERS = {"bmp": write_bmp, "farbfeld": write_farbfeld, "hdr": write_hdr, "ico": write_ico, "pnm": write_pnm, "png": write_png, "qoi": write_qoi, "tga": write_tga}
 
 
 def decode(name: str | None, raw: bytes, most: int = 512 << 20) -> Picture:
@@ -617,6 +676,7 @@ def decode_frames(name: str | None, raw: bytes, most: int = 512 << 20) -> tuple[
         raise ValueError(f"bad {name}: {e}") from e
 
 
-def encode(name: str, w: int, h: int, layout: str, kind: str, samples: np.ndarray) -> bytes:
+def encode(name: str, w: int, h: int, layout: str, kind: str, samples: np.ndarray, **options) -> bytes:
+    """options: of the format's writer."""
     _need(name in WRITERS, "unsupported format")
-    return WRITERS[name](w, h, layout, kind, samples)
+    return WRITERS[name](w, h, layout, kind, samples, **options)

@@ -12,7 +12,7 @@ FORMATS: list[tuple[str, str, str, bool, bool]] = [
     ("farbfeld", "ff", "application/octet-stream", True, True),
     ("gif", "gif", "image/gif", True, False),
     ("hdr", "hdr", "image/vnd.radiance", True, True),
-    ("ico", "ico", "image/x-icon image/vnd.microsoft.icon", False, False),
+    ("ico", "ico", "image/x-icon image/vnd.microsoft.icon", True, True),
     ("jpeg", "jpg jpeg jfif", "image/jpeg", False, False),
     ("exr", "exr", "image/x-exr", False, False),
     ("png", "png apng", "image/png image/apng", True, True),

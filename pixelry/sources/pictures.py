@@ -6,6 +6,7 @@ Sizes that a header states are read by column functions, so limits hold before a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -109,8 +110,8 @@ def rasters(pictures: DataFrame, layout: str, kind: str = "u8") -> Raster:
     return generate.from_raw(pictures.where((F.col("layout") == layout) & (F.col("kind") == kind)), "samples", layout, kind)
 
 
-def encode(r: Raster, name: str) -> DataFrame:
-    """picture_id, content and error of each picture in a format."""
+def encode(r: Raster, name: str, **options) -> DataFrame:
+    """picture_id, content and error of each picture in a format; options: of the format's writer."""
     layout, kind = r.layout, r.kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +119,49 @@ def encode(r: Raster, name: str) -> DataFrame:
             for picture_id, w, h, samples in zip(*(batch.column(i) for i in range(4)), strict=True):
                 content = error = None
                 try:
-                    content = codecs.encode(name, w.as_py(), h.as_py(), layout, kind, samples.values.to_numpy().astype(np.int64))
+                    content = codecs.encode(name, w.as_py(), h.as_py(), layout, kind, samples.values.to_numpy().astype(np.float64 if kind == "f32" else np.int64), **options)
                 except ValueError as e:
                     error = str(e)
-                yield pa.RecordBatch.from_arrays([pa.array([picture_id.as_py()]), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["picture_id", "content", "error"])
+                yield pa.RecordBatch.from_arrays([pa.array([picture_id.as_py()], pa.string()), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["picture_id", "content", "error"])
 
     return generate.into_raw(r).mapInArrow(run, "picture_id string, content binary, error string")
+
+
+def encode_frames(decoded: DataFrame, loops: int = 0, level: int = -1) -> DataFrame:
+    """picture_id, content and error: the frames of each picture (rows as of `decode_frames`) as one animated PNG; frames with an error are left out."""
+    own = F.struct("frame_no", "left", "top", "width", "height", "dispose", "blend", "numer", "denom", "samples")
+    listed = decoded.where("error is null").groupBy("picture_id", "w", "h").agg(F.array_sort(F.collect_list(own)).alias("frames"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for picture_id, w, h, frames in zip(*(batch.column(i) for i in range(4)), strict=True):
+                content = error = None
+                try:
+                    content = codecs.write_animation(w.as_py(), h.as_py(), frames.as_py(), loops, level)
+                except ValueError as e:
+                    error = str(e)
+                yield pa.RecordBatch.from_arrays([pa.array([picture_id.as_py()], pa.string()), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["picture_id", "content", "error"])
+
+    return listed.select("picture_id", "w", "h", "frames").mapInArrow(run, "picture_id string, content binary, error string")
+
+
+def save(encoded: DataFrame, folder: str, extension: str) -> DataFrame:
+    """path, length and error of each picture of `encode`, written as a file of its own under a folder that all tasks reach.
+
+    The files are written while the result is evaluated; a task that is run again writes the same ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for picture_id, content, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                path = f"{root.rstrip('/')}/{re.sub(r'[^A-Za-z0-9._-]', '_', picture_id or 'none')}.{extension}"
+                if content is not None:
+                    with store.open_output_stream(path) as out:
+                        out.write(content)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(content or b"")], pa.int64()), pa.array([error], pa.string())], names=["path", "length", "error"])
+
+    return encoded.select("picture_id", "content", "error").mapInArrow(run, "path string, length long, error string")

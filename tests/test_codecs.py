@@ -11,7 +11,7 @@ import pytest
 from pixelry.sources import codecs, formats, pictures
 
 SIZES = [(1, 1), (2, 2), (3, 2), (7, 1), (9, 3), (100, 10)]
-HOLDS = [("farbfeld", "Rgba", "u16")] + [("pnm", x, k) for x in codecs.CHANNELS for k in ("u8", "u16")] + [("bmp", x, "u8") for x in ("Rgb", "Rgba")] + [("qoi", x, "u8") for x in ("Rgb", "Rgba")] + [("tga", x, "u8") for x in codecs.CHANNELS] + [("png", x, k) for x in codecs.CHANNELS for k in ("u8", "u16")]
+HOLDS = [("farbfeld", "Rgba", "u16")] + [("pnm", x, k) for x in codecs.CHANNELS for k in ("u8", "u16")] + [("bmp", x, "u8") for x in ("Rgb", "Rgba")] + [("qoi", x, "u8") for x in ("Rgb", "Rgba")] + [("tga", x, "u8") for x in codecs.CHANNELS] + [("ico", x, "u8") for x in codecs.CHANNELS] + [("png", x, k) for x in codecs.CHANNELS for k in ("u8", "u16")]
 
 
 def some(w: int, h: int, layout: str, kind: str) -> np.ndarray:

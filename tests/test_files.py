@@ -140,6 +140,43 @@ def test_tga_runs_and_palettes():
     assert codecs.decode("tga", head(0, 2, 1, 1, 16) + struct.pack("<H", 31 << 10 | 1))[4].tolist() == [255, 0, 8]
 
 
+def test_icons_of_bitmaps():
+    icon = lambda entries: struct.pack("<HHH", 0, 1, len(entries)) + b"".join(struct.pack("<BBBBHHII", w, h, 0, 0, 1, depth, len(body), 6 + 16 * len(entries) + sum(len(b) for *_, b in entries[:i])) for i, (w, h, depth, body) in enumerate(entries)) + b"".join(b for *_, b in entries)
+    head = lambda w, h, depth: struct.pack("<IiiHHIIiiII", 40, w, 2 * h, 1, depth, 0, 0, 0, 0, 0, 0)
+    mask = b"\x80\0\0\0\0\0\0\0"
+    small = (1, 1, 24, head(1, 1, 24) + b"\1\2\3\0" + b"\0\0\0\0")
+    large = (2, 2, 24, head(2, 2, 24) + b"\1\2\3\4\5\6\0\0" + b"\7\x08\x09\x0a\x0b\x0c\0\0" + mask)
+    assert codecs.decode("ico", icon([small, large]))[4].reshape(-1, 4).tolist() == [[9, 8, 7, 255], [12, 11, 10, 255], [3, 2, 1, 0], [6, 5, 4, 255]]
+    full = (1, 2, 32, head(1, 2, 32) + b"\1\2\3\4" + b"\5\6\7\x08" + b"\0" * 8)
+    assert codecs.decode("ico", icon([full]))[4].reshape(-1, 4).tolist() == [[7, 6, 5, 8], [3, 2, 1, 4]]
+
+
+def test_written_animations_and_options():
+    v = np.arange(24) % 256
+    frame = lambda **k: {"left": 0, "top": 0, "width": 3, "height": 2, "dispose": "keep", "blend": "source", "numer": 70, "denom": 1, "samples": v, **k}
+    raw = codecs.write_animation(3, 2, [frame(), frame(left=1, width=2, dispose="previous", blend="over", samples=v[:16], numer=200_000)], 4)
+    w, h, loops, found = codecs.decode_frames("png", raw)
+    assert (w, h, loops) == (3, 2, 4)
+    assert [f["samples"].tolist() for f in found] == [v.tolist(), v[:16].tolist()]
+    assert [(f["left"], f["dispose"], f["blend"], f["numer"] / f["denom"]) for f in found] == [(0, "keep", "source", 70), (1, "previous", "over", 200_000)]
+    flat = np.zeros(3000, np.int32)
+    sizes = [len(codecs.encode("png", 100, 10, "Rgb", "u8", flat, level=k)) for k in (0, 9)]
+    assert sizes[0] > 3000 > 100 > sizes[1]
+    held = codecs.encode("png", 100, 10, "Rgb", "u8", flat, filtered=False, icc=b"profile", exif=b"MM\0*")
+    assert metadata._png_blocks(held) == {"icc": b"profile", "exif": b"MM\0*"}
+    assert (codecs.decode("png", held)[4] == flat).all()
+
+
+def test_files_are_saved(spark, folder, tmp_path):
+    found = pictures.decode_frames(pictures.files(spark, folder).where("format = 'gif'")).where("frame_no = 0 or error is null").where("picture_id like '%a.gif'")
+    (made,) = pictures.encode_frames(found, loops=2).collect()
+    assert [f["samples"].tolist() for f in codecs.decode_frames("png", bytes(made.content))[3]] == [r.samples for r in found.orderBy("frame_no").collect()]
+    pixels = pictures.rasters(pictures.decode(pictures.files(spark, folder)), "Rgb")
+    (row,) = pictures.save(pictures.encode(pixels, "png", level=9), (tmp_path / "out").as_uri(), "png").collect()
+    assert row.error is None
+    assert codecs.decode("png", (tmp_path / "out" / row.path.rsplit("/", 1)[1]).read_bytes())[:4] == (200, 3, "Rgb", "u8")
+
+
 def test_qoi_by_its_definition():
     body = bytes([0xFE, 10, 20, 30, 0x40 | 3 << 4 | 2 << 2 | 1, 0x80 | 40, 0x9A, 0xC1, (10 * 3 + 20 * 5 + 30 * 7 + 255 * 11) % 64, 0xFF, 1, 2, 3, 4])
     got = codecs.decode("qoi", b"qoif" + struct.pack(">IIBB", 7, 1, 4, 0) + body + b"\0" * 7 + b"\1")[4].reshape(-1, 4).tolist()
