@@ -46,6 +46,8 @@ FAMILY, RUN, LEADERS, MIN_HASHES = 8, 512, 6, 3
 #: Index entries that one partition is to hold; occurrences of a shingle from which on its list is dealt out in pairs of groups.
 ENTRIES, LONG_LIST = 500_000, 50_000
 BLOCK = 32
+#: Nodes that a task remembers, not to count or send them again; bytes of sets that a task indexes at once.
+SEEN, INDEX_BYTES = 200_000, 2 << 20
 #: Sets of a part whose links are counted together.
 PART_BLOCK = 1024
 
@@ -117,9 +119,9 @@ def _info(docs: DataFrame, sketch_bits: int) -> DataFrame:
                 node, k = _node(h, offs), part.num_rows
                 fresh = np.array([x not in seen for x in node.tolist()], bool)
                 seen.update(node.tolist())
-                if len(seen) > 1_000_000:
+                if len(seen) > SEEN:
                     seen.clear()
-                counts += np.bincount((h[np.repeat(fresh, np.diff(offs))] >> np.uint64(64 - sketch_bits)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+                np.add.at(counts, (h[np.repeat(fresh, np.diff(offs))] >> np.uint64(64 - sketch_bits)).astype(np.int64), np.uint32(1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), part.column(0), _signed(node), pa.array(np.diff(offs)), *map(_signed, _signatures(h, offs)), pa.nulls(k, pa.binary())], names=names)
         squeeze = zstandard.ZstdCompressor(level=1).compress
         rows = [(i, squeeze(counts[i * chunk : (i + 1) * chunk].tobytes())) for i in range(-(-len(counts) // chunk))] if counts.any() else []
@@ -152,8 +154,16 @@ def _sketch(info: DataFrame, sketch_bits: int) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """node, n, sigs and set (its sorted hashes as bytes), once for each node in a task."""
+def _rareness(level: np.ndarray, h: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """1 less the mean level of each set's shingles in the sketch."""
+    known = level[(h >> np.uint64(64 - (len(level).bit_length() - 1))).astype(np.int64)]
+    sums = np.zeros(len(known) + 1, np.int64)
+    np.cumsum(known, out=sums[1:])
+    return 1 - (sums[offs[1:]] - sums[offs[:-1]]) / (256 * np.maximum(np.diff(offs), 1))
+
+
+def _sets(docs: DataFrame, sketch=None) -> DataFrame:
+    """node, n, sigs and set (its sorted hashes as bytes), once for each node in a task; rare is its rareness by the sketch, if one is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -166,14 +176,14 @@ def _sets(docs: DataFrame) -> DataFrame:
                     if offs[i + 1] > offs[i] and x not in seen:
                         seen.add(x)
                         keep[i] = True
-                if len(seen) > 1_000_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 size = np.diff(offs)
                 at = np.zeros(keep.sum() + 1, np.int64)
                 np.cumsum(8 * size[keep], out=at[1:])
-                yield pa.RecordBatch.from_arrays([_signed(node[keep]), pa.array(size[keep]), pa.array(np.stack([x[keep].view(np.int64) for x in _signatures(h, offs)], 1).tolist(), pa.list_(pa.int64())), binary_array(h[np.repeat(keep, size)].view(np.uint8), at)], names=["node", "n", "sigs", "set"])
+                yield pa.RecordBatch.from_arrays([_signed(node[keep]), pa.array(size[keep]), pa.array(np.stack([x[keep].view(np.int64) for x in _signatures(h, offs)], 1).tolist(), pa.list_(pa.int64())), binary_array(h[np.repeat(keep, size)].view(np.uint8), at), pa.array(_rareness(sketch.value, h, offs)[keep] if sketch is not None else np.zeros(keep.sum()))], names=["node", "n", "sigs", "set", "rare"])
 
-    return docs.select("text").mapInArrow(run, "node long, n long, sigs array<long>, set binary")
+    return docs.select("text").mapInArrow(run, "node long, n long, sigs array<long>, set binary, rare double")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -205,24 +215,13 @@ def _attach(docs: DataFrame, info: DataFrame, sketch) -> DataFrame:
     if not hot.take(1):
         return docs.sparkSession.createDataFrame([], "node long, leader long")
 
-    def commonness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = sketch.value
-        bits = np.uint64(64 - (len(level).bit_length() - 1))
-        for batch in batches:
-            raw, at = buffers(batch.column(2))
-            known = level[(np.frombuffer(raw.tobytes(), np.uint64) >> bits).astype(np.int64)]
-            sums = np.zeros(len(known) + 1, np.int64)
-            np.cumsum(known, out=sums[1:])
-            rare = 1 - (sums[at[1:] // 8] - sums[at[:-1] // 8]) / (256 * np.maximum(np.diff(at) // 8, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rare)], names=["sig", "node", "set", "runs", "rare"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links to a leader; and the leaders of families of several runs, with their sets."""
         group, leaders, last = None, [], None
         for batch in batches:
             links: list[tuple[int, int]] = []
-            tops: list[tuple[int, int, bytes]] = []
-            for sig, salt, runs, node, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            tops: list[tuple[int, int, bytes, float]] = []
+            for sig, salt, runs, node, raw, rare in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if (sig, salt) != group:
                     group, leaders, last = (sig, salt), [], None
                 if node == last:
@@ -236,23 +235,22 @@ def _attach(docs: DataFrame, info: DataFrame, sketch) -> DataFrame:
                     if len(leaders) < LEADERS:
                         leaders.append((node, own))
                         if runs > 1:
-                            tops.append((sig, node, raw))
+                            tops.append((sig, node, raw, rare))
             if links:
                 node, leader = (pa.array(c, pa.int64()) for c in zip(*links, strict=True))
-                yield pa.RecordBatch.from_arrays([node, leader, pa.nulls(len(links), pa.int64()), pa.nulls(len(links), pa.binary())], names=["node", "leader", "sig", "set"])
+                yield pa.RecordBatch.from_arrays([node, leader, pa.nulls(len(links), pa.int64()), pa.nulls(len(links), pa.binary()), pa.nulls(len(links), pa.float64())], names=["node", "leader", "sig", "set", "rare"])
             if tops:
-                sig, node, raw = zip(*tops, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.nulls(len(tops), pa.int64()), pa.array(sig, pa.int64()), pa.array(raw, pa.binary())], names=["node", "leader", "sig", "set"])
+                sig, node, raw, rare = zip(*tops, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.nulls(len(tops), pa.int64()), pa.array(sig, pa.int64()), pa.array(raw, pa.binary()), pa.array(rare, pa.float64())], names=["node", "leader", "sig", "set", "rare"])
 
-    members, used = _sets(docs).select(F.explode("sigs").alias("sig"), "node", "set"), []
+    members, used = _sets(docs, sketch).select(F.explode("sigs").alias("sig"), "node", "set", "rare"), []
     while True:
-        rows = members.join(small(hot), "sig").select("sig", "node", "set", "runs")
-        rows = rows.mapInArrow(commonness, "sig long, node long, set binary, runs int, rare double").withColumn("salt", F.expr("pmod(xxhash64(node), runs)"))
+        rows = members.join(small(hot), "sig").withColumn("salt", F.expr("pmod(xxhash64(node), runs)"))
         dealt = rows.select("sig", "salt", "runs", "node", "set", "rare").repartition("sig", "salt").sortWithinPartitions("sig", "salt", "rare", "node")
-        level = saved(dealt.mapInArrow(run, "node long, leader long, sig long, set binary"), "leaders")
+        level = saved(dealt.mapInArrow(run, "node long, leader long, sig long, set binary, rare double"), "leaders")
         found = level.where("leader is not null").select("node", "leader")
         links = found if links is None else links.unionByName(found)
-        members = level.where("leader is null").select("sig", "node", "set")
+        members = level.where("leader is null").select("sig", "node", "set", "rare")
         used += [hot, level]
         hot = saved(count_runs(members), "families")  # LEADERS of each run: a few hundredths of the level before
         if not hot.take(1):
@@ -280,7 +278,7 @@ def _entries(sets: DataFrame, sketch, buckets: int) -> DataFrame:
         level = sketch.value
         bits = np.uint64(64 - (len(level).bit_length() - 1))
         for batch in batches:
-            for part in slices(batch, "set", 8 << 20):
+            for part in slices(batch, "set", INDEX_BYTES):
                 raw, at = buffers(part.column(2))
                 h, offs = np.frombuffer(raw.tobytes(), np.uint64), at // 8
                 node, group = part.column(0).to_numpy(), part.column(1).to_numpy()
