@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelry.operators import frames
+from pixelry.operators import frames, geometry, point
 from pixelry.sources import codecs, formats, metadata, pictures
+from pixelry.streaming import arrivals
 
 
 def chunk(name: bytes, body: bytes) -> bytes:
@@ -251,11 +252,19 @@ def test_limits_hooks_and_kinds(spark, folder):
     assert {(r.path.rsplit("/", 1)[1], r.w, r.h) for r in pictures.sizes(spark, folder).collect()} >= {("a.gif", 3, 2), ("c.bmp", 200, 3), ("d.hdr", 2, 2)}
 
 
-def test_files_as_they_arrive(spark, folder, tmp_path):
-    stream = pictures.read(spark, folder, stream=True).select("picture_id", "w", "h", "error")
-    query = stream.writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
+def streamed(spark, df, at, name: str, mode: str = "append") -> list:
+    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(at)).trigger(availableNow=True).start()
     query.awaitTermination()
-    assert spark.table("arrived").count() == 5
+    return spark.table(name).collect()
+
+
+def test_files_as_they_arrive(spark, folder, tmp_path):
+    stream = arrivals.decoded(spark, folder)
+    assert len(streamed(spark, stream.select("picture_id", "w", "h", "error"), tmp_path / "a", "arrived")) == 5
+    turned = point.invert(geometry.flip_horizontal(arrivals.pixels(stream, "Rgb"))).pixels
+    assert {(r.c0, r.w) for r in streamed(spark, turned, tmp_path / "b", "turned")} == {(255, 200)}
+    counts = streamed(spark, arrivals.per_window(spark, folder), tmp_path / "c", "counted", "complete")
+    assert {f: sum(r.n for r in counts if r["format"] == f) for f in ("gif", "bmp", "hdr")} == {"gif": 3, "bmp": 1, "hdr": 1}
 
 
 def test_sizes_from_headers(spark):
