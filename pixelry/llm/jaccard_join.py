@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelry.llm import textbuf
 from pixelry.llm.components import connected_components
 from pixelry.llm.textbuf import SpanHasher, binary_array, buffers, dropped, mix, saved, slices, small, word_spans
 
@@ -43,8 +44,8 @@ NUMERATOR, DENOMINATOR = 3, 4
 SKETCH_BITS = 22
 #: Nodes that share a min-hash from which on leaders are sought; nodes compared in one run; leaders of a run; min-hashes.
 FAMILY, RUN, LEADERS, MIN_HASHES = 8, 512, 6, 3
-#: Index entries that one partition is to hold; occurrences of a shingle from which on its list is dealt out in pairs of groups.
-ENTRIES, LONG_LIST = 500_000, 50_000
+#: Index entries that one partition is to hold, and the buckets into which it is cut; occurrences of a shingle from which on its list is dealt out in pairs of groups.
+ENTRIES, BUCKETS, LONG_LIST = 1_000_000, 8, 50_000
 BLOCK = 32
 #: Nodes that a task remembers, not to count or send them again; bytes of sets that a task indexes at once.
 SEEN, INDEX_BYTES = 200_000, 2 << 20
@@ -105,14 +106,14 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _info(docs: DataFrame, sketch_bits: int) -> DataFrame:
-    """Rows of kind 0: doc_id, node, n, sigs of each document; of kind 1: a task's part of the sketch."""
+    """Rows of kind 0: doc_id, node, n, sigs and text_hash of each document; of kind 1: a task's part of the sketch."""
     chunk = 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         counts, seen = np.zeros(1 << sketch_bits, np.uint32), set()
-        names = ["kind", "doc_id", "node", "n", *(f"sig{i}" for i in range(MIN_HASHES)), "blob"]
+        names = ["kind", "doc_id", "node", "n", *(f"sig{i}" for i in range(MIN_HASHES)), "text_hash", "blob"]
         for batch in batches:
             for part in slices(batch, "text"):
                 h, offs = shingle_sets(*buffers(part.column(1)))
@@ -122,14 +123,14 @@ def _info(docs: DataFrame, sketch_bits: int) -> DataFrame:
                 if len(seen) > SEEN:
                     seen.clear()
                 np.add.at(counts, (h[np.repeat(fresh, np.diff(offs))] >> np.uint64(64 - sketch_bits)).astype(np.int64), np.uint32(1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), part.column(0), _signed(node), pa.array(np.diff(offs)), *map(_signed, _signatures(h, offs)), pa.nulls(k, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), part.column(0), _signed(node), pa.array(np.diff(offs)), *map(_signed, _signatures(h, offs)), part.column(2), pa.nulls(k, pa.binary())], names=names)
         squeeze = zstandard.ZstdCompressor(level=1).compress
         rows = [(i, squeeze(counts[i * chunk : (i + 1) * chunk].tobytes())) for i in range(-(-len(counts) // chunk))] if counts.any() else []
         if rows:
             k = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array([i for i, _ in rows], pa.int64()), *[pa.array(np.zeros(k, np.int64))] * (1 + MIN_HASHES), pa.array([b for _, b in rows], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array([i for i, _ in rows], pa.int64()), *[pa.array(np.zeros(k, np.int64))] * (2 + MIN_HASHES), pa.array([b for _, b in rows], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "kind int, doc_id long, node long, n long, " + "".join(f"sig{i} long, " for i in range(MIN_HASHES)) + "blob binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "kind int, doc_id long, node long, n long, " + "".join(f"sig{i} long, " for i in range(MIN_HASHES)) + "text_hash long, blob binary")
 
 
 def _sketch(info: DataFrame, sketch_bits: int) -> np.ndarray:
@@ -265,47 +266,74 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
 
 
-def _entries(sets: DataFrame, sketch, buckets: int) -> DataFrame:
+def _entries(docs: DataFrame, info: DataFrame, parts: DataFrame, sketch, buckets: int) -> DataFrame:
     """Index entries in packed blocks: bucket; node, part and size of the sets; hash, set number and position.
 
     The list of a shingle that the sketch holds for longer than LONG_LIST is dealt out: its entries fall
-    into groups by node, and each pair of groups is a list of its own, with a derived hash.
+    into groups by node, and each pair of groups is a list of its own, with a derived hash.  Parts are
+    joined to the texts by a hash, and used where they name the node that the text then has; so a text
+    passes one worker only.  Too many for a broadcast, they are joined to the sets by node.
     """
-
     groups = np.ceil(np.exp2((np.arange(256) + 1) / 4) / LONG_LIST).astype(np.int64)  # by level
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(node: np.ndarray, group: np.ndarray, h: np.ndarray, offs: np.ndarray) -> Iterator[pa.RecordBatch]:
         level = sketch.value
         bits = np.uint64(64 - (len(level).bit_length() - 1))
+        n = np.diff(offs)
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((h, level[(h >> bits).astype(np.int64)], owner))
+        position = np.arange(len(h)) - np.repeat(offs[:-1], n)
+        take = position < np.repeat(prefix_length(n), n)
+        h, owner, position = h[order][take], owner[take], position[take]
+        spread = groups[level[(h >> bits).astype(np.int64)]]
+        if (spread > 1).any():
+            place = np.repeat(np.arange(len(h)), spread)
+            other = np.arange(len(place)) - np.repeat(np.cumsum(spread) - spread, spread)
+            h, owner, position, spread = h[place], owner[place], position[place], spread[place]
+            mine = (mix(node[owner].view(np.uint64)) % spread.astype(np.uint64)).astype(np.int64)
+            code = np.minimum(mine, other) * spread + np.maximum(mine, other)
+            h = np.where(spread > 1, mix(h + code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), h)
+        bucket = (h % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((h, bucket))
+        h, owner, position, bucket = h[order], owner[order], position[order], bucket[order]
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True):
+            own, short = np.unique(owner[a:b], return_inverse=True)
+            blobs = [node[own], group[own], n[own].astype(np.int32), h[a:b], short.astype(np.int32 if len(own) > 65535 else np.uint16), position[a:b].astype(np.int32 if n.max() > 65535 else np.uint16)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int64()), pa.array([len(own)], pa.int32()), pa.array([b - a], pa.int32()), pa.array([b"".join(x.tobytes() for x in blobs)], pa.binary())], names=["bucket", "sets", "entries", "blob"])
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                h, offs = shingle_sets(*buffers(piece.column(0)))
+                node = _node(h, offs)
+                keep = np.zeros(len(node), bool)
+                for i, x in enumerate(node.tolist()):
+                    if offs[i + 1] > offs[i] and x not in seen:
+                        seen.add(x)
+                        keep[i] = True
+                if len(seen) > SEEN:
+                    seen.clear()
+                if keep.any():
+                    own = node.view(np.int64)
+                    named, part = (piece.column(k).fill_null(0).to_numpy() for k in (1, 2))
+                    group = np.where((named == own) & np.asarray(piece.column(1).is_valid()), part, own)
+                    size = np.diff(offs)
+                    yield from blocks(own[keep], group[keep], h[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])]))
+
+    def of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "set", INDEX_BYTES):
-                raw, at = buffers(part.column(2))
-                h, offs = np.frombuffer(raw.tobytes(), np.uint64), at // 8
-                node, group = part.column(0).to_numpy(), part.column(1).to_numpy()
-                n = np.diff(offs)
-                owner = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((h, level[(h >> bits).astype(np.int64)], owner))
-                position = np.arange(len(h)) - np.repeat(offs[:-1], n)
-                take = position < np.repeat(prefix_length(n), n)
-                h, owner, position = h[order][take], owner[take], position[take]
-                spread = groups[level[(h >> bits).astype(np.int64)]]
-                if (spread > 1).any():
-                    place = np.repeat(np.arange(len(h)), spread)
-                    other = np.arange(len(place)) - np.repeat(np.cumsum(spread) - spread, spread)
-                    h, owner, position, spread = h[place], owner[place], position[place], spread[place]
-                    mine = (mix(node[owner].view(np.uint64)) % spread.astype(np.uint64)).astype(np.int64)
-                    code = np.minimum(mine, other) * spread + np.maximum(mine, other)
-                    h = np.where(spread > 1, mix(h + code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), h)
-                bucket = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((h, bucket))
-                h, owner, position, bucket = h[order], owner[order], position[order], bucket[order]
-                edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True):
-                    own, short = np.unique(owner[a:b], return_inverse=True)
-                    blobs = [node[own], group[own], n[own].astype(np.int32), h[a:b], short.astype(np.int32 if len(own) > 65535 else np.uint16), position[a:b].astype(np.int32 if n.max() > 65535 else np.uint16)]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int64()), pa.array([len(own)], pa.int32()), pa.array([b - a], pa.int32()), pa.array([b"".join(x.tobytes() for x in blobs)], pa.binary())], names=["bucket", "sets", "entries", "blob"])
-
-    return sets.select("node", "part", "set").mapInArrow(run, "bucket long, sets int, entries int, blob binary")
+            for piece in slices(batch, "set", INDEX_BYTES):
+                raw, at = buffers(piece.column(2))
+                yield from blocks(piece.column(0).to_numpy(), piece.column(1).to_numpy(), np.frombuffer(raw.tobytes(), np.uint64), at // 8)
+
+    schema = "bucket long, sets int, entries int, blob binary"
+    named = saved(info.where("n > 0").join(small(parts), "node").groupBy("text_hash").agg(F.min(F.struct("node", "part")).alias("named")).select("text_hash", "named.node", "named.part"), "named-parts")
+    if named.limit(textbuf.BROADCAST_ROWS + 1).count() <= textbuf.BROADCAST_ROWS:
+        return docs.select("text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(named), "text_hash", "left").select("text", "node", "part").mapInArrow(of_texts, schema)
+    indexed = _sets(docs).join(small(parts), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    return indexed.select("node", "part", "set").mapInArrow(of_sets, schema)
 
 
 def _unpack(sets: int, entries: int, blob: bytes) -> tuple[np.ndarray, ...]:
@@ -512,8 +540,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = saved(connected_components(attached, "node", "leader").select("node", F.col("component").alias("part")), "parts")
     total = info.agg(F.sum("n")).collect()[0][0] or 0
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (DENOMINATOR - NUMERATOR) / DENOMINATOR / ENTRIES))  # grows with the index
-    indexed = _sets(docs).join(small(parts), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    pairs = saved(_candidates(_entries(indexed, sketch, tasks), tasks), "pairs")
+    pairs = saved(_candidates(_entries(docs, info, parts, sketch, BUCKETS * tasks), tasks), "pairs")
     edges = saved(_overlaps(pairs, docs).where(f"{NUMERATOR + DENOMINATOR} * o >= {NUMERATOR} * (n_a + n_b)").select("a", "b"), "links")
     dropped(pairs)
     components = saved(connected_components(edges.unionByName(parts.select(F.col("node").alias("a"), F.col("part").alias("b")))), "components")
