@@ -175,20 +175,37 @@ def per_text(values: np.ndarray, text_no: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(text_no, weights=values, minlength=n).astype(np.int64) if len(text_no) else np.zeros(n, np.int64)
 
 
+def span_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each span: up to 7 bytes are the key itself, with their number; longer spans have a hash, whose first byte is 255."""
+    size = ends - starts
+    key = size.astype(np.uint64) << np.uint64(56)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    for i in range(7):
+        key |= np.where(size > i, padded[starts + i], 0).astype(np.uint64) << np.uint64(8 * i)
+    long = np.flatnonzero(size > 7)
+    if len(long):
+        key[long] = SpanHasher(buf)(starts[long], ends[long]) | np.uint64(0xFF << 56)
+    return key
+
+
 class SpanCache:
-    """Id sequences of distinct spans, found by a 64-bit hash and held with their bytes, in flat arrays.
+    """Id sequences of distinct spans, found by a 64-bit key and held with their bytes, in flat arrays.
 
-    A span takes ids from the cache only if its bytes are those of the entry; spans that share a hash with
+    A span takes ids from the cache only if its bytes are those of the entry; spans that share a key with
     another text are encoded by themselves.  The cache holds at most `most` spans and starts afresh beyond
     that, which bounds a worker's memory.
     """
 
+    #: Entries of the sorted list that takes the new keys, before it is merged with the long one.
+    RECENT = 1 << 16
+
     def __init__(self, most: int = 500_000, dtype=np.uint16):
         self.most, self.dtype = most, dtype
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.places = np.zeros(0, np.uint64), np.zeros((0, 4), np.int64)  # start and number of ids, start and number of bytes
+        self.keys, self.rows = [np.zeros(0, np.uint64)] * 2, [np.zeros(0, np.int32)] * 2  # the long list and the recent one
+        self.places, self.n = np.zeros((1 << 12, 4), np.int32), 0  # start and number of ids, start and number of bytes
         self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
         self.text, self.text_used = np.zeros(1 << 16, np.uint8), 0
 
@@ -196,41 +213,61 @@ class SpanCache:
     def _room(pool: np.ndarray, used: int, more: int) -> np.ndarray:
         if used + more <= len(pool):
             return pool
-        return np.concatenate([pool[:used], np.zeros(max(used + more, used + (used >> 1)) - used, pool.dtype)])
+        return np.concatenate([pool[:used], np.zeros((max(used + more, used + (used >> 1)) - used, *pool.shape[1:]), pool.dtype)])
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 where it is not held."""
+        out = np.full(len(keys), -1, np.int64)
+        for held, rows in zip(self.keys, self.rows, strict=True):
+            if len(held):
+                at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+                out = np.where(held[at] == keys, rows[at], out)
+        return out
 
     def _add(self, keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> None:
         """keys: sorted and not held."""
-        size = ends - starts
-        self.pool, self.text = self._room(self.pool, self.used, len(flat)), self._room(self.text, self.text_used, int(size.sum()))
+        size, k = ends - starts, len(keys)
+        self.pool, self.text, self.places = self._room(self.pool, self.used, len(flat)), self._room(self.text, self.text_used, int(size.sum())), self._room(self.places, self.n, k)
         self.pool[self.used : self.used + len(flat)] = flat
         text_starts = self.text_used + np.cumsum(size) - size
         self.text[self.text_used : self.text_used + size.sum()] = buf[np.repeat(starts - text_starts, size) + np.arange(self.text_used, self.text_used + size.sum())]
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.places = np.insert(self.keys, at, keys), np.insert(self.places, at, np.stack([self.used + np.cumsum(lens) - lens, lens, text_starts, size], 1), 0)
-        self.used, self.text_used = self.used + len(flat), self.text_used + int(size.sum())
+        self.places[self.n : self.n + k] = np.stack([self.used + np.cumsum(lens) - lens, lens, text_starts, size], 1)
+        self._insert(1, keys, np.arange(self.n, self.n + k, dtype=np.int32))
+        if len(self.keys[1]) > self.RECENT:
+            self._insert(0, self.keys[1], self.rows[1])
+            self.keys[1], self.rows[1] = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.n, self.used, self.text_used = self.n + k, self.used + len(flat), self.text_used + int(size.sum())
+
+    def _insert(self, which: int, keys: np.ndarray, rows: np.ndarray) -> None:
+        at = np.searchsorted(self.keys[which], keys)
+        self.keys[which], self.rows[which] = np.insert(self.keys[which], at, keys), np.insert(self.rows[which], at, rows)
 
     def ids(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode: Callable[[list[str]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all spans, one after the other, and the number of ids of each; encode is given the texts of spans that are not held."""
 
         def fresh(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            found = encode([raw[a:b].decode() for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)])
+            raw = memoryview(buf)
+            found = encode([str(raw[a:b], "utf-8") for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)])
             lens = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter((x for y in found for x in y), self.dtype, int(lens.sum())), lens
 
-        raw = memoryview(np.ascontiguousarray(buf)).tobytes() if len(starts) else b""
-        keys, first, back = distinct(SpanHasher(buf)(starts, ends))
-        if len(self.keys) + len(keys) > self.most:
+        buf = np.ascontiguousarray(buf)
+        keys, first, back = distinct(span_keys(buf, starts, ends))
+        if self.n + len(keys) > self.most:
             self.clear()
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        row = self._find(keys)
+        new = np.flatnonzero(row < 0)
         if len(new):
             which = first[new]
+            row[new] = np.arange(self.n, self.n + len(new))
             self._add(keys[new], buf, starts[which], ends[which], *fresh(which))
-        place = self.places[np.searchsorted(self.keys, keys)][back]
-        begin, lens, pool = place[:, 0], place[:, 1], self.pool
-        alike = place[:, 3] == ends - starts
-        alike[alike] = same_bytes(buf, starts[alike], self.text, place[alike, 2], place[alike, 3])
-        odd = np.flatnonzero(~alike)
+        place = self.places[row][back].astype(np.int64)
+        begin, lens, pool = place[:, 0].copy(), place[:, 1].copy(), self.pool
+        long = np.flatnonzero(ends - starts > 7)  # shorter ones have their bytes as key
+        alike = place[long, 3] == (ends - starts)[long]
+        some = long[alike]
+        alike[alike] = same_bytes(buf, starts[some], self.text, place[some, 2], place[some, 3])
+        odd = long[~alike]
         if len(odd):
             flat, n = fresh(odd)
             begin[odd], lens[odd], pool = self.used + np.cumsum(n) - n, n, np.concatenate([self.pool[: self.used], flat])

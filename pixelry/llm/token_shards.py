@@ -35,6 +35,8 @@ MAGIC = b"WVM1"
 BLOCK = 2048
 #: Bytes of a plane that are compressed together, a multiple of BLOCK bits.
 PIECE = 1 << 15
+#: Distinct pieces of text that a worker keeps with their ids (about 40 bytes each).
+CACHED = 1_500_000
 #: Tokens after which a task begins a new shard.
 SHARD_TOKENS = 1 << 22
 #: Ranges of documents at most; their bounds (8 bytes each) go through the driver and with every task.
@@ -279,7 +281,7 @@ def _tokenizer(shared, kind):
         from tokenizers import Tokenizer
 
         _workers.clear()
-        _workers[key] = Tokenizer.from_str(text), SpanCache(dtype=np.dtype(kind)), special
+        _workers[key] = Tokenizer.from_str(text), SpanCache(CACHED, np.dtype(kind)), special
     return _workers[key]
 
 
