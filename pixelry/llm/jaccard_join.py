@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from pixelry.llm import textbuf
 from pixelry.llm.components import connected_components
-from pixelry.llm.textbuf import SpanHasher, binary_array, buffers, dropped, mix, saved, slices, small, word_spans
+from pixelry.llm.textbuf import SpanHasher, binary_array, buffers, dropped, mix, release, saved, slices, small, word_spans
 
 SHINGLE = 5
 #: Least similarity, as NUMERATOR / DENOMINATOR: overlap * (N + D) >= N * (size + size).
@@ -538,12 +538,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sketch = spark.sparkContext.broadcast(_sketch(found, sketch_bits))
     attached = _attach(docs, info, sketch)
     parts = saved(connected_components(attached, "node", "leader").select("node", F.col("component").alias("part")), "parts")
+    release(spark)
     total = info.agg(F.sum("n")).collect()[0][0] or 0
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (DENOMINATOR - NUMERATOR) / DENOMINATOR / ENTRIES))  # grows with the index
     pairs = saved(_candidates(_entries(docs, info, parts, sketch, BUCKETS * tasks), tasks), "pairs")
     edges = saved(_overlaps(pairs, docs).where(f"{NUMERATOR + DENOMINATOR} * o >= {NUMERATOR} * (n_a + n_b)").select("a", "b"), "links")
     dropped(pairs)
     components = saved(connected_components(edges.unionByName(parts.select(F.col("node").alias("a"), F.col("part").alias("b")))), "components")
+    release(spark)
     classes = saved(info.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), "classes")
     copies = classes.select("node", "n_copies")
     across = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(small(copies.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n_copies").alias("links"))
