@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelry.llm import byte_bpe, jaccard_join, kneser_ney, mixing, quality_rules
-from pixelry.llm.textbuf import free_name, saved, small
+from pixelry.llm.textbuf import free_name, release, saved, small
 
 
 #: Rows of an Arrow batch between Spark and the Python workers: a batch of whole texts is held on both sides.
@@ -22,6 +22,7 @@ BATCH_ROWS = 1_000
 
 
 def small_batches(spark: SparkSession) -> None:
+    release(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
