@@ -141,6 +141,61 @@ def op10_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")).drop("text")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelry.llm import filter_audit
+
+    return filter_audit.audit(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+_OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+copies AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text HAVING count(*) > 1),
+fails AS (SELECT d.doc_id, part, len(ws) < 100 AS a, 100 * len(list_distinct(ws)) < 80 * len(ws) AS b, 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 10 * length(d.text) AS c,
+  regexp_matches(d.text, '[#$%&*|]') AS d, coalesce(d.doc_id > copies.first, false) AS e,
+  d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, d.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS bad FROM d LEFT JOIN copies ON d.text = copies.text),
+kinds AS (SELECT part, a, b, c, d, e, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (bad) AS n_bad,
+  concat(CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END, CASE WHEN d THEN 'D' END, CASE WHEN e THEN 'E' END) AS failed FROM fails GROUP BY part, a, b, c, d, e),
+letters(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT v.f || w.f || x.f || y.f || z.f AS filter_order FROM letters v, letters w, letters x, letters y, letters z
+  WHERE v.f NOT IN (w.f, x.f, y.f, z.f) AND w.f NOT IN (x.f, y.f, z.f) AND x.f NOT IN (y.f, z.f) AND y.f <> z.f),
+steps AS (SELECT filter_order, step, filter_order[step] AS own, substr(filter_order, 1, step - 1) AS before FROM orders, range(1, 6) AS s(step)),
+met AS (SELECT part, filter_order, step, own, n, n_good, n_bad, contains(failed, own) AS fails_own, failed = own AS only_own, length(translate(failed, before, '')) < length(failed) AS gone FROM kinds, steps),
+counts AS (SELECT part, filter_order, step, own, sum(n) FILTER (NOT fails_own AND NOT gone) AS kept, sum(n) FILTER (fails_own AND NOT gone) AS removed, sum(n) FILTER (fails_own AND gone) AS redundant,
+  sum(n) FILTER (only_own) AS unique_fails, sum(n_good) FILTER (fails_own AND NOT gone) AS good_lost, sum(n_bad) FILTER (fails_own AND NOT gone) AS toxic_lost FROM met GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counts
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelry.llm import fill_in_middle
+
+    made = fill_in_middle.transform(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
+    restored = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+_OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM d),
+cut AS (SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS p, greatest(h1 % (n + 1), h2 % (n + 1)) AS q, units,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+parts AS (SELECT doc_id, text, n, form, array_to_string(units[1:p], '') AS prefix, array_to_string(units[p + 1:q], '') AS middle, array_to_string(units[q + 1:], '') AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM parts
+"""
+
+
+def op13_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelry.llm import cross_polytope
+
+    return cross_polytope.search(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 _OP8_SQL = r"""
 WITH RECURSIVE
 tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\s[^>]*>')) AS tag FROM pages),
@@ -174,10 +229,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_html_extract": op9_html_extract,
     "op10_raked_mix": op10_raked_mix,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_cross_polytope": op13_cross_polytope,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": _OP3_SQL,
     "op4_jaccard_join": _OP4_SQL,
     "op8_url_filter": _OP8_SQL,
+    "op11_filter_audit": _OP11_SQL,
+    "op12_fill_in_middle": _OP12_SQL,
 }
