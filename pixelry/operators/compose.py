@@ -19,7 +19,7 @@ def _paired(bottom: Raster, top: Raster, x: Column, y: Column, same_picture: boo
     on = ["picture_id", "x", "y"] if same_picture else ["x", "y"]
     if not same_picture:
         moved = moved.drop("picture_id")
-    return Raster(bottom.pixels.join(small(moved) if counted else moved, on, "left"), bottom.layout, bottom.kind)
+    return bottom.over(bottom.pixels.join(small(moved) if counted else moved, on, "left"))
 
 
 def _top(bottom: Raster) -> list[Column]:
@@ -47,7 +47,7 @@ def tile(bottom: Raster, top: Raster, tile_w: int, tile_h: int) -> Raster:
         raise ValueError("empty tile")
     held = top.pixels.select(F.col("x").alias("tx"), F.col("y").alias("ty"), *(c.alias(f"t{i}") for i, c in enumerate(top.channels)), F.lit(True).alias("hit"))
     on = (F.col("x") % tile_w == F.col("tx")) & (F.col("y") % tile_h == F.col("ty"))
-    joined = Raster(bottom.pixels.join(small(held), on, "left"), bottom.layout, bottom.kind)
+    joined = bottom.over(bottom.pixels.join(small(held), on, "left"))
     return _chosen(joined, S.blend(joined.channels, _top(bottom), bottom.kind))
 
 
@@ -60,7 +60,7 @@ def copy_from(target: Raster, source: Raster, x: int, y: int) -> Raster:
     """replace, where a source that does not fit is an error."""
     fits = (F.col("sw") + x <= F.col("w")) & (F.col("sh") + y <= F.col("h")) & F.lit(x >= 0 and y >= 0)
     checked = target.pixels.join(sizes(source, "sw", "sh"), "picture_id", "left").withColumn("w", F.when(F.col("sw").isNull() | fits, F.col("w")).otherwise(F.raise_error(F.lit("source exceeds the target")).cast("int")))
-    return replace(Raster(checked.select(*KEY, *target.names), target.layout, target.kind), source, x, y)
+    return replace(target.over(checked.select(*KEY, *target.names)), source, x, y)
 
 
 def copy_from_color_space(target: Raster, source: Raster, x: int = 0, y: int = 0) -> Raster:
@@ -92,5 +92,5 @@ def beside(left: Raster, right: Raster) -> Raster:
     """Two pictures of one id side by side; free places are not filled."""
     both = sizes(left, "lw", "lh").join(sizes(right, "rw", "rh"), "picture_id")
     total, tall = F.col("lw") + F.col("rw"), F.greatest("lh", "rh")
-    l, r = (Raster(p.pixels.join(both, "picture_id"), p.layout, p.kind) for p in (left, right))  # noqa: E741
-    return Raster(l.select(w=total, h=tall).pixels.unionByName(r.select(w=total, h=tall, x=F.col("x") + F.col("lw")).pixels), left.layout, left.kind)
+    l, r = (p.over(p.pixels.join(both, "picture_id")) for p in (left, right))  # noqa: E741
+    return left.over(l.select(w=total, h=tall).pixels.unionByName(r.select(w=total, h=tall, x=F.col("x") + F.col("lw")).pixels))

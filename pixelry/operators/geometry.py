@@ -24,7 +24,7 @@ def view(r: Raster, x: int, y: int, width: int, height: int) -> Raster:
     """Like crop, but a rectangle that exceeds a picture is an error."""
     _, _, w, h = _cols()
     fits = (F.lit(x).cast("bigint") + width <= w) & (F.lit(y).cast("bigint") + height <= h) & F.lit(x >= 0 and y >= 0)
-    checked = Raster(r.pixels.withColumn("w", F.when(fits, w).otherwise(F.raise_error(F.lit("rectangle exceeds the picture")).cast("int"))), r.layout, r.kind)
+    checked = r.over(r.pixels.withColumn("w", F.when(fits, w).otherwise(F.raise_error(F.lit("rectangle exceeds the picture")).cast("int"))))
     return crop(checked, x, y, width, height)
 
 

@@ -10,31 +10,12 @@ from pyspark.sql import functions as F
 
 from pixelry.functions import samples as S
 from pixelry.operators import geometry, point
+from pixelry.plans import tiles
 from pixelry.plans.raster import Raster, sizes
 
 FILTERS = ("nearest", "triangle", "catmull_rom", "gaussian", "lanczos3")
 
 
-def _lanczos(x: Column) -> Column:
-    turn = x * F.pi()
-    return F.when(F.abs(x) >= 3, 0.0).when(x == 0, 1.0).otherwise(3 * F.sin(turn) * F.sin(turn / 3) / (turn * turn))
-
-
-def _cubic(x: Column, b: float = 0.0, c: float = 0.5) -> Column:
-    """The two-parameter family of cubic filters by Mitchell and Netravali."""
-    a = F.abs(x)
-    near = ((12 - 9 * b - 6 * c) * a * a * a + (-18 + 12 * b + 6 * c) * a * a + (6 - 2 * b)) / 6
-    far = ((-b - 6 * c) * a * a * a + (6 * b + 30 * c) * a * a + (-12 * b - 48 * c) * a + (8 * b + 24 * c)) / 6
-    return F.when(a < 1, near).when(a < 2, far).otherwise(0.0)
-
-
-#: Kernel and support of each filter.
-KERNELS = {
-    "triangle": (lambda x: F.greatest(F.lit(0.0), 1 - F.abs(x)), 1.0),
-    "catmull_rom": (_cubic, 2.0),
-    "gaussian": (lambda x: F.exp(-x * x / 0.5), 3.0),
-    "lanczos3": (_lanczos, 3.0),
-}
 Size = int | Column
 
 
@@ -42,33 +23,10 @@ def _column(v: Size) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
 
 
-def taps(at: Column, size: Column, new_size: Column, filter_name: str) -> Column:
-    """Array of (o, weight): the output places of an axis that the pixel at a place counts for; weights are not yet normal."""
-    ratio = size.cast("double") / new_size
-    if filter_name == "nearest":
-        near = F.sequence(F.greatest(F.lit(0), F.floor(at / ratio).cast("int") - 1), F.least(new_size - 1, F.ceil((at + 1) / ratio).cast("int")))
-        return F.transform(F.filter(near, lambda o: F.least(F.floor((o + 0.5) * ratio), size - 1) == at), lambda o: F.struct(o.alias("o"), F.lit(1.0).alias("weight")))
-    kernel, support = KERNELS[filter_name]
-    spread = F.greatest(ratio, F.lit(1.0))
-    reach = spread * support + 1
-    near = F.sequence(F.greatest(F.lit(0), F.floor((at - reach) / ratio - 0.5).cast("int")), F.least(new_size - 1, F.ceil((at + reach) / ratio - 0.5).cast("int")))
-    centre = lambda o: (o + 0.5) * ratio
-    low = lambda o: F.greatest(F.lit(0), F.least(size - 1, F.floor(centre(o) - spread * support)))
-    high = lambda o: F.greatest(low(o) + 1, F.least(size, F.ceil(centre(o) + spread * support)))
-    inside = F.filter(near, lambda o: (at >= low(o)) & (at < high(o)))
-    found = F.transform(inside, lambda o: F.struct(o.alias("o"), kernel((at + 0.5 - centre(o)) / spread).alias("weight")))
-    return F.when(size == new_size, F.array(F.struct(at.alias("o"), F.lit(1.0).alias("weight")))).otherwise(found)
-
-
-def _axis(r: Raster, axis: str, new_size: Column, filter_name: str) -> Raster:
-    """One pass: each pixel's products are summed by output place, map-side first, and divided by the sum of the weights."""
-    size, other = ("w", "y") if axis == "x" else ("h", "x")
-    spread = r.pixels.withColumn("_new", new_size.cast("int"))
-    spread = spread.withColumn("_tap", F.explode(taps(F.col(axis), F.col(size), F.col("_new"), filter_name)))
-    kept = ["picture_id", "w", "h", other, *(c for c in r.pixels.columns if c.startswith("_to_"))]
-    sums = [(F.sum(c * F.col("_tap.weight")) / F.sum("_tap.weight")).alias(n) for c, n in zip(r.channels, r.names, strict=True)]
-    done = spread.groupBy(*kept, F.col("_tap.o").alias(axis), "_new").agg(*sums)
-    return Raster(done.withColumn(size, F.col("_new")).drop("_new"), r.layout, r.kind)
+def nearest_places(at: Column, size: Column, new_size: Column) -> Column:
+    """Output places of an axis that show the pixel at a place: floor((o + 0.5) * size / new_size) is that place."""
+    near = F.sequence(F.greatest(F.lit(0), F.floor(at * new_size / size).cast("int") - 1), F.least(new_size - 1, F.ceil((at + 1) * new_size / size).cast("int")))
+    return F.filter(near, lambda o: F.least(F.floor((o + 0.5) * (size.cast("double") / new_size)), size - 1) == at)
 
 
 def resize_exact(r: Raster, new_w: Size, new_h: Size, filter_name: str = "triangle") -> Raster:
@@ -76,12 +34,11 @@ def resize_exact(r: Raster, new_w: Size, new_h: Size, filter_name: str = "triang
 
     A pass that leaves the length of an axis as it is copies it.
     """
-    held = r.pixels.withColumn("_to_w", _column(new_w).cast("int")).withColumn("_to_h", _column(new_h).cast("int"))
     if filter_name == "nearest":
-        placed = held.withColumn("_x", F.explode(taps(F.col("x"), F.col("w"), F.col("_to_w"), filter_name))).withColumn("_y", F.explode(taps(F.col("y"), F.col("h"), F.col("_to_h"), filter_name)))
-        return Raster(placed, r.layout, r.kind).select(x=F.col("_x.o"), y=F.col("_y.o"), w=F.col("_to_w"), h=F.col("_to_h"))
-    done = _axis(_axis(Raster(held, r.layout, r.kind), "y", F.col("_to_h"), filter_name), "x", F.col("_to_w"), filter_name)
-    return done.select([S.round_to(c, r.kind) for c in done.channels])
+        held = r.pixels.withColumn("_to_w", _column(new_w).cast("int")).withColumn("_to_h", _column(new_h).cast("int"))
+        placed = held.withColumn("_x", F.explode(nearest_places(F.col("x"), F.col("w"), F.col("_to_w")))).withColumn("_y", F.explode(nearest_places(F.col("y"), F.col("h"), F.col("_to_h"))))
+        return r.over(placed).select(x=F.col("_x"), y=F.col("_y"), w=F.col("_to_w"), h=F.col("_to_h"))
+    return tiles.to_raster(tiles.resize(tiles.from_raster(r), new_w, new_h, filter_name))
 
 
 def resize(r: Raster, new_w: int, new_h: int, filter_name: str = "triangle") -> Raster:
@@ -111,9 +68,9 @@ def has_constant_alpha(r: Raster) -> DataFrame:
 
 def thumbnail_exact(r: Raster, new_w: Size, new_h: Size) -> Raster:
     """Box means: integers rounded half up.  Where a window holds no whole pixel, its two neighbours are mixed."""
-    held = Raster(r.pixels.withColumns({"_n": _column(new_w).cast("bigint"), "_m": _column(new_h).cast("bigint")}), r.layout, r.kind)
+    held = r.over(r.pixels.withColumns({"_n": _column(new_w).cast("bigint"), "_m": _column(new_h).cast("bigint")}))
     grows = (F.col("w") < F.col("_n")) | (F.col("h") < F.col("_m"))
-    return Raster(_shrunk(held.where(~grows)).pixels.unionByName(_mixed(held.where(grows)).pixels), r.layout, r.kind)
+    return r.over(_shrunk(held.where(~grows)).pixels.unionByName(_mixed(held.where(grows)).pixels))
 
 
 def _shrunk(r: Raster) -> Raster:
@@ -124,7 +81,7 @@ def _shrunk(r: Raster) -> Raster:
     else:
         n = F.count(F.lit(1))
         means = [F.floor((F.sum(c) + F.floor(n / 2)) / n).cast("int").alias(name) for c, name in zip(r.channels, r.names, strict=True)]
-    return Raster(grouped.agg(*means), r.layout, r.kind).select(w=F.col("_n"), h=F.col("_m"))
+    return r.over(grouped.agg(*means)).select(w=F.col("_n"), h=F.col("_m"))
 
 
 def _window_shares(at: str, s: str, n: str) -> Column:
@@ -143,7 +100,7 @@ def _mixed(r: Raster) -> Raster:
     wide = r.pixels.withColumns({f"_{c}": F.col(c).cast("bigint") for c in "whxy"})
     spread = wide.withColumn("to_x", F.explode(_window_shares("_x", "_w", "_n"))).withColumn("to_y", F.explode(_window_shares("_y", "_h", "_m")))
     sums = [F.sum(c * F.col("to_x.share") * F.col("to_y.share")).alias(n) for c, n in zip(r.channels, r.names, strict=True)]
-    done = Raster(spread.groupBy("picture_id", "w", "h", "_n", "_m", F.col("to_x.o").alias("x"), F.col("to_y.o").alias("y")).agg(*sums), r.layout, r.kind)
+    done = r.over(spread.groupBy("picture_id", "w", "h", "_n", "_m", F.col("to_x.o").alias("x"), F.col("to_y.o").alias("y")).agg(*sums))
     return done.select([S.as_float(c) if r.kind == "f32" else S.round_to(c, r.kind) for c in done.channels], w=F.col("_n"), h=F.col("_m"))
 
 
@@ -153,27 +110,13 @@ def thumbnail(r: Raster, new_w: int, new_h: int) -> Raster:
 
 
 def interpolate_nearest(points: DataFrame, r: Raster, x: Column, y: Column) -> DataFrame:
-    """points (with picture_id) and the channels of the nearest pixel; null outside 0..w-1, 0..h-1."""
-    at = points.select("*", F.floor(x + 0.5).cast("int").alias("px"), F.floor(y + 0.5).cast("int").alias("py"), ((x >= 0) & (y >= 0)).alias("ok"), x.alias("qx"), y.alias("qy"))
-    pixels = r.pixels.select("picture_id", F.col("x").alias("px"), F.col("y").alias("py"), "w", "h", *r.names)
-    joined = at.join(pixels, ["picture_id", "px", "py"], "left")
-    inside = F.col("ok") & (F.col("qx") <= F.col("w") - 1) & (F.col("qy") <= F.col("h") - 1)
-    return joined.select(*points.columns, *(F.when(inside, F.col(n)).alias(n) for n in r.names))
+    """points (with picture_id; repeated rows stay apart) and the channels of the nearest pixel; null outside 0..w-1, 0..h-1."""
+    return tiles.sample(tiles.from_raster(r), points, x, y, False)
 
 
 def interpolate_bilinear(points: DataFrame, r: Raster, x: Column, y: Column) -> DataFrame:
     """points (with picture_id; repeated rows stay apart) and channels mixed from the four pixels around; null outside."""
-    row = F.struct(*(F.col(c) for c in points.columns)).alias("_point")
-    at = points.select(F.monotonically_increasing_id().alias("_row"), row, x.alias("qx"), y.alias("qy"), "picture_id")
-    taps = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (0, 1) for dy in (0, 1)))).alias("tap")
-    at = at.select("*", taps).withColumn("px", (F.floor("qx") + F.col("tap.dx")).cast("int")).withColumn("py", (F.floor("qy") + F.col("tap.dy")).cast("int"))
-    part = lambda q, d: F.when(F.col(f"tap.{d}") == 1, F.col(q) - F.floor(q)).otherwise(1 - (F.col(q) - F.floor(q)))
-    at = at.withColumn("share", part("qx", "dx") * part("qy", "dy"))
-    pixels = r.pixels.select("picture_id", F.col("x").alias("px"), F.col("y").alias("py"), F.lit(True).alias("hit"), *(c.alias(f"_{n}") for c, n in zip(r.channels, r.names, strict=True)))
-    joined = at.join(pixels, ["picture_id", "px", "py"], "left")
-    share = F.when(F.col("hit") & (F.col("qx") >= 0) & (F.col("qy") >= 0), F.col("share"))
-    sums = joined.groupBy("_row").agg(F.first("_point").alias("_point"), F.sum(share).alias("_all"), *(F.sum(share * F.col(f"_{n}")).alias(f"_{n}") for n in r.names))
-    return sums.select("_point.*", *(F.when(F.col("_all") > 0.999, S.round_to(F.col(f"_{n}"), r.kind)).alias(n) for n in r.names))
+    return tiles.sample(tiles.from_raster(r), points, x, y, True)
 
 
 def _placed(points: DataFrame, r: Raster, u: Column, v: Column) -> tuple[DataFrame, Column, Column]:

@@ -71,7 +71,7 @@ def stencil(r: Raster, halo: int, f: Callable[[Patch, tuple[int, int, int, int]]
         return pa.table([pa.array([picture] * n, pa.string()), pa.array(np.full(n, w), pa.int32()), pa.array(np.full(n, h), pa.int32()), pa.array(x, pa.int32()), pa.array(y, pa.int32()), *(pa.array(got[:, i].astype(np.float32 if real else np.int32), sample) for i in range(len(names)))], names=[*KEY, *names])
 
     schema = "picture_id string, w int, h int, x int, y int, " + ", ".join(f"{n} {'float' if real else 'int'}" for n in names)
-    return Raster(dealt.groupBy("picture_id", "w", "h", "tx", "ty").applyInArrow(one, schema), r.layout, r.kind, r.space)
+    return r.over(dealt.groupBy("picture_id", "w", "h", "tx", "ty").applyInArrow(one, schema))
 
 
 def filter3x3(r: Raster, kernel: list[float]) -> Raster:

@@ -48,8 +48,12 @@ class Raster:
         pixels = self.pixels.select(*key, *(c.alias(f"c{i}") for i, c in enumerate(channels)))
         return Raster(pixels, layout, kind, self.space)
 
+    def over(self, pixels: DataFrame) -> Raster:
+        """The same layout, sample type and colour space over other pixels."""
+        return replace(self, pixels=pixels)
+
     def where(self, condition) -> Raster:
-        return replace(self, pixels=self.pixels.where(condition))
+        return self.over(self.pixels.where(condition))
 
 
 def from_table(df: DataFrame, picture_id, w, h, x, y, channels: list, layout: str, kind: str = "u8") -> Raster:
