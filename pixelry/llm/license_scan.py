@@ -5,12 +5,13 @@ lower case).  The word hashes of a template's runs of words are put in an invert
 template and place; the index is broadcast, its size is that of the templates.  Templates of up to SHORT
 words are indexed by all their runs of two or three words: where MIN_COVERAGE of a template's words stand
 in order and no words came between, such a run is left, so none is missed.  Longer ones have their
-K-word hashes winnowed (the least of each WINDOW neighbours stays), which finds every one that has
-K + WINDOW - 1 words in a row.  Every run of words of a whole document is looked up.  Hits of a template
-that go on near one diagonal form a candidate, and the document's words around it are aligned with the
-template's in a band of BAND diagonals: matching words count, other words cost.  A match is reported with
-its coverage (matched words over template words), and its span in the document, when the coverage is at
-least MIN_COVERAGE.
+K-word hashes winnowed (the least of each WINDOW neighbours stays): a hit lies in every K + WINDOW - 1
+words in a row that were not changed, and one that has none is not found.  Every run of words of a whole
+document is looked up.  Hits of a template are chained, each near the diagonal of the one before it, and
+the document's words around them are aligned with the template's in a band that runs from hit to hit, so
+words put in or left out may shift the diagonal on the way as far as they add up to: matching words
+count, other words cost.  A match is reported with its coverage (matched words over template words), and
+its span in the document, when the coverage is at least MIN_COVERAGE.
 
 Defined cases: a null or empty text has no matches; a template found several times in a document gives
 a row for each place; where matches of several templates overlap, the one with more matched words
@@ -31,6 +32,8 @@ from pyspark.sql import types as T
 from pixelry.llm.textbuf import SpanHasher, buffers, code_points, mix, slices
 
 K, WINDOW, BAND, MIN_COVERAGE = 3, 2, 6, 0.75
+#: Between two hits, and beyond the outer ones, one word of DRIFT may be put in or left out: the band is as much wider.
+DRIFT = 3
 #: Words up to which all runs of a template are indexed; words from which on a run of K words must be left by MIN_COVERAGE.
 SHORT, LONG_RUNS = 40, 12
 
@@ -134,35 +137,79 @@ class Index:
         return at, np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
-def align(template: np.ndarray, words: np.ndarray, shift: int) -> tuple[int, int, int]:
+def band(anchors: list[tuple[int, int]], n: int) -> tuple[list[int], int]:
+    """The middle of the band of words for each of n template words, and its half width.
+
+    anchors: places (template, words) of hits, both rising.  The band runs through them, slanted in between,
+    and is as much wider as the words between two of them, or beyond the outer ones, may shift it.
+    """
+    place, word = (np.array(c) for c in zip(*anchors, strict=True))
+    middle = np.interp(np.arange(n), place, word - place).round().astype(int) + np.arange(n)
+    gaps = [int(place[0]), *np.maximum(np.diff(place), np.diff(word)).tolist(), n - int(place[-1])]
+    return middle.tolist(), BAND + max(gaps) // DRIFT
+
+
+def align(template: np.ndarray, words: np.ndarray, middle: list[int], reach: int) -> tuple[int, int, int]:
     """Matched words and first and last (exclusive) matched word of the best banded local alignment.
 
-    Template word i is compared with words i + shift - BAND up to i + shift + BAND.  Score: 2 for a
+    Template word i is compared with the words from middle[i] - reach to middle[i] + reach.  Score: 2 for a
     match, -1 for a word left out on either side.
     """
-    width = 2 * BAND + 1
+    width, given, nothing = 2 * reach + 1, words.tolist(), (0, 0, -1)
     best = (0, 0, 0, 0)
-    row: list[tuple[int, int, int]] = [(0, 0, -1)] * width  # score, matches, first word
+    row, before = [nothing] * width, middle[0] - reach - 1  # score, matches, first word; word of the row's first cell
     for i, t in enumerate(template.tolist()):
+        start = middle[i] - reach
         now: list[tuple[int, int, int]] = []
         for d in range(width):
-            j = i + shift - BAND + d
-            score, matches, first = row[d]
-            if 0 <= j < len(words) and int(words[j]) == t:
+            j = start + d
+            above = j - before  # the same word in the row before
+            score, matches, first = row[above - 1] if 0 < above <= width else nothing
+            if 0 <= j < len(given) and given[j] == t:
                 cell = (score + 2, matches + 1, j if first < 0 else first)
                 if (cell[0], cell[1]) > best[:2]:
                     best = (cell[0], cell[1], cell[2], j + 1)
             else:
                 cell = (score - 2, matches, first)
-            if d + 1 < width and row[d + 1][0] - 1 > cell[0]:
-                cell = (row[d + 1][0] - 1, *row[d + 1][1:])
+            if 0 <= above < width and row[above][0] - 1 > cell[0]:
+                cell = (row[above][0] - 1, *row[above][1:])
             if d and now[d - 1][0] - 1 > cell[0]:
                 cell = (now[d - 1][0] - 1, *now[d - 1][1:])
-            now.append(cell if cell[0] > 0 else (0, 0, -1))
-        row = now
+            now.append(cell if cell[0] > 0 else nothing)
+        row, before = now, start
     return best[1], best[2], best[3]
 
 
+def chains(place: np.ndarray, hit_at: np.ndarray, n: int) -> list[np.ndarray]:
+    """Hits of a template of n words (sorted by place in the words) in chains, each hit beyond the one before and near its diagonal.
+
+    A hit follows the one that makes its chain longest, less a little for each word of drift; longest chains
+    are taken first, and each hit is in one.
+    """
+    diagonal = hit_at - place
+    length, before = np.ones(len(place)), np.full(len(place), -1)
+    first = np.searchsorted(hit_at, hit_at - (n + BAND)).tolist()
+    for k in range(len(place)):
+        a = first[k]
+        step, gap = np.abs(diagonal[a:k] - diagonal[k]), np.maximum(place[k] - place[a:k], hit_at[k] - hit_at[a:k])
+        near = (place[a:k] < place[k]) & (hit_at[a:k] < hit_at[k]) & (step <= BAND + gap // DRIFT)
+        if near.any():
+            gain = np.where(near, length[a:k] - step / (4 * BAND), 0)
+            best = int(gain.argmax())
+            if gain[best] > 0:
+                length[k], before[k] = 1 + gain[best], a + best
+    out, used = [], np.zeros(len(place), bool)
+    for k in np.argsort(-length, kind="stable").tolist():
+        run = []
+        while k >= 0 and not used[k]:
+            used[k] = True
+            run.append(k)
+            k = before[k]
+        if run:
+            out.append(np.array(run[::-1]))
+    return out
+
+
 def _without_echoes(runs: list[list[int]], template: np.ndarray, hit_at: np.ndarray, place: np.ndarray, sizes: list[int]) -> list[list[int]]:
     """Runs by template and place, without those that lie where a longer run puts its template: they come from grams that it repeats."""
     runs = sorted(runs, key=lambda r: (template[r[0]], hit_at[r[0]], -len(r)))
@@ -182,29 +229,20 @@ def matches(index: Index, words: np.ndarray, hit_at: np.ndarray, posting: np.nda
     found = []
     diagonal, template, place = hit_at - index.place[posting], index.template[posting], index.place[posting]
     order = np.lexsort((place, hit_at, template))
-    runs: list[list[int]] = []  # hits of one template that go on along nearly one diagonal
-    live: list[list[int]] = []  # runs of the template at hand that may go on
-    for k in order.tolist():
-        t = template[k]
-        live = [r for r in live if template[r[-1]] == t and hit_at[k] - hit_at[r[-1]] <= len(index.words[t]) + BAND]
-        near = [r for r in live if place[k] > place[r[-1]] and hit_at[k] > hit_at[r[-1]] and abs(diagonal[k] - diagonal[r[-1]]) <= BAND]
-        if near:
-            min(near, key=lambda r: abs(diagonal[k] - diagonal[r[-1]])).append(k)
-        else:
-            runs.append([k])
-            live.append(runs[-1])
+    edges = np.flatnonzero(np.diff(template[order], prepend=-1, append=-1))
+    runs = [order[a:b][run].tolist() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for run in chains(place[order[a:b]], hit_at[order[a:b]], len(index.words[template[order[a]]]))]
     runs = _without_echoes(runs, template, hit_at, place, [len(w) for w in index.words])
     for r, run in enumerate(runs):
         t, own = int(template[run[0]]), index.words[template[run[0]]]
-        low = max(0, int(diagonal[run[0]]) - BAND)
-        high = min(len(words), int(diagonal[run[-1]]) + len(own) + BAND)
+        low = max(0, int(diagonal[run[0]]) - BAND - int(place[run[0]]) // DRIFT)
+        high = min(len(words), int(diagonal[run[-1]]) + len(own) + BAND + (len(own) - int(place[run[-1]])) // DRIFT)
         if r and template[runs[r - 1][0]] == t:
             low = max(low, min(int(hit_at[runs[r - 1][-1]]) + run_size(len(own)), int(hit_at[run[0]])))
         if r + 1 < len(runs) and template[runs[r + 1][0]] == t:
             high = min(high, max(int(hit_at[runs[r + 1][0]]), int(hit_at[run[-1]]) + run_size(len(own))))
         if np.isin(own, words[low:high]).sum() < MIN_COVERAGE * len(own):
             continue
-        got, first, last = align(own, words[low:high], (int(diagonal[run[0]]) + int(diagonal[run[-1]])) // 2 - low)
+        got, first, last = align(own, words[low:high], *band([(int(place[k]), int(hit_at[k]) - low) for k in run], len(own)))
         if got >= MIN_COVERAGE * len(own):
             found.append((t, got, first + low, last + low))
     found.sort(key=lambda f: (-f[1], -f[1] / len(index.words[f[0]]), index.names[f[0]], f[2]))
