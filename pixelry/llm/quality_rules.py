@@ -1,11 +1,12 @@
 """Quality rules: counts within a document, and the frequency of its lines across the documents of its host.
 
 A line, normalised to its words in lower case (A-Z) with single spaces, is hashed; for each host the
-distinct documents that hold it are counted (copies of one text count once).  A line held by more than
-`max(min_docs, host_percent % of the host's distinct documents)` documents is removed, and a document
-that loses more than `depleted_percent` % of its words is rejected, as is one that fails the base
-rules: fewer than 50 words, or more than half of its words in repeated three-word windows.  With a
-host_percent of 0 the limit is the count min_docs alone, whatever the size of the host.
+distinct documents that hold it are counted.  Copies of one text count as one document: otherwise every
+line of a page that a host repeats would count as boilerplate, and all its copies would be rejected
+before a later stage can keep one.  A line held by more than `max_docs` documents is removed, whatever
+the size of the host, and a document that loses more than `depleted_percent` % of its words is
+rejected, as is one that fails the base rules: fewer than 50 words, or more than half of its words in
+repeated three-word windows.
 
 Up to BROADCAST_LINES removable lines of BROADCAST_HOSTS hosts are broadcast; more are joined with the
 lines of the documents, so a document meets those that it holds, never the list of its host.
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from pixelry.llm.textbuf import SpanHasher, buffers, code_points, dropped, free_name, mix, per_text, same_bytes, saved, slices, with_columns, word_spans
 
-MIN_DOCS, HOST_PERCENT, DEPLETED_PERCENT = 10, 5, 50
+MAX_DOCS, DEPLETED_PERCENT = 10, 50
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 #: Hosts with removable lines, and such lines (8 bytes each), up to which they are broadcast.
 BROADCAST_HOSTS = 20_000
@@ -116,7 +117,7 @@ def _host(host: str) -> Column:
 
 
 def held_lines(docs: DataFrame, host: str, text: str) -> DataFrame:
-    """host, line, digest: the distinct lines of each text; and a row with line null for each text."""
+    """host, line, digest: the distinct lines of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,33 +132,24 @@ def held_lines(docs: DataFrame, host: str, text: str) -> DataFrame:
                 new = np.ones(len(line), bool)
                 new[1:] = (line[1:] != line[:-1]) | (owner[1:] != owner[:-1])
                 line, owner = line[new], owner[new]
-                hosts = part.column(0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([hosts.take(pa.array(owner)), hosts]), pa.concat_arrays([pa.array(line.view(np.int64)), pa.nulls(part.num_rows, pa.int64())]), pa.array(np.concatenate([digest[owner], digest]).view(np.int64))],
-                    names=["host", "line", "digest"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(line.view(np.int64)), pa.array(digest[owner].view(np.int64))], names=["host", "line", "digest"])
 
     return docs.select(_host(host).alias("host"), F.col(text).cast("string").alias("text")).mapInArrow(run, "host string, line long, digest long")
 
 
 def line_counts(docs: DataFrame, host: str, text: str) -> DataFrame:
-    """host, line, docs: distinct texts of a host that hold a line; and rows with line null: texts of the host."""
+    """host, line, docs: distinct texts of a host that hold a line."""
     return held_lines(docs, host, text).groupBy("host", "line").agg(F.countDistinct("digest").alias("docs"))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = MIN_DOCS, host_percent: float = HOST_PERCENT) -> DataFrame:
+def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = MAX_DOCS) -> DataFrame:
     """host and line of the lines to remove."""
-    counts = saved(line_counts(docs, host, text), "line-counts")
-    hosts = counts.where("line is null").select("host", F.col("docs").alias("host_docs"))
-    often = counts.where(f"line is not null and docs > {min_docs}").join(hosts, "host")
-    found = saved(often.where(F.col("docs") * 100 > F.lit(host_percent) * F.col("host_docs")).select("host", "line"), "frequent-lines")
-    dropped(counts)
-    return found
+    return saved(line_counts(docs, host, text).where(F.col("docs") > max_docs).select("host", "line"), "frequent-lines")
 
 
-def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = MIN_DOCS, host_percent: float = HOST_PERCENT, depleted_percent: float = DEPLETED_PERCENT) -> DataFrame:
+def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = MAX_DOCS, depleted_percent: float = DEPLETED_PERCENT) -> DataFrame:
     """docs with the base counts, base_failed, n_removed_lines, n_removed_words, clean_text and kept."""
-    often = frequent_lines(docs, host, text, min_docs, host_percent)
+    often = frequent_lines(docs, host, text, max_docs)
     few = often.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES and often.select("host").distinct().limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     fields = [T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     fields += [T.StructField("base_failed", T.BooleanType()), T.StructField("n_removed_lines", T.LongType()), T.StructField("n_removed_words", T.LongType()), T.StructField("clean_text", T.StringType()), T.StructField("kept", T.BooleanType())]
@@ -235,7 +227,7 @@ def _with_own_lines(docs: DataFrame, often: DataFrame, host: str, text: str, out
         return f
 
     # copies of a text share its digest and lines
-    lines = held_lines(docs, host, text).where("line is not null").join(often, ["host", "line"])
+    lines = held_lines(docs, host, text).join(often, ["host", "line"])
     own = lines.groupBy("host", "digest").agg(F.collect_set("line").alias("lines")).mapInArrow(pack, f"{of_host} string, {of_text} long, {out} binary")
     keyed = with_columns(docs, text, [T.StructField(digest, T.LongType())], make)
     same = (_host(host) == F.col(of_host)) & (F.col(digest) == F.col(of_text))

@@ -18,14 +18,13 @@ def lower(text: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
 
 
-def brute(rows: list[tuple], min_docs: int, percent: float, depleted: float) -> Counter:
-    holders, texts = defaultdict(set), defaultdict(set)
+def brute(rows: list[tuple], max_docs: int, depleted: float) -> Counter:
+    holders = defaultdict(set)
     lines_of = lambda text: [x for x in (text or "").split("\n") if WORD.search(x)]
     for _, text, _, host, _ in rows:
-        texts[host].add(text or "")
         for line in lines_of(text):
             holders[host, tuple(WORD.findall(lower(line)))].add(text)
-    gone = {k for k, v in holders.items() if len(v) > min_docs and len(v) * 100 > percent * len(texts[k[0]])}
+    gone = {k for k, v in holders.items() if len(v) > max_docs}
     out = Counter()
     for doc_id, text, _, host, _ in rows:
         words, lines = WORD.findall(text or ""), lines_of(text)
@@ -64,11 +63,11 @@ def hosted(seed: int) -> list[tuple]:
     return rows + rows[:5]
 
 
-@pytest.mark.parametrize("limits", [(10, 5, 50), (3, 20, 10)])
+@pytest.mark.parametrize("limits", [(10, 50), (3, 10)])
 def test_against_brute_force(spark, limits):
     rows = awkward() + hosted(9)
     df = frame(spark, rows, {"kept": "1", "n_words": "'x'", "removable": "2", "line": "3", "docs": "4"})
-    out = Q.apply_rules(df, min_docs=limits[0], host_percent=limits[1], depleted_percent=limits[2])
+    out = Q.apply_rules(df, max_docs=limits[0], depleted_percent=limits[1])
     assert found(out) == brute(rows, *limits)
     assert {(r.removable, r.line, r.docs) for r in out.collect()} == {(2, 3, 4)}
 
@@ -76,7 +75,7 @@ def test_against_brute_force(spark, limits):
 def test_same_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(Q, "BROADCAST_HOSTS", -1)
     rows = hosted(4)
-    assert found(Q.apply_rules(frame(spark, rows))) == brute(rows, 10, 5, 50)
+    assert found(Q.apply_rules(frame(spark, rows))) == brute(rows, 10, 50)
 
 
 def test_empty_table(spark):
@@ -105,7 +104,7 @@ def test_pipeline_limit_does_not_grow_with_the_host(spark, monkeypatch, hosts):
     left = {r.doc_id: r.text for r in corpus_pipeline.rules(spark, frame(spark, rows), "").collect()}
     assert left.keys() == set(range(600)) - set(range(20, 32))
     assert not any("reserved" in x for x in left.values())
-    assert found(Q.apply_rules(frame(spark, rows), host_percent=0)) == brute(rows, 10, 0, 50)
+    assert found(Q.apply_rules(frame(spark, rows))) == brute(rows, 10, 50)
 
 
 def test_long_lists_never_ride_on_the_documents(spark, monkeypatch):
@@ -113,7 +112,7 @@ def test_long_lists_never_ride_on_the_documents(spark, monkeypatch):
     monkeypatch.setattr(Q, "BROADCAST_LINES", 0)
     rows = hosted(4) + boilerplate(300)
     docs = frame(spark, rows)
-    assert found(Q.apply_rules(docs, host_percent=0)) == brute(rows, 10, 0, 50)
-    sizes = {r.doc_id: len(r.removable or b"") // 8 for r in Q._with_own_lines(docs, Q.frequent_lines(docs, host_percent=0), "source", "text").collect()}
+    assert found(Q.apply_rules(docs)) == brute(rows, 10, 50)
+    sizes = {r.doc_id: len(r.removable or b"") // 8 for r in Q._with_own_lines(docs, Q.frequent_lines(docs), "source", "text").collect()}
     assert max(sizes.values()) <= max(len(set(r[1].split("\n"))) for r in rows)
     assert 0 in sizes.values()
