@@ -19,7 +19,7 @@ from __future__ import annotations
 import functools
 import html as html_lib
 import re
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,9 @@ CONTAINER = frozenset("article aside body div dl fieldset figure footer form hea
 RAW = "script|style|noscript|template|iframe|textarea|title|svg|math"
 ENDS_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr legend summary".split())
 #: An element of the first kind ends an open one of the second within the third.
-IMPLIED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tr td th thead", "table")}
+IMPLIED = {name: (tuple(ended.split()), tuple(within.split())) for name, (ended, within) in {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tr td th thead", "table")}.items()}
+#: What a paragraph may be open outside of, and so is not ended from within.
+HOLDS_P = (*sorted(CONTAINER), "td", "th", "li")
 #: Attribute tokens by what they hint at.
 HINTS = {
     "menu": "nav navigation navbar menu topnav mainnav menubar breadcrumb breadcrumbs toc pagination pager tabs skip",
@@ -75,18 +77,22 @@ class Page:
         self.parent, self.tag, self.hints, self.scored, self.attributes = [-1], ["body"], [frozenset()], [True], [""]
         self.chunks: list[tuple[int, int, str, bool]] = []
         stack: list[tuple[str, int]] = [("body", 0)]  # open elements; inline ones stand for their block
-        open_: Counter[str] = Counter()  # names on the stack
+        open_: defaultdict[str, list[int]] = defaultdict(list)  # places of each name on the stack
         block, at, links, hidden = 0, 0, 0, 0
 
         def text(part: str) -> None:
             if part and not hidden:
                 self.chunks.append((stack[-1][1], block, part, links > 0))
 
+        def nearest(names: tuple[str, ...]) -> int:
+            """Place on the stack of the innermost open element of these names, 0 without one."""
+            return max((open_[n][-1] for n in names if open_[n]), default=0)
+
         def close(down_to: int) -> None:
             nonlocal block, links, hidden
             while len(stack) > down_to:
                 name, _ = stack.pop()
-                open_[name] -= 1
+                open_[name].pop()
                 links -= name == "a"
                 hidden -= name in HIDDEN
                 block += name in BLOCK
@@ -100,11 +106,8 @@ class Page:
                 continue
             name, end, attributes = name.lower(), m[2] or m[5], m[4] or m[7] or ""
             if end:
-                if name not in ("body", "html") and open_[name]:  # each search ends at a tag that it closes
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] == name:
-                            close(i)
-                            break
+                if name not in ("body", "html") and open_[name]:
+                    close(open_[name][-1])
                 continue
             if name == "br":
                 text(" ")
@@ -114,20 +117,12 @@ class Page:
                 continue
             if name in ("html", "body"):
                 continue
-            if name in ENDS_P and open_["p"]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] in CONTAINER or stack[i][0] in ("td", "th", "li"):
-                        break
+            if name in ENDS_P and open_["p"] and nearest(("p",)) > nearest(HOLDS_P):
+                close(open_["p"][-1])
             if name in IMPLIED:
                 ended, within = IMPLIED[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in within.split():
-                        break
-                    if stack[i][0] in ended.split():
-                        close(i)
+                while (i := nearest(ended)) > nearest(within):
+                    close(i)
             element = stack[-1][1]
             if name in BLOCK:
                 block += 1
@@ -147,7 +142,7 @@ class Page:
             links += name == "a"
             hidden += name in HIDDEN
             stack.append((name, element))
-            open_[name] += 1
+            open_[name].append(len(stack) - 1)
         if at < len(source):
             text(source[at:])
 

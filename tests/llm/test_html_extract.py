@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -79,3 +80,14 @@ def test_boosted_trees_learn_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.3)).astype(float)
     fitted = BoostedTrees(n_trees=30, depth=3).fit(x[:1500], y[:1500])
     assert ((fitted.log_odds(x[1500:]) > 0) == (y[1500:] > 0)).mean() > 0.97
+
+
+@pytest.mark.parametrize("page", [lambda n: "<b>" * n + "<li>x" * n, lambda n: "<p>" * n + "<span>" * n + "<p>y" * n, lambda n: "<ul>" * n + "<li><b>x" * n, lambda n: "<table><tr><td>" * n + "z" + "<td>" * n, lambda n: "<i>" * n + "</b>" * n])
+def test_unclosed_tags_take_linear_time(page):
+    seconds = []
+    for n in (4_000, 16_000):
+        began = time.perf_counter()
+        H.Page(page(n))
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 10 * max(seconds[0], 0.05)
+    assert seconds[1] < 5
