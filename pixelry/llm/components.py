@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     itself to the least of these; the edge count never grows and stars remain after O(log^2 n) rounds.
     The minimum of a node's neighbours is a pre-aggregated grouping, so a node with very many edges is
     never gathered.  Rounds are cut by tables in the shared folder.  Self-loops and repeated edges are
-    allowed; edges with a null end are left out; an empty table gives an empty result.
+    allowed; edges with a null end are left out; an empty table gives an empty result.  The result is a
+    table in the shared folder, too.
     """
     clean = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     loops = clean.where("u = v").select(F.col("u").alias("node")).distinct()
@@ -37,4 +38,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node")).distinct()
     alone = loops.join(stars.select("node").unionByName(roots), "node", "left_anti")
-    return stars.unionByName(roots.unionByName(alone).withColumn("component", F.col("node")))
+    out = saved(stars.unionByName(roots.unionByName(alone).withColumn("component", F.col("node"))), "components")
+    dropped(now)
+    return out

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from pixelry.llm import textbuf
 from pixelry.llm.components import connected_components
-from pixelry.llm.textbuf import SpanHasher, binary_array, buffers, dropped, mix, release, saved, slices, small, word_spans
+from pixelry.llm.textbuf import SpanHasher, binary_array, buffers, dropped, mix, saved, slices, small, word_spans
 
 SHINGLE = 5
 #: Least similarity, as NUMERATOR / DENOMINATOR: overlap * (N + D) >= N * (size + size).
@@ -214,6 +214,7 @@ def _attach(docs: DataFrame, info: DataFrame, sketch) -> DataFrame:
     hot = saved(count_runs(sigs).where(F.col("count") >= FAMILY), "families")
     links = None
     if not hot.take(1):
+        dropped(hot)
         return docs.sparkSession.createDataFrame([], "node long, leader long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +267,12 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
 
 
-def _entries(docs: DataFrame, info: DataFrame, parts: DataFrame, sketch, buckets: int) -> DataFrame:
+def _named_parts(info: DataFrame, parts: DataFrame) -> DataFrame:
+    """text_hash, node and part of the texts whose sets are in a part."""
+    return saved(info.where("n > 0").join(small(parts), "node").groupBy("text_hash").agg(F.min(F.struct("node", "part")).alias("named")).select("text_hash", "named.node", "named.part"), "named-parts")
+
+
+def _entries(docs: DataFrame, named: DataFrame, parts: DataFrame, sketch, buckets: int) -> DataFrame:
     """Index entries in packed blocks: bucket; node, part and size of the sets; hash, set number and position.
 
     The list of a shingle that the sketch holds for longer than LONG_LIST is dealt out: its entries fall
@@ -329,7 +335,6 @@ def _entries(docs: DataFrame, info: DataFrame, parts: DataFrame, sketch, buckets
                 yield from blocks(piece.column(0).to_numpy(), piece.column(1).to_numpy(), np.frombuffer(raw.tobytes(), np.uint64), at // 8)
 
     schema = "bucket long, sets int, entries int, blob binary"
-    named = saved(info.where("n > 0").join(small(parts), "node").groupBy("text_hash").agg(F.min(F.struct("node", "part")).alias("named")).select("text_hash", "named.node", "named.part"), "named-parts")
     if named.limit(textbuf.BROADCAST_ROWS + 1).count() <= textbuf.BROADCAST_ROWS:
         return docs.select("text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(named), "text_hash", "left").select("text", "node", "part").mapInArrow(of_texts, schema)
     indexed = _sets(docs).join(small(parts), "node", "left").withColumn("part", F.coalesce("part", "node"))
@@ -426,8 +431,8 @@ def _candidates(entries: DataFrame, tasks: int) -> DataFrame:
     return entries.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
 
 
-def _overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b, o, n_a, n_b of node pairs."""
+def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b of the node pairs whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -442,7 +447,10 @@ def _overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     nodes = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
     sets = _sets(docs).select("node", "set").join(small(nodes), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))  # one exchange serves both joins
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, o long, n_a long, n_b long")
+    overlaps = joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, o long, n_a long, n_b long")
+    out = saved(overlaps.where(f"{NUMERATOR + DENOMINATOR} * o >= {NUMERATOR} * (n_a + n_b)").select("a", "b"), "links")
+    dropped(nodes)
+    return out
 
 
 def _part_links(docs: DataFrame, parts: DataFrame, copies: DataFrame) -> DataFrame:
@@ -529,30 +537,45 @@ def _part_links(docs: DataFrame, parts: DataFrame, copies: DataFrame) -> DataFra
     return out
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links), n_copies (rows with an equal set) and n_links (other rows that it links with) of every row."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sketch_bits: int = SKETCH_BITS, links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reachable by links), n_copies (rows with an equal set) and n_links (other rows that it links with) of every row.
+
+    links: whether n_links is counted, which compares all sets of a part with one another; components do not need it.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = saved(_info(docs, sketch_bits), "sets-info")
     info = found.where("kind = 0").drop("kind", "blob")
     sketch = spark.sparkContext.broadcast(_sketch(found, sketch_bits))
     attached = _attach(docs, info, sketch)
-    parts = saved(connected_components(attached, "node", "leader").select("node", F.col("component").alias("part")), "parts")
-    release(spark)
+    joined = connected_components(attached, "node", "leader")
+    parts = joined.withColumnRenamed("component", "part")
     total = info.agg(F.sum("n")).collect()[0][0] or 0
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (DENOMINATOR - NUMERATOR) / DENOMINATOR / ENTRIES))  # grows with the index
-    pairs = saved(_candidates(_entries(docs, info, parts, sketch, BUCKETS * tasks), tasks), "pairs")
-    edges = saved(_overlaps(pairs, docs).where(f"{NUMERATOR + DENOMINATOR} * o >= {NUMERATOR} * (n_a + n_b)").select("a", "b"), "links")
+    named = _named_parts(info, parts)
+    pairs = saved(_candidates(_entries(docs, named, parts, sketch, BUCKETS * tasks), tasks), "pairs")
+    dropped(named)
+    edges = _linked(pairs, docs)
     dropped(pairs)
-    components = saved(connected_components(edges.unionByName(parts.select(F.col("node").alias("a"), F.col("part").alias("b")))), "components")
-    release(spark)
+    components = connected_components(edges.unionByName(parts.select(F.col("node").alias("a"), F.col("part").alias("b"))))
     classes = saved(info.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), "classes")
-    copies = classes.select("node", "n_copies")
-    across = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(small(copies.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n_copies").alias("links"))
-    links = saved(across.unionByName(_part_links(docs, parts, copies)).groupBy("node").agg(F.sum("links").alias("links")), "link-counts")
-    dropped(edges, parts)
+    counted = _link_counts(docs, parts, edges, classes.select("node", "n_copies")) if links else None
+    dropped(edges, joined)
     classes = classes.join(small(components), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = classes.join(least, "component").join(small(links), "node", "left").select("node", "component_id", "n_copies", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
-    out = info.where("n > 0").join(classes, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies", "n_links")
-    return out.unionByName(info.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links")))
+    classes = classes.join(least, "component")
+    if links:
+        classes = classes.join(small(counted), "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1)
+    columns = ["component_id", "n_copies", *(["n_links"] if links else [])]
+    out = info.where("n > 0").join(classes.select("node", *columns), "node").select("doc_id", F.col("n").alias("n_shingles"), *columns)
+    none = info.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(none.select(out.columns))
+
+
+def _link_counts(docs: DataFrame, parts: DataFrame, edges: DataFrame, copies: DataFrame) -> DataFrame:
+    """node and links: the documents that a set links with, its own copies left out."""
+    across = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(small(copies.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n_copies").alias("links"))
+    inside = _part_links(docs, parts, copies)
+    out = saved(across.unionByName(inside).groupBy("node").agg(F.sum("links").alias("links")), "link-counts")
+    dropped(inside)
+    return out

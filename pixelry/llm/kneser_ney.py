@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelry.llm.textbuf import buffers, dropped, free_name, mix, saved, slices, small, with_columns
+from pixelry.llm.textbuf import buffers, dropped, free_name, mix, saved, slices, small, tidy, with_columns
 
 ORDER = 6
 PRIOR_BYTES = 150
@@ -104,8 +104,11 @@ def count_ngrams(docs: DataFrame, lang: str, text: str) -> DataFrame:
 
 
 def model(counts: DataFrame) -> DataFrame:
-    """lang, length, kind, key, value: kind "p" has log2 of an n-gram's interpolated probability, kind "b" log2 of a context's backoff weight."""
-    tables = {ORDER: counts}
+    """lang, length, kind, key, value: kind "p" has log2 of an n-gram's interpolated probability, kind "b" log2 of a context's backoff weight.
+
+    The result is a table in the shared folder; those that it was made from are removed.
+    """
+    tables, made = {ORDER: counts}, []
     for k in range(ORDER - 1, 0, -1):  # lower orders count the distinct bytes to the left
         tables[k] = saved(tables[k + 1].groupBy("lang", F.expr(f"key & {(1 << (8 * k)) - 1}L").alias("key")).agg(F.count("*").alias("c")), "continuations")
     out, below = None, None
@@ -126,8 +129,11 @@ def model(counts: DataFrame) -> DataFrame:
         rows = below.select("lang", F.lit(k).alias("length"), F.lit("p").alias("kind"), "key", F.log2("p").cast("float").alias("value"))
         rows = rows.unionByName(ctx.select("lang", F.lit(k - 1).alias("length"), F.lit("b").alias("kind"), F.col("ctx").alias("key"), F.log2("gamma").cast("float").alias("value")))
         out = rows if out is None else out.unionByName(rows)
+        made += [ctx, below]
         dropped(discounts, *([tables[k]] if k < ORDER else []))
-    return out
+    found = saved(out, "model")
+    dropped(*made)
+    return found
 
 
 class Table:
@@ -194,7 +200,10 @@ def _packed(table: DataFrame):
     out: dict[str, dict[tuple[int, str], tuple[bytes, bytes]]] = {}
     for r in table.groupBy("lang", "length", "kind").applyInArrow(pack, "lang string, length int, kind string, keys binary, values binary").toLocalIterator():
         out.setdefault(r.lang, {})[r.length, r.kind] = bytes(r["keys"]), bytes(r["values"])
-    return table.sparkSession.sparkContext.broadcast(out)
+    shared = table.sparkSession.sparkContext.broadcast(out)
+    del out
+    tidy()
+    return shared
 
 
 def _score_by_broadcast(docs: DataFrame, shared, lang: str, text: str, made: tuple[str, str]) -> DataFrame:
@@ -278,7 +287,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     trusted = docs.select(doc_id, text, lang).join(small(good, BROADCAST_LABELS), doc_id, "left_semi")
     held_out = F.expr(f"pmod(xxhash64(`{doc_id}`), {HOLD_OUT}) = 0")
     counts = saved(count_ngrams(trusted.where(~held_out), lang, text), "counts")
-    table = saved(model(counts), "model")
+    table = model(counts)
     packed = _pack_if_few(table, most)
     own = F.coalesce(F.col(lang).cast("string"), F.lit(""))
     known = saved(_score(trusted.where(held_out), table, packed, lang, text).select(own.alias("model_lang"), "bits", "n_bytes").where("bits is not null and n_bytes > 0"), "held-out")
@@ -287,7 +296,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     limits = known.join(mean, "model_lang").groupBy("model_lang").agg(F.first("mean_bits").alias("mean_bits"), F.percentile_approx(shrunk("bits", "n_bytes", "mean_bits"), QUANTILE, 100_000).alias("threshold"))
     bits, n_bytes, model_lang, mean_bits = made = [free_name(docs.columns, x) for x in ("bits", "n_bytes", "model_lang", "mean_bits")]
     limits = saved(limits.select(F.col("model_lang").alias(model_lang), F.col("mean_bits").alias(mean_bits), "threshold"), "limits")
-    dropped(counts, known)
+    dropped(counts, known, *([] if packed is None else [table]))
     scored = _score(docs, table, packed, lang, text, (bits, n_bytes)).join(small(limits), own == F.col(model_lang), "left")
     scored = scored.withColumn("perplexity", shrunk(bits, n_bytes, mean_bits)).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
     return scored.drop(*made)

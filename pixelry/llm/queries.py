@@ -47,9 +47,8 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_lines GROU
 win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c >= 2),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host),
 often AS (SELECT f.host, f.ws, count(DISTINCT f.text) AS n FROM full_lines f GROUP BY f.host, f.ws),
-gone AS (SELECT o.host, o.ws FROM often o JOIN hosts h ON o.host = h.host WHERE o.n > 10 AND o.n * 100 > 5 * h.n),
+gone AS (SELECT host, ws FROM often WHERE n > 10),
 lost AS (SELECT f.doc_id, count(*) AS n_lines, sum(len(f.ws)) AS n_words FROM full_lines f JOIN gone g ON f.host = g.host AND f.ws = g.ws GROUP BY f.doc_id),
 f AS (SELECT w.doc_id, len(w.ws) AS n_words, length(array_to_string(w.ws, '')) AS word_chars,
   length(regexp_replace(w.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,

@@ -9,7 +9,6 @@ of its own).
 from __future__ import annotations
 
 import ctypes
-import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -362,12 +361,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(spark) -> None:
-    """Let go of plans, broadcasts and shuffles that no DataFrame of the driver names any more, and give their memory back."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def dropped(*tables: DataFrame) -> None:
     """Remove tables made by `saved` that no result depends on any more."""
     for df in tables:

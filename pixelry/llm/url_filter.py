@@ -107,7 +107,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, page
             all_edges = all_edges.unionByName(e)
         all_edges = saved(all_edges.distinct(), "url-edges")
         if all_edges.take(1):
-            classes = saved(connected_components(all_edges), "url-classes")
+            classes = connected_components(all_edges)
             named = url_parts(classes.withColumn("full", F.concat(F.lit("x://"), "node")), "full")
             decided = match_rules(named.select("node", "component", "host", "path"), rules, "node")
             verdicts = decided.groupBy("component").agg(F.max((F.col("decision") == "block").cast("int")).alias("block"), F.max((F.col("decision") == "allow").cast("int")).alias("allow"))

@@ -93,6 +93,13 @@ def test_large_families_of_near_copies(spark, monkeypatch, cut):
     assert found(J.near_duplicates(frame(spark, rows), sketch_bits=16)) == brute(rows)
 
 
+def test_links_need_not_be_counted(spark):
+    rows = awkward()
+    got = J.near_duplicates(frame(spark, rows), sketch_bits=16, links=False)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_copies"]
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == Counter(x[:3] for x in brute(rows).elements())
+
+
 @pytest.mark.parametrize("tied", [True, False])
 def test_list_pairs_lose_no_link(tied):
     """Blocks skipped by position and part leave every pair that could reach the overlap."""
