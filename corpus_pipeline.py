@@ -14,16 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelry.llm import byte_bpe, jaccard_join, kneser_ney, mixing, quality_rules
-from pixelry.llm.textbuf import free_name, release, saved, small
-
-
-#: Rows of an Arrow batch between Spark and the Python workers: a batch of whole texts is held on both sides.
-BATCH_ROWS = 1_000
-
-
-def small_batches(spark: SparkSession) -> None:
-    release(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+from pixelry.llm.textbuf import free_name, saved, small
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,19 +23,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts, languages without a limit and an empty table stay as they are; repeated rows share
     their fate; an empty `labels` gives no model and keeps all.
     """
-    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return kneser_ney.classify(docs, labels).where("kept").select(docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without the lines of more than MIN_DOCS documents of their source, however large it is.
+    """Documents that pass the rules, without the lines of more than MAX_DOCS documents of their source, however large it is.
 
     Null, empty and short texts fail the rules; rows without a source share one; n_chars is counted anew only
     where lines went.
     """
-    small_batches(spark)
-    judged = quality_rules.apply_rules(docs, host_percent=0).where("kept").withColumn("text", F.col("clean_text"))
+    judged = quality_rules.apply_rules(docs).where("kept").withColumn("text", F.col("clean_text"))
     return judged.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
@@ -55,15 +44,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated rows one stays.  Rows without words are alone in their groups and all stay; an empty table
     stays empty.
     """
-    small_batches(spark)
     row = free_name(docs.columns, "row")
     numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = jaccard_join.near_duplicates(numbered, doc_id=row).select(F.col("doc_id").alias("row"), "component_id")
+    found = jaccard_join.near_duplicates(numbered, doc_id=row, links=False).select(F.col("doc_id").alias("row"), "component_id")
     found = saved(found.join(numbered.select(F.col(row).alias("row"), F.col("doc_id").alias("id")), "row"), "near-duplicates")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     groups = found.groupBy("component_id").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = found.join(groups, "component_id").where("row <> first.row").select(F.col("row").alias(row))
-    copies = saved(copies, "copies")
     return numbered.join(small(copies), row, "left_anti").select(docs.columns)
 
 
@@ -77,7 +64,6 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit) of every document; a null or empty text has none; each row gives a row."""
-    small_batches(spark)
     ids = byte_bpe.encode(docs, "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return ids.select("doc_id", "lang", "source", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids")
 
