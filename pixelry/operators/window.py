@@ -8,14 +8,15 @@ and one exchange serves them.  A tile and its border bound a task's memory, what
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from math import exp, floor, sqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pixelry.functions import samples as S
+from pixelry.plans import shared, tiles
 from pixelry.plans.raster import KEY, Raster
 
 TILE = 256
@@ -27,13 +28,16 @@ class Patch:
     def __init__(self, v: np.ndarray, left: int | None, right: int | None, top: int | None, bottom: int | None):
         self.v, self.reach = v, {"x": [left, right], "y": [top, bottom]}
 
-    def neighbours(self, axis: str, radius: int) -> list[np.ndarray]:
-        """The samples shifted by -radius up to radius along an axis, the picture's edge repeated; surroundings shrink by the radius."""
-        k = 1 if axis == "x" else 0
+    def widened(self, axis: str, radius: int) -> np.ndarray:
+        """The samples with the picture's edge repeated `radius` times along an axis; surroundings shrink by the radius."""
         pad = [(0, 0)] * 3
-        pad[k] = tuple(radius if r is None else 0 for r in self.reach[axis])
-        wide = np.pad(self.v, pad, mode="edge")
+        pad[1 if axis == "x" else 0] = tuple(radius if r is None else 0 for r in self.reach[axis])
         self.reach[axis] = [r if r is None else r - radius for r in self.reach[axis]]
+        return np.pad(self.v, pad, mode="edge")
+
+    def neighbours(self, axis: str, radius: int) -> list[np.ndarray]:
+        """The samples shifted by -radius up to radius along an axis."""
+        k, wide = 1 if axis == "x" else 0, self.widened(axis, radius)
         n = wide.shape[k] - 2 * radius
         return [wide[:, i : i + n] if k else wide[i : i + n] for i in range(2 * radius + 1)]
 
@@ -102,8 +106,10 @@ def filter3x3(r: Raster, kernel: list[float]) -> Raster:
 
 
 def _mean(patch: Patch, axis: str, radius: int, real: bool) -> None:
-    parts, n = patch.neighbours(axis, radius), 2 * radius + 1
-    total = sum(parts[1:], parts[0])
+    wide, n = patch.widened(axis, radius), 2 * radius + 1
+    k = 1 if axis == "x" else 0
+    sums = np.cumsum(np.insert(wide, 0, 0, axis=k), axis=k)
+    total = np.take(sums, range(n, sums.shape[k]), k) - np.take(sums, range(sums.shape[k] - n), k)
     patch.v = (total / n).astype(np.float32).astype(np.float64) if real else (total + n // 2) // n
 
 
@@ -201,30 +207,82 @@ def unsharpen(r: Raster, sigma: float, threshold: int) -> Raster:
     return stencil(r, max(len(t) // 2 for _, t in passes), f) if passes else r
 
 
-def dither_bilevel(r: Raster) -> Raster:
+#: Places of a block of error diffusion along each axis.
+DITHER_BLOCK = 512
+
+
+def _diffused(v: np.ndarray, left: np.ndarray, above: np.ndarray, w: int, y0: int, u0: int) -> tuple[np.ndarray, np.ndarray]:
+    """Results and errors of a block of lines y0.. and skewed columns u0.. (u = x + y).
+
+    left: errors of the two columns before the block, from the line before it on; above: those of the line
+    before, from the block's first column on.  Errors are zero where there is no pixel.
+    """
+    h, n = v.shape
+    error = np.zeros((h + 1, n + 2), np.int64)
+    error[:, :2], error[0, 2:] = left, above
+    out = np.zeros((h, n), np.int64)
+    lines = np.arange(h)
+    for d in range(n + h - 1):  # pixels of one u + y depend on earlier ones alone
+        y = lines[max(0, d - n + 1) : min(h, d + 1)]
+        u = d - y
+        x = u0 + u - (y0 + y)
+        inside = (x >= 0) & (x < w)
+        y, u = y[inside], u[inside]
+        if not len(y):
+            continue
+        now = v[y, u].astype(np.int64)
+        # a pixel's sources in raster order: before it in the line above, above, after it above, and before it
+        for du, dy, part in ((2, 1, 1), (1, 1, 5), (0, 1, 3), (1, 0, 7)):
+            now = np.clip(now + np.trunc(error[y + 1 - dy, u + 2 - du] * part / 16).astype(np.int64), 0, 255)
+        out[y, u] = np.where(now > 127, 255, 0)
+        error[y + 1, u + 2] = now - out[y, u]
+    return out, error
+
+
+def dither_bilevel(r: Raster, block: int = DITHER_BLOCK) -> Raster:
     """Floyd-Steinberg diffusion of grey pictures to 0 and 255.
 
-    The error of each pixel moves to its right and to the next line, which makes a picture one sequence:
-    pictures are spread over tasks, and inside a picture the anti-diagonals 2 y + x go one after the
-    other, all pixels of one at once.
+    The error of each pixel moves to its right and to the next line.  In columns skewed by the line, u = x + y,
+    a block of pixels depends on the blocks to its left and above alone: blocks go in rounds, all of one
+    diagonal of all pictures at once, and hand their border's errors on in the shared folder.  So a task
+    holds one block, whatever the size of a picture; a picture of one block needs one round.
     """
-    schema = ", ".join(["picture_id string", "w int", "h int", "x int", "y int", "c0 int"])
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        w, h = int(rows.w.iloc[0]), int(rows.h.iloc[0])
-        v = np.zeros((h + 1, w + 2), np.int64)
-        v[rows.y, rows.x + 1] = rows.c0
-        out = np.zeros((h, w), np.int64)
-        for d in range(w + 2 * (h - 1)):
-            y = np.arange(max(0, -(-(d - w + 1) // 2)), min(h - 1, d // 2) + 1)
-            x = d - 2 * y
-            old = v[y, x + 1]
-            new = np.where(old > 127, 255, 0)
-            out[y, x] = new
-            error = old - new
-            for dx, dy, part in ((1, 1, 1), (0, 1, 5), (-1, 1, 3), (1, 0, 7)):  # as a pixel receives them in raster order
-                to = (y + dy, x + 1 + dx)
-                v[to] = np.clip(v[to] + np.trunc(error * part / 16).astype(np.int64), 0, 255)
-        return rows.assign(c0=out[rows.y, rows.x].astype(np.int32))[["picture_id", "w", "h", "x", "y", "c0"]]
-
-    return Raster(r.pixels.select(*KEY, "c0").groupBy("picture_id").applyInPandas(one, schema), "L", "u8")
+    spark = r.pixels.sparkSession
+    skewed = r.select([r.channels[0]], layout="L", x=F.col("x") + F.col("y"), w=F.col("w") + F.col("h"))
+    path = shared.path(spark, "dither")
+    blocks = tiles.from_raster(skewed, block)
+    blocks.rows.withColumn("round", F.col("tx") + F.col("ty")).write.partitionBy("round").parquet(f"{path}/blocks")
+    given = spark.read.schema(f"{tiles.ROW}, round int").parquet(f"{path}/blocks")
+    rounds = given.agg(F.max("round")).collect()[0][0]
+    border = "picture_id string, w int, h int, tx int, ty int, side string, samples binary"
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        picture, w, h, tx, ty = (k.as_py() for k in key)
+        u0, y0, u1, y1 = tiles.edges(w, h, tx, ty, block)
+        own = {row["side"]: np.frombuffer(row["samples"], np.uint8 if row["side"] == "own" else np.int64) for row in rows.to_pylist()}
+        if "own" not in own:  # no pixel of the picture is in this block
+            return rows.slice(0, 0)
+        left, above = np.zeros((y1 - y0 + 1, 2), np.int64), np.zeros(u1 - u0, np.int64)
+        if "left" in own:
+            left[1:] = own["left"].reshape(-1, 2)
+        if "above" in own:
+            above[:] = own["above"]
+        if "corner" in own:
+            left[0] = own["corner"]
+        out, error = _diffused(own["own"].reshape(y1 - y0, u1 - u0), left, above, w - h, y0, u0)
+        made = [(tx, ty, "done", out.astype(np.uint8)), (tx + 1, ty, "left", error[1:, -2:]), (tx, ty + 1, "above", error[-1, 2:]), (tx + 1, ty + 1, "corner", error[-1, -2:])]
+        made = [m for m in made if m[0] * block < w and m[1] * block < h]
+        n = len(made)
+        return pa.table([pa.array([picture] * n, pa.string()), pa.array([w] * n, pa.int32()), pa.array([h] * n, pa.int32()), pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made]), pa.array([np.ascontiguousarray(m[3]).tobytes() for m in made], pa.binary())], names=["picture_id", "w", "h", "tx", "ty", "side", "samples"])
+
+    key, sides = ["picture_id", "w", "h", "tx", "ty"], []
+    for k in range(rounds + 1 if rounds is not None else 0):
+        now = given.where(F.col("round") == k).select(*key, F.lit("own").alias("side"), "samples")
+        for i in sides[-2:]:  # what comes from the left and above is of the last round, a corner of the one before
+            now = now.unionByName(spark.read.schema(border).parquet(i).where((F.col("side") != "done") & (F.col("tx") + F.col("ty") == k)))
+        sides.append(f"{path}/rounds/round={k}")
+        now.groupBy(*key).applyInArrow(run, border).write.parquet(sides[-1])
+    rows = spark.read.schema(border).parquet(*sides).where("side = 'done'").drop("side") if sides else given.drop("round")
+    done = tiles.to_raster(blocks.over(rows))
+    inside = done.where((F.col("x") >= F.col("y")) & (F.col("x") - F.col("y") < F.col("w") - F.col("h")))
+    return replace(r, pixels=inside.select(x=F.col("x") - F.col("y"), w=F.col("w") - F.col("h")).pixels, layout="L", kind="u8")

@@ -34,6 +34,7 @@ class Tiles:
     layout: str = "Rgb"
     kind: str = "u8"
     space: tuple[str, str] = ("srgb", "srgb")
+    size: int = TILE  # places of a tile along each axis
 
     @property
     def n(self) -> int:
@@ -43,9 +44,9 @@ class Tiles:
         return replace(self, rows=rows)
 
 
-def edges(w: int, h: int, tx: int, ty: int) -> tuple[int, int, int, int]:
+def edges(w: int, h: int, tx: int, ty: int, size: int = TILE) -> tuple[int, int, int, int]:
     """x0, y0, x1, y1 of a tile: the last ones of a line or column may be smaller."""
-    return tx * TILE, ty * TILE, min(w, (tx + 1) * TILE), min(h, (ty + 1) * TILE)
+    return tx * size, ty * size, min(w, (tx + 1) * size), min(h, (ty + 1) * size)
 
 
 def _packed(parts: list[np.ndarray]) -> pa.Array:
@@ -63,46 +64,61 @@ def _grouped(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.append(np.flatnonzero(change), len(order))
 
 
-def from_raster(r: Raster) -> Tiles:
-    """The tiles of a raster: pixels of a task are packed by tile, and the pieces of each tile meet in one exchange.
+def pieces(pixels: DataFrame, names: list[str], dtype: str, size: int = TILE, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of tiles (picture_id, w, h, tx, ty and the integer columns `more`) with place and v: pixels of a task, packed by tile.
 
-    Places that have no pixel are zero; of several pixels of one place one stays.
+    place: the pixels' places in the tile, line by line, of four bytes; v: their samples.
     """
-    names, dtype, n = list(r.names), DTYPES[r.kind], LAYOUTS[r.layout]
+    n, step = len(names), np.dtype(dtype).itemsize * len(names)
 
     def packed(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(tables).combine_chunks()
         ids = t.column("picture_id").combine_chunks().dictionary_encode()
-        w, h, x, y = (t.column(c).to_numpy() for c in ("w", "h", "x", "y"))
+        w, h, x, y, *rest = (t.column(c).to_numpy() for c in ("w", "h", "x", "y", *more))
         code = ids.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        order, at = _grouped([code, h, w, y // TILE, x // TILE])
-        first, size = order[at[:-1]], np.diff(at)
-        place = ((y % TILE) * TILE + x % TILE).astype("<u2")[order]
+        order, at = _grouped([code, h, w, *rest, y // size, x // size])
+        first, count = order[at[:-1]], np.diff(at)
+        place = ((y % size) * size + x % size).astype("<u4")[order]
         v = np.stack([t.column(c).to_numpy() for c in names], 1).astype(dtype)[order]
-        pack = lambda a, step: pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((np.append(0, np.cumsum(size)) * step).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(a))])
-        cols = [ids.take(pa.array(first)).cast(pa.string()), pa.array(w[first]), pa.array(h[first]), pa.array((x // TILE).astype(np.int32)[first]), pa.array((y // TILE).astype(np.int32)[first]), pack(place, 2), pack(v, v.itemsize * n)]
-        return pa.RecordBatch.from_arrays(cols, names=["picture_id", "w", "h", "tx", "ty", "place", "v"])
+        pack = lambda a, each: pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer((np.append(0, np.cumsum(count)) * each).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(a))])
+        cols = [ids.take(pa.array(first)).cast(pa.string()), *(pa.array(c.astype(np.int32)[first]) for c in (w, h, x // size, y // size, *rest)), pack(place, 4), pack(v, step)]
+        return pa.RecordBatch.from_arrays(cols, names=["picture_id", "w", "h", "tx", "ty", *more, "place", "v"])
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
         for batch in batches:
-            held, size = [*held, batch], size + batch.num_rows
-            if size >= HELD_PIXELS:
+            held, count = [*held, batch], count + batch.num_rows
+            if count >= HELD_PIXELS:
                 yield packed(held)
-                held, size = [], 0
-        if size:
+                held, count = [], 0
+        if count:
             yield packed(held)
 
+    return pixels.select(*KEY, *more, *names).mapInArrow(run, "picture_id string, w int, h int, tx int, ty int, " + "".join(f"{c} int, " for c in more) + "place binary, v binary")
+
+
+def unpacked(piece: dict, dtype: str, n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines, columns and samples of the pixels of a piece."""
+    place = np.frombuffer(piece["place"], "<u4").astype(np.int64)
+    return place // size, place % size, np.frombuffer(piece["v"], dtype).reshape(-1, n)
+
+
+def from_raster(r: Raster, size: int = TILE) -> Tiles:
+    """The tiles of a raster: pixels of a task are packed by tile, and the pieces of each tile meet in one exchange.
+
+    Places that have no pixel are zero; of several pixels of one place one stays.
+    """
+    names, dtype, n = list(r.names), DTYPES[r.kind], LAYOUTS[r.layout]
+
     def whole(parts: list[dict], w: int, h: int, tx: int, ty: int) -> np.ndarray:
-        x0, y0, x1, y1 = edges(w, h, tx, ty)
+        x0, y0, x1, y1 = edges(w, h, tx, ty, size)
         out = np.zeros((y1 - y0, x1 - x0, n), dtype)
         for p in parts:
-            place = np.frombuffer(p["place"], "<u2").astype(np.int64)
-            out[place // TILE, place % TILE] = np.frombuffer(p["v"], dtype).reshape(-1, n)
+            y, x, v = unpacked(p, dtype, n, size)
+            out[y, x] = v
         return out
 
-    fragments = r.pixels.select(*KEY, *names).mapInArrow(pieces, ROW.replace("samples binary", "place binary, v binary"))
-    return Tiles(gathered(fragments, whole), r.layout, r.kind, r.space)
+    return Tiles(gathered(pieces(r.pixels, names, dtype, size), whole), r.layout, r.kind, r.space, size)
 
 
 def gathered(parts: DataFrame, make: Callable[[list[dict], int, int, int, int], np.ndarray]) -> DataFrame:
@@ -130,13 +146,13 @@ def gathered(parts: DataFrame, make: Callable[[list[dict], int, int, int, int],
 
 
 def to_raster(t: Tiles) -> Raster:
-    names, dtype, n, real = [f"c{i}" for i in range(t.n)], DTYPES[t.kind], t.n, t.kind == "f32"
+    names, dtype, n, real, edge = [f"c{i}" for i in range(t.n)], DTYPES[t.kind], t.n, t.kind == "f32", t.size
     sample = pa.float32() if real else pa.int32()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                x0, y0, x1, y1 = edges(row["w"], row["h"], row["tx"], row["ty"])
+                x0, y0, x1, y1 = edges(row["w"], row["h"], row["tx"], row["ty"], edge)
                 size, wide = (y1 - y0) * (x1 - x0), x1 - x0
                 v = np.frombuffer(row["samples"], dtype).reshape(size, n)
                 at = np.arange(size, dtype=np.int32)
@@ -151,22 +167,22 @@ def to_raster(t: Tiles) -> Raster:
 def with_halo(t: Tiles, left: int, top: int, right: int, bottom: int) -> DataFrame:
     """ROW, with samples of each tile and so many places around it (less at the picture's edges): tiles give their borders to their neighbours.
 
-    Reaches are at most TILE places, so a tile has nine parts at most.
+    Reaches are at most a tile's size, so a tile has nine parts at most.
     """
-    if max(left, top, right, bottom) > TILE:
+    if max(left, top, right, bottom) > t.size:
         raise ValueError("a halo is at most a tile wide")
-    dtype, n = DTYPES[t.kind], t.n
+    dtype, n, size = DTYPES[t.kind], t.n, t.size
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 w, h, tx, ty = (row[c] for c in ("w", "h", "tx", "ty"))
-                x0, y0, x1, y1 = edges(w, h, tx, ty)
+                x0, y0, x1, y1 = edges(w, h, tx, ty, size)
                 v = np.frombuffer(row["samples"], dtype).reshape(y1 - y0, x1 - x0, n)
                 out = []
                 for oy in (ty - 1, ty, ty + 1):
                     for ox in (tx - 1, tx, tx + 1):
-                        a0, b0, a1, b1 = edges(w, h, ox, oy)
+                        a0, b0, a1, b1 = edges(w, h, ox, oy, size)
                         if a0 < 0 or b0 < 0 or a0 >= w or b0 >= h:
                             continue
                         c0, d0, c1, d1 = max(x0, a0 - left), max(y0, b0 - top), min(x1, a1 + right), min(y1, b1 + bottom)
@@ -175,7 +191,7 @@ def with_halo(t: Tiles, left: int, top: int, right: int, bottom: int) -> DataFra
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("picture_id", pa.string()), *((k, pa.int32()) for k in ("w", "h", "tx", "ty", "x", "y", "wide")), ("v", pa.binary())]))
 
     def whole(parts: list[dict], w: int, h: int, tx: int, ty: int) -> np.ndarray:
-        x0, y0, x1, y1 = edges(w, h, tx, ty)
+        x0, y0, x1, y1 = edges(w, h, tx, ty, size)
         x0, y0, x1, y1 = max(0, x0 - left), max(0, y0 - top), min(w, x1 + right), min(h, y1 + bottom)
         out = np.zeros((y1 - y0, x1 - x0, n), dtype)
         for p in parts:
@@ -234,7 +250,7 @@ def resize(t: Tiles, new_w: int | Column, new_h: int | Column, filter_name: str)
     A tile's share of the result is a product of the two axes' banded matrices with its samples; shares of a
     task are summed by output tile before the exchange, so a picture shrunk to a few pixels sends only these.
     """
-    dtype, n, kind = DTYPES[t.kind], t.n, t.kind
+    dtype, n, kind, size = DTYPES[t.kind], t.n, t.kind, t.size
     sized = t.rows.select("*", *((c if isinstance(c, Column) else F.lit(c)).cast("int").alias(k) for k, c in (("_w", new_w), ("_h", new_h)))).where("_w > 0 and _h > 0")
     schema = pa.schema([("picture_id", pa.string()), *((k, pa.int32()) for k in ("w", "h", "tx", "ty", "x", "y", "wide")), ("v", pa.binary())])
 
@@ -249,15 +265,15 @@ def resize(t: Tiles, new_w: int | Column, new_h: int | Column, filter_name: str)
         for batch in batches:
             for row in batch.to_pylist():
                 w, h, to_w, to_h = (row[c] for c in ("w", "h", "_w", "_h"))
-                x0, y0, x1, y1 = edges(w, h, row["tx"], row["ty"])
+                x0, y0, x1, y1 = edges(w, h, row["tx"], row["ty"], size)
                 v = np.frombuffer(row["samples"], dtype).reshape(y1 - y0, x1 - x0, n).astype(np.float64)
                 left, across = band(filter_name, w, to_w, x0, x1)
                 top, down = band(filter_name, h, to_h, y0, y1)
                 v = np.einsum("oy,yxc->oxc", down, v, optimize=True)
                 v = np.einsum("px,oxc->opc", across, v, optimize=True)
-                for ty in range(top // TILE, (top + v.shape[0] - 1) // TILE + 1):
-                    for tx in range(left // TILE, (left + v.shape[1] - 1) // TILE + 1):
-                        a0, b0, a1, b1 = edges(to_w, to_h, tx, ty)
+                for ty in range(top // size, (top + v.shape[0] - 1) // size + 1):
+                    for tx in range(left // size, (left + v.shape[1] - 1) // size + 1):
+                        a0, b0, a1, b1 = edges(to_w, to_h, tx, ty, size)
                         c0, d0, c1, d1 = max(left, a0), max(top, b0), min(left + v.shape[1], a1), min(top + v.shape[0], b1)
                         share = v[d0 - top : d1 - top, c0 - left : c1 - left]
                         key = (row["picture_id"], to_w, to_h, tx, ty)
@@ -276,7 +292,7 @@ def resize(t: Tiles, new_w: int | Column, new_h: int | Column, filter_name: str)
             yield out()
 
     def whole(parts: list[dict], w: int, h: int, tx: int, ty: int) -> np.ndarray:
-        x0, y0, x1, y1 = edges(w, h, tx, ty)
+        x0, y0, x1, y1 = edges(w, h, tx, ty, size)
         total = np.zeros((y1 - y0, x1 - x0, n))
         for p in parts:
             v = np.frombuffer(p["v"]).reshape(-1, p["wide"], n)
@@ -293,14 +309,14 @@ def sample(t: Tiles, points: DataFrame, x: Column, y: Column, bilinear: bool) ->
     all four neighbours are looked up inside one task, which holds one tile.  Tiles with very many points
     are repeated, and their points dealt over them.
     """
-    names, dtype, n, kind = [f"c{i}" for i in range(t.n)], DTYPES[t.kind], t.n, t.kind
-    place = lambda c: F.expr(f"cast(floor({c}{'' if bilinear else ' + 0.5D'}) div {TILE} as int)")
+    names, dtype, n, kind, size = [f"c{i}" for i in range(t.n)], DTYPES[t.kind], t.n, t.kind, t.size
+    place = lambda c: F.expr(f"cast(floor({c}{'' if bilinear else ' + 0.5D'}) div {size} as int)")
     asked = points.select("picture_id", F.struct(*points.columns).alias("_point"), x.cast("double").alias("_x"), y.cast("double").alias("_y"))
     key = ["picture_id", "tx", "ty"]
     dealt = asked.select("*", place("_x").alias("tx"), place("_y").alias("ty"))
     hot = dealt.where("_x >= 0 and _y >= 0").groupBy(*key).count().where(F.col("count") > HOT_POINTS).select(*key, F.ceil(F.col("count") / HOT_POINTS).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
-    held = (Tiles(with_halo(t, 0, 0, 1, 1), t.layout, t.kind) if bilinear else t).rows.join(hot, key, "left")
+    held = (with_halo(t, 0, 0, 1, 1) if bilinear else t.rows).join(hot, key, "left")
     nothing = lambda c, kind: F.lit(None).cast(kind).alias(c)
     kind_of = dealt.schema["_point"].dataType
     tiles = held.select(*key, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("salt"), F.lit(0).alias("kind"), "w", "h", "samples", nothing("_x", "double"), nothing("_y", "double"), nothing("_point", kind_of))
@@ -313,7 +329,7 @@ def sample(t: Tiles, points: DataFrame, x: Column, y: Column, bilinear: bool) ->
             return np.zeros((len(qx), n)), np.ones(len(qx), bool)
         _, tx, ty, w, h, raw = tile
         more = 1 if bilinear else 0
-        x0, y0, x1, y1 = edges(w, h, tx, ty)
+        x0, y0, x1, y1 = edges(w, h, tx, ty, size)
         v = np.frombuffer(raw, dtype).reshape(min(h, y1 + more) - y0, min(w, x1 + more) - x0, n).astype(np.float64)
         outside = ~((qx >= 0) & (qy >= 0) & (qx <= w - 1) & (qy <= h - 1))
         qx, qy = np.where(outside, x0, qx), np.where(outside, y0, qy)
