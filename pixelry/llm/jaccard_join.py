@@ -558,10 +558,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     edges = _linked(pairs, docs)
     dropped(pairs)
     components = connected_components(edges.unionByName(parts.select(F.col("node").alias("a"), F.col("part").alias("b"))))
-    classes = saved(info.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), "classes")
-    counted = _link_counts(docs, parts, edges, classes.select("node", "n_copies")) if links else None
+    classes_of = saved(info.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), "classes")
+    counted = _link_counts(docs, parts, edges, classes_of.select("node", "n_copies")) if links else None
     dropped(edges, joined)
-    classes = classes.join(small(components), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = classes_of.join(small(components), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = classes.join(least, "component")
     if links:
@@ -569,7 +569,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     columns = ["component_id", "n_copies", *(["n_links"] if links else [])]
     out = info.where("n > 0").join(classes.select("node", *columns), "node").select("doc_id", F.col("n").alias("n_shingles"), *columns)
     none = info.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(none.select(out.columns))
+    result = saved(out.unionByName(none.select(out.columns)), "near-duplicates")
+    dropped(found, classes_of, components, *([counted] if links else []))
+    return result
 
 
 def _link_counts(docs: DataFrame, parts: DataFrame, edges: DataFrame, copies: DataFrame) -> DataFrame:
