@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelry.functions import colour
+from pixelry.functions import colour, layouts
 from pixelry.functions import samples as S
-from pixelry.operators import compose, frames, generate, geometry, point, resample, window
+from pixelry.operators import compose, frames, generate, geometry, palette, planes, point, resample, window
+from pixelry.plans import shared
 from pixelry.plans.raster import Raster, embeddings_raster, events_raster, from_table, with_alpha
-from pixelry.sources import formats, metadata, pictures
+from pixelry.sources import formats, headers, metadata, pictures, profiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -221,21 +222,24 @@ def _weights_sql(name: str, size: str, new_size: str, filter_name: str) -> str:
 
 
 def _resize(name: str, filter_name: str, new_w: int, new_h: tuple[int, int]) -> None:
-    """The whole events raster to a width and a share of its height; under both of its names."""
-    sums = ", ".join(f"sum({c} * k) AS {c}" for c in "rgb")
+    """The whole events raster to a width and a share of its height; and with an alpha channel, premultiplied meanwhile."""
     height = f"greatest(1, h * {new_h[0]} // {new_h[1]})"
-    sql = f"WITH {R1}, {_weights_sql('wy', 'h', height, filter_name)}, {_weights_sql('wx', 'w', str(new_w), filter_name)}, v AS (SELECT x, o AS y, {sums} FROM r1 JOIN wy ON y = i GROUP BY x, o), z AS (SELECT o AS x, y, {sums} FROM v JOIN wx ON x = i GROUP BY o, y) SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, " + _each(f"greatest(0, least(255, {_HALF.format('@')}))") + " FROM z"
+    passes = lambda source, channels: f"{_weights_sql('wy', 'h', height, filter_name)}, {_weights_sql('wx', 'w', str(new_w), filter_name)}, v AS (SELECT x, o AS y, {(sums := ', '.join(f'sum({c} * k) AS {c}' for c in channels))} FROM {source} JOIN wy ON y = i GROUP BY x, o), z AS (SELECT o AS x, y, {sums} FROM v JOIN wx ON x = i GROUP BY o, y)"
+    cut = f"greatest(0, least(255, {_HALF.format('@')}))"
     tall = lambda: F.greatest(F.lit(1), F.expr(f"cast(h * {new_h[0]} div {new_h[1]} as int)"))
-    for each in (name, f"{name}_whole"):
-        _add(each, lambda spark, d: _out(resample.resize_exact(events_raster(spark, d), new_w, tall(), filter_name)), sql)
+    _add(name, lambda spark, d: _out(resample.resize_exact(events_raster(spark, d), new_w, tall(), filter_name)), f"WITH {R1}, {passes('r1', 'rgb')} SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, {_each(cut)} FROM z")
+    held = ", ".join(f"{_HALF.format(f'CAST({c} AS DOUBLE) * a / 255')} AS {c}" for c in "rgb")
+    whole = ", ".join(f"{cut.replace('@', c)} AS {c}" for c in "rgba")
+    again = _each(f"coalesce({cut.replace('@', 'CAST(@ AS DOUBLE) * 255 / nullif(a, 0)')}, 0)")
+    _add(f"{name}_whole", lambda spark, d: _out(resample.resize_to(with_alpha(events_raster(spark, d)), new_w, tall(), filter_name)), f"WITH {R1}, pm AS (SELECT x, y, w, h, a, {held} FROM ra), {passes('pm', 'rgba')} SELECT x, y, {again}, a AS c3 FROM (SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, {whole} FROM z)")
 
 
 for _f in ("triangle", "catmull_rom", "gaussian", "lanczos3"):
     _resize(f"resize_{_f}", _f, 40, (6, 10))
 _resize("enlarge_triangle", "triangle", 150, (17, 10))
 _NEAREST = f"WITH {R1} SELECT CAST(ox AS INT) AS x, CAST(oy AS INT) AS y, {_RGB} FROM (SELECT unnest(range(30)) AS ox), (SELECT unnest(range(h * 25 // 10)) AS oy, h AS tall FROM (SELECT max(h) AS h FROM r1)) JOIN r1 ON r1.x = CAST(floor((ox + 0.5) * 100 / 30) AS INT) AND r1.y = CAST(floor((oy + 0.5) * tall / (tall * 25 // 10)) AS INT)"
-for _f in ("resize_nearest", "resize_nearest_whole"):
-    _add(_f, lambda spark, d: _out(resample.resize_exact(events_raster(spark, d), 30, F.expr("cast(h * 25 div 10 as int)"), "nearest")), _NEAREST)
+_add("resize_nearest", lambda spark, d: _out(resample.resize_exact(events_raster(spark, d), 30, F.expr("cast(h * 25 div 10 as int)"), "nearest")), _NEAREST)
+_add("resize_nearest_whole", lambda spark, d: _out(resample.resize_to(with_alpha(events_raster(spark, d)), 30, F.expr("cast(h * 25 div 10 as int)"), "nearest")), _NEAREST.replace("b AS c2 FROM", "b AS c2, a AS c3 FROM").replace("JOIN r1 ON r1.x", "JOIN ra r1 ON r1.x"))
 
 
 def _probes(spark: SparkSession, d: str) -> DataFrame:
@@ -250,9 +254,11 @@ _BILINEAR = (
     f"WITH {R1}, {_PROBES}, s AS (SELECT probe, sum(k * r) AS r, sum(k * g) AS g, sum(k * b) AS b FROM (SELECT probe, dx, dy, qx, qy, (CASE WHEN dx = 1 THEN qx - floor(qx) ELSE 1 - (qx - floor(qx)) END) * (CASE WHEN dy = 1 THEN qy - floor(qy) ELSE 1 - (qy - floor(qy)) END) AS k FROM pl, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(dx, dy)) q JOIN r1 ON r1.x = CAST(floor(qx) AS INT) + dx AND r1.y = CAST(floor(qy) AS INT) + dy WHERE k > 0 GROUP BY probe) "
     f"SELECT pr.probe, {_each(_HALF.format('@'))} FROM pr LEFT JOIN s ON pr.probe = s.probe"
 )
-for _f in ("", "_whole"):
-    _add(f"sample_nearest{_f}", lambda spark, d: resample.sample_nearest(_probes(spark, d), events_raster(spark, d), F.col("u"), F.col("v")).select("probe", "c0", "c1", "c2"), _NEAREST)
-    _add(f"sample_bilinear{_f}", lambda spark, d: resample.sample_bilinear(_probes(spark, d), events_raster(spark, d), F.col("u"), F.col("v")).select("probe", "c0", "c1", "c2"), _BILINEAR)
+_add("sample_nearest", lambda spark, d: resample.sample_nearest(_probes(spark, d), events_raster(spark, d), F.col("u"), F.col("v")).select("probe", "c0", "c1", "c2"), _NEAREST)
+_add("sample_bilinear", lambda spark, d: resample.sample_bilinear(_probes(spark, d), events_raster(spark, d), F.col("u"), F.col("v")).select("probe", "c0", "c1", "c2"), _BILINEAR)
+# the same probes on the picture with alpha
+_add("sample_nearest_whole", lambda spark, d: resample.sample_nearest(_probes(spark, d), with_alpha(events_raster(spark, d)), F.col("u"), F.col("v")).select("probe", "c0", "c1", "c2", "c3"), _NEAREST.replace("b AS c2 FROM", "b AS c2, a AS c3 FROM").replace("LEFT JOIN r1 ON", "LEFT JOIN ra ON"))
+_add("sample_bilinear_whole", lambda spark, d: resample.sample_bilinear(_probes(spark, d), with_alpha(events_raster(spark, d)), F.col("u"), F.col("v")).select("probe", "c0", "c1", "c2", "c3"), _BILINEAR.replace("sum(k * b) AS b FROM", "sum(k * b) AS b, sum(k * a) AS a FROM").replace("q JOIN r1 ON r1.x", "q JOIN ra r1 ON r1.x").replace(_each(_HALF.format("@")), _each(_HALF.format("@"), "rgba")))
 
 # pictures of mixed sizes
 _MIXED = "mx AS (SELECT picture_id, wd AS w, CAST(c // wd AS INT) AS h, n % wd AS x, n // wd AS y, v FROM (SELECT user_id AS picture_id, CAST(user_id % 8 + 2 AS INT) AS wd, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS n, count(*) OVER (PARTITION BY user_id) AS c, CAST((event_id * 13) % 256 AS INT) AS v FROM events) WHERE n < c // wd * wd)"
@@ -345,12 +351,12 @@ SELECT CAST(vec_id AS VARCHAR) AS picture_id, CAST((i - 1) % 8 AS INT) AS x, CAS
 _BLUR = [f"exp(-0.5 * {d * d} / (0.8::DOUBLE * 0.8))" for d in (-1, 0, 1)]
 _add("blur", lambda spark, d: _out(window.blur(events_raster(spark, d), 1.0)), _chain([(a, [(k - 1, f"CAST(floor({t} / ({' + '.join(_BLUR)}) * 32768) AS INT)") for k, t in enumerate(_BLUR)], "CAST(least(255, (@ + 16384) // 32768) AS INT)") for a in "xy"]))
 
-# --- animations: five frames of each picture, on a canvas of 8 by 8
+# --- animations: five frames of 8 by 8 of each picture, on a canvas of 12 by 9
 _SHAPES = "fr AS (SELECT vec_id // 5 AS p, vec_id % 5 AS f, vec_id % 5 AS l, ['keep', 'background', 'previous'][CAST(vec_id % 3 + 1 AS INT)] AS dispose, ['source', 'over'][CAST(vec_id // 2 % 2 + 1 AS INT)] AS blend, embedding, vec_id FROM embeddings)"
-_DRAWN = """fp AS (SELECT p, f, dispose, blend, CAST(i % 4 + l AS INT) AS x, CAST(i // 4 + 1 AS INT) AS y, {'c0': CAST(floor(abs(embedding[i + 1]) * 1000) % 256 AS INT), 'c1': CAST((vec_id * 7 + i) % 256 AS INT), 'c2': CAST(i * 10 AS INT), 'c3': CAST([0, 128, 255][CAST((vec_id + i) % 3 + 1 AS INT)] AS INT)} AS c
-  FROM (SELECT *, unnest(range(24)) AS i FROM fr))"""
+_DRAWN = """fp AS (SELECT p, f, dispose, blend, CAST(i % 8 + l AS INT) AS x, CAST(i // 8 + 1 AS INT) AS y, {'c0': CAST(floor(abs(embedding[i + 1]) * 1000) % 256 AS INT), 'c1': CAST((vec_id * 7 + i) % 256 AS INT), 'c2': CAST(i * 4 AS INT), 'c3': CAST([0, 128, 255][CAST((vec_id + i) % 3 + 1 AS INT)] AS INT)} AS c
+  FROM (SELECT *, unnest(range(64)) AS i FROM fr))"""
 _NONE = "{'c0': 0, 'c1': 0, 'c2': 0, 'c3': 0}"
-_START = f"SELECT p, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(-1 AS BIGINT) AS f, {_NONE} AS now, {_NONE} AS before, {_NONE} AS shown, false AS region, 'background' AS dispose FROM (SELECT DISTINCT p FROM fr), (SELECT unnest(range(8)) AS x), (SELECT unnest(range(8)) AS y)"
+_START = f"SELECT p, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(-1 AS BIGINT) AS f, {_NONE} AS now, {_NONE} AS before, {_NONE} AS shown, false AS region, 'background' AS dispose FROM (SELECT DISTINCT p FROM fr), (SELECT unnest(range(12)) AS x), (SELECT unnest(range(9)) AS y)"
 _STEP = "FROM st JOIN fr g ON g.p = st.p AND g.f = st.f + 1 LEFT JOIN fp ON fp.p = st.p AND fp.f = st.f + 1 AND fp.x = st.x AND fp.y = st.y"
 _FRAMES_OUT = "SELECT CAST(p AS VARCHAR) AS picture_id, CAST(f AS INT) AS frame_no, x, y, shown.c0 AS c0, shown.c1 AS c1, shown.c2 AS c2, shown.c3 AS c3 FROM st WHERE f >= 0"
 
@@ -358,10 +364,10 @@ _FRAMES_OUT = "SELECT CAST(p AS VARCHAR) AS picture_id, CAST(f AS INT) AS frame_
 def _frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding", F.expr("cast(vec_id div 5 as string)").alias("picture_id"), F.expr("cast(vec_id % 5 as int)").alias("frame_no"))
     pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), F.expr(f"cast({by} + 1 as int)"))
-    shapes = rows.select("picture_id", "frame_no", F.lit(8).alias("w"), F.lit(8).alias("h"), F.col("frame_no").alias("left"), F.lit(1).alias("top"), F.lit(4).alias("width"), F.lit(6).alias("height"), pick(("keep", "background", "previous"), "vec_id % 3").alias("dispose"), pick(("source", "over"), "vec_id div 2 % 2").alias("blend"))
-    drawn = rows.select("*", F.posexplode(F.slice("embedding", 1, 24)).alias("i", "v"))
-    colours = [F.expr("cast(floor(abs(v) * 1000) % 256 as int)"), F.expr("cast((vec_id * 7 + i) % 256 as int)"), F.expr("i * 10"), pick((0, 128, 255), "(vec_id + i) % 3")]
-    return shapes, drawn.select("picture_id", "frame_no", F.expr("i % 4").alias("x"), F.expr("cast(i div 4 as int)").alias("y"), *(c.alias(f"c{k}") for k, c in enumerate(colours)))
+    shapes = rows.select("picture_id", "frame_no", F.lit(12).alias("w"), F.lit(9).alias("h"), F.col("frame_no").alias("left"), F.lit(1).alias("top"), F.lit(8).alias("width"), F.lit(8).alias("height"), pick(("keep", "background", "previous"), "vec_id % 3").alias("dispose"), pick(("source", "over"), "vec_id div 2 % 2").alias("blend"))
+    drawn = rows.select("*", F.posexplode("embedding").alias("i", "v"))
+    colours = [F.expr("cast(floor(abs(v) * 1000) % 256 as int)"), F.expr("cast((vec_id * 7 + i) % 256 as int)"), F.expr("i * 4"), pick((0, 128, 255), "(vec_id + i) % 3")]
+    return shapes, drawn.select("picture_id", "frame_no", F.expr("i % 8").alias("x"), F.expr("cast(i div 8 as int)").alias("y"), *(c.alias(f"c{k}") for k, c in enumerate(colours)))
 
 
 def _composed(name: str, f: Callable[[DataFrame, DataFrame], DataFrame], step: str) -> None:
@@ -419,17 +425,105 @@ _add("mime_types", lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").sel
 # an EXIF block of two entries, its second one the orientation, in either order of bytes
 
 
-def _exif(spark: SparkSession, d: str) -> DataFrame:
+def _exif_blocks(spark: SparkSession, d: str) -> DataFrame:
     v = F.lpad(F.hex(F.expr("vec_id % 10")), 2, "0")
     little = F.concat(F.lit("49492A00" "08000000" "0200" "0001" "0300" "01000000" "05000000" "1201" "0300" "01000000"), v, F.lit("000000"))
     big = F.concat(F.lit("4D4D002A" "00000008" "0002" "0100" "0003" "00000001" "00050000" "0112" "0003" "00000001" "00"), v, F.lit("0000"))
     block = F.unhex(F.when(F.col("vec_id") % 2 == 0, little).otherwise(big))
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", block.alias("exif"))
+    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", block.alias("exif"))
+
+
+def _exif(spark: SparkSession, d: str) -> DataFrame:
+    rows = _exif_blocks(spark, d)
     return rows.select("vec_id", metadata.orientation(F.col("exif")).alias("orientation"), metadata.orientation(metadata.without_orientation(F.col("exif"))).alias("cleared"), metadata.to_exif(metadata.orientation(F.col("exif"))).alias("code"))
 
 
 _add("exif_orientation", _exif, "SELECT vec_id, CAST(nullif(CASE WHEN vec_id % 10 < 9 THEN vec_id % 10 ELSE 0 END, 0) AS INT) AS orientation, CASE WHEN vec_id % 10 BETWEEN 1 AND 8 THEN 1 END AS cleared, CAST(nullif(CASE WHEN vec_id % 10 < 9 THEN vec_id % 10 ELSE 0 END, 0) AS INT) AS code FROM embeddings")
 
+# --- embedded profiles: none, Display P3 with a gamma, Rec. 2020 with the curve of sRGB, and BT.601 with a table
+_PROFILES = [None, profiles.encode(profiles.to_pcs("display-p3"), [{"parameters": profiles.CURVES["gamma22"], "table": None}] * 3), profiles.of_space(("rec2020", "srgb")), profiles.encode(profiles.to_pcs("bt601"), [{"parameters": None, "table": (0.0, 0.25, 1.0)}] * 3)]
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    """A profile and an EXIF block for every embedding."""
+    icc = F.lit(None).cast("binary")
+    for k, raw in enumerate(_PROFILES):
+        icc = icc if raw is None else F.when(F.col("vec_id") % 4 == k, F.unhex(F.lit(raw.hex()))).otherwise(icc)
+    return _exif_blocks(spark, d).select(F.col("vec_id").cast("string").alias("path"), icc.alias("icc"), "exif")
+
+
+# matrices to linear sRGB: chromaticities adapted to the profile's white by cone responses, in steps of 1/65536, and back
+_TO_SRGB = [
+    [[1.224939473660301, -0.22494839430085395, -9.374403308640596e-06], [-0.04204725979332885, 1.0420607933552946, 1.306501635964121e-05], [-0.01964222605237716, -0.07862764437339391, 1.098274168329764]],
+    [[1.6604919658088355, -0.5876526458062452, -0.07284859823709874], [-0.12455745989165351, 1.1328952952950015, -0.008355288111163296], [-0.018155972389355624, -0.10057710870170317, 1.1187218191513966]],
+    [[0.9395352194146765, 0.050167073674707297, 0.010263752025732176], [0.01777970601570418, 0.9657919860577605, 0.016440093043682925], [-0.0016290173037386948, -0.004372025214609139, 1.005986286409474]],
+]
+_STEP_OF = lambda v: f"(round({v} * 65536) / 65536::DOUBLE)"
+_CURVED = f"CASE k WHEN 1 THEN pow(v, {_STEP_OF('2.2::DOUBLE')}) WHEN 2 THEN CASE WHEN v >= {_STEP_OF('0.04045::DOUBLE')} THEN pow({_STEP_OF('(1 / 1.055::DOUBLE)')} * v + {_STEP_OF('(0.055 / 1.055::DOUBLE)')}, {_STEP_OF('2.4::DOUBLE')}) ELSE {_STEP_OF('(1 / 12.92::DOUBLE)')} * v END ELSE CASE WHEN 2 * v < 1 THEN 2 * v * (16384 / 65535::DOUBLE) ELSE 16384 / 65535::DOUBLE + (2 * v - 1) * (1 - 16384 / 65535::DOUBLE) END END"
+_TURNED = {2: "7 - x, y", 3: "7 - x, 7 - y", 4: "x, 7 - y", 5: "y, x", 6: "7 - y, x", 7: "7 - y, 7 - x", 8: "y, 7 - x"}
+
+
+def _profiled_sql() -> str:
+    place = lambda i, own: "CASE o " + " ".join(f"WHEN {o} THEN {p.split(', ')[i]}" for o, p in _TURNED.items()) + f" ELSE {own} END"
+    linear = ", ".join(f"{_CURVED.replace('v ', f'({c} / 255::DOUBLE) ').replace('(v,', f'({c} / 255::DOUBLE,').replace('v)', f'({c} / 255::DOUBLE))')} AS l{i}" for i, c in enumerate(("c0", "c1", "c2")))
+    mixed = ", ".join("CASE k " + " ".join(f"WHEN {k} THEN {' + '.join(f'l{j} * {m[i][j]!r}::DOUBLE' for j in range(3))}" for k, m in enumerate(_TO_SRGB, 1)) + f" END AS m{i}" for i in range(3))
+    coded = ", ".join(f"CASE WHEN k = 0 THEN c{i} ELSE CAST(floor(round((CASE WHEN v{i} <= 0.0031308 THEN v{i} * 12.92 ELSE 1.055 * pow(v{i}, 1 / 2.4::DOUBLE) - 0.055 END) * 255, 6) + 0.5) AS INT) END AS c{i}" for i in range(3))
+    cut = ", ".join(f"greatest(0.0, least(1.0, m{i})) AS v{i}" for i in range(3))
+    pixels = _CODED.format(", ".join(f"{_SAMPLES[c]} AS {c}" for c in ("c0", "c1", "c2")))
+    return f"WITH p AS ({pixels}), q AS (SELECT *, CAST(picture_id AS BIGINT) % 4 AS k, CAST(picture_id AS BIGINT) % 10 AS o FROM p), l AS (SELECT *, {linear} FROM q), m AS (SELECT *, {mixed} FROM l), z AS (SELECT *, {cut} FROM m) SELECT picture_id, CAST({place(0, 'x')} AS INT) AS x, CAST({place(1, 'y')} AS INT) AS y, {coded} FROM z"
+
+
+_add("embedded_profiles", lambda spark, d: profiles.corrected(_coded(spark, d, "Rgb", "u8"), profiles.spaces(_blocks(spark, d))).pixels.select("picture_id", "x", "y", "c0", "c1", "c2"), _profiled_sql())
+_add("profile_labels", lambda spark, d: profiles.spaces(_blocks(spark, d)).select("picture_id", "profile.primaries", "profile.transfer", "orientation"), "SELECT CAST(vec_id AS VARCHAR) AS picture_id, [NULL, 'display-p3', 'rec2020', 'bt601'][CAST(vec_id % 4 + 1 AS INT)] AS primaries, [NULL, 'gamma22', 'srgb', 'unspecified'][CAST(vec_id % 4 + 1 AS INT)] AS transfer, CAST(CASE WHEN vec_id % 10 BETWEEN 1 AND 8 THEN vec_id % 10 ELSE 1 END AS INT) AS orientation FROM embeddings")
+
+# --- palettes of each picture: those of its first line, and trained ones
+_add("palette_of_each", lambda spark, d: (lambda r: palette.index_of(r, r.pixels.where("y = 0").select("picture_id", F.col("x").alias("idx"), "c0", "c1", "c2")).pixels.select("picture_id", "x", "y", "c0"))(_coded(spark, d, "Rgb", "u8")),
+     f"WITH p AS ({_CODED.format(', '.join(f'{_SAMPLES[c]} AS {c}' for c in ('c0', 'c1', 'c2')))}) SELECT p.picture_id, p.x, p.y, CAST(arg_min(q.x, ((p.c0 - q.c0) * (p.c0 - q.c0) + (p.c1 - q.c1) * (p.c1 - q.c1) + (p.c2 - q.c2) * (p.c2 - q.c2)) * 8 + q.x) AS INT) AS c0 FROM p JOIN p q ON q.picture_id = p.picture_id AND q.y = 0 GROUP BY p.picture_id, p.x, p.y")
+_add("palette_trained", lambda spark, d: palette.train(events_raster(spark, d), 64))
+_add("reduced_colors", lambda spark, d: palette.reduce_colors(_coded(spark, d, "Rgb", "u8"), 64).pixels.select("picture_id", "x", "y", "c0", "c1", "c2"), _CODED.format(", ".join(f"{_SAMPLES[c]} AS {c}" for c in ("c0", "c1", "c2"))))  # 64 pixels have 64 colours at most
+
+# --- budgets over frames: canvases of a picture, then each frame's region
+_add("frame_budget", lambda spark, d: frames.within_budget(_frames(spark, d)[0], 1400).select("picture_id", "frame_no", F.col("reserved").cast("long").alias("reserved"), "fits", "error"),
+     "SELECT CAST(vec_id // 5 AS VARCHAR) AS picture_id, CAST(vec_id % 5 AS INT) AS frame_no, CAST(864 + 256 * n AS BIGINT) AS reserved, 864 + 256 * n <= 1400 AS fits, CASE WHEN n = 3 THEN 'limits' END AS error FROM (SELECT vec_id, row_number() OVER (PARTITION BY vec_id // 5 ORDER BY vec_id) AS n FROM embeddings)")
+
+# --- layouts: one array seen as packed, planar and transposed pictures of 5 by 4, and what each layout is
+_LAYOUTS = lambda: [layouts.row_major_packed(3, 5, 4), layouts.planar(3, 5, 4), layouts.transposed(layouts.row_major_packed(3, 4, 5)), layouts.shrink_to(layouts.row_major_packed(4, 4, 4), 3, 5, 4)]
+_AT = lambda: F.element_at(F.array(*_LAYOUTS()), F.expr("cast(vec_id % 4 + 1 as int)"))
+
+
+def _embedded(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("vec_id").cast("string").alias("picture_id"), "embedding")
+
+
+_add("strided_views", lambda spark, d: layouts.from_samples(_embedded(spark, d), "embedding", _AT(), "Rgb", "f32").pixels.select("picture_id", "x", "y", "c0", "c1", "c2"),
+     "SELECT CAST(vec_id AS VARCHAR) AS picture_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, embedding[a + 1] AS c0, embedding[a + s + 1] AS c1, embedding[a + 2 * s + 1] AS c2 FROM (SELECT vec_id, embedding, x, y, CASE vec_id % 4 WHEN 0 THEN 3 * x + 15 * y WHEN 1 THEN x + 5 * y WHEN 2 THEN 12 * x + 3 * y ELSE 4 * x + 16 * y END AS a, CASE WHEN vec_id % 4 = 1 THEN 20 ELSE 1 END AS s FROM embeddings, (SELECT unnest(range(5)) AS x), (SELECT unnest(range(4)) AS y) WHERE vec_id % 4 < 3 OR x < 4)")
+_add("layout_forms", lambda spark, d: _embedded(spark, d).withColumn("at", _AT()).select("vec_id", layouts.min_length(F.col("at")).alias("least"), layouts.fits(F.col("at"), F.size("embedding") - F.col("vec_id").cast("int") % 7).alias("fits"), layouts.index(F.col("at"), 2, F.col("vec_id") % 6, 3).alias("place"), layouts.has_aliased_samples(F.col("at")).alias("aliased"), *(layouts.is_normal(F.col("at"), f).alias(f) for f in layouts.FORMS)),
+     "SELECT vec_id, CAST([60, 60, 60, 63][k + 1] AS BIGINT) AS least, [60, 60, 60, 63][k + 1] <= 64 - vec_id % 7 AS fits, CAST(CASE WHEN vec_id % 6 < [5, 5, 5, 4][k + 1] THEN [2 + 3 * x + 45, 40 + x + 15, 2 + 12 * x + 9, 2 + 4 * x + 48][k + 1] END AS BIGINT) AS place, false AS aliased, true AS unaliased, k <> 1 AS pixel_packed, k < 3 AS image_packed, k = 0 AS row_major_packed, k = 2 AS column_major_packed FROM (SELECT vec_id, CAST(vec_id % 4 AS INT) AS k, vec_id % 6 AS x FROM embeddings)")
+
+# --- luma of every pixel, chroma of each block's first pixel
+_CHROMA = "greatest(0, least(255, floor(round({0}, 6) + 0.5)))"
+for _sub, (_sx, _sy) in {"4:4:4": (1, 1), "4:2:2": (2, 1), "4:2:0": (2, 2), "4:0:0": (0, 0)}.items():
+    def _planes(spark: SparkSession, d: str, sub=_sub, sx=_sx, sy=_sy) -> DataFrame:
+        r = events_raster(spark, d)
+        own = lambda i: r.select([r.channels[i]], layout="L")
+        few = lambda i: own(i).where((F.col("x") % sx == 0) & (F.col("y") % sy == 0)).select(x=F.floor(F.col("x") / sx), y=F.floor(F.col("y") / sy), w=F.ceil(F.col("w") / sx), h=F.ceil(F.col("h") / sy))
+        return _out(planes.to_rgb(own(0), few(1), few(2), sub) if sx else planes.to_rgb(own(0), subsampling=sub))
+
+    _uv = f"(SELECT p.x, p.y, p.r AS yy, q.g - 128 AS uu, q.b - 128 AS vv FROM r1 p JOIN r1 q ON q.x = p.x // {_sx} * {_sx} AND q.y = p.y // {_sy} * {_sy})" if _sx else "(SELECT x, y, r AS yy, 0 AS uu, 0 AS vv FROM r1)"
+    _add(f"chroma_{_sub.replace(':', '')}", _planes, f"WITH {R1} SELECT x, y, " + ", ".join(f"CAST({_CHROMA.format(e)} AS INT) AS c{i}" for i, e in enumerate(("yy + 1.402::DOUBLE * vv", "(yy - 0.299::DOUBLE * (yy + 1.402::DOUBLE * vv) - 0.114::DOUBLE * (yy + 1.772::DOUBLE * uu)) / 0.587::DOUBLE", "yy + 1.772::DOUBLE * uu"))) + f" FROM {_uv}")
+
+
+def _saved_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Every embedding saved as a picture file, and what ranged reads of the files' headers tell."""
+    folder = shared.path(spark, "pictures")
+    for k, (fmt, layout) in enumerate((("png", "Rgb"), ("bmp", "Rgba"), ("qoi", "Rgb"))):
+        r = _coded(spark, d, layout, "u8").where(f"picture_id % 3 = {k}")
+        pictures.save(pictures.encode(resample.resize_exact(r, F.col("picture_id").cast("int") % 5 + 1, 2, "nearest"), fmt), f"{folder}/{fmt}", fmt)
+    return headers.read(spark, folder).select(F.regexp_extract("path", r"/(\d+)\.\w+$", 1).alias("picture_id"), "format", "w", "h", "layout", "kind")
+
+
+_add("saved_headers", _saved_headers, "SELECT CAST(vec_id AS VARCHAR) AS picture_id, ['png', 'bmp', 'qoi'][CAST(vec_id % 3 + 1 AS INT)] AS format, vec_id % 5 + 1 AS w, CAST(2 AS BIGINT) AS h, ['Rgb', 'Rgba', 'Rgb'][CAST(vec_id % 3 + 1 AS INT)] AS layout, 'u8' AS kind FROM embeddings")
+
 # --- formats and limits
 _add(
     "formats",

@@ -29,7 +29,7 @@ PRIMARIES = {
     "ebu3213": ((0.630, 0.340), (0.295, 0.605), (0.155, 0.077), _D65),
 }
 # The Bradford cone responses.
-_BRADFORD = np.array([[0.8951, 0.2664, -0.1614], [-0.7502, 1.7135, 0.0367], [0.0389, -0.0685, 1.0296]])
+BRADFORD = np.array([[0.8951, 0.2664, -0.1614], [-0.7502, 1.7135, 0.0367], [0.0389, -0.0685, 1.0296]])
 #: Codes of ITU-T H.273 by name; those without a conversion are named, too.
 PRIMARIES_CODES = {"srgb": 1, "unspecified": 2, "bt470m": 4, "bt470bg": 5, "bt601": 6, "smpte240m": 7, "film": 8, "rec2020": 9, "xyz": 10, "dci-p3": 11, "display-p3": 12, "ebu3213": 22}
 TRANSFER_CODES = {"bt709": 1, "unspecified": 2, "gamma22": 4, "gamma28": 5, "bt601": 6, "smpte240m": 7, "linear": 8, "log100": 9, "log316": 10, "xvycc": 11, "bt1361": 12, "srgb": 13, "rec2020-10": 14, "rec2020-12": 15, "pq": 16, "smpte428": 17, "hlg": 18}
@@ -52,7 +52,7 @@ def to_xyz(primaries: str) -> np.ndarray:
 def matrix(source: str, target: str) -> list[list[float]]:
     """Linear RGB of one set of primaries to another; whites are adapted by cone responses."""
     a, b = (_white(PRIMARIES[p][3]) for p in (source, target))
-    adapt = np.eye(3) if PRIMARIES[source][3] == PRIMARIES[target][3] else np.linalg.inv(_BRADFORD) @ np.diag((_BRADFORD @ b) / (_BRADFORD @ a)) @ _BRADFORD
+    adapt = np.eye(3) if PRIMARIES[source][3] == PRIMARIES[target][3] else np.linalg.inv(BRADFORD) @ np.diag((BRADFORD @ b) / (BRADFORD @ a)) @ BRADFORD
     return (np.linalg.inv(to_xyz(target)) @ adapt @ to_xyz(source)).tolist()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelry.functions import samples as S
@@ -74,6 +74,15 @@ def copy_within(r: Raster, sx: int, sy: int, width: int, height: int, x: int, y:
     return _chosen(_paired(r, part, F.col("x") + (x - sx), F.col("y") + (y - sy)), _top(r))
 
 
+def try_copy_within(r: Raster, sx: int, sy: int, width: int, height: int, x: int, y: int) -> tuple[Raster, DataFrame]:
+    """copy_within where both rectangles lie inside, other pictures as they are; and picture_id and error of the latter."""
+    inside = lambda a, b: (F.lit(a).cast("bigint") + width <= F.col("w")) & (F.lit(b).cast("bigint") + height <= F.col("h")) & F.lit(min(a, b, width, height) >= 0)
+    fits = inside(sx, sy) & inside(x, y)
+    done = copy_within(r.where(fits), sx, sy, width, height, x, y)
+    failed = sizes(r.where(~fits)).select("picture_id", F.lit("rectangle exceeds the picture").alias("error"))
+    return done.over(done.pixels.unionByName(r.where(~fits).pixels.select(done.pixels.columns))), failed
+
+
 def set_alpha_channel(r: Raster, mask: Raster) -> Raster:
     """Alpha := the mask's grey value; pixels the mask lacks keep theirs."""
     if not r.has_alpha:

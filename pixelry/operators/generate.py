@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelry.functions import samples as S
+from pixelry.plans import tiles
 from pixelry.plans.raster import LAYOUTS, Raster, from_table
 
 
@@ -63,6 +66,17 @@ def into_raw(r: Raster) -> DataFrame:
     return r.pixels.groupBy("picture_id", "w", "h").agg(F.flatten(F.transform(F.array_sort(F.collect_list(pixel)), lambda p: p["v"])).alias("samples"))
 
 
+def into_bytes(r: Raster) -> DataFrame:
+    """picture_id, w, h and content: the samples of each picture as little-endian bytes of their type, interleaved, row by row."""
+    dtype = tiles.DTYPES[r.kind]
+
+    @F.pandas_udf("binary")
+    def packed(samples: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(v).astype(dtype).tobytes() for v in samples], dtype=object)
+
+    return into_raw(r).select("picture_id", "w", "h", packed("samples").alias("content"))
+
+
 def rows(r: Raster) -> DataFrame:
     """picture_id, y and samples of each line."""
     pixel = F.struct("x", F.array(*r.channels).alias("v"))

@@ -80,15 +80,20 @@ def flip_vertical(r: Raster) -> Raster:
     return r.select(y=h - 1 - y)
 
 
-def orient(r: Raster, orientation: Column) -> Raster:
-    """Apply an EXIF orientation (1 to 8) that may differ between pictures; others leave a picture as it is."""
+def turned(orientation: Column) -> dict[str, Column]:
+    """Place and size of a pixel after its picture is turned by an EXIF orientation."""
     x, y, w, h = _cols()
     o = orientation
     right, bottom = w - 1 - x, h - 1 - y
     across = o.isin(5, 6, 7, 8)
     new_x = F.when(o.isin(2, 3), right).when(o.isin(5, 8), y).when(o.isin(6, 7), bottom).otherwise(x)
     new_y = F.when(o.isin(3, 4), bottom).when(o.isin(5, 6), x).when(o.isin(7, 8), right).otherwise(y)
-    return r.select(x=new_x, y=new_y, w=F.when(across, h).otherwise(w), h=F.when(across, w).otherwise(h))
+    return {"x": new_x, "y": new_y, "w": F.when(across, h).otherwise(w), "h": F.when(across, w).otherwise(h)}
+
+
+def orient(r: Raster, orientation: Column) -> Raster:
+    """Apply an EXIF orientation (1 to 8) that may differ between pictures; others leave a picture as it is."""
+    return r.select(**turned(orientation))
 
 
 def get_pixel(r: Raster, x: int, y: int) -> Raster:

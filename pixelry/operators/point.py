@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pixelry.functions import colour
 from pixelry.functions import samples as S
+from pixelry.operators.palette import Tree
 from pixelry.plans.raster import Raster
 
 
@@ -103,7 +104,7 @@ def expand_palette(r: Raster, palette: DataFrame, transparent: int | None = None
     palette: idx, c0, c1, c2; an index has 8 bits, so it has at most 256 rows and is broadcast.
     """
     known = palette.where("idx between 0 and 255").select(F.col("idx").alias("p"), *(F.col(f"c{i}").alias(f"p{i}") for i in range(3)))
-    joined = Raster(r.pixels.join(F.broadcast(known), F.col("c0") == F.col("p"), "left"), "L", r.kind)
+    joined = r.over(r.pixels.join(F.broadcast(known), F.col("c0") == F.col("p"), "left"))
     alpha = F.when(F.col("p").isNull() | (F.col("p") == F.lit(-1 if transparent is None else transparent)), 0).otherwise(255)
     return joined.select([*(F.coalesce(f"p{i}", F.lit(0)).cast("int") for i in range(3)), alpha.cast("int")], layout="Rgba")
 
@@ -112,7 +113,7 @@ def index_colors(r: Raster, palette: list[tuple[int, ...]]) -> Raster:
     """Index of the nearest palette colour by squared distance, the first of equals."""
     far = [sum(((c - v) * (c - v) for c, v in zip(r.colour[1:], p[1:], strict=True)), (r.colour[0] - p[0]) * (r.colour[0] - p[0])) for p in palette]
     best = F.array_min(F.array(*(F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(far))))
-    return r.select([best["i"]], layout="L")
+    return replace(r.select([best["i"]], layout="L"), space=("unspecified", "unspecified"))
 
 
 def premultiply(r: Raster) -> Raster:
@@ -171,24 +172,16 @@ def grayscale_with_type_alpha(r: Raster, kind: str) -> Raster:
 
 
 def nearest_color(r: Raster, palette: DataFrame) -> Raster:
-    """Index of the nearest colour of a palette that is a table (idx, c0.., of at most 65,536 rows), the least of equals."""
+    """Index of the nearest colour of a palette that is a table (idx, c0.., of at most 65,536 rows), the least of equals; -1 if it is empty."""
     n = len(r.colour)
     rows = palette.select("idx", *(f"c{i}" for i in range(n))).limit((1 << 16) + 1).collect()
     if len(rows) > 1 << 16:
         raise ValueError("a palette has at most 65536 colours")
-    return Raster(index_colors(r, [tuple(x[1:]) for x in rows]).pixels, "L", r.kind) if len(rows) <= 256 else _nearest_in_tasks(r, np.array([tuple(x) for x in rows], np.float64))
-
-
-def _nearest_in_tasks(r: Raster, colours: np.ndarray) -> Raster:
-    """The same for long palettes, as vector work in tasks."""
-    colours = colours[np.argsort(colours[:, 0], kind="stable")]
+    colours = np.array([tuple(x) for x in rows], np.float64).reshape(-1, n + 1)
 
     @F.pandas_udf("int")
     def nearest(*channels: pd.Series) -> pd.Series:
-        v, out = np.stack([np.asarray(c, np.float64) for c in channels], 1), []
-        for a in range(0, len(v), 256):
-            far = ((v[a : a + 256, None, :] - colours[None, :, 1:]) ** 2).sum(2)
-            out.append(colours[far.argmin(1), 0])
-        return pd.Series(np.concatenate(out) if out else np.zeros(0)).astype("int32")
+        own, back = np.unique(np.stack([np.asarray(c, np.float64) for c in channels], 1), axis=0, return_inverse=True)
+        return pd.Series(Tree(colours[:, 1:], colours[:, 0].astype(np.int64)).nearest(own)[back.reshape(-1)]).astype("int32")
 
-    return r.select([nearest(*r.colour)], layout="L")
+    return replace(r.select([nearest(*r.colour)], layout="L"), space=("unspecified", "unspecified"))

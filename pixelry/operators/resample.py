@@ -43,18 +43,19 @@ def resize_exact(r: Raster, new_w: Size, new_h: Size, filter_name: str = "triang
 
 def resize(r: Raster, new_w: int, new_h: int, filter_name: str = "triangle") -> Raster:
     """Each picture to the largest size within the box that keeps its aspect."""
-    return _premultiplied(r, *geometry.resize_dimensions(F.col("w"), F.col("h"), new_w, new_h), filter_name)
+    return resize_to(r, *geometry.resize_dimensions(F.col("w"), F.col("h"), new_w, new_h), filter_name)
 
 
 def resize_to_fill(r: Raster, new_w: int, new_h: int, filter_name: str = "triangle") -> Raster:
     """Each picture to the least size that covers the box, then its centre."""
-    covered = _premultiplied(r, *geometry.resize_dimensions(F.col("w"), F.col("h"), new_w, new_h, True), filter_name)
+    covered = resize_to(r, *geometry.resize_dimensions(F.col("w"), F.col("h"), new_w, new_h, True), filter_name)
     left, top = (F.floor((F.col(c) - n) / 2).cast("int") for c, n in (("w", new_w), ("h", new_h)))
     inside = (F.col("x") >= left) & (F.col("x") < left + new_w) & (F.col("y") >= top) & (F.col("y") < top + new_h)
     return covered.where(inside).select(x=F.col("x") - left, y=F.col("y") - top, w=F.least(F.col("w"), F.lit(new_w)), h=F.least(F.col("h"), F.lit(new_h)))
 
 
-def _premultiplied(r: Raster, new_w: Size, new_h: Size, filter_name: str) -> Raster:
+def resize_to(r: Raster, new_w: Size, new_h: Size, filter_name: str = "triangle") -> Raster:
+    """resize_exact with colours weighted by their alpha."""
     if not r.has_alpha or filter_name == "nearest":
         return resize_exact(r, new_w, new_h, filter_name)
     return point.unpremultiply(resize_exact(point.premultiply(r), new_w, new_h, filter_name))

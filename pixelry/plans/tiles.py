@@ -24,7 +24,7 @@ from pixelry.plans.raster import KEY, LAYOUTS, Raster
 TILE = 64
 #: Pixels, and sums of output tiles, that a task holds before it hands them on; points of a tile that one task looks up.
 HELD_PIXELS, HELD_SUMS, HOT_POINTS = 1 << 20, 256, 1 << 20
-DTYPES = {"u8": "u1", "u16": "<u2", "f32": "<f4"}
+DTYPES = {"u8": "u1", "u16": "<u2", "f32": "<f4", "i32": "<i4"}
 ROW = "picture_id string, w int, h int, tx int, ty int, samples binary"
 
 

@@ -6,7 +6,6 @@ Sizes that a header states are read by column functions, so limits hold before a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +15,10 @@ from pyspark.sql import functions as F
 
 from pixelry.operators import frames, generate
 from pixelry.plans.raster import Raster
-from pixelry.sources import codecs, formats, metadata
+from pixelry.sources import codecs, formats, headers, metadata, profiles
+from pixelry.sources.saving import save
+
+__all__ = ["compose", "decode", "decode_frames", "encode", "encode_frames", "files", "rasters", "read", "read_corrected", "save", "sizes"]
 
 Decoder = Callable[[bytes, int], codecs.Picture]
 
@@ -100,9 +102,8 @@ def read(spark: SparkSession, path: str, guess: bool = False, max_alloc: int | N
 
 
 def sizes(spark: SparkSession, path: str) -> DataFrame:
-    """path, w, h of the files at `path`, from their headers alone; null where a header does not tell."""
-    size = metadata.dimensions(F.col("content"))
-    return files(spark, path).select("path", size["w"].alias("w"), size["h"].alias("h"))
+    """path, w, h of the files at `path`, from ranged reads of their headers; null where a header does not tell."""
+    return headers.read(spark, path).select("path", "w", "h")
 
 
 def rasters(pictures: DataFrame, layout: str, kind: str = "u8") -> Raster:
@@ -110,6 +111,12 @@ def rasters(pictures: DataFrame, layout: str, kind: str = "u8") -> Raster:
     return generate.from_raw(pictures.where((F.col("layout") == layout) & (F.col("kind") == kind)), "samples", layout, kind)
 
 
+def read_corrected(spark: SparkSession, path: str, layout: str = "Rgb", kind: str = "u8", target: tuple[str, str] = ("srgb", "srgb"), guess: bool = False, orient: bool = True) -> Raster:
+    """The pictures of one layout and sample type at `path`, in one colour space by their embedded profiles, and upright by their EXIF blocks."""
+    found = files(spark, path, guess)
+    return profiles.corrected(rasters(decode(found), layout, kind), profiles.spaces(metadata.blocks(found)), target, orient)
+
+
 def encode(r: Raster, name: str, **options) -> DataFrame:
     """picture_id, content and error of each picture in a format; options: of the format's writer."""
     layout, kind = r.layout, r.kind
@@ -128,40 +135,19 @@ def encode(r: Raster, name: str, **options) -> DataFrame:
 
 
 def encode_frames(decoded: DataFrame, loops: int = 0, level: int = -1) -> DataFrame:
-    """picture_id, content and error: the frames of each picture (rows as of `decode_frames`) as one animated PNG; frames with an error are left out."""
+    """picture_id, content and error: the frames of each picture (rows as of `decode_frames`) as one animated PNG; a picture with a frame that has an error gives the first such error."""
     own = F.struct("frame_no", "left", "top", "width", "height", "dispose", "blend", "numer", "denom", "samples")
-    listed = decoded.where("error is null").groupBy("picture_id", "w", "h").agg(F.array_sort(F.collect_list(own)).alias("frames"))
+    good = F.col("error").isNull()
+    listed = decoded.groupBy("picture_id").agg(F.max(F.when(good, F.col("w"))).alias("w"), F.max(F.when(good, F.col("h"))).alias("h"), F.array_sort(F.collect_list(F.when(good, own))).alias("frames"), F.min(F.when(~good, F.struct(F.coalesce("frame_no", F.lit(-1)), "error"))).alias("failed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for picture_id, w, h, frames in zip(*(batch.column(i) for i in range(4)), strict=True):
-                content = error = None
+            for picture_id, w, h, frames, failed in zip(*(batch.column(i) for i in range(5)), strict=True):
+                content, error = None, failed.as_py()
                 try:
-                    content = codecs.write_animation(w.as_py(), h.as_py(), frames.as_py(), loops, level)
+                    content = None if error else codecs.write_animation(w.as_py(), h.as_py(), frames.as_py(), loops, level)
                 except ValueError as e:
                     error = str(e)
                 yield pa.RecordBatch.from_arrays([pa.array([picture_id.as_py()], pa.string()), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["picture_id", "content", "error"])
 
-    return listed.select("picture_id", "w", "h", "frames").mapInArrow(run, "picture_id string, content binary, error string")
-
-
-def save(encoded: DataFrame, folder: str, extension: str) -> DataFrame:
-    """path, length and error of each picture of `encode`, written as a file of its own under a folder that all tasks reach.
-
-    The files are written while the result is evaluated; a task that is run again writes the same ones.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
-        for batch in batches:
-            for picture_id, content, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                path = f"{root.rstrip('/')}/{re.sub(r'[^A-Za-z0-9._-]', '_', picture_id or 'none')}.{extension}"
-                if content is not None:
-                    with store.open_output_stream(path) as out:
-                        out.write(content)
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(content or b"")], pa.int64()), pa.array([error], pa.string())], names=["path", "length", "error"])
-
-    return encoded.select("picture_id", "content", "error").mapInArrow(run, "path string, length long, error string")
+    return listed.select("picture_id", "w", "h", "frames", "failed.error").mapInArrow(run, "picture_id string, content binary, error string")
