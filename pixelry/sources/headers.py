@@ -175,7 +175,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: Files) -> Iterator[tuple]:
         fs, store, _ = self._store()
-        decoders, signatures = hooks.from_option(self.given)
+        decoders, own_headers, signatures = hooks.from_option(self.given)
         paths = partition.paths
         if partition.folder is not None:
             below = store.get_file_info(fs.FileSelector(partition.folder, recursive=True))
@@ -188,7 +188,7 @@ class _Reader(DataSourceReader):
                     window = Window(source, length)
                     ended = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else None
                     name = hooks.guess(window.head, signatures) or (ended if ended in decoders else None) or guess_format(window.head) or {e: f for f, exts, *_ in formats.FORMATS for e in exts.split()}.get(ended)
-                    own = hooks.resolve(decoders[name]) if name in decoders else READERS.get(name)
+                    own = hooks.resolve(own_headers[name]) if name in own_headers else None if name in decoders else READERS.get(name)
                     if own is None:
                         error = "unknown format"
                     else:

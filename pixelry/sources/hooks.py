@@ -10,17 +10,25 @@ import importlib
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _decoders: dict[str, str] = {}
+_headers: dict[str, str] = {}
 _signatures: list[tuple[str, str, str]] = []  # extension, signature and mask in hexadecimal
 
 
-def register_decoder(extension: str, function: str) -> bool:
-    """A decoder "module:function" of files of an extension; false, and no change, where there is one already."""
+def register_decoder(extension: str, function: str, header: str | None = None) -> bool:
+    """A decoder of files of an extension; false, and no change, where there is one already.
+
+    function: "module:function" of (bytes, most bytes to allocate) to (w, h, layout, kind, samples); header: of
+    ranged reads to (w, h, layout, kind).
+    """
     if decoder_registered(extension):
         return False
     _decoders[extension.lower()] = function
+    if header is not None:
+        _headers[extension.lower()] = header
     return True
 
 
@@ -36,17 +44,37 @@ def register_signature(extension: str, signature: bytes, mask: bytes | None = No
 
 def clear() -> None:
     _decoders.clear()
+    _headers.clear()
     _signatures.clear()
 
 
 def as_option() -> str:
     """The registry as text, for the option `hooks` of a data source."""
-    return json.dumps({"decoders": _decoders, "signatures": _signatures})
+    return json.dumps({"decoders": _decoders, "headers": _headers, "signatures": _signatures})
+
+
+def from_option(text: str | None) -> tuple[dict[str, str], dict[str, str], list[tuple[str, bytes, bytes]]]:
+    """Decoders, readers of headers, and signatures."""
+    given = json.loads(text) if text else {}
+    return dict(given.get("decoders", {})), dict(given.get("headers", {})), [(e, bytes.fromhex(s), bytes.fromhex(m)) for e, s, m in given.get("signatures", [])]
+
+
+def decoders() -> dict[str, str]:
+    return dict(_decoders)
 
 
-def from_option(text: str | None) -> tuple[dict[str, str], list[tuple[str, bytes, bytes]]]:
-    given = json.loads(text) if text else {"decoders": {}, "signatures": []}
-    return dict(given["decoders"]), [(e, bytes.fromhex(s), bytes.fromhex(m)) for e, s, m in given["signatures"]]
+def guessed(content: Column) -> Column:
+    """Extension of the first registered signature that the content begins with, else null; compared in the JVM."""
+    out = F.lit(None).cast("string")
+    for extension, signature, mask in reversed(_signatures):
+        same = F.octet_length(content) >= len(signature) // 2
+        for i in range(0, len(signature), 2):
+            kept = int(mask[i : i + 2], 16)
+            if kept:
+                byte = F.conv(F.hex(F.substring(content, i // 2 + 1, 1)), 16, 10).cast("int")
+                same = same & (byte.bitwiseAND(kept) == int(signature[i : i + 2], 16) & kept)
+        out = F.when(same, extension).otherwise(out)
+    return out
 
 
 def resolve(function: str) -> Callable:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pixelry.operators import frames, generate
 from pixelry.plans.raster import Raster
 from pixelry.sources import codecs, formats, headers, metadata, profiles
+from pixelry.sources import hooks as registry
 from pixelry.sources.saving import save
 
 __all__ = ["compose", "decode", "decode_frames", "encode", "encode_frames", "files", "rasters", "read", "read_corrected", "save", "sizes"]
@@ -28,17 +29,20 @@ PICTURES = "picture_id string, format string, w int, h int, layout string, kind
 def decode(files: DataFrame, max_alloc: int | None = 512 << 20, max_width: int | None = None, max_height: int | None = None, hooks: dict[str, Decoder] | None = None, floats: bool = False) -> DataFrame:
     """Pictures of `files` (path, content and format).
 
-    hooks: further decoders by format, which come first.  floats: samples are floats, and formats of whole
+    hooks: further decoders by format, which come first; those of the registry come next.  floats: samples are floats, and formats of whole
     numbers give errors; else it is the other way round.
     """
-    most, known, size = max_alloc if max_alloc is not None else 1 << 62, dict(hooks or {}), metadata.dimensions(F.col("content"))
+    most, known, size = max_alloc if max_alloc is not None else 1 << 62, {**registry.decoders(), **(hooks or {})}, metadata.dimensions(F.col("content"))
     fits = F.coalesce(formats.within_limits(size["w"], size["h"], F.lit(1), max_width, max_height, max_alloc), F.lit(True))
     types = {"picture_id": pa.string(), "format": pa.string(), "w": pa.int32(), "h": pa.int32(), "layout": pa.string(), "kind": pa.string(), "samples": pa.list_(pa.float32() if floats else pa.int32()), "error": pa.string()}
 
+    def decoder(name: str) -> Decoder:
+        return registry.resolve(known[name]) if isinstance(known[name], str) else known[name]
+
     def found(raw: bytes, name: str | None, fit: bool) -> dict:
         if not fit:
             raise ValueError("limits")
-        row = dict(zip(("w", "h", "layout", "kind", "samples"), known[name](raw, most) if name in known else codecs.decode(name, raw, most), strict=True))
+        row = dict(zip(("w", "h", "layout", "kind", "samples"), decoder(name)(raw, most) if name in known else codecs.decode(name, raw, most), strict=True))
         if (row["kind"] == "f32") != floats:
             raise ValueError("samples of another type")
         if (max_width is not None and row["w"] > max_width) or (max_height is not None and row["h"] > max_height):
@@ -89,11 +93,12 @@ def compose(decoded: DataFrame, blended: bool) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str, guess: bool = False, stream: bool = False) -> DataFrame:
-    """The files at `path` with their format: by extension, with guess first by content.  stream: files as they arrive."""
+    """The files at `path` with their format: by extension, with guess first by content, where registered signatures come first.  stream: files as they arrive."""
     reader = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary") if stream else spark.read
     found = reader.format("binaryFile").load(path)
-    name = formats.from_path(F.col("path"))
-    return found.withColumn("format", F.coalesce(formats.guess_format(F.col("content")), name) if guess else name)
+    ended = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    name = F.coalesce(F.when(ended.isin(*registry.decoders()), ended) if registry.decoders() else F.lit(None).cast("string"), formats.from_path(F.col("path")))
+    return found.withColumn("format", F.coalesce(registry.guessed(F.col("content")), formats.guess_format(F.col("content")), name) if guess else name)
 
 
 def read(spark: SparkSession, path: str, guess: bool = False, max_alloc: int | None = 512 << 20, max_width: int | None = None, max_height: int | None = None, stream: bool = False) -> DataFrame:

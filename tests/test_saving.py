@@ -111,11 +111,16 @@ def read_raw(window) -> tuple:
     return w, h, "L", "u8"
 
 
+def decode_raw(raw: bytes, most: int) -> tuple:
+    """A decoder that a hook names: two samples after four bytes."""
+    return 2, 1, "L", "u8", np.frombuffer(raw[4:6], np.uint8).astype(np.int64)
+
+
 def test_hooks_outrun_built_in_formats_in_sql(spark, tmp_path):
     hooks.clear()
     try:
         assert not hooks.decoder_registered("raw8")
-        assert hooks.register_decoder("RAW8", "tests.test_saving:read_raw")
+        assert hooks.register_decoder("RAW8", "tests.test_saving:decode_raw", "tests.test_saving:read_raw")
         assert not hooks.register_decoder("raw8", "tests.test_saving:other")  # the first stays
         assert hooks.decoder_registered("Raw8")
         hooks.register_signature("raw8", b"\x89PNG", b"\xff\xff\xff\0")
@@ -127,8 +132,10 @@ def test_hooks_outrun_built_in_formats_in_sql(spark, tmp_path):
         spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW scanned USING picture_headers OPTIONS (path '{tmp_path}', hooks '{hooks.as_option()}')")
         got = {os.path.basename(r.path): (r.format, r.w, r.h) for r in spark.sql("SELECT * FROM scanned").collect()}
         assert got == {"a.png": ("raw8", 9, 8), "b.raw8": ("raw8", 3, 2), "c.gif": ("gif", 6, 4)}
-        assert [(r.place, r.extension, r.mask, r.decoder) for r in hooks.table(spark).orderBy("place").collect()] == [(0, "raw8", "ffffff00", "tests.test_saving:read_raw"), (1, "later", "ffffffff", None)]
-        assert json.loads(hooks.as_option())["decoders"] == {"raw8": "tests.test_saving:read_raw"}
+        assert [(r.place, r.extension, r.mask, r.decoder) for r in hooks.table(spark).orderBy("place").collect()] == [(0, "raw8", "ffffff00", "tests.test_saving:decode_raw"), (1, "later", "ffffffff", None)]
+        assert json.loads(hooks.as_option())["headers"] == {"raw8": "tests.test_saving:read_raw"}
+        decoded = {os.path.basename(r.picture_id): (r.format, r.w, r.h, r.samples) for r in pictures.decode(pictures.files(spark, tmp_path.as_uri(), guess=True).where("path like '%a.png' or path like '%.raw8'")).collect()}
+        assert decoded == {"a.png": ("raw8", 2, 1, [9, 8]), "b.raw8": ("raw8", 2, 1, [3, 2])}
     finally:
         hooks.clear()
 
