@@ -187,10 +187,12 @@ _r1("combine_difference", lambda r: compose.combine(r, geometry.flip_horizontal(
 _add("beside", lambda spark, d: (lambda r: _out(compose.beside(r, point.invert(r))))(events_raster(spark, d)), f"WITH {R1} SELECT x, y, {_RGB} FROM r1 UNION ALL SELECT x + 100, y, 255 - r, 255 - g, 255 - b FROM r1")
 
 # --- generators
-_GRID = "grid AS (SELECT CAST(i % 64 AS INT) AS x, CAST(i // 64 AS INT) AS y FROM range(64 * 48) t(i))"
-_add("gradient_vertical", lambda spark, d: _out(generate.vertical_gradient(spark, 64, 48, [0, 200, 10], [255, 20, 10])), f"WITH {_GRID} SELECT x, y, CAST(floor(round(0 + 255 * (CAST(y AS DOUBLE) / 47), 6)) AS INT) AS c0, CAST(floor(round(200 - 180 * (CAST(y AS DOUBLE) / 47), 6)) AS INT) AS c1, 10 AS c2 FROM grid")
-_add("gradient_horizontal", lambda spark, d: _out(generate.horizontal_gradient(spark, 64, 48, [0, 200, 10], [255, 20, 10])), f"WITH {_GRID} SELECT x, y, CAST(floor(round(0 + 255 * (CAST(x AS DOUBLE) / 63), 6)) AS INT) AS c0, CAST(floor(round(200 - 180 * (CAST(x AS DOUBLE) / 63), 6)) AS INT) AS c1, 10 AS c2 FROM grid")
-_add("from_fn", lambda spark, d: _out(generate.from_fn(spark, 64, 48, lambda x, y: [(x * y) % 256, F.abs(x - y), x])), f"WITH {_GRID} SELECT x, y, x * y % 256 AS c0, abs(x - y) AS c1, x AS c2 FROM grid")
+_SIZES = lambda spark, d: spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("vec_id").cast("string").alias("picture_id"), (F.col("vec_id") % 9 + 1).cast("int").alias("w"), (F.col("vec_id") % 5 + 1).cast("int").alias("h"))
+_GRID = "grid AS (SELECT vec_id, CAST(vec_id AS VARCHAR) AS picture_id, CAST(vec_id % 9 + 1 AS INT) AS w, CAST(vec_id % 5 + 1 AS INT) AS h, CAST(i % (vec_id % 9 + 1) AS INT) AS x, CAST(i // (vec_id % 9 + 1) AS INT) AS y FROM (SELECT vec_id, unnest(range((vec_id % 9 + 1) * (vec_id % 5 + 1))) AS i FROM embeddings))"
+_SHADE = lambda at, size: f"CAST(floor(round(255 * (CASE WHEN {size} > 1 THEN CAST({at} AS DOUBLE) / ({size} - 1) ELSE 0 END), 6)) AS INT) AS c0, CAST(floor(round(200 - 180 * (CASE WHEN {size} > 1 THEN CAST({at} AS DOUBLE) / ({size} - 1) ELSE 0 END), 6)) AS INT) AS c1, 10 AS c2"
+for _name, _at, _size in (("vertical", "y", "h"), ("horizontal", "x", "w")):
+    _add(f"gradient_{_name}", lambda spark, d, v=_name == "vertical": generate.gradient_over(_SIZES(spark, d), [0, 200, 10], [255, 20, 10], v).pixels.select("picture_id", "x", "y", "c0", "c1", "c2"), f"WITH {_GRID} SELECT picture_id, x, y, {_SHADE(_at, _size)} FROM grid")
+_add("from_fn", lambda spark, d: generate.over(_SIZES(spark, d), lambda x, y, w, h: [(x * y) % 256, F.abs(x - y), w * h - x]).pixels.select("picture_id", "w", "h", "x", "y", "c0", "c1", "c2"), f"WITH {_GRID} SELECT picture_id, w, h, x, y, x * y % 256 AS c0, abs(x - y) AS c1, w * h - x AS c2 FROM grid")
 _add("from_raw", lambda spark, d: (lambda r: r.pixels.select("picture_id", "x", "y", "c0", "c1", "c2", "c3"))(generate.from_raw(spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("picture_id"), F.lit(4).alias("w"), F.lit(4).alias("h"), "embedding"), "embedding", "Rgba", "f32")),
      "SELECT CAST(vec_id AS VARCHAR) AS picture_id, CAST(p % 4 AS INT) AS x, CAST(p // 4 AS INT) AS y, embedding[4 * p + 1] AS c0, embedding[4 * p + 2] AS c1, embedding[4 * p + 3] AS c2, embedding[4 * p + 4] AS c3 FROM (SELECT vec_id, embedding, unnest(generate_series(0, 15)) AS p FROM embeddings)")
 _add("into_raw", lambda spark, d: generate.into_raw(embeddings_raster(spark, d)).select("picture_id", F.col("samples")[9].alias("s9"), F.col("samples")[63].alias("s63"), F.size("samples").alias("n")), "SELECT CAST(vec_id AS VARCHAR) AS picture_id, embedding[10] AS s9, embedding[64] AS s63, CAST(len(embedding) AS INT) AS n FROM embeddings")
@@ -527,8 +529,9 @@ _add("saved_headers", _saved_headers, "SELECT CAST(vec_id AS VARCHAR) AS picture
 # --- formats and limits
 _add(
     "formats",
-    lambda spark, d: formats.formats(spark).select("format", "mime", F.array_join("extensions", ",").alias("extensions"), "can_read", "can_write"),
-    "SELECT * FROM (VALUES ('avif', 'image/avif', 'avif', false, false), ('bmp', 'image/bmp', 'bmp', true, true), ('farbfeld', 'application/octet-stream', 'ff', true, true), ('gif', 'image/gif', 'gif', true, false), ('hdr', 'image/vnd.radiance', 'hdr', true, true), ('ico', 'image/x-icon', 'ico', true, true), ('jpeg', 'image/jpeg', 'jpg,jpeg,jfif', false, false), ('exr', 'image/x-exr', 'exr', false, false), ('png', 'image/png', 'png,apng', true, true), ('pnm', 'image/x-portable-anymap', 'pbm,pgm,ppm,pam,pnm', true, true), ('qoi', 'image/x-qoi', 'qoi', true, true), ('tga', 'image/x-targa', 'tga', true, true), ('tiff', 'image/tiff', 'tif,tiff', false, false), ('webp', 'image/webp', 'webp', false, false)) t(format, mime, extensions, can_read, can_write)",
+    lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.element_at(F.array(*(F.lit(f[0]) for f in formats.FORMATS)), F.expr(f"cast(page_id % {len(formats.FORMATS)} + 1 as int)")).alias("format")).join(F.broadcast(formats.formats(spark)), "format").select("page_id", "format", "mime", F.array_join("extensions", ",").alias("extensions"), "can_read", "can_write"),
+    # fixed values: MIME types and extensions of the formats' standards
+    "SELECT page_id, format, mime, extensions, can_read, can_write FROM pages JOIN (VALUES ('avif', 'image/avif', 'avif', false, false), ('bmp', 'image/bmp', 'bmp', true, true), ('farbfeld', 'application/octet-stream', 'ff', true, true), ('gif', 'image/gif', 'gif', true, false), ('hdr', 'image/vnd.radiance', 'hdr', true, true), ('ico', 'image/x-icon', 'ico', true, true), ('jpeg', 'image/jpeg', 'jpg,jpeg,jfif', false, false), ('exr', 'image/x-exr', 'exr', false, false), ('png', 'image/png', 'png,apng', true, true), ('pnm', 'image/x-portable-anymap', 'pbm,pgm,ppm,pam,pnm', true, true), ('qoi', 'image/x-qoi', 'qoi', true, true), ('tga', 'image/x-targa', 'tga', true, true), ('tiff', 'image/tiff', 'tif,tiff', false, false), ('webp', 'image/webp', 'webp', false, false)) t(format, mime, extensions, can_read, can_write) ON format = ['avif', 'bmp', 'farbfeld', 'gif', 'hdr', 'ico', 'jpeg', 'exr', 'png', 'pnm', 'qoi', 'tga', 'tiff', 'webp'][CAST(page_id % 14 + 1 AS INT)]",
 )
 _add(
     "format_from_path",

@@ -21,6 +21,24 @@ def from_fn(spark: SparkSession, width: int, height: int, f: Callable[[Column, C
     return from_table(grid, picture_id, width, height, x, y, list(f(x, y)), layout, kind)
 
 
+def over(sizes: DataFrame, f: Callable[[Column, Column, Column, Column], list], layout: str = "Rgb", kind: str = "u8") -> Raster:
+    """Pictures of the sizes of a table (picture_id, w, h), one for each row: pixel = f(x, y, w, h), as column expressions."""
+    lines = sizes.where("w > 0 and h > 0").select("picture_id", "w", "h", F.explode(F.sequence(F.lit(0), F.col("h").cast("int") - 1)).alias("_y"))
+    places = lines.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("w").cast("int") - 1)))
+    return from_table(places, F.col("picture_id"), F.col("w"), F.col("h"), F.col("_x"), F.col("_y"), list(f(F.col("_x"), F.col("_y"), F.col("w"), F.col("h"))), layout, kind)
+
+
+def gradient_over(sizes: DataFrame, start: list, stop: list, vertical: bool, layout: str = "Rgb", kind: str = "u8") -> Raster:
+    """A gradient for each row of a table of sizes; a single line has the start colour."""
+
+    def f(x: Column, y: Column, w: Column, h: Column) -> list[Column]:
+        at, size = (y, h) if vertical else (x, w)
+        t = F.when(size > 1, at.cast("double") / (size - 1)).otherwise(0.0)
+        return [S.lerp(F.lit(a), F.lit(b), t, kind) for a, b in zip(start, stop, strict=True)]
+
+    return over(sizes, f, layout, kind)
+
+
 def from_pixel(spark: SparkSession, width: int, height: int, pixel: list, layout: str = "Rgb", kind: str = "u8") -> Raster:
     return from_fn(spark, width, height, lambda x, y: pixel, layout, kind)
 

@@ -7,7 +7,7 @@ and one exchange serves them.  A tile and its border bound a task's memory, what
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 from math import exp, floor, sqrt
 
@@ -47,10 +47,45 @@ class Patch:
         return self.v[top : top + h, left : left + w]
 
 
-def stencil(r: Raster, halo: int, f: Callable[[Patch, tuple[int, int, int, int]], None]) -> Raster:
-    """Apply f to every tile with surroundings of `halo` places; f is given (x, y, w, h): the tile's place and its picture's size."""
-    tiles = lambda at, size: F.sequence(F.greatest(F.lit(0), F.expr(f"({at} - {halo}) div {TILE}")).cast("int"), F.least(F.expr(f"({size} - 1) div {TILE}"), F.expr(f"({at} + {halo}) div {TILE}")).cast("int"))
-    dealt = r.pixels.select(*KEY, *r.names, F.explode(tiles("x", "w")).alias("tx")).withColumn("ty", F.explode(tiles("y", "h")))
+def _on_tile(v: np.ndarray, x0: int, y0: int, x1: int, y1: int, w: int, h: int, halo: int, f: Callable) -> np.ndarray:
+    """f's samples of the places x0..x1, y0..y1, from these with their surroundings."""
+    left, top, right, bottom = min(halo, x0), min(halo, y0), min(halo, w - x1), min(halo, h - y1)
+    ends = x0 - left == 0, x1 + right == w, y0 - top == 0, y1 + bottom == h
+    patch = Patch(v, *(None if end else reach for end, reach in zip(ends, (left, right, top, bottom), strict=True)))
+    f(patch, (x0 - left, y0 - top, w, h))
+    # where the surroundings end at the picture's edge they are part of the patch, and are cut off here
+    cut_x, cut_y = (left if ends[0] else 0), (top if ends[2] else 0)
+    return patch.inside(patch.v.shape[1], patch.v.shape[0])[cut_y : cut_y + y1 - y0, cut_x : cut_x + x1 - x0]
+
+
+def stencil_tiles(t: tiles.Tiles, halo: int, f: Callable[[Patch, tuple[int, int, int, int]], None]) -> tiles.Tiles:
+    """stencil on the tile relation, whose tiles get their surroundings from one another; a halo is at most a tile wide."""
+    dtype, n, size, real = tiles.DTYPES[t.kind], t.n, t.size, t.kind == "f32"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                w, h = row["w"], row["h"]
+                x0, y0, x1, y1 = tiles.edges(w, h, row["tx"], row["ty"], size)
+                wide, tall = min(w, x1 + halo) - max(0, x0 - halo), min(h, y1 + halo) - max(0, y0 - halo)
+                v = np.frombuffer(row["samples"], dtype).reshape(tall, wide, n).astype(np.float64 if real else np.int64)
+                out.append(np.ascontiguousarray(_on_tile(v, x0, y0, x1, y1, w, h, halo, f).astype(dtype)).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("picture_id", "w", "h", "tx", "ty")), pa.array(out, pa.binary())], names=["picture_id", "w", "h", "tx", "ty", "samples"])
+
+    return t.over(tiles.with_halo(t, halo, halo, halo, halo).mapInArrow(run, tiles.ROW))
+
+
+def stencil(r: Raster | tiles.Tiles, halo: int, f: Callable[[Patch, tuple[int, int, int, int]], None]) -> Raster | tiles.Tiles:
+    """Apply f to every tile with surroundings of `halo` places; f is given (x, y, w, h): the tile's place and its picture's size.
+
+    What comes as tiles stays tiles, so operators of this module can follow one another, and a resize, without
+    going back to pixels.
+    """
+    if isinstance(r, tiles.Tiles):
+        return stencil_tiles(r, halo, f)
+    around = lambda at, size: F.sequence(F.greatest(F.lit(0), F.expr(f"({at} - {halo}) div {TILE}")).cast("int"), F.least(F.expr(f"({size} - 1) div {TILE}"), F.expr(f"({at} + {halo}) div {TILE}")).cast("int"))
+    dealt = r.pixels.select(*KEY, *r.names, F.explode(around("x", "w")).alias("tx")).withColumn("ty", F.explode(around("y", "h")))
     names, real = list(r.names), r.kind == "f32"
     sample = pa.float32() if real else pa.int32()
 
@@ -62,12 +97,7 @@ def stencil(r: Raster, halo: int, f: Callable[[Patch, tuple[int, int, int, int]]
         v = np.zeros((y1 - y0 + top + bottom, x1 - x0 + left + right, len(names)), np.float64 if real else np.int64)
         x, y = rows.column("x").to_numpy(), rows.column("y").to_numpy()
         v[y - (y0 - top), x - (x0 - left)] = np.stack([rows.column(n).to_numpy() for n in names], 1)
-        ends = x0 - left == 0, x1 + right == w, y0 - top == 0, y1 + bottom == h
-        patch = Patch(v, *(None if end else reach for end, reach in zip(ends, (left, right, top, bottom), strict=True)))
-        f(patch, (x0 - left, y0 - top, w, h))
-        # where the surroundings end at the picture's edge they are part of the patch, and are cut off here
-        cut_x, cut_y = (left if ends[0] else 0), (top if ends[2] else 0)
-        out = patch.inside(patch.v.shape[1], patch.v.shape[0])[cut_y : cut_y + y1 - y0, cut_x : cut_x + x1 - x0]
+        out = _on_tile(v, x0, y0, x1, y1, w, h, halo, f)
         inner = (x >= x0) & (x < x1) & (y >= y0) & (y < y1)
         x, y = x[inner], y[inner]
         got = out[y - y0, x - x0]

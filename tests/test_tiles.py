@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelry.operators import resample
+from pixelry.operators import resample, window
 from pixelry.plans import tiles
 from pixelry.plans.raster import Raster
 from tests.test_resample import matrix, rounded
@@ -109,6 +109,22 @@ def test_sampling(spark, monkeypatch, bilinear):
     assert got == sorted(want, key=str)
 
 
+def test_neighbourhoods_on_tiles_equal_those_on_pixels(spark):
+    pictures = some(np.random.default_rng(8), (130, 70), (64, 3), (1, 1))
+    r = drawn(spark, pictures, space=("display-p3", "srgb"))
+    t = tiles.from_raster(r)
+    kernel = [1.0, -2.0, 0.5, 0.0, 5.0, -1.0, 0.25, 0.0, -1.0]
+    for f in (lambda v: window.gaussian_blur(v, 2.0), lambda v: window.fast_blur(v, 4.0), lambda v: window.filter3x3(v, kernel), lambda v: window.unsharpen(v, 1.5, 3), lambda v: window.box_pass(v, "x", 5)):
+        on_pixels, on_tiles = arrays(f(r)), arrays(tiles.to_raster(f(t)))
+        assert all((on_pixels[k] == on_tiles[k]).all() for k in pictures)
+    chained = tiles.to_raster(window.gaussian_blur(tiles.resize(t, 90, 80, "lanczos3"), 1.2))
+    apart = window.gaussian_blur(resample.resize_exact(r, 90, 80, "lanczos3"), 1.2)
+    assert chained.space == apart.space == ("display-p3", "srgb")
+    assert all((arrays(chained)[k] == v).all() for k, v in arrays(apart).items())
+    with pytest.raises(ValueError):
+        window.box_pass(t, "x", 65)
+
+
 def test_empty(spark):
     t = tiles.from_raster(drawn(spark, {"p": np.zeros((1, 1, 3), int)}).where("false"))
     assert tiles.to_raster(tiles.resize(t, 3, 3, "triangle")).pixels.count() == 0
