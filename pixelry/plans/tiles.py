@@ -24,6 +24,8 @@ from pixelry.plans.raster import KEY, LAYOUTS, Raster
 TILE = 64
 #: Pixels, and sums of output tiles, that a task holds before it hands them on; points of a tile that one task looks up.
 HELD_PIXELS, HELD_SUMS, HOT_POINTS = 1 << 20, 256, 1 << 20
+#: Bytes of tiles in a batch that a task hands on.
+HELD_BYTES = 1 << 20
 DTYPES = {"u8": "u1", "u16": "<u2", "f32": "<f4", "i32": "<i4"}
 ROW = "picture_id string, w int, h int, tx int, ty int, samples binary"
 
@@ -126,20 +128,32 @@ def gathered(parts: DataFrame, make: Callable[[list[dict], int, int, int, int],
     key = ("picture_id", "w", "h", "tx", "ty")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, done, size = None, [], [], 0
+
+        def finish() -> int:
+            samples = make(held, *now[1:]).tobytes()
+            done.append((*now, samples))
+            return len(samples)
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(now, (pa.string(), *[pa.int32()] * 4), strict=True)), _packed([make(held, *now[1:])])], names=[*key, "samples"])
+            cols = list(zip(*done, strict=True))
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.string(), *[pa.int32()] * 4, pa.binary()), strict=True)], names=[*key, "samples"])
 
         for batch in batches:
             for row in batch.to_pylist():
                 own = tuple(row[k] for k in key)
                 if own != now:
                     if held:
-                        yield out()
+                        size += finish()
+                        if size >= HELD_BYTES:
+                            yield out()
+                            size = 0
                     now, held = own, []
                 held.append(row)
         if held:
+            finish()
+        if done:
             yield out()
 
     return parts.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, ROW)
@@ -150,15 +164,19 @@ def to_raster(t: Tiles) -> Raster:
     sample = pa.float32() if real else pa.int32()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                x0, y0, x1, y1 = edges(row["w"], row["h"], row["tx"], row["ty"], edge)
-                size, wide = (y1 - y0) * (x1 - x0), x1 - x0
-                v = np.frombuffer(row["samples"], dtype).reshape(size, n)
-                at = np.arange(size, dtype=np.int32)
-                same = lambda c: pa.array(np.full(size, row[c], np.int32))  # noqa: B023, E731
-                cols = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(size, np.int32)), pa.array([row["picture_id"]], pa.string())).cast(pa.string()), same("w"), same("h"), pa.array(x0 + at % wide), pa.array(y0 + at // wide)]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(v[:, i].astype(np.float32 if real else np.int32), sample) for i in range(n))], names=[*KEY, *names])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 16):  # of at most 16 tiles at once
+                batch = whole.slice(start, 16)
+                rows = batch.drop_columns("samples").to_pylist()
+                places = [edges(r["w"], r["h"], r["tx"], r["ty"], edge) for r in rows]
+                sizes = [(y1 - y0) * (x1 - x0) for x0, y0, x1, y1 in places]
+                v = np.concatenate([np.frombuffer(x.as_buffer(), dtype).reshape(-1, n) for x in batch.column("samples")])
+                ids = batch.column("picture_id").take(pa.array(np.repeat(np.arange(len(rows)), sizes)))
+                same = [pa.array(np.repeat(np.array([r[c] for r in rows], np.int32), sizes)) for c in ("w", "h")]
+                at = [np.arange(size, dtype=np.int32) for size in sizes]
+                x = np.concatenate([x0 + a % (x1 - x0) for a, (x0, _, x1, _) in zip(at, places, strict=True)]).astype(np.int32)
+                y = np.concatenate([y0 + a // (x1 - x0) for a, (x0, y0, x1, _) in zip(at, places, strict=True)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([ids, *same, pa.array(x), pa.array(y), *(pa.array(v[:, i].astype(np.float32 if real else np.int32), sample) for i in range(n))], names=[*KEY, *names])
 
     schema = "picture_id string, w int, h int, x int, y int, " + ", ".join(f"{c} {'float' if real else 'int'}" for c in names)
     return Raster(t.rows.mapInArrow(run, schema), t.layout, t.kind, t.space)
