@@ -185,12 +185,12 @@ def _true_neighbours(sample: list, points: DataFrame, k: int, dtype: str) -> lis
 
     near = points.select("id", "no", "v").mapInArrow(scanned, "s long, score double, id long, no long, v binary")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy("score", "id", "no"))).where(F.col("rank") <= k + 1)
-    return near.where("score > 0").select("s", "v").collect()  # at most SAMPLE * (k + 1)
+    return near.where("score > 0").select("s", "v").collect()  # at most k + 1 for each sample query
 
 
-def fitted_probes(queries: DataFrame, points: DataFrame, bits: int, k: int, dtype: str, tables: int = TABLES, recall: float = RECALL) -> int:
-    """Buckets to probe in each table so that the sample's true neighbours are found to the share `recall`."""
-    sample = queries.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()
+def fitted_probes(queries: DataFrame, points: DataFrame, bits: int, k: int, dtype: str, tables: int = TABLES, recall: float = RECALL, most_queries: int = SAMPLE) -> int:
+    """Buckets to probe in each table so that the true neighbours of a sample of queries are found to the share `recall`."""
+    sample = queries.orderBy(F.xxhash64("v"), "v").limit(most_queries).collect()
     true = _true_neighbours(sample, points, k, dtype) if sample else []
     if not true:
         return 1
@@ -327,14 +327,15 @@ def _found(left: DataFrame, right: DataFrame, k: int, dtype: str) -> DataFrame:
     return out
 
 
-def search(df: DataFrame, id_column: str = "vec_id", column: str = "embedding", k: int = 10, every: int = 100, tables: int = TABLES, recall: float = RECALL) -> DataFrame:
+def search(df: DataFrame, id_column: str = "vec_id", column: str = "embedding", k: int = 10, every: int = 100, tables: int = TABLES, recall: float = RECALL, most_queries: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`.
 
     score is the Euclidean distance of the vectors as given, in double precision; ties go to the smaller id.
     Left out are the rows that `vectors` names; repeated rows count once, and rows of one id with different
     vectors are queries each by itself, none of which finds another (so it may get that many fewer).  A query
     with at most k other rows gets them all; a table without queries gives no rows; further columns are
-    ignored.  Candidates are all rows: each is indexed, and no bucket is cut off.
+    ignored.  Candidates are all rows: each is indexed, and no bucket is cut off.  The number of probes is fitted
+    on at most `most_queries` queries.
     """
     rows, dtype = vectors(df, id_column, column)
     rows = saved(rows, "vectors")
@@ -343,7 +344,7 @@ def search(df: DataFrame, id_column: str = "vec_id", column: str = "embedding",
     queries = saved(asked.groupBy("v").agg(F.min("id").alias("id")).withColumn("no", F.monotonically_increasing_id()), "queries")
     n = points.count()
     bits = max(0, int(np.ceil(np.log2(max(1, n) / LEAF))))
-    most = fitted_probes(queries, points, bits, k, dtype, tables, recall)
+    most = fitted_probes(queries, points, bits, k, dtype, tables, recall, most_queries)
     made = [rows, points, asked, queries]
 
     first = left = saved(_hashed(points.drop("ids"), bits, tables, dtype), "hashed")
