@@ -6,7 +6,9 @@ counts; Spark sums them by key, and each order's probabilities come from joins o
 context totals and with the order below, each order being written before the next one starts.  A
 document's cross-entropy is the mean of its bytes' negative log-probabilities, shrunk towards its
 language's mean as if it had PRIOR_BYTES more bytes; perplexity is 2 to that power.  A document is
-rejected when its perplexity exceeds the QUANTILE of held-out trusted documents of its language.
+rejected when its perplexity exceeds a quantile of the held-out trusted documents of its language: QUANTILE,
+or less where these are so few that fewer than OUTLIERS of them would lie above it (LEAST_QUANTILE at
+least), since the highest few are documents that should not have been trusted.
 
 The model table grows with the variety of the text; it is broadcast while it is counted to have at
 most BROADCAST_NGRAMS rows, and joined with the documents' n-grams by a shuffle beyond.
@@ -31,7 +33,7 @@ from pixelry.llm.textbuf import buffers, dropped, free_name, mix, saved, slices,
 
 ORDER = 6
 PRIOR_BYTES = 150
-QUANTILE = 0.99
+QUANTILE, LEAST_QUANTILE, OUTLIERS = 0.99, 0.95, 3
 #: One trusted document in so many sets the thresholds and is not trained on.
 HOLD_OUT = 5
 BROADCAST_NGRAMS = 6_000_000
@@ -293,7 +295,10 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     known = saved(_score(trusted.where(held_out), table, packed, lang, text).select(own.alias("model_lang"), "bits", "n_bytes").where("bits is not null and n_bytes > 0"), "held-out")
     shrunk = lambda bits, n_bytes, mean: F.pow(F.lit(2.0), (F.col(bits) + PRIOR_BYTES * F.col(mean)) / (F.col(n_bytes) + PRIOR_BYTES))
     mean = known.groupBy("model_lang").agg((F.sum("bits") / F.sum("n_bytes")).alias("mean_bits"))
-    limits = known.join(mean, "model_lang").groupBy("model_lang").agg(F.first("mean_bits").alias("mean_bits"), F.percentile_approx(shrunk("bits", "n_bytes", "mean_bits"), QUANTILE, 100_000).alias("threshold"))
+    steps = round(1000 * (QUANTILE - LEAST_QUANTILE))  # quantiles to choose from, by the number of documents
+    quantiles = F.percentile_approx(shrunk("bits", "n_bytes", "mean_bits"), [LEAST_QUANTILE + i / 1000 for i in range(steps + 1)], 100_000)
+    step = F.greatest(F.lit(0), F.least(F.lit(steps), F.floor(1000 * (1 - OUTLIERS / F.count("*") - LEAST_QUANTILE)).cast("int")))
+    limits = known.join(mean, "model_lang").groupBy("model_lang").agg(F.first("mean_bits").alias("mean_bits"), F.get(quantiles, step).alias("threshold"))
     bits, n_bytes, model_lang, mean_bits = made = [free_name(docs.columns, x) for x in ("bits", "n_bytes", "model_lang", "mean_bits")]
     limits = saved(limits.select(F.col("model_lang").alias(model_lang), F.col("mean_bits").alias(mean_bits), "threshold"), "limits")
     dropped(counts, known, *([] if packed is None else [table]))
