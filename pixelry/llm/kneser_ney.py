@@ -10,8 +10,11 @@ rejected when its perplexity exceeds a quantile of the held-out trusted document
 or less where these are so few that fewer than OUTLIERS of them would lie above it (LEAST_QUANTILE at
 least), since the highest few are documents that should not have been trusted.
 
-The model table grows with the variety of the text; it is broadcast while it is counted to have at
-most BROADCAST_NGRAMS rows, and joined with the documents' n-grams by a shuffle beyond.
+The model table grows with the variety of the text.  It is broadcast in as many pieces as hold about
+BROADCAST_NGRAMS rows each: driver and workers hold one piece at a time, and a task scores some MiB of text
+against one piece after the other, so that documents are read once and never shuffled.  A model of more
+than BROADCAST_PIECES pieces is joined with the documents' n-grams by shuffles, which take several times
+the input's size on disk.
 
 Defined cases: a null or empty text has the perplexity of its language's mean and is kept; a language
 without trusted text, or with none among the held-out documents (a null language counts as one), has
@@ -21,6 +24,8 @@ often as they occur; perplexity, threshold and kept replace columns of that name
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +41,10 @@ PRIOR_BYTES = 150
 QUANTILE, LEAST_QUANTILE, OUTLIERS = 0.99, 0.95, 3
 #: One trusted document in so many sets the thresholds and is not trained on.
 HOLD_OUT = 5
-BROADCAST_NGRAMS = 6_000_000
+#: Rows of a piece of the model, and pieces up to which it is broadcast.
+BROADCAST_NGRAMS, BROADCAST_PIECES = 6_000_000, 32
+#: Bytes of text that a task scores against a piece before it loads the next one.
+HELD_BYTES = 16 << 20
 #: Counts (16 bytes each) of a language that a task gathers before it sums them; counts of all languages before it emits them.
 MERGE, EMIT = 750_000, 4_000_000
 #: Rows of labels up to which they are broadcast (16 bytes each).
@@ -171,7 +179,9 @@ class Scorer:
     def log2(self, lang: str, keys: np.ndarray) -> np.ndarray:
         """log2 probability of the last byte of each ORDER-gram, backing off along known contexts."""
         if lang not in self.tables:
-            self.tables[lang] = {k: Table(np.frombuffer(keys, np.uint64), np.frombuffer(values, np.float32)) for k, (keys, values) in self.rows[lang].items()}
+            none = b"", b""  # a piece may lack n-grams of some length
+            arrays = {(k, kind): self.rows[lang].get((k, kind), none) for k in range(ORDER + 1) for kind in "pb"}
+            self.tables[lang] = {k: Table(np.frombuffer(keys, np.uint64), np.frombuffer(values, np.float32)) for k, (keys, values) in arrays.items()}
         tables = self.tables[lang]
         out, found = tables[ORDER, "p"].find(keys)
         out, left = out.astype(np.float64), np.flatnonzero(~found)
@@ -190,8 +200,43 @@ class Scorer:
         return out
 
 
-def _packed(table: DataFrame):
-    """The model, counted to have at most BROADCAST_NGRAMS rows (12 bytes each), as a broadcast variable: for each language, length and kind the mixed keys, sorted, and their values."""
+class Piece:
+    """Rows of the model by language, length and kind.  A worker keeps them in a temporary file without a name and loads them when they are wanted."""
+
+    def __init__(self, rows: dict):
+        self.rows = rows
+
+    def __reduce__(self):
+        return Stored, (self.rows,)
+
+
+class Stored:
+    def __init__(self, rows: dict):
+        self.file = tempfile.TemporaryFile()
+        pickle.dump(rows, self.file, pickle.HIGHEST_PROTOCOL)
+        self.file.flush()
+
+    def load(self) -> dict:
+        self.file.seek(0)
+        return pickle.load(self.file)
+
+
+def _piece_of(before: np.ndarray, pieces: int) -> np.ndarray:
+    """Piece by the last two bytes of the context (odd factor: they are spread over 16 bits)."""
+    return ((before * 40503) & 0xFFFF) * pieces >> 16
+
+
+def _piece(table: DataFrame, at: int, pieces: int) -> DataFrame:
+    """Rows of the n-grams and contexts of a piece, with all that backing off from them needs: those too short to name the two bytes are in every piece."""
+    if pieces == 1:
+        return table
+    short = "length < case when kind = 'b' then 2 else 3 end"
+    before = "(case when kind = 'b' then key else shiftright(key, 8) end & 65535)"
+    return table.where(f"{short} or shiftright((({before} * 40503) & 65535) * {pieces}, 16) = {at}")
+
+
+def _packed(table: DataFrame, pieces: int) -> list:
+    """The model (12 bytes a row) as a broadcast variable for each piece: for each language, length and kind the mixed keys, sorted, and their values."""
 
     def pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         mixed = mix(rows.column("key").to_numpy().view(np.uint64))
@@ -199,35 +244,62 @@ def _packed(table: DataFrame):
         blobs = [mixed[order].tobytes(), rows.column("value").to_numpy()[order].tobytes()]
         return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int32()), pa.array([key[2].as_py()], pa.string()), *(pa.array([x], pa.binary()) for x in blobs)], names=["lang", "length", "kind", "keys", "values"])
 
-    out: dict[str, dict[tuple[int, str], tuple[bytes, bytes]]] = {}
-    for r in table.groupBy("lang", "length", "kind").applyInArrow(pack, "lang string, length int, kind string, keys binary, values binary").toLocalIterator():
-        out.setdefault(r.lang, {})[r.length, r.kind] = bytes(r["keys"]), bytes(r["values"])
-    shared = table.sparkSession.sparkContext.broadcast(out)
-    del out
-    tidy()
+    shared = []
+    for at in range(pieces):
+        out: dict[str, dict[tuple[int, str], tuple[bytes, bytes]]] = {}
+        for r in _piece(table, at, pieces).groupBy("lang", "length", "kind").applyInArrow(pack, "lang string, length int, kind string, keys binary, values binary").toLocalIterator():
+            out.setdefault(r.lang, {})[r.length, r.kind] = bytes(r["keys"]), bytes(r["values"])
+        shared.append(table.sparkSession.sparkContext.broadcast(out if pieces == 1 else Piece(out)))
+        del out
+        tidy()
     return shared
 
 
-def _score_by_broadcast(docs: DataFrame, shared, lang: str, text: str, made: tuple[str, str]) -> DataFrame:
+def _score_by_broadcast(docs: DataFrame, shared: list, lang: str, text: str, made: tuple[str, str]) -> DataFrame:
+    pieces = len(shared)
+
     def make():
-        scorer = Scorer(shared.value)
+        loaded: dict[int, Scorer] = {}
 
-        def score(part: pa.RecordBatch) -> list[pa.Array]:
+        def scorer(at: int) -> Scorer:
+            if at not in loaded:
+                loaded.clear()
+                loaded[at] = Scorer(shared[at].value if pieces == 1 else shared[at].value.load())
+            return loaded[at]
+
+        def add(part: pa.RecordBatch, at: int, bits: np.ndarray, size: np.ndarray) -> None:
+            """Add to bits what the n-grams of the piece give; null without a model."""
             column, langs = part.column(part.schema.get_field_index(text)), np.array(_languages(part, lang), object)
-            bits, size = np.full(part.num_rows, np.nan), np.zeros(part.num_rows, np.int64)
             for x in set(langs):
                 chosen = np.flatnonzero(langs == x)
                 buf, offs = buffers(column.take(pa.array(chosen)))
                 size[chosen] = np.diff(offs)
-                if x in scorer.rows:
-                    sums = np.zeros(len(buf) + 1)
-                    np.cumsum(scorer.log2(x, ngram_keys(buf, offs)), out=sums[1:])
-                    bits[chosen] = sums[offs[:-1]] - sums[offs[1:]]
+                if x not in scorer(at).rows:
+                    bits[chosen] = np.nan
+                    continue
+                keys, sums = ngram_keys(buf, offs), np.zeros(len(buf) + 1)
+                if pieces == 1:
+                    np.cumsum(scorer(at).log2(x, keys), out=sums[1:])
+                else:
+                    own = np.flatnonzero(_piece_of(((keys >> np.uint64(8)) & _MASK[2]).astype(np.int64), pieces) == at)
+                    sums[own + 1] = scorer(at).log2(x, keys[own])
+                    np.cumsum(sums, out=sums)
+                bits[chosen] += sums[offs[:-1]] - sums[offs[1:]]
+
+        def score(part: pa.RecordBatch) -> list[pa.Array]:
+            bits, size = np.zeros(part.num_rows), np.zeros(part.num_rows, np.int64)
+            for at in sorted(range(pieces), key=lambda i: i not in loaded):  # first the one that the last text left
+                row = 0
+                for some in slices(part, text):
+                    rows = slice(row, row + some.num_rows)
+                    add(some, at, bits[rows], size[rows])
+                    row += some.num_rows
             return [pa.array(bits, mask=np.isnan(bits)), pa.array(size)]
 
         return score
 
-    return with_columns(docs, text, [T.StructField(made[0], T.DoubleType()), T.StructField(made[1], T.LongType())], make)
+    held = {} if pieces == 1 else {"most": HELD_BYTES, "gather": True}
+    return with_columns(docs, text, [T.StructField(made[0], T.DoubleType()), T.StructField(made[1], T.LongType())], make, **held)
 
 
 def _score_by_join(docs: DataFrame, table: DataFrame, lang: str, text: str, made: tuple[str, str]) -> DataFrame:
@@ -268,13 +340,14 @@ def _score_by_join(docs: DataFrame, table: DataFrame, lang: str, text: str, made
     return scored.withColumn(made[1], F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long")).drop(row, model_lang, total)
 
 
-def _pack_if_few(table: DataFrame, most: int):
-    return _packed(table) if table.limit(most + 1).count() <= most else None
+def _packed_if_few(table: DataFrame, most: int) -> list | None:
+    n = table.count()
+    return None if n > most * BROADCAST_PIECES else _packed(table, max(1, -(-n // max(1, most))))
 
 
 def score(docs: DataFrame, table: DataFrame, lang: str = "lang", text: str = "text", most: int = BROADCAST_NGRAMS) -> DataFrame:
-    """docs with bits (negative log2 likelihood; null without a model) and n_bytes, which replace columns of that name."""
-    return _score(docs, table, _pack_if_few(table, most), lang, text)
+    """docs with bits (negative log2 likelihood; null without a model) and n_bytes, which replace columns of that name.  most: rows of a piece of the model."""
+    return _score(docs, table, _packed_if_few(table, most), lang, text)
 
 
 def _score(docs: DataFrame, table: DataFrame, packed, lang: str, text: str, made: tuple[str, str] = ("bits", "n_bytes")) -> DataFrame:
@@ -283,14 +356,14 @@ def _score(docs: DataFrame, table: DataFrame, packed, lang: str, text: str, made
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = BROADCAST_NGRAMS) -> DataFrame:
-    """docs with perplexity, threshold and kept.  labels: doc_id and quality (1: trusted, if toxic is not 1)."""
+    """docs with perplexity, threshold and kept.  labels: doc_id and quality (1: trusted, if toxic is not 1); most: rows of a piece of the model."""
     docs = docs.select(*(c for c in docs.columns if c.lower() not in ("perplexity", "threshold", "kept") or c in (doc_id, text, lang)))
     good = labels.where("quality = 1 and coalesce(toxic, 0) <> 1 and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
     trusted = docs.select(doc_id, text, lang).join(small(good, BROADCAST_LABELS), doc_id, "left_semi")
     held_out = F.expr(f"pmod(xxhash64(`{doc_id}`), {HOLD_OUT}) = 0")
     counts = saved(count_ngrams(trusted.where(~held_out), lang, text), "counts")
     table = model(counts)
-    packed = _pack_if_few(table, most)
+    packed = _packed_if_few(table, most)
     own = F.coalesce(F.col(lang).cast("string"), F.lit(""))
     known = saved(_score(trusted.where(held_out), table, packed, lang, text).select(own.alias("model_lang"), "bits", "n_bytes").where("bits is not null and n_bytes > 0"), "held-out")
     shrunk = lambda bits, n_bytes, mean: F.pow(F.lit(2.0), (F.col(bits) + PRIOR_BYTES * F.col(mean)) / (F.col(n_bytes) + PRIOR_BYTES))

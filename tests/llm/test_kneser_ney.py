@@ -6,6 +6,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,46 @@ def test_scores_by_broadcast_and_by_join(spark, trained, most):
     assert got[51].bits is None
 
 
+def test_a_large_model_is_broadcast_in_pieces(spark, trained, monkeypatch):
+    """A model of more rows than a piece gives the same scores without a shuffle of the documents' n-grams; only one of more pieces than are allowed is joined."""
+    texts, table = trained
+    monkeypatch.setattr(K, "HELD_BYTES", 3_000)
+    before, option = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(option, "3")
+    try:
+        _, bits = direct(texts)
+        tests = ["the quick brown fox", "unknown words ÄÖ zzz", "", None, texts[0] * 20, "x", "\x00\x00\x00", *texts]
+        rows = [(i, t, "en", None, None) for i, t in enumerate(tests)] + [(500, "ohne Modell", "de", None, None), (501, "no language", None, None, None), (502, None, "de", None, None)]
+        docs, n = frame(spark, rows), table.count()
+        for most in (n - 1, n // 7, n // K.BROADCAST_PIECES + 1):
+            out = K.score(docs, table, most=most)
+            assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+            got = {r.doc_id: r for r in out.collect()}
+            assert len(got) == len(rows)
+            for i, t in enumerate(tests):
+                assert got[i].bits == pytest.approx(bits(t or ""), rel=1e-4, abs=1e-6)
+                assert got[i].n_bytes == len((t or "").encode())
+            assert [got[i].bits for i in (500, 501, 502)] == [None] * 3
+        monkeypatch.setattr(K, "BROADCAST_PIECES", 6)
+        assert "Join" in K.score(docs, table, most=n // 7)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(option, before)
+
+
+def test_pieces_share_the_model_out(trained):
+    """Each row is in one piece, short n-grams and contexts are in all; tables and texts name the same piece."""
+    rows = {(r.lang, r.length, r.kind, r.key) for r in trained[1].collect()}
+    parts = [{(r.lang, r.length, r.kind, r.key) for r in K._piece(trained[1], at, 5).collect()} for at in range(5)]
+    assert set.union(*parts) == rows
+    assert max(map(len, parts)) < len(rows) / 2
+    for row in rows:
+        _, length, kind, key = row
+        where = [at for at in range(5) if row in parts[at]]
+        short = length < (2 if kind == "b" else 3)
+        before = np.array([(key if kind == "b" else key >> 8) & 0xFFFF])
+        assert where == (list(range(5)) if short else K._piece_of(before, 5).tolist())
+
+
 def sentences(rng: random.Random, n: int) -> str:
     """Words in an order that the language fixes: each has two that may follow it."""
     words, at = "ab cd ef gh ik lm no pr st uv".split(), rng.randrange(10)
