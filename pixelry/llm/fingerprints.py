@@ -33,6 +33,8 @@ WIDTH, DIGITS = 64, 8
 #: Levels used: phrases of level 2 hold about 12 bytes, of level 3 about 40.
 FIRST_LEVEL, LAST_LEVEL = 2, 4
 ROUNDS = 4
+#: Bytes of the texts that are parsed at once; a longer text is parsed by itself.
+BLOCK_BYTES = 1 << 17
 _NULL_ID = -(1 << 63)
 
 
@@ -51,68 +53,119 @@ def _labels(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return x
 
 
-def parse(x: np.ndarray, owner: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names and sequence numbers of the phrases of the sequences in x (bytes at level 1, else names)."""
+class PhraseCache:
+    """Hashes of phrases of bytes met before, each in the place that its key has in a table of fixed size.
+
+    Texts repeat few short phrases, so most hashes are found.  A key is a phrase's bytes, up to seven, and their number, so
+    a hash found is the one that SpanHasher gives; a phrase that is not held, or longer, is hashed by it.
+    """
+
+    BITS = 16
+
+    def __init__(self):
+        self.keys, self.hashes = np.zeros(1 << self.BITS, np.uint64), np.zeros(1 << self.BITS, np.uint64)
+
+    def __call__(self, buf: np.ndarray, starts: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Hashes of the phrases; starts: of the runs in buf, begin: of the phrases among the runs."""
+        at = starts[begin]
+        size = np.diff(at, append=len(buf))
+        padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(buf), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        kept = np.minimum(size, 8)
+        key = (eight[at] & _MASKS[kept]) | (kept.astype(np.uint64) << np.uint64(56))
+        slot = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
+        slot = slot.astype(np.int64)
+        out = self.hashes[slot]
+        new = np.flatnonzero((self.keys[slot] != key) | (size > 7))
+        if len(new):
+            lens = np.diff(begin, append=len(starts))[new]
+            ends = np.cumsum(lens)
+            item = np.repeat(begin[new] - (ends - lens), lens) + np.arange(ends[-1])
+            run = np.diff(starts, append=len(buf))[item]
+            out[new] = SpanHasher(buf[starts[item]] + (run.astype(np.uint64) << np.uint64(8)))(ends - lens, ends)
+            short = new[size[new] < 8]
+            self.keys[slot[short]], self.hashes[slot[short]] = key[short], out[short]
+        return out
+
+
+_MASKS = np.array([(1 << 8 * min(n, 7)) - 1 for n in range(9)], np.uint64)
+_known = PhraseCache()
+
+
+def parse(x: np.ndarray, offs: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names and offsets of the phrases of the sequences in x (bytes at level 1, else names) that offs bounds."""
+    some = offs[:-1][offs[1:] > offs[:-1]]
     new = np.ones(len(x), bool)
-    new[1:] = (x[1:] != x[:-1]) | (owner[1:] != owner[:-1])
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    new[some] = True
     starts = np.flatnonzero(new)
-    run = np.diff(np.append(starts, len(x)))
-    symbol, owner = x[starts], owner[starts]
-    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    if level == 1:
-        label = _labels(symbol, first)
-        names = symbol.astype(np.uint64) + (run.astype(np.uint64) << np.uint64(8))
-    else:
-        names = np.where(run > 1, mix(symbol + run.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), symbol)
-        label = _labels(names, first)
+    symbol = x[new]
+    first = np.searchsorted(starts, some)
+    if level > 1 and len(symbol) < len(x):
+        run = np.diff(starts, append=len(x))
+        long = np.flatnonzero(run > 1)
+        symbol[long] = mix(symbol[long] + run[long].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    label = _labels(symbol, first)
     least = np.zeros(len(label), bool)
-    least[1:-1] = (label[1:-1] < label[:-2]) & (label[1:-1] < label[2:])
-    last = np.append(first[1:] - 1, len(label) - 1)
-    least[last] = False
+    less = label[1:] < label[:-1]
+    least[1:-1] = less[:-1] & (label[1:-1] < label[2:])
+    least[np.append(first[1:], len(label)) - 1] = False
     least[first] = True
     begin = np.flatnonzero(least)
-    return SpanHasher(names)(begin, np.append(begin[1:], len(names))), owner[begin]
+    names = _known(x, starts, begin) if level == 1 else SpanHasher(symbol)(begin, np.append(begin[1:], len(symbol)))
+    return names, np.searchsorted(starts[begin], offs)
+
+
+def _grouped(names: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names sorted within their texts, 0 to n - 1."""
+    bits = np.uint64(max(n - 1, 1).bit_length())
+    key = (owner.astype(np.uint64) << (np.uint64(64) - bits)) | (names >> bits)
+    order = np.argsort(key)
+    key, got = key[order], names[order]
+    if ((key[1:] == key[:-1]) & (got[1:] != got[:-1])).any():  # names that differ in their last bits only
+        order = np.lexsort((names, owner))
+        got = names[order]
+    return got, owner[order]
 
 
 def phrase_names(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Names and text numbers of all phrases that count for the fingerprints."""
     n = len(offs) - 1
-    x, owner = buf, np.repeat(np.arange(n), np.diff(offs))
-    kept, whose = [], []
+    x, kept, whose = buf, [], []
     have = np.zeros(n, bool)
     below: tuple[np.ndarray, np.ndarray] | None = None
     for level in range(1, LAST_LEVEL + 1):
         if not len(x):
             break
-        x, owner = parse(x, owner, level)
-        tagged = mix(x + np.uint64(level))
+        x, offs = parse(x, offs, level)
         if level < FIRST_LEVEL:
-            below = tagged, owner
+            below = x, offs
             continue
-        kept.append(tagged)
-        whose.append(owner)
-    if kept:
-        count = np.bincount(whose[0], minlength=n)
-        have = count >= 4
-    if below is not None:  # short texts: the phrases of the level before count too
-        few = ~have[below[1]]
-        kept.append(below[0][few])
-        whose.append(below[1][few])
+        if not kept:
+            have = np.diff(offs) >= 4
+        kept.append(mix(x + np.uint64(level)))
+        whose.append(np.repeat(np.arange(n), np.diff(offs)))
+    if below is not None and not have.all():  # short texts: the phrases of the level before count too
+        count = np.diff(below[1])
+        few = np.repeat(~have, count)
+        kept.append(mix(below[0][few] + np.uint64(FIRST_LEVEL - 1)))
+        whose.append(np.repeat(np.flatnonzero(~have), count[~have]))
     if not kept:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    names, owner = np.concatenate(kept), np.concatenate(whose)
-    order = np.lexsort((names, owner))
-    names, owner = names[order], owner[order]
-    new = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])))
-    k = np.arange(len(names)) - np.repeat(new, np.diff(np.append(new, len(names))))
-    return np.where(k > 0, mix(names + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), names), owner
+    names, owner = _grouped(np.concatenate(kept), np.concatenate(whose), n)
+    again = np.flatnonzero((names[1:] == names[:-1]) & (owner[1:] == owner[:-1])) + 1
+    if len(again):
+        leads = np.append(True, np.diff(again) > 1)
+        k = np.arange(len(again)) - np.flatnonzero(leads)[np.cumsum(leads) - 1] + 1
+        names[again] = mix(names[again] + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return names, owner
 
 
-def fingerprints(buf: np.ndarray, offs: np.ndarray) -> list[str]:
+def _prints(buf: np.ndarray, offs: np.ndarray) -> list[str]:
     names, owner = phrase_names(buf, offs)
-    value = (names >> np.uint64(64 - 4 * DIGITS)).astype(np.uint64)
-    both = (owner.astype(np.uint64) << np.uint64(4 * DIGITS)) | value
-    both = np.unique(both)
+    value = names >> np.uint64(64 - 4 * DIGITS)
+    both = np.sort((owner.astype(np.uint64) << np.uint64(4 * DIGITS)) | value)
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
     owner = (both >> np.uint64(4 * DIGITS)).astype(np.int64)
     count = np.bincount(owner, minlength=len(offs) - 1)
     first = np.cumsum(count) - count
@@ -123,6 +176,17 @@ def fingerprints(buf: np.ndarray, offs: np.ndarray) -> list[str]:
     return [text[b - DIGITS * min(c, WIDTH) : b] for b, c in zip(ends.tolist(), count.tolist(), strict=True)]
 
 
+def fingerprints(buf: np.ndarray, offs: np.ndarray) -> list[str]:
+    """Fingerprints of all texts, taken in blocks whose arrays stay in a core's cache."""
+    out: list[str] = []
+    at, n = 0, len(offs) - 1
+    while at < n:
+        stop = max(at + 1, int(np.searchsorted(offs, offs[at] + BLOCK_BYTES, "right")) - 1)
+        out += _prints(buf[offs[at] : offs[stop]], offs[at : stop + 1] - offs[at])
+        at = stop
+    return out
+
+
 def likeness(a: str, b: str) -> float:
     """Estimated Jaccard similarity: of the WIDTH least names of both, those that both have."""
     x, y = ({v[i : i + DIGITS] for i in range(0, len(v), DIGITS)} for v in (a, b))
