@@ -79,6 +79,27 @@ def test_nearest_of_the_whole_raster(spark, picture):
     assert (as_array(catalog.QUERIES["resize_nearest"](spark, DATA), (250, 30)) == picture[ys][:, xs]).all()
 
 
+@pytest.mark.parametrize("name", ["resize_nearest"])
+def test_nearest_of_a_tall_raster(spark, tmp_path, name):
+    """Ten lines of a picture so tall that a line times the new height exceeds 32 bits, against the SQL."""
+    duck = duckdb.connect()
+    duck.execute(f"COPY (SELECT * REPLACE (event_id // 100 * 666_600 + event_id % 100 AS event_id) FROM '/root/testdata/sf0.001/events.parquet') TO '{tmp_path}/events.parquet'")
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    want = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+    assert max(want, key=lambda r: r[1])[1] > 140_000
+
+
+def test_nearest_places_at_the_largest_sizes(spark):
+    top = 2**31 - 1
+    cases = [(at, size, new) for size, new in ((top, top), (top, top - 1), (3, 7), (7, 3), (1, 5), (5, 1), (2, 0), (0, 4)) for at in {0, 1, size // 2, size - 1, size} if at >= 0]
+    df = spark.createDataFrame(cases, "at int, size int, new int")
+    for r in df.withColumn("places", resample.nearest_places(F.col("at"), F.col("size"), F.col("new"))).collect():
+        near = range(max(0, r.at * r.new // r.size - 2), min(r.new, (r.at + 1) * r.new // r.size + 2)) if r.at < r.size else []
+        assert (r.places or []) == [o for o in near if (2 * o + 1) * r.size // (2 * r.new) == r.at]
+
+
 def relation(spark, drawn: dict[str, np.ndarray], layout: str = "L", kind: str = "u8") -> Raster:
     """Pictures of any sizes as pixels; arrays of lines of columns of channels."""
     rows = [(name, a.shape[1], a.shape[0], x, y, *a[y, x].tolist()) for name, a in drawn.items() for y in range(a.shape[0]) for x in range(a.shape[1])]
