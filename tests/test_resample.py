@@ -79,7 +79,7 @@ def test_nearest_of_the_whole_raster(spark, picture):
     assert (as_array(catalog.QUERIES["resize_nearest"](spark, DATA), (250, 30)) == picture[ys][:, xs]).all()
 
 
-@pytest.mark.parametrize("name", ["resize_nearest"])
+@pytest.mark.parametrize("name", ["resize_nearest", "resize_nearest_whole"])
 def test_nearest_of_a_tall_raster(spark, tmp_path, name):
     """Ten lines of a picture so tall that a line times the new height exceeds 32 bits, against the SQL."""
     duck = duckdb.connect()
