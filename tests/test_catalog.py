@@ -7,6 +7,9 @@ import sys
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__
@@ -43,6 +46,26 @@ def test_query(spark, duck, name):
         assert sorted(rows) == sorted(tuple(shown(r[i]) for i in order) for r in cur.fetchall())
 
 
+@pytest.fixture(scope="module")
+def near_levels(tmp_path_factory):
+    """Embeddings of values just below a level, whose products with 1000 reach it as floats but not as doubles."""
+    at = tmp_path_factory.mktemp("near")
+    below = np.nextafter((np.arange(1, 20_000) / 1000).astype(np.float32), np.float32(0))
+    below = below[np.floor(below * np.float32(1000)) != np.floor(below.astype(float) * 1000)]
+    vectors = np.resize(below * np.where(np.arange(len(below)) % 2, 1, -1).astype(np.float32), 20 * 64).reshape(20, 64)
+    pq.write_table(pa.table({"vec_id": pa.array(range(20), pa.int64()), "embedding": pa.array(vectors.tolist(), pa.list_(pa.float32())), "label": pa.array([0] * 20, pa.int32())}), at / "embeddings.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["codec_bmp_rgb_u8"])
+def test_levels_of_embeddings(spark, near_levels, name):
+    df = catalog.QUERIES[name](spark, near_levels)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{near_levels}/embeddings.parquet'")
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
 def test_entry_has_rows_and_a_schema(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["x", "y", "c0", "c1", "c2"]
