@@ -57,7 +57,7 @@ def near_levels(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["codec_bmp_rgb_u8", "codec_bmp_rgba_u8", "codec_farbfeld_rgba_u16", "codec_ico_rgba_u8", "codec_png_l_u16"])
+@pytest.mark.parametrize("name", ["codec_bmp_rgb_u8", "codec_bmp_rgba_u8", "codec_farbfeld_rgba_u16", "codec_ico_rgba_u8", "codec_png_l_u16", "codec_png_rgba_u8"])
 def test_levels_of_embeddings(spark, near_levels, name):
     df = catalog.QUERIES[name](spark, near_levels)
     con = duckdb.connect()
