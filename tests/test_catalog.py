@@ -57,7 +57,7 @@ def near_levels(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["codec_bmp_rgb_u8", "codec_bmp_rgba_u8", "codec_farbfeld_rgba_u16", "codec_ico_rgba_u8", "codec_png_l_u16", "codec_png_rgba_u8", "codec_pnm_rgb_u8", "codec_pnm_rgba_u16", "codec_qoi_rgb_u8", "codec_qoi_rgba_u8", "codec_tga_l_u8", "codec_tga_rgba_u8", "dither_corpus", "embedded_profiles"])
+@pytest.mark.parametrize("name", ["codec_bmp_rgb_u8", "codec_bmp_rgba_u8", "codec_farbfeld_rgba_u16", "codec_ico_rgba_u8", "codec_png_l_u16", "codec_png_rgba_u8", "codec_pnm_rgb_u8", "codec_pnm_rgba_u16", "codec_qoi_rgb_u8", "codec_qoi_rgba_u8", "codec_tga_l_u8", "codec_tga_rgba_u8", "dither_corpus", "embedded_profiles", "reduced_colors", "palette_of_each", "frames_blended", "frames_transparent"])
 def test_levels_of_embeddings(spark, near_levels, name):
     df = catalog.QUERIES[name](spark, near_levels)
     con = duckdb.connect()
